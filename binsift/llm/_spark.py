@@ -11,9 +11,15 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: Bytes of strings that Python code is given at a time.
+SLICE = 2 << 20
 
 _shipped: set[str] = set()
 _tables: list[tuple[SparkSession, str]] = []
@@ -35,10 +41,32 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with the package on the executors."""
+Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `limit` bytes of strings, so that Python objects made of them stay few."""
+    for b in batches:
+        size = np.full(b.num_rows, 16, dtype=np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type):
+                size += pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(size) - 1) // limit
+        lo = 0
+        while lo < b.num_rows:
+            hi = int(np.searchsorted(part, part[lo], "right"))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
+def arrow_map(df: DataFrame, fn: Mapper, schema: str | StructType) -> DataFrame:
+    """mapInArrow over small batches, with the package on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(in_slices(batches))
+
+    return df.mapInArrow(run, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, html, language, pieces, quality, toxicity
+from . import fingerprint, html, language, lines, pieces, quality, toxicity
 from ._spark import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -36,5 +40,5 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_html_extraction, op4_quality_classifier, op5_toxicity, op6_document_fingerprints, op7_language_id, op9_sentencepiece)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op3_html_extraction, op4_quality_classifier, op5_toxicity, op6_document_fingerprints, op7_language_id, op9_sentencepiece)}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": lines.ORACLE_SQL}

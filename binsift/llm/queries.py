@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, html, language, lines, pieces, quality, toxicity
+from . import fingerprint, html, language, lines, near, pieces, quality, toxicity
 from ._spark import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,9 +36,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.classify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.join(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op3_html_extraction, op4_quality_classifier, op5_toxicity, op6_document_fingerprints, op7_language_id, op9_sentencepiece)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op3_html_extraction, op4_quality_classifier, op5_toxicity, op6_document_fingerprints, op7_language_id, op8_ngram_jaccard_join, op9_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": lines.ORACLE_SQL}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import io
 import os
 import tempfile
@@ -91,6 +92,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(df: DataFrame) -> None:
+    """Let Spark drop the shuffle files of queries that are over: it does so when the driver collects its garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def _clear() -> None:
     for spark, path in _tables:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, html, language, lines, near, pieces, quality, suffix, toxicity
+from . import decontaminate, fingerprint, html, language, lines, near, pieces, quality, suffix, toxicity
 from ._spark import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -48,5 +52,5 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op3_html_extraction, op4_quality_classifier, op5_toxicity, op6_document_fingerprints, op7_language_id, op8_ngram_jaccard_join, op9_sentencepiece, op10_suffix_array_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_benchmark_decontamination, op3_html_extraction, op4_quality_classifier, op5_toxicity, op6_document_fingerprints, op7_language_id, op8_ngram_jaccard_join, op9_sentencepiece, op10_suffix_array_dedup)}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": lines.ORACLE_SQL}

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import saved
+from ._spark import saved, settle
 
 #: Shortest run that counts as repeated: so many lines, or lines of so many characters together.
 MIN_LINES, MIN_CHARS = 3, 200
@@ -29,39 +29,47 @@ def _text_key() -> Column:
 
 def windows(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per window: fp, at (doc_id, text key, position), first and last (line numbers), body (hash of its lines)."""
-    split = docs.filter(F.col("text").isNotNull()).select("doc_id", _text_key().alias("key"), F.split("text", "\n").alias("raw"))
-    lines = split.select("doc_id", "key", F.expr("filter(transform(raw, (x, i) -> struct(trim(BOTH FROM x) AS s, i AS i)), x -> x.s != '')").alias("lines"))
-    arrays = lines.filter(F.size("lines") > 0).select(
-        "doc_id", "key", "lines", F.expr("transform(lines, x -> xxhash64(x.s))").alias("hashes"), F.expr("transform(lines, x -> length(x.s))").alias("sizes")
-    )
+    def once(df: DataFrame, name: str, expr: str) -> DataFrame:
+        """A column computed once for each row: Spark would put its expression into every lambda that uses it."""
+        return df.select("*", F.explode(F.array(F.expr(expr))).alias(name))
+
+    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", _text_key().alias("key"), "text")
+    solid = "filter(transform(split(text, '\n'), (x, i) -> struct(trim(BOTH FROM x) AS s, i AS i)), x -> x.s != '')"
+    lines = once(texts, "lines", solid).drop("text").filter(F.size("lines") > 0)
+    arrays = once(once(lines, "hashes", "transform(lines, x -> xxhash64(x.s))"), "sizes", "transform(lines, x -> length(x.s))")
     width = "CASE"
     for k in range(1, min_lines + 1):
         total = " + ".join(f"sizes[p + {j}]" for j in range(k))
         enough = f"AND {total} >= {min_chars}" if k < min_lines else ""
         width += f" WHEN p + {k} <= size(sizes) {enough} THEN {k}"
     width += " END"
-    widths = arrays.select("*", F.expr(f"transform(sizes, (x, p) -> {width})").alias("widths"))
-    rows = widths.select("doc_id", "key", "lines", "hashes", F.posexplode("widths").alias("p", "k")).filter("k IS NOT NULL")
-    return rows.select(
-        F.expr("array_min(slice(hashes, p + 1, k))").alias("fp"),
-        F.expr("p + array_position(slice(hashes, p + 1, k), array_min(slice(hashes, p + 1, k))) - 1").alias("fp_at"),
-        F.struct("doc_id", "key", "p").alias("at"),
-        F.expr("lines[p].i").alias("first"),
-        F.expr("lines[p + k - 1].i").alias("last"),
-        F.expr("unhex(md5(array_join(transform(slice(lines, p + 1, k), x -> x.s), '\n')))").alias("body"),
+    widths = once(arrays, "widths", f"transform(sizes, (x, p) -> {width})")
+    # Windows are built inside the array, so that no row carries its whole document.
+    least = "array_min(slice(hashes, p + 1, widths[p]))"
+    built = widths.select(
+        "doc_id",
+        "key",
+        F.expr(
+            f"""transform(filter(sequence(0, size(widths) - 1), p -> widths[p] IS NOT NULL), p -> named_struct('p', p, 'fp', {least},
+            'fp_at', p + array_position(slice(hashes, p + 1, widths[p]), {least}) - 1, 'first', lines[p].i, 'last', lines[p + widths[p] - 1].i,
+            'body', unhex(md5(IF(widths[p] = 1, lines[p].s, array_join(transform(slice(lines, p + 1, widths[p]), x -> x.s), '\n'))))))"""
+        ).alias("windows"),
     )
+    return built.select("doc_id", "key", F.explode("windows").alias("w")).select("w.fp", "w.fp_at", F.struct("doc_id", "key", "w.p").alias("at"), "w.first", "w.last", "w.body")
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, key and runs: the array of (first, last) line numbers to delete, for documents that have any."""
     found = saved(windows(docs, min_lines, min_chars))
     # Fingerprints by position: neighbouring windows often select the same line.
-    picks = found.select("fp", "at.doc_id", "at.key", "fp_at").groupBy("fp").agg(F.min(F.struct("doc_id", "key", "fp_at")).alias("lo"), F.max(F.struct("doc_id", "key", "fp_at")).alias("hi"))
-    common = saved(picks.filter("lo != hi").select("fp"))
+    spot = F.xxhash64("at.doc_id", "at.key", "fp_at")
+    common = saved(found.select("fp", spot.alias("spot")).groupBy("fp").agg(F.min("spot").alias("lo"), F.max("spot").alias("hi")).filter("lo != hi").select("fp"))
+    settle(docs)
     matched = found.join(common, "fp").select("at", "first", "last", "body")
-    # Only bodies that occur at two places, with the earlier one.
-    firsts = saved(matched.groupBy("body").agg(F.min("at").alias("origin"), F.max("at").alias("latest")).filter("origin != latest").select("body", "origin"))
-    later = matched.join(firsts, "body").filter("at > origin").select("at.doc_id", "at.key", "at.p", "first", "last").distinct()
+    # Only bodies that occur more than once, with the earliest place.
+    firsts = saved(matched.groupBy("body").agg(F.min("at").alias("origin"), F.count("*").alias("n")).filter("n > 1").select("body", "origin"))
+    settle(docs)
+    later = matched.join(firsts, "body").filter("at > origin").select("at.doc_id", "at.key", "at.p", "first", "last")
     by_doc = Window.partitionBy("doc_id", "key").orderBy("p")
     before = F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     islands = later.select("*", F.when(F.col("first") <= before + 1, 0).otherwise(1).alias("starts"))
@@ -77,7 +85,7 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHAR
     rest = docs.drop("n_lines", "n_removed").withColumn("_key", F.xxhash64(F.col("text").cast("string")))
     joined = rest.join(runs, F.col("doc_id").eqNullSafe(F.col("_cut_id")) & (F.col("_key") == F.col("_cut_key")), "left").drop("_cut_id", "_cut_key", "_key")
     # Kept stretches lie between the end of one run and the start of the next.
-    lines = joined.withColumn("_lines", F.split("text", "\n"))
+    lines = joined.select("*", F.explode(F.array(F.split("text", "\n"))).alias("_lines"))
     kept = F.expr(
         "CASE WHEN _cuts IS NULL THEN text ELSE array_join(flatten(transform(sequence(0, size(_cuts)), i -> slice(_lines,"
         " IF(i = 0, 0, _cuts[i - 1].last + 1) + 1, IF(i = size(_cuts), size(_lines), get(_cuts, i).first) - IF(i = 0, 0, _cuts[i - 1].last + 1)))), '\n') END"

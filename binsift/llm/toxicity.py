@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +28,7 @@ WORD = re.compile(r"[^\W_]+")
 #: Hashed feature space; the broadcast model has this many 4-byte weights whatever the corpus.
 DIMENSIONS = 1 << 20
 #: Bounds of the training sample: rows of each label, and characters of a row.
-ROWS_PER_LABEL, MAX_CHARS = 3000, 20_000
+ROWS_PER_LABEL, MAX_CHARS = 2500, 20_000
 #: Entries of a worker's word cache before it starts anew.
 CACHE = 200_000
 SCHEMA = "doc_id long, score double, sentences array<struct<start:int,end:int,score:double>>"
@@ -52,43 +52,45 @@ def fit(rows: list[tuple[str, int]], rounds: int = 100, rate: float = 2.0, decay
     if len({y for _, y in rows}) < 2:
         return model
     known: dict[str, list[int]] = {}
-    bags = []
-    df: Counter = Counter()
-    for text, y in rows:
-        sentences = []
-        for s in SENTENCE.findall(text.lower()):
+    df = np.zeros(DIMENSIONS + 1, dtype=np.int32)
+    index, at, docs, y = array("i"), array("i"), array("i"), []
+    for text, label in rows:
+        docs.append(len(at))
+        begin = len(index)
+        for s in SENTENCE.findall(text.lower()) or [""]:
+            at.append(len(index))
             found: set[int] = set()
             for w in WORD.findall(s):
                 if w not in known:
                     known[w] = features(w)
                 found.update(known[w])
-            sentences.append(found)
-        df.update(set().union(*sentences))
-        bags.append((sentences, y))
-    index, at, docs, y = [], [], [], []
-    for sentences, label in bags:
-        docs.append(len(at))
-        for s in sentences or [set()]:
-            at.append(len(index))
-            index += [f for f in s if df[f] >= min_docs] or [DIMENSIONS]
+            index.append(DIMENSIONS)
+            index.extend(sorted(found))
+        df[np.unique(np.array(index[begin:]))] += 1
         y.append(label)
-    feats, at, docs, y = np.array(index), np.array(at), np.array(docs), np.array(y)
-    columns, feats = np.unique(feats, return_inverse=True)
-    w, bias, g2, gb2 = np.zeros(len(columns)), start, np.full(len(columns), 1e-8), 1e-8
-    sentence_of = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(feats))))
-    doc_of = np.repeat(np.arange(len(docs)), np.diff(np.append(docs, len(at))))
+    known.clear()
+    feats, at, docs, y = np.frombuffer(index, np.int32), np.frombuffer(at, np.int32), np.frombuffer(docs, np.int32), np.array(y)
+    # Rare features go; the one without weight that begins each sentence stays, so that none is without.
+    keep = (df[feats] >= min_docs) | (feats == DIMENSIONS)
+    at, feats = (np.cumsum(keep, dtype=np.int32)[at] - 1).astype(np.int32), feats[keep]
+    columns = np.unique(feats)
+    feats = np.searchsorted(columns, feats).astype(np.int32)
+    w, bias, g2, gb2 = np.zeros(len(columns), dtype=np.float32), start, np.full(len(columns), 1e-8), 1e-8
+    size = np.diff(np.append(at, len(feats)))
+    doc_of = np.repeat(np.arange(len(docs), dtype=np.int32), np.diff(np.append(docs, len(at))))
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[feats], at) + bias, -30, 30)))
         none = np.exp(np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-9)), docs))
         pull = np.where(y == 1, -none / np.maximum(1 - none, 1e-9), 1.0) * weight
         slope = p * pull[doc_of]
-        g = np.bincount(feats, slope[sentence_of], len(columns)) / len(y) + decay * w
+        g = np.bincount(feats, np.repeat(slope, size), len(columns)) / len(y) + decay * w
         gb = slope.sum() / len(y)
         g2, gb2 = g2 + g * g, gb2 + gb * gb
-        w, bias = w - rate * g / np.sqrt(g2), bias - 0.1 * rate * gb / np.sqrt(gb2)
-    keep = columns < DIMENSIONS
-    model.weights[columns[keep]] = w[keep]
+        g[columns == DIMENSIONS] = 0
+        w, bias = (w - rate * g / np.sqrt(g2)).astype(np.float32), bias - 0.1 * rate * gb / np.sqrt(gb2)
+    own = columns < DIMENSIONS
+    model.weights[columns[own]] = w[own]
     model.bias = float(bias)
     return model
 

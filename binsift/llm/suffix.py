@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +35,9 @@ from ._spark import arrow_map, saved, settle
 from ._text import mix, powers, prefix_hash, span_hash
 
 LENGTH, ANCHOR = 200, 100
-#: Contexts that are sorted at a time; an anchor with more places than HOT (or a 2000th of all, if that is between
-#: these bounds) has its strings counted instead.
-BATCH, HOT = 16_384, (1024, 65_536)
+#: Contexts that are sorted at a time, more only if one anchor has more; one with more places than HOT has its strings
+#: counted instead, so no task holds more contexts of an anchor.
+BATCH, HOT = 16_384, 65_536
 #: Bytes of a text whose anchors are found at a time.
 PIECE = 1 << 20
 
@@ -263,42 +264,56 @@ def _contexts(joined: DataFrame, length: int, anchor: int) -> DataFrame:
                 counted.clear()
 
         for b in batches:
-            done, texts = [], []
-            for row, tkey, doc_id, packed, places in zip(*(b.column(c).to_pylist() for c in ("row", "key", "doc_id", "packed", "places"))):
+            done, texts, raws, cuts, where, spots, prints, anchored, hots = [], [], [], [], [], [], [], [], []
+            sizes = pc.list_value_length(b.column("ats")).fill_null(0).to_numpy(zero_copy_only=False)
+            flat = [b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("ats", "hs", "hots")]
+            ends = np.cumsum(sizes)
+            for row, tkey, doc_id, packed, n, end in zip(*(b.column(c).to_pylist() for c in ("row", "key", "doc_id", "packed")), sizes.tolist(), ends.tolist()):
                 raw = unpack(packed)
-                if not places:
+                if not n:
                     done.append((row, doc_id, len(raw), hashlib.sha256(raw).hexdigest()))
                     continue
-                texts.append((row, tkey, doc_id, packed, len(raw)))
-                at = np.array([p["at"] for p in places], dtype=np.int64)
-                h = np.array([p["h"] for p in places], dtype=np.int64)
-                hot = np.array([p["hot"] for p in places], dtype=bool)
-                p = prefix_hash(np.frombuffer(raw, dtype=np.uint8)) if len(raw) <= PIECE else None
+                at, h, hot = (x[end - n : end] for x in flat)
+                at = at.astype(np.int64)
                 lo, hi = np.maximum(at - around, 0), np.minimum(at + length, len(raw))
-                if p is not None:
-                    s = span_hash(p, lo, hi)
-                else:  # long texts: hash each context by itself
-                    s = np.array([int(span_hash(prefix_hash(np.frombuffer(raw[x:y], np.uint8)), np.array([0]), np.array([y - x]))[0]) for x, y in zip(lo.tolist(), hi.tolist())], dtype=np.uint64)
-                s = mix(s + (at - lo).astype(np.uint64)).view(np.int64)
-                yield table(len(at), kind=np.full(len(at), 2), row=np.full(len(at), row), key=np.full(len(at), tkey, np.int32), h=h, s=s, at=at.astype(np.int32))
-                cool = np.flatnonzero(~hot).tolist()
-                at_, h_, s_, lo_, hi_ = at.tolist(), h.tolist(), s.tolist(), lo.tolist(), hi.tolist()
-                for k in cool:
-                    got = seen.get((h_[k], s_[k]))
+                s = np.empty(n, dtype=np.uint64)
+                for k in range(0, n, 4096):  # contexts of a stretch of the text, hashed from the stretch's start
+                    x, y = int(lo[k : k + 4096].min()), int(hi[k : k + 4096].max())
+                    if y - x <= 2 * PIECE:
+                        s[k : k + 4096] = span_hash(prefix_hash(np.frombuffer(raw[x:y], dtype=np.uint8)), lo[k : k + 4096] - x, hi[k : k + 4096] - x)
+                    else:
+                        for q in range(k, min(k + 4096, n)):
+                            s[q] = span_hash(prefix_hash(np.frombuffer(raw[lo[q] : hi[q]], np.uint8)), np.array([0]), np.array([hi[q] - lo[q]]))[0]
+                texts.append((row, tkey, doc_id, packed, len(raw)))
+                raws.append(raw)
+                cuts.append((lo, hi))
+                where.append(np.full(n, len(raws) - 1))
+                spots.append(at)
+                prints.append(mix(s + (at - lo).astype(np.uint64)).view(np.int64))
+                anchored.append(h.astype(np.int64))
+                hots.append(hot.astype(bool))
+            if raws:
+                at, s, h, doc, hot = (np.concatenate(x) for x in (spots, prints, anchored, where, hots))
+                lo, hi = (np.concatenate(x) for x in zip(*cuts))
+                yield table(len(at), kind=np.full(len(at), 2), row=np.array([x[0] for x in texts], dtype=np.int64)[doc], key=np.array([x[1] for x in texts], dtype=np.int32)[doc], h=h, s=s, at=at.astype(np.int32))
+                cool = np.flatnonzero(~hot)
+                _, first, many = np.unique(s[cool], return_index=True, return_counts=True)
+                first = cool[first]
+                for k, g, p, d, x, y, z, m in zip(first.tolist(), h[first].tolist(), s[first].tolist(), doc[first].tolist(), lo[first].tolist(), at[first].tolist(), hi[first].tolist(), many.tolist()):
+                    got = seen.get((g, p))
                     if got is None:
-                        seen[h_[k], s_[k]] = [1, raw[lo_[k] : at_[k]][::-1], raw[at_[k] + anchor : hi_[k]]]
+                        seen[g, p] = [m, raws[d][x:y][::-1], raws[d][y + anchor : z]]
                     else:
-                        got[0] += 1
+                        got[0] += m
                 for k in np.flatnonzero(hot).tolist():
-                    x = np.arange(lo_[k], hi_[k] - length + 1)
-                    if not x.size:
-                        continue
-                    q = prefix_hash(np.frombuffer(raw[lo_[k] : hi_[k]], np.uint8))
-                    w = span_hash(q, x - lo_[k], x - lo_[k] + length)
-                    for y, a in zip((at_[k] - x).tolist(), w.view(np.int64).tolist()):
-                        key = (h_[k], s_[k], y, a)
-                        counted[key] = counted.get(key, 0) + 1
-                if len(seen) > 50_000 or len(counted) > 200_000:
+                    raw = raws[doc[k]]
+                    x = np.arange(lo[k], hi[k] - length + 1)
+                    if x.size:
+                        w = span_hash(prefix_hash(np.frombuffer(raw[lo[k] : hi[k]], np.uint8)), x - lo[k], x - lo[k] + length)
+                        for y, v in zip((at[k] - x).tolist(), w.view(np.int64).tolist()):
+                            key = (int(h[k]), int(s[k]), y, v)
+                            counted[key] = counted.get(key, 0) + 1
+                if len(seen) > 40_000 or len(counted) > 200_000:
                     yield from out()
             if done:
                 yield table(len(done), kind=[0] * len(done), row=[x[0] for x in done], doc_id=[x[1] for x in done], n_bytes=[x[2] for x in done], kept_sha256=[x[3] for x in done])
@@ -310,7 +325,7 @@ def _contexts(joined: DataFrame, length: int, anchor: int) -> DataFrame:
 
 
 def _sorted_contexts(contexts: DataFrame, length: int, anchor: int) -> DataFrame:
-    """(h, s, xs): the strings of each context that repeat, as bytes: xs[x] is 1 if the one with x bytes before does."""
+    """(h, s, xs): the strings of each context that repeat, as bits: bit x is 1 if the one with x bytes before does."""
     around = length - anchor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +337,7 @@ def _sorted_contexts(contexts: DataFrame, length: int, anchor: int) -> DataFrame
             found = repeated_strings(group, [r[3] for r in rows], [r[4] for r in rows], np.array([r[2] for r in rows]) > 1, around)
             some = np.flatnonzero(found.any(1))
             return pa.RecordBatch.from_arrays(
-                [pa.array(h[some]), pa.array(np.array([r[1] for r in rows], dtype=np.int64)[some]), pa.array([x.tobytes() for x in found[some]], pa.binary())], ["h", "s", "xs"]
+                [pa.array(h[some]), pa.array(np.array([r[1] for r in rows], dtype=np.int64)[some]), pa.array([x.tobytes() for x in np.packbits(found[some], axis=1)], pa.binary())], ["h", "s", "xs"]
             )
 
         for b in batches:
@@ -348,12 +363,12 @@ def _cut(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc_id, packed, found in zip(*(b.column(c).to_pylist() for c in ("doc_id", "packed", "found"))):
+            for doc_id, packed, ats, xs in zip(*(b.column(c).to_pylist() for c in ("doc_id", "packed", "ats", "xs"))):
                 raw = unpack(packed)
-                mark = np.zeros(len(raw) + 1, dtype=np.int32)
-                for f in found or []:
-                    starts = f["at"] - np.flatnonzero(np.frombuffer(f["xs"], dtype=np.uint8))
-                    mark[starts] = 1
+                mark = np.zeros(len(raw) + 1, dtype=bool)
+                if ats:
+                    place, x = np.nonzero(np.unpackbits(np.frombuffer(b"".join(xs), dtype=np.uint8).reshape(len(xs), -1), axis=1))
+                    mark[np.array(ats)[place] - x] = True
                 covered = np.zeros(len(raw), dtype=bool)
                 starts = np.flatnonzero(mark)
                 if starts.size:
@@ -377,22 +392,21 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFr
     places = _anchor_rows(keyed, length, anchor)
     counts = places.groupBy("h").agg(F.count("*").alias("n"))
     repeated = saved(counts.filter("n > 1"))
-    total = repeated.agg(F.sum("n")).first()[0] or 0
-    hot = min(max(HOT[0], total // 1000), HOT[1])
     settle(docs)
-    found = places.join(repeated.select("h", (F.col("n") > hot).alias("hot")), "h")
+    found = places.join(repeated.select("h", (F.col("n") > HOT).alias("hot")), "h")
     spots = found.select("row", F.expr("CAST(shiftright(shiftleft(spot, 32), 32) AS INT)").alias("key"), F.struct(F.shiftright("spot", 32).cast("int").alias("at"), "h", "hot").alias("place"))
     by_row = saved(spots.groupBy("row", "key").agg(F.collect_list("place").alias("places")))
     settle(docs)
-    parts = saved(_contexts(_packed(keyed).join(by_row, ["row", "key"], "left").select("row", "key", "doc_id", "packed", "places"), length, anchor))
+    parts = saved(_contexts(_packed(keyed).join(by_row, ["row", "key"], "left").select("row", "key", "doc_id", "packed", F.col("places.at").alias("ats"), F.col("places.h").alias("hs"), F.col("places.hot").alias("hots")), length, anchor))
     settle(docs)
     sorted_ = _sorted_contexts(parts.filter("kind = 3").select("h", "s", "many", "lefts", "rights"), length, anchor)
     strings = parts.filter("kind = 4").select("h", "s", F.col("at").alias("x"), "w", "many")
     often = saved(strings.groupBy("h", "x", "w").agg(F.sum("many").alias("n")).filter("n > 1").select("h", "x", "w"))
     by_context = strings.join(often, ["h", "x", "w"]).groupBy("h", "s").agg(F.collect_set("x").alias("x"))
-    bits = F.expr(f"unhex(array_join(transform(sequence(0, {length - anchor}), i -> IF(array_contains(x, i), '01', '00')), ''))")
+    byte = "lpad(hex(aggregate(sequence(0, 7), 0, (a, j) -> a * 2 + IF(array_contains(x, i * 8 + j), 1, 0))), 2, '0')"
+    bits = F.expr(f"unhex(array_join(transform(sequence(0, {(length - anchor) // 8}), i -> {byte}), ''))")
     known = saved(sorted_.unionByName(by_context.select("h", "s", bits.alias("xs"))))
-    back = parts.filter("kind = 2").select("row", "key", "h", "s", "at").join(known, ["h", "s"]).groupBy("row", "key").agg(F.collect_list(F.struct("at", "xs")).alias("found"))
-    texts = parts.filter("kind = 1").select("row", "key", "doc_id", "packed").join(back, ["row", "key"], "left").select("doc_id", "packed", "found")
+    back = parts.filter("kind = 2").select("row", "key", "h", "s", "at").join(known, ["h", "s"]).groupBy("row", "key").agg(F.collect_list(F.struct("at", "xs")).alias("found")).select("row", "key", F.col("found.at").alias("ats"), F.col("found.xs").alias("xs"))
+    texts = parts.filter("kind = 1").select("row", "key", "doc_id", "packed").join(back, ["row", "key"], "left").select("doc_id", "packed", "ats", "xs")
     whole = parts.filter("kind = 0").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256", F.lit(None).cast("binary").alias("kept"))
     return whole.unionByName(_cut(texts, length))

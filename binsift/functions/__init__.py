@@ -1 +1 @@
-
+"""Column functions and dimension tables."""

@@ -204,34 +204,60 @@ def ordered_hash(ops: DataFrame, item: Column, name: str = "fingerprint") -> Dat
     return ops.groupBy("fn").agg(F.substring(F.sha2(joined, 256), 1, 16).alias(name))
 
 
-def call_signature(ops: DataFrame) -> DataFrame:
-    """Sorted distinct callees of a function that have names."""
-    known = ops.filter("callee IS NOT NULL AND NOT callee LIKE '0x%' AND NOT callee LIKE 'INDIRECT:%'")
-    return known.groupBy("fn").agg(F.array_join(F.array_sort(F.collect_set(callee_before_at(F.col("callee")))), ",").alias("signature"))
+def call_signature(ops: DataFrame, known: list[str]) -> DataFrame:
+    """Sorted distinct known callees of a function, empty if none."""
+    name = callee_before_at(F.col("callee"))
+    hit = F.when(F.col("op").isin(*CALLS) & name.isin([k.lower() for k in known]), name)
+    return ops.groupBy("fn").agg(F.array_join(F.array_sort(F.collect_set(hit)), ",").alias("signature"))
 
 
 def group_vector(ops: DataFrame) -> DataFrame:
-    """20 numbers: shares of the 14 operation groups, four of control flow, loads and stores per operation."""
+    """20 numbers: shares of the 14 operation groups; loop, call, indirect call, branch density; loads and stores."""
     grouped = ops.withColumn("g", op_group(F.col("op")))
     n = F.count("*")
-    shares = [F.count_if(F.col("g") == g) / n for g in GROUPS]
-    flow = [_n("CBRANCH") / n, F.count_if(F.col("g") == "branch") / n, F.count_if(F.col("g") == "call") / n, F.count_if(F.col("g") == "indirect_call") / n]
-    memory = [_n("LOAD") / n, _n("STORE") / n]
-    return grouped.groupBy("fn").agg(F.array(*[F.round(x, 6) for x in (*shares, *flow, *memory)]).alias("vector"))
+    of = lambda g: F.count_if(F.col("g") == g)
+    flag = lambda c: F.when(c > 0, 1.0).otherwise(0.0)
+    flow = [flag(_n("MULTIEQUAL")), flag(of("call")), flag(of("indirect_call")), F.least(F.lit(1.0), of("branch") / n * 10)]
+    memory = [F.least(F.lit(1.0), of("mem_read") / n * 5), F.least(F.lit(1.0), of("mem_write") / n * 5)]
+    return grouped.groupBy("fn").agg(F.array(*[F.round(x, 6) for x in (*[of(g) / n for g in GROUPS], *flow, *memory)]).alias("vector"))
 
 
-def structural_role(ops: DataFrame) -> DataFrame:
-    """Role told from counters alone: first of five threshold rules."""
-    f = ops.groupBy("fn").agg(F.count("*").alias("n"), _n("STORE").alias("stores"), _n("LOAD").alias("loads"), _n("CBRANCH").alias("branches"), _n(*CALLS).alias("calls"), _n("INT_MULT", "INT_ADD", "INT_SUB").alias("arith"))
+def structural_key(ops: DataFrame, known: list[str]) -> DataFrame:
+    """16 hex digits of the hash of a function's group counts and call signature (exact fingerprint)."""
+    grouped = ops.withColumn("g", op_group(F.col("op"))).groupBy("fn").agg(*[F.count_if(F.col("g") == g).alias(f"n_{g}") for g in GROUPS])
+    text = F.concat_ws("|", F.concat_ws(",", *[F.concat(F.lit(f"{g}:"), F.col(f"n_{g}").cast("string")) for g in GROUPS]), "signature", F.lit("ptrs=0"))
+    return grouped.join(call_signature(ops, known), "fn").select("fn", F.substring(F.sha2(text, 256), 1, 16).alias("skey"))
+
+
+def structural_role(ops: DataFrame, known: list[str]) -> DataFrame:
+    """Role of a function from its known callees, else from its operation groups; first rule that holds."""
+    grouped = ops.withColumn("g", op_group(F.col("op"))).groupBy("fn").agg(*[F.bool_or(F.col("g") == g).alias(g) for g in ("mem_write", "cmp", "branch")])
+    sig = F.col("signature")
     role = (
-        F.when((F.col("branches") * 5 > F.col("n")) & (F.col("stores") == 0), "validator")
-        .when((F.col("loads") * 4 > F.col("n")) & (F.col("branches") > 2), "parser")
-        .when((F.col("calls") * 2 > F.col("n")), "wrapper")
-        .when((F.col("stores") * 4 > F.col("n")), "serializer")
-        .when((F.col("arith") * 3 > F.col("n")), "math")
+        F.when(contains_any(sig, ["malloc", "calloc", "realloc"]), "allocator")
+        .when(contains_any(sig, ["free"]), "free")
+        .when(contains_any(sig, ["memcpy", "memmove"]), "copy")
+        .when(contains_any(sig, ["fread", "recv", "read"]), "read_input")
+        .when(F.col("cmp") & F.col("branch") & ~F.col("mem_write"), "validator")
         .otherwise("unknown")
     )
-    return f.select("fn", role.alias("role"))
+    return grouped.join(call_signature(ops, known), "fn").select("fn", role.alias("role"))
+
+
+def counter_role(features: DataFrame) -> DataFrame:
+    """Role and confidence told from counters alone: the first of five threshold rules."""
+    f = {c: F.col(c) for c in features.columns}
+    rules = [
+        ((f["loads"] <= 2) & (f["stores"] <= 2) & (f["calls"] <= 3) & (f["mults"] == 0) & (f["cbranches"] <= 3), "error_handler", 0.40),
+        ((f["cbranches"] >= 3) & (f["compares"] >= 2) & (f["stores"] * 20 < f["instructions"]), "validator", 0.55),
+        ((f["cbranches"] >= 4) & (f["loads"] >= 5) & (f["calls"] >= 2), "parser", 0.50),
+        ((f["mults"] + f["adds"] + f["shifts"] >= 10) & (f["loads"] <= 3) & (f["calls"] <= 2), "math", 0.45),
+        (f["heap_alloc"] & (f["calls"] <= 4), "allocator", 0.60),
+    ]
+    role, conf = F.lit("unknown"), F.lit(0.0)
+    for holds, name, c in reversed(rules):
+        role, conf = F.when(holds, name).otherwise(role), F.when(holds, c).otherwise(conf)
+    return features.select("fn", role.alias("role"), conf.alias("role_conf"))
 
 
 def context(ops: DataFrame, centres: DataFrame, around: int = 10) -> DataFrame:

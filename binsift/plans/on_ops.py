@@ -146,24 +146,49 @@ def a05b(s: Source) -> DataFrame:
     return ops.ordered_hash(s.b_ops, F.concat_ws(":", "op", F.col("in_size").cast("string")))
 
 
-@query("a06_call_signature", "SELECT fn, string_agg(DISTINCT lower(callee), ',' ORDER BY lower(callee)) AS signature FROM b_ops WHERE callee IS NOT NULL GROUP BY fn")
+_KNOWN = ["malloc", "free", "memcpy", "fread", "recv", "read", "strcpy", "system"]
+_SIG = "coalesce(string_agg(DISTINCT callee, ',' ORDER BY callee) FILTER (WHERE callee IN (" + ", ".join(repr(k) for k in _KNOWN) + ")), '')"
+
+
+@query("a06_call_signature", f"SELECT fn, {_SIG} AS signature FROM b_ops GROUP BY fn")
 def a06(s: Source) -> DataFrame:
-    return ops.call_signature(_ops(s))
+    return ops.call_signature(_ops(s), _KNOWN)
 
 
-_VECTOR = ", ".join([*(f"round(count_if({_GROUP_CASE} = '{g}') / count(*), 6)" for g in sorted(OP_GROUPS)), "round(count_if(op = 'CBRANCH') / count(*), 6)", *(f"round(count_if({_GROUP_CASE} = '{g}') / count(*), 6)" for g in ("branch", "call", "indirect_call")), "round(count_if(op = 'LOAD') / count(*), 6)", "round(count_if(op = 'STORE') / count(*), 6)"])
+_SHARE = lambda g: f"count_if({_GROUP_CASE} = '{g}')"
+_VECTOR = ", ".join([*(f"round({_SHARE(g)} / count(*), 6)" for g in sorted(OP_GROUPS)), "0.0::DOUBLE", *(f"CASE WHEN {_SHARE(g)} > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" for g in ("call", "indirect_call")), f"round(least(1.0, {_SHARE('branch')} / count(*) * 10), 6)", "round(least(1.0, count_if(op = 'LOAD') / count(*) * 5), 6)", "round(least(1.0, count_if(op = 'STORE') / count(*) * 5), 6)"])
 
 
-@query("a07_group_vector", f"SELECT fn, CAST(list_position AS INTEGER) AS dim, v FROM (SELECT fn, unnest(range(0, 20)) AS list_position, unnest([{_VECTOR}]) AS v FROM b_ops GROUP BY fn) t")
+@query("a07_group_vector", f"SELECT fn, CAST(dim AS INTEGER) AS dim, v FROM (SELECT fn, unnest(range(0, 20)) AS dim, unnest([{_VECTOR}]) AS v FROM b_ops GROUP BY fn) t")
 def a07(s: Source) -> DataFrame:
     return ops.group_vector(_ops(s)).select("fn", F.posexplode("vector").alias("dim", "v"))
 
 
-@query("a08_structural_role", """
-SELECT fn, CASE WHEN b * 5 > n AND st = 0 THEN 'validator' WHEN l * 4 > n AND b > 2 THEN 'parser' WHEN c * 2 > n THEN 'wrapper' WHEN st * 4 > n THEN 'serializer' WHEN a * 3 > n THEN 'math' ELSE 'unknown' END AS role
-FROM (SELECT fn, count(*) AS n, count_if(op = 'STORE') AS st, count_if(op = 'LOAD') AS l, count_if(op = 'CBRANCH') AS b, count_if(op IN ('CALL', 'CALLIND')) AS c, count_if(op IN ('INT_MULT', 'INT_ADD')) AS a FROM b_ops GROUP BY fn) t""")
+@query("a08_structural_role", f"""
+SELECT fn, CASE WHEN contains(sig, 'malloc') THEN 'allocator' WHEN contains(sig, 'free') THEN 'free' WHEN contains(sig, 'memcpy') THEN 'copy' WHEN contains(sig, 'fread') OR contains(sig, 'recv') OR contains(sig, 'read') THEN 'read_input'
+  WHEN c AND b AND NOT st THEN 'validator' ELSE 'unknown' END AS role
+FROM (SELECT fn, {_SIG} AS sig, bool_or(op = 'STORE') AS st, bool_or(op IN ('INT_LESS', 'INT_EQUAL')) AS c, bool_or(op = 'CBRANCH') AS b FROM b_ops WHERE seq < 25 GROUP BY fn) t""")
 def a08(s: Source) -> DataFrame:
-    return ops.structural_role(_ops(s))
+    return ops.structural_role(_ops(s).filter("seq < 25"), _KNOWN)
+
+
+@query("j09_exact_fingerprint", f"""
+WITH k AS (SELECT fn, sha256(array_to_string([{", ".join(f"'{g}:' || CAST({_SHARE(g)} AS VARCHAR)" for g in sorted(OP_GROUPS))}], ',') || '|' || {_SIG} || '|ptrs=0')[1:16] AS skey FROM b_ops WHERE seq < 4 GROUP BY fn)
+SELECT skey, count(*) AS n, min(fn) AS first FROM k GROUP BY skey HAVING count(*) > 1""")
+def j09(s: Source) -> DataFrame:
+    keys = ops.structural_key(_ops(s).filter("seq < 4"), _KNOWN)
+    return keys.groupBy("skey").agg(F.count("*").alias("n"), F.min("fn").alias("first")).filter("n > 1")
+
+
+@query("p17_structural_role", """
+SELECT fn, CASE WHEN l <= 2 AND st <= 2 AND c <= 3 AND m = 0 AND b <= 3 THEN 'error_handler' WHEN b >= 3 AND ls >= 2 AND st * 20 < n THEN 'validator' WHEN b >= 4 AND l >= 5 AND c >= 2 THEN 'parser'
+  WHEN m + a >= 10 AND l <= 3 AND c <= 2 THEN 'math' WHEN h AND c <= 4 THEN 'allocator' ELSE 'unknown' END AS role,
+  CASE WHEN l <= 2 AND st <= 2 AND c <= 3 AND m = 0 AND b <= 3 THEN 0.4::DOUBLE WHEN b >= 3 AND ls >= 2 AND st * 20 < n THEN 0.55::DOUBLE WHEN b >= 4 AND l >= 5 AND c >= 2 THEN 0.5::DOUBLE
+  WHEN m + a >= 10 AND l <= 3 AND c <= 2 THEN 0.45::DOUBLE WHEN h AND c <= 4 THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS role_conf
+FROM (SELECT fn, count(*) AS n, count_if(op = 'LOAD') AS l, count_if(op = 'STORE') AS st, count_if(op IN ('CALL', 'CALLIND')) AS c, count_if(op = 'INT_MULT') AS m, count_if(op = 'INT_ADD') AS a, count_if(op = 'CBRANCH') AS b,
+  count_if(op = 'INT_LESS') AS ls, coalesce(bool_or(contains(lower(callee), 'alloc')), false) AS h FROM b_ops WHERE seq < 30 GROUP BY fn) t""")
+def p17(s: Source) -> DataFrame:
+    return ops.counter_role(ops.features(_ops(s).filter("seq < 30")))
 
 
 @query("w02_parameters", """

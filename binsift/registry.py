@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import on_ops  # noqa: F401
+from .plans import on_ops, on_rules  # noqa: F401
 from .plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
@@ -12,4 +12,4 @@ __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions ranked by the summed score of their rule matches."""
-    return QUERIES["a01_op_histogram"](spark, sf_dir)
+    return QUERIES["t02_top_functions"](spark, sf_dir)

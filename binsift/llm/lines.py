@@ -28,7 +28,7 @@ def _text_key() -> Column:
 
 
 def windows(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per window: fp, at (doc_id, text key, position), first and last (line numbers), body (hash of its lines)."""
+    """One row per window: fp and fp_at, doc_id, text key, first and last (line numbers), body (hash of its lines)."""
     def once(df: DataFrame, name: str, expr: str) -> DataFrame:
         """A column computed once for each row: Spark would put its expression into every lambda that uses it."""
         return df.select("*", F.explode(F.array(F.expr(expr))).alias(name))
@@ -50,27 +50,29 @@ def windows(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CH
         "doc_id",
         "key",
         F.expr(
-            f"""transform(filter(sequence(0, size(widths) - 1), p -> widths[p] IS NOT NULL), p -> named_struct('p', p, 'fp', {least},
+            f"""transform(filter(sequence(0, size(widths) - 1), p -> widths[p] IS NOT NULL), p -> named_struct('fp', {least},
             'fp_at', p + array_position(slice(hashes, p + 1, widths[p]), {least}) - 1, 'first', lines[p].i, 'last', lines[p + widths[p] - 1].i,
             'body', unhex(md5(IF(widths[p] = 1, lines[p].s, array_join(transform(slice(lines, p + 1, widths[p]), x -> x.s), '\n'))))))"""
         ).alias("windows"),
     )
-    return built.select("doc_id", "key", F.explode("windows").alias("w")).select("w.fp", "w.fp_at", F.struct("doc_id", "key", "w.p").alias("at"), "w.first", "w.last", "w.body")
+    return built.select("doc_id", "key", F.explode("windows").alias("w")).select("w.fp", "w.fp_at", "doc_id", "key", "w.first", "w.last", "w.body")
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, key and runs: the array of (first, last) line numbers to delete, for documents that have any."""
     found = saved(windows(docs, min_lines, min_chars))
     # Fingerprints by position: neighbouring windows often select the same line.
-    spot = F.xxhash64("at.doc_id", "at.key", "fp_at")
+    spot = F.xxhash64("doc_id", "key", "fp_at")
     common = saved(found.select("fp", spot.alias("spot")).groupBy("fp").agg(F.min("spot").alias("lo"), F.max("spot").alias("hi")).filter("lo != hi").select("fp"))
     settle(docs)
-    matched = found.join(common, "fp").select("at", "first", "last", "body")
+    # Merge joins at every size: neither side is small where the corpus isn't, and AQE splits their hot keys.
+    matched = found.drop("fp_at").join(common.hint("merge"), "fp").select("doc_id", "key", "first", "last", "body")
+    at = F.struct("doc_id", "key", "first")
     # Only bodies that occur more than once, with the earliest place.
-    firsts = saved(matched.groupBy("body").agg(F.min("at").alias("origin"), F.count("*").alias("n")).filter("n > 1").select("body", "origin"))
+    firsts = saved(matched.groupBy("body").agg(F.min(at).alias("origin"), F.count("*").alias("n")).filter("n > 1").select("body", "origin"))
     settle(docs)
-    later = matched.join(firsts, "body").filter("at > origin").select("at.doc_id", "at.key", "at.p", "first", "last")
-    by_doc = Window.partitionBy("doc_id", "key").orderBy("p")
+    later = matched.join(firsts.hint("merge"), "body").filter(at > F.col("origin")).select("doc_id", "key", "first", "last")
+    by_doc = Window.partitionBy("doc_id", "key").orderBy("first")
     before = F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     islands = later.select("*", F.when(F.col("first") <= before + 1, 0).otherwise(1).alias("starts"))
     numbered = islands.select("*", F.sum("starts").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)).alias("island"))

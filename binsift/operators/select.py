@@ -22,9 +22,9 @@ def keep_first(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return best.select(*keys, "_b.*")
 
 
-def round_robin(rows: DataFrame, score: str = "conf_pct", tie: str = "cand_id", kind: str = "match_kind") -> DataFrame:
+def round_robin(rows: DataFrame, score: str = "conf_pct", ties: Sequence[str] = ("cand_id",), kind: str = "match_kind") -> DataFrame:
     """fn_rank of each row in its function, and turn: functions take turns, library matches first."""
-    own = Window.partitionBy("fn").orderBy(F.desc(score), tie)
+    own = Window.partitionBy("fn").orderBy(F.desc(score), *ties)
     ranked = rows.withColumn("fn_rank", F.row_number().over(own))
     return ranked.withColumn("library_first", (F.col(kind) != "LIBRARY_MATCH").cast("int"))
 

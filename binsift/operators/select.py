@@ -81,9 +81,8 @@ def by_quota(rows: DataFrame, quotas: dict[str, int], total: int, score: str, ti
     """The best rows of each category up to its quota, then the best of the rest up to the total."""
     quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
     ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(category).orderBy(F.desc(score), tie)))
-    chosen = ranked.filter(F.col("_n") <= quota[F.col(category)])
-    rest = ranked.filter(F.col("_n") > F.coalesce(quota[F.col(category)], F.lit(0))).orderBy(F.desc(score), tie).limit(max(0, total - min(total, sum(quotas.values()))))
-    return chosen.withColumn("filled", F.lit(False)).unionByName(rest.withColumn("filled", F.lit(True))).drop("_n")
+    filled = ranked.withColumn("filled", F.col("_n") > F.coalesce(quota[F.col(category)], F.lit(0))).drop("_n")
+    return filled.orderBy("filled", F.desc(score), tie).limit(total)
 
 
 def elbow(scores: DataFrame, score: str, tie: str, top: int = 1000) -> DataFrame:

@@ -1 +1 @@
-
+"""Structured Streaming ingest of function records."""

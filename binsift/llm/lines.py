@@ -8,7 +8,8 @@ and windows that occurred earlier (lower doc_id, then text hash, then position)
 The first occurrence stays.
 
 Defined results: null text stays null with no lines; blank lines are no part of a window, but go with a run that spans
-them. Documents with fewer lines or characters than a window lose nothing. Rows that repeat id and text are one document:
+them. A line repeated over and over overlaps its own earlier windows and collapses to its first. Documents with fewer
+lines or characters than a window lose nothing. Rows that repeat id and text are one document:
 neither deletes from the other. Empty tables give empty tables. Extra columns pass through untouched.
 """
 

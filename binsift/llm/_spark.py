@@ -7,6 +7,7 @@ import gc
 import io
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -93,9 +94,12 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def settle(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of queries that are over: it does so when the driver collects its garbage."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of queries that are over: it does so when the driver collects its garbage, and
+    in two turns, for what the first one finalises holds others."""
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 @atexit.register

@@ -81,9 +81,9 @@ def fit(rows: list[tuple[str, str]], keep: int = GRAMS) -> Model:
         counts[lang] = Counter(dict(sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:keep]))
     vocabulary = sorted(set().union(*counts.values())) if langs else []
     total = {lang: sum(counts[lang].values()) + 0.5 * len(vocabulary) for lang in langs}
-    table = np.array([[np.log((counts[lang][g] + 0.5) / total[lang]) for lang in langs] for g in vocabulary]).reshape(-1, len(langs))
+    table = np.array([[np.log((counts[lang][g] + 0.5) / total[lang]) for lang in langs] for g in vocabulary]) if vocabulary else np.zeros((0, len(langs)))
     # Each n-gram tells the languages apart only by its differences; unseen ones tell nothing.
-    if langs:
+    if vocabulary:
         table = (table - table.mean(1, keepdims=True)) / 3
     scripts: dict[str, np.ndarray] = {}
     for name in {s for lang in langs for s in seen[lang]}:
@@ -197,7 +197,7 @@ def train(docs: DataFrame, where: Column | None = None, rows_per_lang: int = ROW
     taken = known.filter(drawn & F.length("text").between(1, max_chars)).select("doc_id", "text", "lang")
     # Repeated ids could exceed the share; the limit keeps the stated bound.
     got = taken.limit(2 * rows_per_lang * len(counts)).collect()
-    return fit([(r.text, r.lang) for r in sorted(got, key=lambda r: (r.doc_id, r.lang, r.text))])
+    return fit([(r.text, r.lang) for r in sorted(got, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang, r.text))])
 
 
 def classify(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import arrow_map, saved
+from ._spark import arrow_map, saved, settle
 from ._text import batches, gram_hashes, mix, word_hashes
 from .graph import components
 
@@ -191,6 +191,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     buckets = saved(dealt.groupBy("band", "hash").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub != last").select("band", "hash", "hub"))
     edges = dealt.join(buckets, ["band", "hash"]).select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
     clusters = components(edges)
+    settle(docs)
     sizes = saved(clusters.groupBy("comp").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")))
     placed = clusters.join(sizes, "comp").join(classes.select(F.col("rep").alias("node"), "copies"), "node")
     placed = placed.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -199,6 +200,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
         "comp", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "copies", "grams"
     )
     counted = saved(verified(pairs, threshold))
+    settle(docs)
     totals = counted.groupBy("rep").agg(F.sum("doc_links").alias("doc_links"))
     groups = components(counted.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     known = totals.join(groups.withColumnRenamed("node", "rep"), "rep", "left")

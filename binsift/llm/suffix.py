@@ -406,6 +406,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFr
     byte = "lpad(hex(aggregate(sequence(0, 7), 0, (a, j) -> a * 2 + IF(array_contains(x, i * 8 + j), 1, 0))), 2, '0')"
     bits = F.expr(f"unhex(array_join(transform(sequence(0, {(length - anchor) // 8}), i -> {byte}), ''))")
     known = saved(sorted_.unionByName(by_context.select("h", "s", bits.alias("xs"))))
+    settle(docs)
     back = parts.filter("kind = 2").select("row", "key", "h", "s", "at").join(known, ["h", "s"]).groupBy("row", "key").agg(F.collect_list(F.struct("at", "xs")).alias("found")).select("row", "key", F.col("found.at").alias("ats"), F.col("found.xs").alias("xs"))
     texts = parts.filter("kind = 1").select("row", "key", "doc_id", "packed").join(back, ["row", "key"], "left").select("doc_id", "packed", "ats", "xs")
     whole = parts.filter("kind = 0").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256", F.lit(None).cast("binary").alias("kept"))

@@ -94,21 +94,90 @@ def needs_slice(path_confidences: Column) -> Column:
     return F.forall(path_confidences, lambda c: c == 0)
 
 
-def verify_role(role: Column, c: dict[str, Column]) -> Column:
-    """struct(status, multiplier) of a role claimed for a function, from booleans of its operations: two or more signs
-    confirm, one weakly, none refutes it. Roles without signs are weakly confirmed."""
-    n = lambda *xs: sum((x.cast("int") for x in xs[1:]), xs[0].cast("int"))
-    signs = (
-        F.when(role == "allocator", n(c["calls_alloc"], c["returns_pointer"], ~c["stores"]))
-        .when(role == "copy", n(c["calls_copy"], c["stores"] & c["loads"], c["branches"]))
-        .when(role == "read_input", n(c["calls_source"], c["stores"]))
-        .when(role == "free", n(c["calls_free"], ~c["returns_pointer"]))
-        .when(role == "exec", n(c["calls_exec"], c["calls_exec"]))
-        .when(role == "validator", n(c["branches"], c["compares"], ~c["stores"]))
-        .when(role == "logger", n(c["calls_print"], ~c["stores"]))
-    )
+# Callees that bear a role out, words in a name that hint at it.
+ROLE_CALLEES = {
+    "allocator": "malloc calloc realloc new png_malloc png_calloc png_malloc_warn png_zalloc g_malloc g_malloc0 av_malloc av_mallocz zmalloc xmalloc smalloc safe_malloc safe_calloc xml_malloc",
+    "read_input": "fread fgets fgetc fread_unlocked recv recvfrom recvmsg read pread getline getdelim scanf fscanf sscanf getenv xmlParserInputShrink png_crc_read psf_binheader_readf",
+    "exec": "system execve execl execle execvp execlp popen wordexp posix_spawn ShellExecute shellexec sqlite3_exec",
+    "free": "free delete png_free g_free av_free xmlFree xml_free sqlite3_free",
+    "format_string": "printf fprintf sprintf snprintf vprintf vfprintf vsprintf vsnprintf syslog log_message",
+}
+ROLE_HINTS = {
+    "allocator": "alloc malloc new create init",
+    "read_input": "read recv input fetch get load parse",
+    "validator": "check valid verify assert bound limit safe",
+    "exec": "exec system shell spawn run",
+    "free": "free release destroy dealloc delete",
+}
+
+
+def role_signs(ops: DataFrame) -> DataFrame:
+    """What role verification looks at: fn and booleans of its operations and callees."""
+    callee = F.lower("callee")
+    calls = {r: F.coalesce(F.bool_or(callee.isin([x.lower() for x in names.split()])), F.lit(False)).alias(f"calls_{r}") for r, names in ROLE_CALLEES.items()}
+    has = lambda *names: F.bool_or(F.col("op").isin(*names))
+    compare = F.col("op").isin("INT_LESS", "INT_LESSEQUAL", "INT_EQUAL", "INT_NOTEQUAL", "INT_SLESS", "INT_SLESSEQUAL")
+    constant = F.exists("args", lambda a: a.startswith("const"))
+    return ops.groupBy("fn").agg(*calls.values(), has("LOAD").alias("loads"), has("STORE").alias("stores"), has("MULTIEQUAL").alias("loops"), has("CBRANCH").alias("branches"), F.bool_or(compare).alias("compares"), F.bool_or(compare & constant).alias("const_compares"))
+
+
+def verify_role(role: Column, name: Column, pointers: Column, small: Column, returns_pointer: Column) -> Column:
+    """struct(status, multiplier) of a role claimed for a function, over role_signs and its signature: numbers of 8-byte
+    and 4-byte arguments, and whether it returns a pointer. Roles without a criterion are weakly confirmed with 0.8."""
+    c = lambda n: F.col(n)
+    hint = lambda r: F.exists(F.array(*[F.lit(w) for w in ROLE_HINTS[r].split()]), lambda w: F.contains(F.lower(name), w))
+    points = lambda *xs: sum((F.when(cond, p).otherwise(0) for cond, p in xs), F.lit(0))
     verdict = lambda s, m: F.struct(F.lit(s).alias("status"), F.lit(float(m)).alias("multiplier"))
-    return F.when(signs.isNull(), verdict("weakly_confirmed", 0.7)).when(signs >= 2, verdict("confirmed", 1.0)).when(signs == 1, verdict("weakly_confirmed", 0.7)).otherwise(verdict("refuted", 0.0))
+    sure, weak, none = verdict("confirmed", 1.0), verdict("weakly_confirmed", 0.6), verdict("refuted", 0.0)
+    graded = lambda p: F.when(p >= 4, sure).when(p >= 2, weak).otherwise(none)
+    alloc = points((c("calls_allocator"), 3), (returns_pointer, 1), (~c("stores"), 1), (hint("allocator"), 1))
+    copy = points((c("loads") & c("stores"), 2), (pointers >= 2, 2), (small >= 1, 1), (c("loops"), 1))
+    read = points((c("calls_read_input"), 4), (c("stores") & ~c("loads"), 2), (c("stores") & c("loads"), 1), (pointers >= 1, 1), (hint("read_input"), 1))
+    check = points((c("compares"), 2), (c("branches"), 2), (c("const_compares"), 1), (hint("validator"), 1))
+    less = verdict("weakly_confirmed", 0.7)
+    return (
+        F.when(role == "allocator", F.when(alloc >= 3, sure).when((alloc >= 2) & (c("calls_allocator") | hint("allocator")), weak).otherwise(none))
+        .when(role == "copy", graded(copy))
+        .when(role == "read_input", graded(read))
+        .when(role == "validator", graded(check))
+        .when(role == "exec", F.when(c("calls_exec"), sure).when(hint("exec"), less).otherwise(none))
+        .when(role == "format_string", F.when(c("calls_format_string") & (pointers >= 2), sure).when(c("calls_format_string"), less).otherwise(none))
+        .when(role == "free", F.when(c("calls_free"), sure).when(hint("free") & (pointers >= 1), less).otherwise(none))
+        .otherwise(verdict("weakly_confirmed", 0.8))
+    )
+
+
+def rule_of_summary(role: Column, writes_at: Column, confidence: Column) -> Column:
+    """Learned rule of a summary's role: struct(sink_type, return_tainted, vuln_score, writes_at, confidence); null for
+    roles without effect on taint."""
+    score = F.when(role.isin("allocator", "copy"), 2).when(role == "read_input", 3).when(role == "exec", 8).otherwise(0)
+    sink = F.when(role == "allocator", "integer_overflow").when(role == "copy", "buffer_overflow").when(role == "exec", "command_injection").otherwise("")
+    at = F.when(role == "copy", F.coalesce(writes_at, F.lit(0))).otherwise(F.coalesce(writes_at, F.lit(-1)))
+    return F.when(~role.isin("other", "logger", "free"), F.struct(sink.alias("sink_type"), role.isin("allocator", "read_input").alias("return_tainted"), score.alias("vuln_score"), at.alias("writes_at"), F.coalesce(confidence, F.lit(0.6)).alias("confidence")))
+
+
+# Library families told from names, in the order they are tried.
+LIBRARIES = [
+    ("png|libpng", "libpng (PNG image decoder)"),
+    ("tiff|tif", "libtiff (TIFF image decoder)"),
+    ("xml|html", "libxml2 (XML/HTML parser)"),
+    ("sqlite|sql", "SQLite (embedded database)"),
+    ("snd|sf_|psf_|audio|wav", "libsndfile (audio decoder)"),
+]
+
+
+def library_of(name: Column) -> Column:
+    out = F.lit("unknown")
+    for pattern, library in reversed(LIBRARIES):
+        out = F.when(F.lower(name).rlike(pattern), library).otherwise(out)
+    return out
+
+
+def causal_chain(source: Column, path: Column, sink: Column, impact: Column) -> Column:
+    """Source, the named steps of the path (once each, no variables, under 60 characters), sink, impact, as fn[role]."""
+    steps = F.array_distinct(F.filter(F.transform(path, lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("var") & (F.length(x) < 60) & (x != source) & (x != sink)))
+    middle = F.transform(steps, lambda x: F.concat(x, F.lit("[propagates_taint]")))
+    return F.array_join(F.concat(F.array(F.concat(source, F.lit("[external_input]"))), middle, F.array(F.concat(sink, F.lit("[sink]"))), F.array(F.concat(F.lit("IMPACT["), impact, F.lit("]")))), " -> ")
 
 
 def append_uncovered(candidates: DataFrame, semantic: DataFrame) -> DataFrame:

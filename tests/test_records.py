@@ -102,3 +102,13 @@ def test_stream_keeps_the_first_of_each_fingerprint(spark, tmp_path):
     ingest.each_batch(stream, lambda b: b.select("name", "fingerprint"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == 2 and {r.fingerprint for r in got.collect()} == {"x", "y"}
+
+
+def test_answers_of_services_take_their_schema(spark):
+    from binsift.sources import external
+
+    q = spark.createDataFrame([("f", "talk {\"a\": 1} end"), ("g", "none")], "fn string, text string")
+    assert external.ask("summaries", q).count() == 0
+    got = external.ask("verdicts", q, lambda d: d.select("fn", F.lit("7").alias("cand_id")))
+    assert got.columns == ["cand_id", "confirmed", "confidence", "reasoning"] and got.first().cand_id == 7
+    assert [r.x for r in q.select(external.parsed(F.col("text"), "a int")["a"].alias("x")).collect()] == [1, None]

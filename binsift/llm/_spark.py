@@ -22,6 +22,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes of strings that Python code is given at a time.
 SLICE = 2 << 20
+#: Rows that Spark hands Python at a time.
+BATCH_ROWS, MOST_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 _shipped: set[str] = set()
 _tables: list[tuple[SparkSession, str]] = []
@@ -63,7 +65,10 @@ def in_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE) -> Iterator
 
 def arrow_map(df: DataFrame, fn: Mapper, schema: str | StructType) -> DataFrame:
     """mapInArrow over small batches, with the package on the executors."""
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
+    if int(spark.conf.get(BATCH_ROWS)) > MOST_ROWS:  # texts are long: batches of Spark's default size hold too much
+        spark.conf.set(BATCH_ROWS, MOST_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return fn(in_slices(batches))

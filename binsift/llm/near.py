@@ -30,9 +30,9 @@ from .graph import components
 #: Words of an n-gram, least Jaccard similarity of a link, wanted chance to find a pair at exactly that similarity.
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.997
 #: Hash functions at most, and classes of a block.
-HASHES, BLOCK = 192, 1024
+HASHES, BLOCK = 192, 512
 #: Cells of the 0/1 matrix that a block multiplies at a time.
-CELLS = 1 << 22
+CELLS = 1 << 21
 SIGNED = "doc_id long, hi long, lo long, n_grams int, bands array<long>"
 
 
@@ -115,8 +115,11 @@ def linked(n: np.ndarray, parts: list[np.ndarray], threshold: float) -> np.ndarr
         m = np.zeros((len(parts), width), dtype=np.float32)
         m[owner[a:z], column[a:z] - lo] = 1
         both += m @ m.T
-    union = n[:, None] + n[None, :] - both
-    found = both >= threshold * union - 1e-6
+    size = n.astype(np.float32)
+    found = np.empty(both.shape, dtype=bool)
+    for lo in range(0, len(parts), 256):  # counts of grams are whole numbers that float32 holds
+        some = both[lo : lo + 256].astype(np.float64)
+        found[lo : lo + 256] = some >= threshold * (size[lo : lo + 256, None] + size[None, :] - some) - 1e-6
     np.fill_diagonal(found, False)
     return found
 
@@ -128,7 +131,10 @@ def _block(rep: np.ndarray, copies: np.ndarray, side: np.ndarray, cross: bool, n
         found &= side[:, None] != side[None, :]
     root = rep.copy()
     while True:
-        least = np.minimum(root, np.where(found, root[None, :], np.iinfo(np.int64).max).min(1))
+        least = root.copy()
+        for lo in range(0, len(root), 256):
+            near = np.where(found[lo : lo + 256], root[None, :], np.iinfo(np.int64).max).min(1)
+            least[lo : lo + 256] = np.minimum(root[lo : lo + 256], near)
         if (least == root).all():
             break
         root = least

@@ -152,20 +152,20 @@ def neighbours(spark: SparkSession, edges: DataFrame, start: list[str], hops: in
 
 
 def nearest(queries: DataFrame, store: DataFrame, least: float, block: int = 2000) -> DataFrame:
-    """For each query vector (id, vector) the stored vector (store_id, stored) of the greatest cosine, of equal ones the
-    least id, if it reaches `least`. The store is a dimension whose size is checked: it is broadcast in blocks."""
+    """For each query vector (id, vector) the stored vector (store_id, stored) of the greatest cosine, itself left out, of
+    equal ones the least id, if it reaches `least`. The queries are a stated set, counted and broadcast in blocks; the
+    store is read once for each block and never shuffled: each task keeps its best, then few rows meet."""
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
-    n = store.count()
-    blocks = max(1, -(-n // block))
-    q = queries.select("id", "vector", norm(F.col("vector")).alias("qn"))
-    s = store.select("store_id", "stored", norm(F.col("stored")).alias("sn"), F.pmod(F.xxhash64("store_id"), F.lit(blocks)).alias("b"))
+    blocks = max(1, -(-queries.count() // block))
+    q = queries.select("id", "vector", norm(F.col("vector")).alias("qn"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"))
+    s = store.select("store_id", "stored", norm(F.col("stored")).alias("sn"))
     dot = F.aggregate(F.zip_with("vector", "stored", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    best = None
+    found = None
     for k in range(blocks):
-        hit = q.join(F.broadcast(s.filter(F.col("b") == k)), F.lit(True)).select("id", "store_id", F.round(dot / (F.col("qn") * F.col("sn")), 6).alias("cos")).filter(F.col("cos") >= least)
-        top = hit.groupBy("id").agg(F.max_by(F.struct("store_id", "cos"), F.struct("cos", -F.col("store_id"))).alias("b"))
-        best = top if best is None else best.unionByName(top)
-    return best.groupBy("id").agg(F.max_by("b", F.struct("b.cos", -F.col("b.store_id"))).alias("b")).select("id", "b.store_id", "b.cos")
+        hit = s.join(F.broadcast(q.filter(F.col("b") == k)), F.col("store_id") != F.col("id")).select("id", "store_id", F.round(dot / (F.col("qn") * F.col("sn")), 6).alias("cos"))
+        top = hit.filter(F.col("cos") >= least).groupBy("id").agg(F.max_by(F.struct("store_id", "cos"), F.struct("cos", -F.col("store_id"))).alias("b"))
+        found = top if found is None else found.unionByName(top)
+    return found.select("id", "b.store_id", "b.cos")
 
 
 def tainted(flow: DataFrame, seeds: DataFrame, rounds: int = 100) -> DataFrame:

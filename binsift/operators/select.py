@@ -85,16 +85,24 @@ def by_quota(rows: DataFrame, quotas: dict[str, int], total: int, score: str, ti
     return filled.orderBy("filled", F.desc(score), tie).limit(total)
 
 
-def elbow(scores: DataFrame, score: str, tie: str, top: int = 1000) -> DataFrame:
-    """Threshold where descending scores level off: the first gap from the fifth on below half the mean gap of the top
-    scores, else the score a quarter down; the greatest score of fewer than ten rows. One row: threshold."""
-    few = scores.select(score, tie).orderBy(F.desc(score), tie).limit(top)
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc(score), tie)
-    gaps = few.select(F.col(score).alias("s"), (F.row_number().over(w) - 1).alias("i"), (F.col(score) - F.lead(score).over(w)).alias("gap"))
-    stats = gaps.agg(F.avg("gap").alias("mean"), F.count("*").alias("n"), F.max("s").alias("most"))
-    flat = gaps.join(F.broadcast(stats)).filter("i >= 5 AND gap < 0.5 * mean").agg(F.min_by("s", "i").alias("level"))
-    quarter = gaps.join(F.broadcast(stats)).filter("i = floor(n / 4)").agg(F.min("s").alias("quarter"))
-    return stats.join(flat).join(quarter).select(F.when(F.col("n") < 10, F.col("most")).otherwise(F.coalesce("level", "quarter")).alias("threshold"))
+def elbow(scores: DataFrame, score: str) -> DataFrame:
+    """Threshold where descending scores level off: the first gap from the fifth on below half the mean gap, else the
+    score a quarter down; the greatest score of fewer than ten rows. One row: threshold.
+
+    Scores are rounded, so equal ones are counted first and only distinct ones (a bounded number, whatever the rows)
+    meet in one task. Gaps between equal scores are 0, and the mean gap follows from the ends.
+    """
+    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("s"))
+    groups = scores.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("c"))
+    placed = groups.select("s", "c", (F.sum("c").over(w) - F.col("c")).alias("start"), (F.col("s") - F.lead("s").over(w)).alias("gap"), F.lead("s").over(w).isNull().alias("final"))
+    stats = groups.agg(F.sum("c").alias("n"), F.max("s").alias("most"), F.min("s").alias("least"))
+    rows = placed.join(F.broadcast(stats)).withColumn("mean", F.try_divide(F.col("most") - F.col("least"), F.col("n") - 1)).withColumn("end", F.col("start") + F.col("c") - 1)
+    inner = F.when((F.col("mean") > 0) & (F.greatest(F.lit(5), "start") < F.col("end")), F.greatest(F.lit(5), "start"))
+    outer = F.when(~F.col("final") & (F.col("end") >= 5) & (F.col("gap") < 0.5 * F.col("mean")), F.col("end"))
+    first = F.coalesce(F.least(inner, outer), inner, outer)
+    quarter = F.when((F.floor(F.col("n") / 4) >= F.col("start")) & (F.floor(F.col("n") / 4) <= F.col("end")), F.col("s"))
+    one = rows.agg(F.min_by("s", first).alias("level"), F.max(quarter).alias("quarter"), F.first("n").alias("n"), F.first("most").alias("most"))
+    return one.select(F.when(F.col("n") < 10, F.col("most")).otherwise(F.coalesce("level", "quarter")).alias("threshold"))
 
 
 def severity_rank(severity: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
@@ -56,9 +56,9 @@ def f01(s: Source) -> DataFrame:
 
 @query("f02_ablation", f"""
 SELECT cand_id, signal, round(greatest(0.05, least(0.99, 0.4 * CASE WHEN signal = 'llm' THEN 0.5 ELSE llm END + 0.25 * CASE WHEN signal = 'pattern' THEN 0.5 ELSE pat END + 0.2 * CASE WHEN signal = 'taint' THEN 0.5 ELSE least(1.0, tnt) END + 0.1 * CASE WHEN signal = 'source' THEN 0.5 ELSE srcs END + 0.05 * 0.5)), 6)::DOUBLE AS confidence
-FROM ({_SIG}) t, (VALUES ('none'), ('llm'), ('pattern'), ('taint'), ('source'), ('verification')) v(signal) WHERE cand_id % 7 = 0""")
+FROM ({_SIG}) t, (VALUES ('none'), ('llm'), ('pattern'), ('taint'), ('source'), ('verification')) v(signal)""")
 def f02(s: Source) -> DataFrame:
-    return fuse.ablation(s.b_candidates.filter("cand_id % 7 = 0"), _signals(), "cand_id")
+    return fuse.ablation(s.b_candidates, _signals(), "cand_id")
 
 
 @query("f03_uncertainty_confidence", """
@@ -135,9 +135,9 @@ def a19(s: Source) -> DataFrame:
     return select.keep_first(s.b_candidates, ["fn", "vuln_type", "sink_fn"], "cand_id")
 
 
-@query("a20_first_wins_fingerprint", "SELECT skey, min(fn) AS fn FROM (SELECT fn, sha256(string_agg(op, ' ' ORDER BY seq))[1:16] AS skey FROM b_ops WHERE seq < 2 GROUP BY fn) t GROUP BY skey")
+@query("a20_first_wins_fingerprint", "SELECT skey, min(fn) AS fn FROM (SELECT fn, sha256(string_agg(op, ' ' ORDER BY seq))[1:16] AS skey FROM b_ops GROUP BY fn) t GROUP BY skey")
 def a20(s: Source) -> DataFrame:
-    keys = ops.ordered_hash(s.b_ops.filter("seq < 2"), F.col("op"), "skey")
+    keys = ops.ordered_hash(s.b_ops, F.col("op"), "skey")
     return select.keep_first(keys, ["skey"], "fn")
 
 
@@ -224,10 +224,10 @@ def t11(s: Source) -> DataFrame:
 
 
 @query("w06_elbow", """
-WITH g AS (SELECT s, row_number() OVER (ORDER BY s DESC, p_partkey) - 1 AS i, s - lead(s) OVER (ORDER BY s DESC, p_partkey) AS gap FROM (SELECT p_partkey, CAST(floor(p_retailprice) AS BIGINT) AS s FROM part ORDER BY s DESC, p_partkey LIMIT 1000) t)
-SELECT coalesce((SELECT arg_min(s, i) FROM g WHERE i >= 5 AND gap < 0.5 * (SELECT avg(gap) FROM g)), (SELECT s FROM g WHERE i = 250)) AS threshold""")
+WITH g AS (SELECT s, row_number() OVER (ORDER BY s DESC, p_partkey) - 1 AS i, s - lead(s) OVER (ORDER BY s DESC, p_partkey) AS gap FROM (SELECT p_partkey, CAST(floor(p_retailprice) AS BIGINT) AS s FROM part) t)
+SELECT coalesce((SELECT arg_min(s, i) FROM g WHERE i >= 5 AND gap < 0.5 * (SELECT avg(gap) FROM g)), (SELECT s FROM g WHERE i = (SELECT count(*) FROM g) // 4)) AS threshold""")
 def w06(s: Source) -> DataFrame:
-    return select.elbow(s.part.select("p_partkey", F.floor("p_retailprice").alias("s")), "s", "p_partkey")
+    return select.elbow(s.part.select("p_partkey", F.floor("p_retailprice").alias("s")), "s")
 
 
 @query("w12_ids_by_severity", f"SELECT cand_id, format('VULN-{{:03d}}', row_number() OVER (ORDER BY CASE {_SEV} WHEN 'critical' THEN 4 WHEN 'high' THEN 3 ELSE 2 END DESC, cand_id, fn, vuln_type)) AS id FROM b_candidates WHERE conf_pct = 100")
@@ -236,9 +236,10 @@ def w12(s: Source) -> DataFrame:
     return report.numbered(rows, "cand_id", "fn", "vuln_type").select("cand_id", "id")
 
 
-@query("t01_rank", "SELECT cand_id, conf_pct FROM b_candidates ORDER BY conf_pct < 10, conf_pct DESC, cand_id LIMIT 300")
+@query("t01_rank", "SELECT fn, cand_id, vuln_type, CAST(row_number() OVER (PARTITION BY fn ORDER BY conf_pct < 10, conf_pct DESC, cand_id, vuln_type, match_kind) AS INTEGER) AS place FROM b_candidates")
 def t01(s: Source) -> DataFrame:
-    return s.b_candidates.orderBy(F.col("conf_pct") < 10, F.desc("conf_pct"), "cand_id").limit(300).select("cand_id", "conf_pct")
+    order = Window.partitionBy("fn").orderBy(F.col("conf_pct") < 10, F.desc("conf_pct"), "cand_id", "vuln_type", "match_kind")
+    return s.b_candidates.select("fn", "cand_id", "vuln_type", F.row_number().over(order).alias("place"))
 
 
 @query("t04_library_first", "SELECT cand_id FROM b_candidates ORDER BY match_kind <> 'LIBRARY_MATCH', conf_pct DESC, cand_id LIMIT 50")
@@ -248,10 +249,10 @@ def t04(s: Source) -> DataFrame:
 
 @query("t06_two_tier_screening", """
 SELECT fn, score, n FROM (SELECT f.fn, f.score, coalesce(c.n, 0) AS n FROM (SELECT concat('fn_', CAST(s_suppkey AS VARCHAR)) AS fn, (s_suppkey % 10) / 10 AS score FROM supplier) f
-  LEFT JOIN (SELECT fn, count(*) AS n FROM b_candidates WHERE conf_pct > 98 AND cand_id % 5 = 0 GROUP BY fn) c ON c.fn = f.fn) t WHERE score >= 0.3 ORDER BY n > 0, score DESC, fn LIMIT 15""")
+  LEFT JOIN (SELECT fn, count(*) AS n FROM b_candidates WHERE conf_pct > 98 GROUP BY fn) c ON c.fn = f.fn) t WHERE score >= 0.3 ORDER BY n > 0, score DESC, fn LIMIT 15""")
 def t06(s: Source) -> DataFrame:
     f = s.supplier.select(F.concat(F.lit("fn_"), F.col("s_suppkey").cast("string")).alias("fn"), (F.col("s_suppkey") % 10 / 10).alias("score"))
-    c = s.b_candidates.filter("conf_pct > 98 AND cand_id % 5 = 0").groupBy("fn").agg(F.count("*").alias("n"))
+    c = s.b_candidates.filter("conf_pct > 98").groupBy("fn").agg(F.count("*").alias("n"))
     return f.join(c, "fn", "left").select("fn", "score", F.coalesce("n", F.lit(0)).alias("n")).filter("score >= 0.3").orderBy(F.col("n") > 0, F.desc("score"), "fn").limit(15)
 
 
@@ -266,9 +267,9 @@ def u01(s: Source) -> DataFrame:
     return select.with_extras(own.filter("c_custkey % 50 = 0"), own.filter("c_custkey % 70 = 0"), "c_custkey", "c_acctbal").select("c_custkey")
 
 
-@query("u02_difference", "SELECT fn FROM b_ops EXCEPT SELECT fn FROM b_ops WHERE op = 'RETURN' AND seq > 50")
+@query("u02_difference", "SELECT fn FROM b_ops EXCEPT SELECT fn FROM b_ops WHERE op = 'CALLIND'")
 def u02(s: Source) -> DataFrame:
-    return s.b_ops.select("fn").exceptAll(s.b_ops.select("fn").limit(0)).distinct().exceptAll(s.b_ops.filter("op = 'RETURN' AND seq > 50").select("fn").distinct())
+    return s.b_ops.select("fn").distinct().exceptAll(s.b_ops.filter("op = 'CALLIND'").select("fn").distinct())
 
 
 @query("u05_ground_truth_sets", "SELECT (SELECT count(*) FROM (SELECT doc_id FROM b_truth WHERE label = 1 INTERSECT SELECT doc_id FROM b_truth WHERE predicted = 1) a) AS hit, (SELECT count(*) FROM (SELECT doc_id FROM b_truth WHERE label = 1 EXCEPT SELECT doc_id FROM b_truth WHERE predicted = 1) b) AS missed")
@@ -323,12 +324,12 @@ def a22(s: Source) -> DataFrame:
 
 
 @query("e02_semantic_risk", """
-WITH l AS (SELECT *, lag(op) OVER (PARTITION BY fn ORDER BY seq) AS prev FROM b_ops WHERE seq < 12),
+WITH l AS (SELECT *, lag(op) OVER (PARTITION BY fn ORDER BY seq) AS prev FROM b_ops),
 c AS (SELECT fn, count_if(op = 'INT_MULT') AS m, count_if(op IN ('INT_ADD', 'INT_MULT')) AS a, count_if(op = 'STORE') AS st, count_if(op = 'CBRANCH') AS b, count_if(coalesce(contains(lower(callee), 'alloc'), false)) AS al, count_if(op = 'STORE' AND prev IN ('INT_ADD', 'INT_SUB', 'INT_MULT', 'PTRADD', 'PTRSUB')) AS x FROM l GROUP BY fn),
 n AS (SELECT fn, CAST(al > 0 AS INT) + CAST(m >= 1 AS INT) + CAST(a >= 2 AS INT) + CAST(al > 0 AS INT) + CAST(b = 0 AND al > 0 AS INT) + CAST(x > 0 AS INT) AS na, CAST(st >= 3 AS INT) + CAST(a >= 2 AS INT) + CAST(b = 0 AND st >= 3 AS INT) AS nb FROM c)
 SELECT fn, 'integer_overflow' AS vuln_type, na AS n FROM n WHERE na >= 2 UNION ALL SELECT fn, 'buffer_overflow', nb FROM n WHERE nb >= 2 AND na < 2""")
 def e02(s: Source) -> DataFrame:
-    o = ops.of_bridge(s.b_ops.filter("seq < 12"))
+    o = ops.of_bridge(s.b_ops)
     arith = o.groupBy("fn").agg(F.count_if(F.col("op").isin("INT_ADD", "INT_MULT")).alias("arith"))
     return evidence.semantic_risk(ops.risk_counters(o).join(arith, "fn").withColumn("role", F.lit("unknown"))).select("fn", "vuln_type", F.size("items").alias("n"))
 

@@ -17,10 +17,10 @@ def p02(s: Source) -> DataFrame:
     return s.b_ops.select("event_id", F.when(named, "external").when(F.col("in1").startswith("const"), "const").otherwise("unique").alias("space"))
 
 
-@query("p03_target_resolution", "SELECT event_id, coalesce(t.name, y.name, '0x' || lower(hex(k))) AS target FROM b_ops b LEFT JOIN (SELECT p_partkey AS a, p_name AS name FROM part WHERE p_partkey < 40) t ON t.a = b.k LEFT JOIN (SELECT s_suppkey AS a, s_name AS name FROM supplier) y ON y.a = b.k")
+@query("p03_target_resolution", "SELECT event_id, coalesce(t.name, y.name, '0x' || lower(hex(k))) AS target FROM b_ops b LEFT JOIN (SELECT s_suppkey AS a, s_name AS name FROM supplier) t ON t.a = b.k LEFT JOIN (SELECT p_partkey AS a, p_name AS name FROM part) y ON y.a = b.k")
 def p03(s: Source) -> DataFrame:
-    first = s.part.filter("p_partkey < 40").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("t"))
-    second = s.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("y"))
+    first = s.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("t"))
+    second = s.part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("y"))
     return s.b_ops.join(first, "k", "left").join(second, "k", "left").select("event_id", F.coalesce("t", "y", F.concat(F.lit("0x"), F.lower(F.hex("k")))).alias("target"))
 
 
@@ -204,11 +204,11 @@ def k12(s: Source) -> DataFrame:
 
 
 @query("k15_evaluation_set", """
-WITH a AS (SELECT fn, 0 AS phase FROM b_ops WHERE fn IN ('fn_1', 'fn_2', 'fn_nope') UNION SELECT fn, 1 FROM b_ops WHERE callee = 'recv' AND seq < 3 UNION SELECT fn, 2 FROM b_ops WHERE callee = 'system' AND seq < 9)
+WITH a AS (SELECT fn, 0 AS phase FROM b_ops WHERE fn IN ('fn_1', 'fn_2', 'fn_nope') UNION SELECT fn, 1 FROM b_ops WHERE callee = 'recv' UNION SELECT fn, 2 FROM b_ops WHERE callee = 'system')
 SELECT fn, phase FROM (SELECT fn, min(phase) AS phase FROM a GROUP BY fn) t ORDER BY phase, fn LIMIT 12""")
 def k15(s: Source) -> DataFrame:
     b = s.b_ops
-    parts = [b.filter("fn IN ('fn_1', 'fn_2', 'fn_nope')"), b.filter("callee = 'recv' AND seq < 3"), b.filter("callee = 'system' AND seq < 9")]
+    parts = [b.filter("fn IN ('fn_1', 'fn_2', 'fn_nope')"), b.filter("callee = 'recv'"), b.filter("callee = 'system'")]
     rows = parts[0].select("fn", F.lit(0).alias("phase"))
     for i, p in enumerate(parts[1:], 1):
         rows = rows.unionByName(p.select("fn", F.lit(i).alias("phase")))
@@ -284,12 +284,12 @@ _CALLEES = lambda r: "coalesce(bool_or(lower(callee) IN (" + ", ".join(f"'{x.low
 
 @query("e10_role_verification", f"""
 WITH g AS (SELECT fn, {_CALLEES("allocator")} AS ca, {_CALLEES("read_input")} AS cr, {_CALLEES("exec")} AS ce, {_CALLEES("free")} AS cf, {_CALLEES("format_string")} AS cp, bool_or(op = 'LOAD') AS l, bool_or(op = 'STORE') AS st, bool_or(op = 'CBRANCH') AS b,
-  bool_or(op IN ('INT_LESS', 'INT_EQUAL')) AS c, bool_or(op IN ('INT_LESS', 'INT_EQUAL') AND (starts_with(in1, 'const') OR starts_with(in2, 'const'))) AS cc, CAST(split_part(fn, '_', 2) AS INT) % 8 AS r FROM b_ops WHERE seq < 8 GROUP BY fn),
+  bool_or(op IN ('INT_LESS', 'INT_EQUAL')) AS c, bool_or(op IN ('INT_LESS', 'INT_EQUAL') AND (starts_with(in1, 'const') OR starts_with(in2, 'const'))) AS cc, CAST(split_part(fn, '_', 2) AS INT) % 8 AS r FROM b_ops GROUP BY fn),
 p AS (SELECT *, CASE r WHEN 0 THEN CASE WHEN ca THEN 3 ELSE 0 END + CASE WHEN NOT st THEN 1 ELSE 0 END WHEN 1 THEN CASE WHEN l AND st THEN 2 ELSE 0 END + 2 WHEN 2 THEN CASE WHEN cr THEN 4 ELSE 0 END + CASE WHEN st AND NOT l THEN 2 WHEN st THEN 1 ELSE 0 END + 1 WHEN 3 THEN CASE WHEN c THEN 2 ELSE 0 END + CASE WHEN b THEN 2 ELSE 0 END + CASE WHEN cc THEN 1 ELSE 0 END ELSE 0 END AS pts FROM g)
 SELECT fn, CASE WHEN r = 0 THEN CASE WHEN pts >= 3 THEN 'confirmed' WHEN pts >= 2 AND ca THEN 'weakly_confirmed' ELSE 'refuted' END WHEN r IN (1, 2, 3) THEN CASE WHEN pts >= 4 THEN 'confirmed' WHEN pts >= 2 THEN 'weakly_confirmed' ELSE 'refuted' END
   WHEN r = 4 THEN CASE WHEN ce THEN 'confirmed' ELSE 'refuted' END WHEN r = 5 THEN CASE WHEN cp THEN 'confirmed' ELSE 'refuted' END WHEN r = 6 THEN CASE WHEN cf THEN 'confirmed' ELSE 'refuted' END ELSE 'weakly_confirmed' END AS status FROM p""")
 def e10(s: Source) -> DataFrame:
-    signs = evidence.role_signs(ops.of_bridge(s.b_ops.filter("seq < 8")))
+    signs = evidence.role_signs(ops.of_bridge(s.b_ops))
     role = F.element_at(F.array(*[F.lit(x) for x in ("allocator", "copy", "read_input", "validator", "exec", "format_string", "free", "other")]), F.substring_index("fn", "_", -1).cast("int") % 8 + 1)
     return signs.select("fn", evidence.verify_role(role, F.col("fn"), F.lit(2), F.lit(0), F.lit(False))["status"].alias("status"))
 

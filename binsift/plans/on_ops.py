@@ -167,16 +167,16 @@ def a07(s: Source) -> DataFrame:
 @query("a08_structural_role", f"""
 SELECT fn, CASE WHEN contains(sig, 'malloc') THEN 'allocator' WHEN contains(sig, 'free') THEN 'free' WHEN contains(sig, 'memcpy') THEN 'copy' WHEN contains(sig, 'fread') OR contains(sig, 'recv') OR contains(sig, 'read') THEN 'read_input'
   WHEN c AND b AND NOT st THEN 'validator' ELSE 'unknown' END AS role
-FROM (SELECT fn, {_SIG} AS sig, bool_or(op = 'STORE') AS st, bool_or(op IN ('INT_LESS', 'INT_EQUAL')) AS c, bool_or(op = 'CBRANCH') AS b FROM b_ops WHERE seq < 25 GROUP BY fn) t""")
+FROM (SELECT fn, {_SIG} AS sig, bool_or(op = 'STORE') AS st, bool_or(op IN ('INT_LESS', 'INT_EQUAL')) AS c, bool_or(op = 'CBRANCH') AS b FROM b_ops GROUP BY fn) t""")
 def a08(s: Source) -> DataFrame:
-    return ops.structural_role(_ops(s).filter("seq < 25"), _KNOWN)
+    return ops.structural_role(_ops(s), _KNOWN)
 
 
 @query("j09_exact_fingerprint", f"""
-WITH k AS (SELECT fn, sha256(array_to_string([{", ".join(f"'{g}:' || CAST({_SHARE(g)} AS VARCHAR)" for g in sorted(OP_GROUPS))}], ',') || '|' || {_SIG} || '|ptrs=0')[1:16] AS skey FROM b_ops WHERE seq < 4 GROUP BY fn)
+WITH k AS (SELECT fn, sha256(array_to_string([{", ".join(f"'{g}:' || CAST({_SHARE(g)} AS VARCHAR)" for g in sorted(OP_GROUPS))}], ',') || '|' || {_SIG} || '|ptrs=0')[1:16] AS skey FROM b_ops GROUP BY fn)
 SELECT skey, count(*) AS n, min(fn) AS first FROM k GROUP BY skey HAVING count(*) > 1""")
 def j09(s: Source) -> DataFrame:
-    keys = ops.structural_key(_ops(s).filter("seq < 4"), _KNOWN)
+    keys = ops.structural_key(_ops(s), _KNOWN)
     return keys.groupBy("skey").agg(F.count("*").alias("n"), F.min("fn").alias("first")).filter("n > 1")
 
 
@@ -186,9 +186,9 @@ SELECT fn, CASE WHEN l <= 2 AND st <= 2 AND c <= 3 AND m = 0 AND b <= 3 THEN 'er
   CASE WHEN l <= 2 AND st <= 2 AND c <= 3 AND m = 0 AND b <= 3 THEN 0.4::DOUBLE WHEN b >= 3 AND ls >= 2 AND st * 20 < n THEN 0.55::DOUBLE WHEN b >= 4 AND l >= 5 AND c >= 2 THEN 0.5::DOUBLE
   WHEN m + a >= 10 AND l <= 3 AND c <= 2 THEN 0.45::DOUBLE WHEN h AND c <= 4 THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS role_conf
 FROM (SELECT fn, count(*) AS n, count_if(op = 'LOAD') AS l, count_if(op = 'STORE') AS st, count_if(op IN ('CALL', 'CALLIND')) AS c, count_if(op = 'INT_MULT') AS m, count_if(op = 'INT_ADD') AS a, count_if(op = 'CBRANCH') AS b,
-  count_if(op = 'INT_LESS') AS ls, coalesce(bool_or(contains(lower(callee), 'alloc')), false) AS h FROM b_ops WHERE seq < 30 GROUP BY fn) t""")
+  count_if(op = 'INT_LESS') AS ls, coalesce(bool_or(contains(lower(callee), 'alloc')), false) AS h FROM b_ops GROUP BY fn) t""")
 def p17(s: Source) -> DataFrame:
-    return ops.counter_role(ops.features(_ops(s).filter("seq < 30")))
+    return ops.counter_role(ops.features(_ops(s)))
 
 
 @query("w02_parameters", """
@@ -254,8 +254,8 @@ def j08(s: Source) -> DataFrame:
 
 @query("p15_discard", """
 SELECT fn, CASE WHEN n < 5 THEN 'too_few_ops' WHEN m = 0 AND c = 0 AND b = 0 THEN 'pure_computation_no_memory' ELSE '' END AS reason
-FROM (SELECT fn, count(*) AS n, count_if(op IN ('LOAD', 'STORE')) AS m, count_if(op IN ('CALL', 'CALLIND')) AS c, count_if(op = 'CBRANCH') AS b FROM b_ops WHERE seq < 6 GROUP BY fn) t""")
+FROM (SELECT fn, count(*) AS n, count_if(op IN ('LOAD', 'STORE')) AS m, count_if(op IN ('CALL', 'CALLIND')) AS c, count_if(op = 'CBRANCH') AS b FROM b_ops GROUP BY fn) t""")
 def p15(s: Source) -> DataFrame:
-    f = ops.features(_ops(s).filter("seq < 6"))
+    f = ops.features(_ops(s))
     pure = (F.col("loads") + F.col("stores") == 0) & (F.col("calls") == 0) & (F.col("cbranches") == 0)
     return f.select("fn", F.when(F.col("instructions") < 5, "too_few_ops").when(pure, "pure_computation_no_memory").otherwise("").alias("reason"))

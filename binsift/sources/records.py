@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,15 +72,28 @@ def read_ranked(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RANKED).json(path).filter(~F.coalesce("discarded", F.lit(False))).withColumn("reachability_score", F.coalesce("reachability_score", F.lit(1.0)))
 
 
+def replaced(df: DataFrame, path: str, fmt: str = "json") -> None:
+    """Write df in place of what is at path: to a folder beside it first, then by renames, so that a failed write leaves
+    the old files."""
+    spark = df.sparkSession
+    fresh, old = f"{path}._new-{uuid.uuid4().hex}", f"{path}._old-{uuid.uuid4().hex}"
+    df.write.format(fmt).save(fresh)
+    as_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = as_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(as_path(path)):
+        fs.rename(as_path(path), as_path(old))
+    fs.rename(as_path(fresh), as_path(path))
+    fs.delete(as_path(old), True)
+
+
 def write_ranked(ranked: DataFrame, path: str) -> None:
     """Ranked functions as JSON lines: score to four places, confidences to three."""
-    rounded = ranked.withColumn("score", F.round("score", 4)).withColumn("role_confidence", F.round("role_confidence", 3))
-    rounded.write.mode("overwrite").json(path)
+    replaced(ranked.withColumn("score", F.round("score", 4)).withColumn("role_confidence", F.round("role_confidence", 3)), path)
 
 
 def write_functions(functions: DataFrame, path: str) -> None:
-    """JSON lines by the commit protocol: a failed write leaves what was there until the new files are complete."""
-    functions.write.mode("overwrite").json(path)
+    """Functions as JSON lines."""
+    replaced(functions, path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -92,7 +106,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 def resumed(spark: SparkSession, path: str, make: Callable[[], DataFrame], force: bool = False) -> DataFrame:
     """The table at path; made and written first unless it is there already and force is off."""
     if force or not exists(spark, path):
-        make().write.mode("overwrite").parquet(path)
+        replaced(make(), path, "parquet")
     return spark.read.parquet(path)
 
 

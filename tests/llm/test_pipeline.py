@@ -33,3 +33,22 @@ def test_stages_of_defined_cases(spark, small, clashing, docs):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, clashing(rows), small).count() > 0, name
         assert stage(spark, docs([]), small).count() == 0, name
+
+
+def test_run_against_brute_force(spark, small):
+    """The whole pipeline over the small tables, stage by stage in plain Python."""
+    from test_lines import brute as brute_lines
+    from test_near import brute as brute_near
+
+    from binsift.llm._text import WORD_RE
+
+    docs = {r.doc_id: r.text for r in table(spark, small, "documents").collect()}
+    left = {k: t for k, t in docs.items() if t and any(c.isalpha() for c in t)}  # no small text mixes languages evenly
+    cut = brute_lines(list(left.items()))
+    left = {k: t for k, t in cut.items() if t == left[k] or t.replace("\n", "").strip(" ")}
+    groups = brute_near(list(left.items()))
+    left = {k: t for k, t in left.items() if groups[k][1] == k}
+    items = [" ".join(WORD_RE.findall(r.text.lower())) for r in table(spark, small, "benchmark").collect()]
+    left = {k: t for k, t in left.items() if not any(f" {i} " in f" {' '.join(WORD_RE.findall(t.lower()))} " for i in items if i)}
+    got = {r.doc_id for r in corpus_pipeline.run(spark, small).select("doc_id").collect()}
+    assert got == set(left)

@@ -102,7 +102,7 @@ def a09(s: Source) -> DataFrame:
 
 
 def _g08() -> str:
-    step = lambda a, b: f"{b} AS MATERIALIZED (SELECT x.node, round(round(x.score + least(coalesce((SELECT sum(y.score) FROM b_graph g JOIN {a} y ON y.node = g.callee WHERE g.caller = x.node), 0) * 0.15, CASE WHEN x.ops > 500 THEN 2.0 ELSE 999.0 END) + coalesce((SELECT sum(y.score) FROM b_graph g JOIN {a} y ON y.node = g.caller WHERE g.callee = x.node), 0) * 0.10, 9), 4) AS score, x.ops FROM {a} x)"
+    step = lambda a, b: f"{b} AS MATERIALIZED (SELECT x.node, round((x.score + least(coalesce((SELECT sum(y.score) FROM b_graph g JOIN {a} y ON y.node = g.callee WHERE g.caller = x.node), 0) * 0.15, CASE WHEN x.ops > 500 THEN 2.0 ELSE 999.0 END) + coalesce((SELECT sum(y.score) FROM b_graph g JOIN {a} y ON y.node = g.caller WHERE g.callee = x.node), 0) * 0.10)::DECIMAL(18, 9), 4)::DOUBLE AS score, x.ops FROM {a} x)"
     return f"WITH s0 AS (SELECT node, (CAST(split_part(node, '_', 2) AS INT) % 8)::DOUBLE / 4 AS score, CAST(split_part(node, '_', 2) AS INT) * 10 AS ops FROM {_N} n), {step('s0', 's1')}, {step('s1', 's2')} SELECT node, score FROM s2"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import io
 import os
@@ -45,6 +46,16 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def trim() -> None:
+    """Give free memory back to the system: Spark keeps Python workers, and later stages need the room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
@@ -71,7 +82,8 @@ def arrow_map(df: DataFrame, fn: Mapper, schema: str | StructType) -> DataFrame:
         spark.conf.set(BATCH_ROWS, MOST_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return fn(in_slices(batches))
+        yield from fn(in_slices(batches))
+        trim()
 
     return df.mapInArrow(run, schema)
 

@@ -33,7 +33,7 @@ WORD = re.compile(r"[^\W\d_]+")
 ROWS_PER_LANG, MAX_CHARS, LANGS, GRAMS = 1000, 20_000, 64, 50_000
 #: Nats that a change of language costs.
 PENALTY = 12.0
-CACHE = 200_000
+CACHE = 100_000
 SCHEMA = "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"
 #: First code points of script ranges (Unicode blocks) and their names.
 _RANGES = [

@@ -31,7 +31,7 @@ from ._spark import arrow_map
 
 BLANK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE = 200_000
+CACHE = 100_000
 
 
 @dataclass

@@ -30,7 +30,7 @@ DIMENSIONS = 1 << 20
 #: Bounds of the training sample: rows of each label, and characters of a row.
 ROWS_PER_LABEL, MAX_CHARS = 2500, 20_000
 #: Entries of a worker's word cache before it starts anew.
-CACHE = 200_000
+CACHE = 100_000
 SCHEMA = "doc_id long, score double, sentences array<struct<start:int,end:int,score:double>>"
 
 

@@ -29,30 +29,34 @@ from ._text import batches, gram_hashes, word_hashes
 #: Words of a seed, score from which a text is contaminated, share (and least number) of texts that a rare n-gram is in.
 WORDS, THRESHOLD, RARE_SHARE, RARE_LEAST = 4, 0.5, 0.0005, 10
 #: Characters of test items in one block.
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 HITS = "doc_id long, item_id long, grams array<int>, stretches array<struct<start:int,words:binary,grams:array<int>>>"
 
 
 @dataclass
 class Items:
-    """Word hashes of each item, and every n-gram hash with the (item, offset) pairs it stands at."""
+    """Word hashes of each item, every n-gram hash with the (item, offset) pairs it stands at, and a bit table of the
+    upper bits of those hashes, which tells most other n-grams off at once."""
 
     words: dict[int, np.ndarray]
     where: dict[int, list[tuple[int, int]]]
     present: np.ndarray
+    shift: np.uint64
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]], n: int) -> Items:
-        words, where, present = {}, defaultdict(list), np.zeros(1 << 20, dtype=bool)
+        words, where = {}, defaultdict(list)
         for item, text in rows:
             hashed, _ = word_hashes([text])
             if len(hashed):
                 words[item] = hashed
                 for k, g in enumerate(gram_hashes(hashed, min(n, len(hashed))).tolist()):
                     where[g].append((item, k))
-                    present[g >> 44] = True
-        return cls(words, dict(where), present)
+        bits = max(16, (32 * len(where)).bit_length())
+        present = np.zeros(1 << bits, dtype=bool)
+        present[np.fromiter(where, np.uint64, len(where)) >> np.uint64(64 - bits)] = True
+        return cls(words, dict(where), present, np.uint64(64 - bits))
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
@@ -102,7 +106,7 @@ def find_hits(docs: DataFrame, items: Items, n: int = WORDS) -> DataFrame:
                 found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
                 for k in sizes:
                     grams = gram_hashes(hashed, k)
-                    for p in np.flatnonzero(it.present[grams >> np.uint64(44)]).tolist():
+                    for p in np.flatnonzero(it.present[grams >> it.shift]).tolist():
                         for item, offset in it.where.get(int(grams[p]), ()):
                             if min(n, len(it.words[item])) == k:
                                 doc = int(np.searchsorted(at, p, "right")) - 1

@@ -129,6 +129,8 @@ def blocks(page: str) -> list[Block]:
                 if name in ("article", "main") and not article:
                     articles += 1
                     article = articles
+                    if articles == 1:  # what wraps the page's article isn't furniture, whatever its class says
+                        furniture = any(x[0] in FURNITURE for x in stack)
                 elif name in FURNITURE or name == "header" and not article:
                     furniture = True
                 if attrs and name not in ("body", "html", "main") and (HIDDEN.search(attrs) or _cued(attrs) and name != "article"):

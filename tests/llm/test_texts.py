@@ -38,6 +38,13 @@ def test_pages_without_article_elements():
     assert len(got) == 3 and got[1] == "Tiny."
 
 
+def test_wrappers_of_the_article_are_no_furniture():
+    para = "<p>This is the text of the page and it has a lot of the small words that are in all texts of the kind.</p>"
+    page = f"<div class='page has-sidebar'><main>{para}</main></div><div id=comments><article class=comment>{para}</article></div>"
+    assert html.main_text(page)[2] == 1
+    assert html.main_text(f"<aside><article>{para}</article></aside>")[2] == 0
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<!-- open", "<script>x", "a < b & c", "<p>" * 3000, "<div class='ad'>x</div>", "&nbsp;", "<p title='>'>x</p>", "</p></div>x"])
 def test_odd_markup_does_not_break(page):
     html.main_text(page)

@@ -132,6 +132,15 @@ def verdict_confidence(kind: Column, confidence: Column) -> Column:
     return F.when(kind == "agrees_vulnerable", boosted).when(kind == "agrees_safe", 0.20).when(kind.startswith("one_sided"), confidence * 0.90).otherwise(confidence * 0.80)
 
 
+def direct_verdicts(fused: DataFrame, semantic_confirmed: DataFrame) -> DataFrame:
+    """Finding rows of the direct routes: confirmed by route, severity one level up where a semantic bug of the function
+    is confirmed. fused: fn, assess_id, posterior, routing, severity; semantic_confirmed: fn."""
+    from .select import boosted
+
+    direct = fused.filter("routing != 'needs_consensus'").join(semantic_confirmed.select("fn").distinct().withColumn("_sem", F.lit(True)), "fn", "left")
+    return direct.select("fn", "assess_id", (F.col("routing") == "bayes_direct_confirm").alias("confirmed"), F.when(F.coalesce("_sem", F.lit(False)), boosted(F.col("severity"))).otherwise(F.col("severity")).alias("severity"), "posterior")
+
+
 def merge(found: DataFrame, semantic_only: DataFrame, keys: list[str], conf: str, tie: str) -> DataFrame:
     """Findings without repeats (the surest of each key), then semantic ones whose (fn, vuln_type) none covers."""
     from .select import keep_max

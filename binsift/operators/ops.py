@@ -80,6 +80,18 @@ def first_occurrences(ops: DataFrame) -> DataFrame:
     return first.select("fn", "var", (F.row_number().over(Window.partitionBy("fn").orderBy("at", "var")) - 1).cast("int").alias("number"))
 
 
+def canonical(ops: DataFrame) -> DataFrame:
+    """One row per operand under its canonical name: VAR_n by first occurrence, constants in hexadecimal as const(0x..),
+    others as they are: fn, seq, slot (-1 for the output), name."""
+    from ..functions.names import constant
+
+    operands = uses(ops).select("fn", "seq", "slot", "var").unionByName(defs(ops).select("fn", "seq", F.lit(-1).alias("slot"), "var"))
+    named = operands.join(first_occurrences(ops), ["fn", "var"], "left")
+    value = constant(F.col("var"))
+    hexed = F.concat(F.lit("const(0x"), F.lower(F.conv(value.cast("string"), 10, 16)), F.lit(")"))
+    return named.select("fn", "seq", "slot", F.when(F.col("number").isNotNull(), F.concat(F.lit("VAR_"), F.col("number").cast("string"))).otherwise(F.coalesce(hexed, "var")).alias("name"))
+
+
 def parameters(ops: DataFrame, sizes: tuple[int, ...] = (), before_first_call: bool = False) -> DataFrame:
     """Variables that are used but never defined, in the order of their first use: fn, var, position.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import on_findings, on_graph, on_more, on_ops, on_rules, on_taint  # noqa: F401
+from .plans import on_findings, on_graph, on_more, on_ops, on_rest, on_rules, on_taint  # noqa: F401
 from .plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

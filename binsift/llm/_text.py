@@ -104,3 +104,30 @@ def gram_hashes(hashed: np.ndarray, n: int) -> np.ndarray:
     for j in range(n):
         out = out * np.uint64(_BASE) + hashed[j : j + m]
     return mix(out)
+
+
+class Remembered(dict):
+    """A bounded cache in two turns: when the younger half is full it becomes the older one, from which values still in
+    use come back without being made again."""
+
+    size = 200_000
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.old: dict = {}
+
+    def make(self, key):  # noqa: ANN001, ANN201
+        raise NotImplementedError
+
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+    def __missing__(self, key):  # noqa: ANN001, ANN204
+        if len(self) >= self.size // 2:
+            self.turn()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value

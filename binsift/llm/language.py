@@ -33,7 +33,7 @@ WORD = re.compile(r"[^\W\d_]+")
 ROWS_PER_LANG, MAX_CHARS, LANGS, GRAMS = 1000, 20_000, 64, 50_000
 #: Nats that a change of language costs.
 PENALTY = 12.0
-CACHE = 100_000
+CACHE = 200_000
 SCHEMA = "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"
 #: First code points of script ranges (Unicode blocks) and their names.
 _RANGES = [
@@ -51,9 +51,9 @@ def script(word: str) -> str:
 
 
 def grams(word: str) -> list[str]:
-    """Character 2- and 3-grams of the word between its ends, and the word itself."""
+    """Character trigrams of the word between its ends, and the word itself."""
     w = f"<{word}>"
-    return [w[i : i + 3] for i in range(len(w) - 2)] + [w[i : i + 2] for i in range(len(w) - 1)] + [w]
+    return [w[i : i + 3] for i in range(len(w) - 2)] + [w]
 
 
 @dataclass
@@ -92,16 +92,24 @@ def fit(rows: list[tuple[str, str]], keep: int = GRAMS) -> Model:
 
 
 class Words(dict):
-    """Row of each word met so far in `scores`; full() starts anew between texts, so rows of one text stay valid."""
+    """Row of each word met so far in `scores`. full() turns the cache between texts, so that rows of one text stay valid:
+    what was there becomes the older half, from which words still in use come back."""
 
     def __init__(self, model: Model):
         self.m = model
         self.scores = np.zeros((1024, len(model.langs)))
+        self.old: dict[str, int] = {}
+        self.old_scores = self.scores
 
     def __missing__(self, word: str) -> int:
         m, row = self.m, len(self)
         if row == len(self.scores):
             self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
+        before = self.old.get(word)
+        if before is not None:
+            self.scores[row] = self.old_scores[before]
+            self[word] = row
+            return row
         allowed = m.scripts.get(script(word))
         if allowed is None:
             value = 0.0
@@ -115,8 +123,10 @@ class Words(dict):
         return row
 
     def full(self) -> None:
-        if len(self) >= CACHE:
+        if len(self) >= CACHE // 2:
+            self.old, self.old_scores = dict(self), self.scores
             self.clear()
+            self.scores = np.zeros((1024, len(self.m.langs)))
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:

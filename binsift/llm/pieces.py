@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._spark import arrow_map
+from ._text import Remembered
 
 BLANK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE = 100_000
 
 
 @dataclass
@@ -62,10 +62,11 @@ class Vocabulary:
         return cls(pieces, bytes_, surface)
 
 
-class Encoder(dict):
+class Encoder(Remembered):
     """ids of each word met so far, as int32 bytes."""
 
     def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
         self.v = vocabulary
         self.automaton = ahocorasick.Automaton()
         for text, i, score in vocabulary.pieces:
@@ -109,13 +110,8 @@ class Encoder(dict):
             if word[k] not in self.single and best[k] + self.unknown > best[k + 1]:
                 best[k + 1], last[k + 1] = best[k] + self.unknown, (1, -1)
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        value = np.array(self.viterbi(word), dtype=np.int32).tobytes()
-        if len(word) <= 64:
-            self[word] = value
-        return value
+    def make(self, word: str) -> bytes:
+        return np.array(self.viterbi(word), dtype=np.int32).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, self.words.findall(" " + text))) if text else b"", dtype=np.int32)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import arrow_map, fold, sample_of_labels, texts_of
+from ._text import Remembered
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
@@ -29,8 +30,6 @@ WORD = re.compile(r"[^\W_]+")
 DIMENSIONS = 1 << 20
 #: Bounds of the training sample: rows of each label, and characters of a row.
 ROWS_PER_LABEL, MAX_CHARS = 2500, 20_000
-#: Entries of a worker's word cache before it starts anew.
-CACHE = 100_000
 SCHEMA = "doc_id long, score double, sentences array<struct<start:int,end:int,score:double>>"
 
 
@@ -95,17 +94,15 @@ def fit(rows: list[tuple[str, int]], rounds: int = 100, rate: float = 2.0, decay
     return model
 
 
-class _Weights(dict):
+class _Weights(Remembered):
     """Sum of the weights of a word's features, remembered."""
 
     def __init__(self, weights: np.ndarray):
+        super().__init__()
         self.weights = weights
 
-    def __missing__(self, word: str) -> float:
-        if len(self) >= CACHE:
-            self.clear()
-        value = self[word] = float(self.weights[features(word)].sum())
-        return value
+    def make(self, word: str) -> float:
+        return float(self.weights[features(word)].sum())
 
 
 def sentence_scores(text: str, word: _Weights, bias: float) -> list[tuple[int, int, float]]:

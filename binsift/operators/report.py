@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .select import severity_rank
 
+# Fixed value: version that readers of the JSON report look for.
+REPORT_SCHEMA = "pcode-vuln/1.0"
+
 
 def numbered(findings: DataFrame, *ties: str) -> DataFrame:
     """Findings with order (1, 2, ...) and id VULN-001, ... by severity, then ties. Reports hold confirmed findings,
@@ -34,7 +37,7 @@ def json_report(findings: DataFrame, rejected: DataFrame, binary: str, *ties: st
     rows = numbered(findings, *ties)
     good = rows.agg(F.sort_array(F.collect_list(F.struct("order", *[c for c in rows.columns if c != "order"]))).alias("confirmed"))
     bad = rejected.agg(F.collect_list(F.struct("fn", "vuln_type", "reason")).alias("rejected"))
-    doc = F.struct(F.lit("pcode-vuln/1.0").alias("schema_version"), F.lit(binary).alias("binary"), F.struct(F.size("confirmed").alias("confirmed"), F.size("rejected").alias("rejected")).alias("summary"), F.col("confirmed").alias("confirmed_vulnerabilities"), F.col("rejected").alias("rejected_candidates"))
+    doc = F.struct(F.lit(REPORT_SCHEMA).alias("schema_version"), F.lit(binary).alias("binary"), F.struct(F.size("confirmed").alias("confirmed"), F.size("rejected").alias("rejected")).alias("summary"), F.col("confirmed").alias("confirmed_vulnerabilities"), F.col("rejected").alias("rejected_candidates"))
     return good.join(bad).select(F.to_json(doc).alias("report"))
 
 

@@ -48,7 +48,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 def distances(edges: DataFrame, seeds: DataFrame, hops: int, backwards: bool = False) -> DataFrame:
     """node and its distance (0 for seeds) along edges, or against them, up to `hops`."""
     step = edges.select(F.col("callee").alias("node"), F.col("caller").alias("to")) if backwards else edges.select(F.col("caller").alias("node"), F.col("callee").alias("to"))
-    step = step.distinct()
+    step = settled(step.distinct())
     seen = settled(seeds.select("node", F.lit(0).alias("dist")).distinct())
     front = seen
     for d in range(1, hops + 1):
@@ -120,6 +120,7 @@ def propagate_scores(scores: DataFrame, edges: DataFrame, rounds: int = 2, down:
 def levels(edges: DataFrame, rounds: int = 20) -> DataFrame:
     """node, level: callees before callers (0 for nodes that call nothing), null for members of cycles and their callers
     beyond `rounds`."""
+    edges = settled(edges)
     every = settled(nodes(edges))
     done = settled(every.join(edges.select(F.col("caller").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)))
     own = edges.filter("caller != callee").distinct()
@@ -168,14 +169,18 @@ def nearest(queries: DataFrame, store: DataFrame, least: float, block: int = 200
     return found.select("id", "b.store_id", "b.cos")
 
 
-def tainted(flow: DataFrame, seeds: DataFrame, rounds: int = 100) -> DataFrame:
-    """Variables that taint reaches inside functions: closure of flow (fn, src, dst) from seeds (fn, var); by rounds of
-    the newly reached only, until none is new."""
+def tainted(flow: DataFrame, seeds: DataFrame, rounds: int = 100, hops: int = 4) -> DataFrame:
+    """Variables that taint reaches inside functions: closure of flow (fn, src, dst) from seeds (fn, var). A round follows
+    the newly reached ones for some hops before it is written, until none is new."""
+    step = settled(flow.select("fn", F.col("src").alias("var"), "dst"))
     seen = settled(seeds.select("fn", "var").distinct())
     front = seen
     for _ in range(rounds):
-        new = front.join(flow.select("fn", F.col("src").alias("var"), "dst"), ["fn", "var"]).select("fn", F.col("dst").alias("var")).distinct().join(seen, ["fn", "var"], "left_anti")
-        front = settled(new)
+        reached, last = None, front
+        for _ in range(hops):
+            last = last.join(step, ["fn", "var"]).select("fn", F.col("dst").alias("var")).distinct()
+            reached = last if reached is None else reached.unionByName(last)
+        front = settled(reached.distinct().join(seen, ["fn", "var"], "left_anti"))
         if front.limit(1).count() == 0:
             break
         seen = settled(seen.unionByName(front))
@@ -184,6 +189,7 @@ def tainted(flow: DataFrame, seeds: DataFrame, rounds: int = 100) -> DataFrame:
 
 def backward_slice(flow: DataFrame, targets: DataFrame, depth: int = 20) -> DataFrame:
     """Variables that a target variable (fn, target) depends on, with the least number of steps: fn, target, var, depth."""
+    flow = settled(flow)
     seen = settled(targets.select("fn", "target", F.col("target").alias("var"), F.lit(0).alias("depth")).distinct())
     front = seen
     for d in range(1, depth + 1):
@@ -198,6 +204,7 @@ def backward_slice(flow: DataFrame, targets: DataFrame, depth: int = 20) -> Data
 def aliases(moves: DataFrame, params: DataFrame, rounds: int = 100) -> DataFrame:
     """Parameter that each variable is an alias of, through moves (fn, src, dst): fn, var, position; of several the
     parameter of the least position."""
+    moves = settled(moves)
     now = settled(params.select("fn", "var", "position"))
     for _ in range(rounds):
         more = now.withColumnRenamed("var", "src").join(moves, ["fn", "src"]).select("fn", F.col("dst").alias("var"), "position")
@@ -210,6 +217,7 @@ def aliases(moves: DataFrame, params: DataFrame, rounds: int = 100) -> DataFrame
 
 def longest_hops(flow: DataFrame, seeds: DataFrame, rounds: int = 100) -> DataFrame:
     """Longest distance of each tainted variable from a seed along flow, which is acyclic within a function: fn, var, hops."""
+    flow = settled(flow)
     best = front = settled(seeds.select("fn", "var").distinct().withColumn("hops", F.lit(0)))
     for _ in range(rounds):
         nxt = front.withColumnRenamed("var", "src").join(flow, ["fn", "src"]).groupBy("fn", F.col("dst").alias("var")).agg((F.max("hops") + 1).cast("int").alias("hops"))

@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 One pass over the texts looks up the n-grams of the test items and keeps, for each text and item, the stretches of words
-around hits. How many texts hold each n-gram, over all texts, tells which are rare: the seeds are those held by at most a
-small share of the texts, or the rarest quarter of their item where all are frequent. Every stretch with a seed is aligned
-with its item by Smith-Waterman on words (match 2, mismatch -1, gap -1); the score is the best alignment's over that of the
-whole item against itself, so edited and paraphrased copies score by what is left of them.
+around hits. Every stretch, however many texts its n-grams are in, is aligned with its item by Smith-Waterman on words
+(match 2, mismatch -1, gap -1) unless it holds too few of the item's words for any alignment to reach the threshold; the
+score is the best alignment's over that of the whole item against itself, so edited and paraphrased copies score by what
+is left of them.
 
 Items are broadcast in blocks of bounded size, one pass for each block; texts are never shuffled.
 
@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from ._spark import arrow_map, saved
 from ._text import batches, gram_hashes, word_hashes
 
-#: Words of a seed, score from which a text is contaminated, share (and least number) of texts that a rare n-gram is in.
-WORDS, THRESHOLD, RARE_SHARE, RARE_LEAST = 4, 0.5, 0.0005, 10
+#: Words of a seed, score from which a text is contaminated.
+WORDS, THRESHOLD = 4, 0.5
 #: Characters of test items in one block.
 BLOCK_CHARS = 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
-HITS = "doc_id long, item_id long, grams array<int>, stretches array<struct<start:int,words:binary,grams:array<int>>>"
+HITS = "doc_id long, item_id long, stretches array<struct<start:int,words:binary>>"
 
 
 @dataclass
@@ -74,30 +74,28 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _stretches(hits: list[tuple[int, int]], size: int, n_words: int) -> list[tuple[int, int, list[int]]]:
-    """(start, end, item offsets) of the stretches of a text that may hold an item of `size` words, from its hits
-    (position, offset): each hit's expected place, half an item wider on both sides, overlapping ones united."""
+def _stretches(hits: list[tuple[int, int]], size: int, n_words: int) -> list[tuple[int, int]]:
+    """(start, end) of the stretches of a text that may hold an item of `size` words, from its hits (position, offset):
+    each hit's expected place, half an item wider on both sides, overlapping ones united."""
     slack = size // 2 + 2
-    out: list[list] = []
-    for begin, offset in sorted((p - o, o) for p, o in hits):
+    out: list[list[int]] = []
+    for begin in sorted(p - o for p, o in hits):
         lo, hi = max(0, begin - slack), min(n_words, begin + size + slack)
         if out and lo <= out[-1][1]:
             out[-1][1] = max(out[-1][1], hi)
-            out[-1][2].add(offset)
         else:
-            out.append([lo, hi, {offset}])
-    return [(lo, hi, sorted(grams)) for lo, hi, grams in out]
+            out.append([lo, hi])
+    return [(lo, hi) for lo, hi in out]
 
 
 def find_hits(docs: DataFrame, items: Items, n: int = WORDS) -> DataFrame:
-    """Per text and item that share an n-gram: the offsets of the item's n-grams found, and the stretches around hits."""
+    """Per text and item that share an n-gram: the stretches around hits."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it = shared.value
         sizes = sorted({min(n, len(w)) for w in it.words.values()})
-        inner = pa.list_(pa.int32())
-        stretch = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.binary()), ("grams", inner)]))
+        stretch = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.binary())]))
         for b in parts:
             texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
             rows = []
@@ -115,41 +113,28 @@ def find_hits(docs: DataFrame, items: Items, n: int = WORDS) -> DataFrame:
                 for (doc, item), hits in found.items():
                     own = hashed[at[doc] : at[doc + 1]]
                     spans = _stretches(hits, len(it.words[item]), len(own))
-                    rows.append((ids[lo + doc], item, sorted({o for _, o in hits}), [{"start": s, "words": own[s:e].tobytes(), "grams": g} for s, e, g in spans]))
-            kinds = [pa.int64(), pa.int64(), inner, stretch]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "grams", "stretches"])
+                    rows.append((ids[lo + doc], item, [{"start": s, "words": own[s:e].tobytes()} for s, e in spans]))
+            kinds = [pa.int64(), pa.int64(), stretch]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "stretches"])
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, HITS)
 
 
-def rare_seeds(hits: DataFrame, items: Items, n_docs: int, n: int = WORDS, share: float = RARE_SHARE) -> dict[int, list[int]]:
-    """Offsets of each item's seeds. What is collected is bounded by the block of items, whatever the corpus."""
-    held: dict[tuple[int, int], int] = {}
-    for r in hits.select("item_id", F.explode("grams").alias("gram")).groupBy("item_id", "gram").count().collect():
-        held[r.item_id, r.gram] = r["count"]
-    seeds = {}
-    for item, words in items.words.items():
-        count = [held.get((item, k), 0) for k in range(max(1, len(words) - n + 1))]
-        limit = max(RARE_LEAST, share * n_docs, sorted(count)[len(count) // 4])
-        seeds[item] = [k for k, c in enumerate(count) if c <= limit]
-    return seeds
-
-
-def aligned(hits: DataFrame, items: Items, seeds: dict[int, list[int]], threshold: float = THRESHOLD) -> DataFrame:
+def aligned(hits: DataFrame, items: Items, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word) of the best alignment of each text and item that reaches threshold."""
-    shared = hits.sparkSession.sparkContext.broadcast((items.words, {k: frozenset(v) for k, v in seeds.items()}))
+    shared = hits.sparkSession.sparkContext.broadcast(items.words)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, rare = shared.value
+        words = shared.value
         for b in parts:
             rows = []
             for doc, item, stretches in zip(*(b.column(c).to_pylist() for c in ("doc_id", "item_id", "stretches"))):
                 best = None
                 own = words[item]
                 for s in stretches:
-                    if rare[item].isdisjoint(s["grams"]):
-                        continue
                     text = np.frombuffer(s["words"], dtype=np.uint64)
+                    if np.isin(own, text).sum() < threshold * len(own):  # a word of the item matches at most once
+                        continue
                     score, end = align(own, text)
                     if score >= threshold * MATCH * len(own) and (best is None or score > best[0]):
                         _, back = align(own[::-1], text[:end][::-1])
@@ -166,14 +151,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, threshol
     """doc_id, item_id, score, start_word, end_word of every text that holds a copy of a test item, best copy first kept."""
     tests = benchmark.filter(F.col("item_id").isNotNull() & (F.length("text") > 0)).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = tests.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
-    n_docs = docs.count()
     blocks = -(-size // block_chars)
     out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, start_word int, end_word int")
     for k in range(blocks):
         rows = tests.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
         items = Items.of(sorted((r.item_id, r.text) for r in rows), n)
         hits = saved(find_hits(docs, items, n))
-        out = out.unionByName(aligned(hits, items, rare_seeds(hits, items, n_docs, n), threshold))
+        out = out.unionByName(aligned(hits, items, threshold))
     best = F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", -F.col("start_word")))
     return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.score", "b.start_word", "b.end_word")
 

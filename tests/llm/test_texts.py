@@ -246,6 +246,15 @@ def test_an_item_in_most_texts_is_found_in_each(spark, docs):
     assert decontaminate.contaminated(docs(rows), bench).count() == 60
 
 
+def test_an_edited_copy_in_many_texts_is_found_in_each(spark, docs):
+    words = [f"w{k}" for k in range(30)]
+    copy = " ".join("edited" if k in (9, 20) else w for k, w in enumerate(words))
+    bench = spark.createDataFrame([(0, " ".join(words))], "item_id long, text string")
+    rows = [(i, f"own{i} {copy} end{i}" if i % 2 else f"other{i} text of its own") for i in range(120)]
+    got = decontaminate.contaminated(docs(rows), bench).collect()
+    assert len(got) == 60 and all(abs(r.score - 0.9) < 1e-9 for r in got)
+
+
 def test_decontamination_of_defined_cases(spark, docs, clashing):
     bench = spark.createDataFrame([(0, "a b c d e f g h"), (1, None), (2, ""), (None, "x y z w v"), (3, "two words")], "item_id long, text string")
     rows = [(None, "a b c d e f g h"), (1, None), (2, ""), (3, "Say: A b, c d E f g h!"), (3, "Say: A b, c d E f g h!"), (4, "two words"), (5, "word " * 50_000)]

@@ -31,6 +31,12 @@ for _k, _c in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _SENTENCE = re.compile(r"[.!?]")
 
 
+def _squeezed(raw: bytes, piece: int = 1 << 20) -> int:
+    """Bytes of the compressed text, which is given and measured piece by piece."""
+    z = zlib.compressobj(1)
+    return sum(len(z.compress(raw[i : i + piece])) for i in range(0, len(raw), piece)) + len(z.flush())
+
+
 def features(text: str) -> list[float]:
     """Shares of character classes, repetition, word and line shape of a whole text."""
     raw = text.encode("utf-8", "surrogatepass")
@@ -44,7 +50,7 @@ def features(text: str) -> list[float]:
     pairs = len(set(zip(words, words[1:]))) if w > 1 else 1
     lines = text.split("\n")
     letters = max(1.0, upper + lower + other)
-    squeezed = len(zlib.compress(raw[: 1 << 20], 1)) / min(n, 1 << 20)
+    squeezed = _squeezed(raw) / n
     distinct = len(set(words))
     longest = len(max(words, key=len, default=""))
     return [

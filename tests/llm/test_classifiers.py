@@ -74,6 +74,14 @@ def test_pairs_rank_good_above_poor():
     assert raw[0] > raw[1] and m.score(raw)[1] < 0.3 < m.score(raw)[0]
 
 
+def test_compression_is_of_the_whole_text():
+    draw = random.Random(2)
+    start = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz .,") for _ in range(1 << 20))
+    alone, whole = quality.features(start), quality.features(start + "spam " * 1_500_000)
+    assert alone[10] > 0.5 and alone[12] == 0.0
+    assert whole[10] < 0.1 and whole[11] < 0.1 and whole[12] == 1.0
+
+
 def model():
     rows = [("the cat and the dog are in the house with a ball", "en"), ("der hund und die katze sind in dem haus mit einem ball", "de"), ("это очень хороший дом и большая собака", "ru"), ("добър ден на всички приятели", "bg")]
     return language.fit(rows * 30)

@@ -2,7 +2,8 @@
 
 Pass one classifies each text block by stop-word density, length and link density as good, bad or undecided; page
 furniture (menus, headers and footers of the page, sidebars, forms, adverts, notices, comments), told by element or by
-class and id tokens, is bad outright. Pass two gives undecided blocks, which are short, the label of the nearest decided
+class and id tokens, is bad outright. Where no block of a page has the stop words of a known language, length and link
+density alone tell good from bad. Pass two gives undecided blocks, which are short, the label of the nearest decided
 neighbour inside the same article element (ties go to good); undecided blocks without one are bad.
 
 Defined results: null, empty and text-less pages give the empty text. Unclosed elements end with their parent. Character
@@ -39,15 +40,19 @@ CUES = frozenset(
 )
 CUE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
-HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|\bhidden\b|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: What only attributes of hidden elements hold, and the declarations that hide in a style.
+MAY_HIDE = re.compile(r"hidden|display", re.I)
+HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:;|!|$)", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 #: The most frequent function words of English, German, French and Spanish.
-STOP_WORDS = frozenset(
-    "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were her all she there would their we him been has when who will more no if out so what up said its about into than them can only other"
-    " der die und den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch"
-    " le la les de des et un une du en est que qui dans pour au par sur pas plus ne se ce il elle avec sont aux son cette ou mais nous vous leur être comme tout fait"
-    " el los las y del que en por con para una su al lo como más pero sus este ya entre porque cuando muy sin sobre también hasta hay donde quien desde todo nos durante".split()
-)
+LISTS = [
+    frozenset("the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were her all she there would their we him been has when who will more no if out so what up said its about into than them can only other".split()),
+    frozenset("der die und den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch".split()),
+    frozenset("le la les de des et un une du en est que qui dans pour au par sur pas plus ne se ce il elle avec sont aux son cette ou mais nous vous leur être comme tout fait".split()),
+    frozenset("el los las y del que en por con para una su al lo como más pero sus este ya entre porque cuando muy sin sobre también hasta hay donde quien desde todo nos durante".split()),
+]
+STOP_WORDS = frozenset().union(*LISTS)
 
 
 @dataclass
@@ -77,6 +82,16 @@ def _cued(attrs: str) -> bool:
     return False
 
 
+def _hidden(attrs: str) -> bool:
+    """Whether attributes hide their element: hidden, aria-hidden=true, display:none or visibility:hidden in its style."""
+    if MAY_HIDE.search(attrs):
+        for m in ATTRIBUTE.finditer(attrs):
+            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip()
+            if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDING.search(value):
+                return True
+    return False
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order, with the number of linked characters, whether furniture, and the article they stand in."""
     out: list[Block] = []
@@ -133,7 +148,7 @@ def blocks(page: str) -> list[Block]:
                         furniture = any(x[0] in FURNITURE for x in stack)
                 elif name in FURNITURE or name == "header" and not article:
                     furniture = True
-                if attrs and name not in ("body", "html", "main") and (HIDDEN.search(attrs) or _cued(attrs) and name != "article"):
+                if attrs and name not in ("body", "html", "main") and (_hidden(attrs) or _cued(attrs) and name != "article"):
                     furniture = True
                 if name == "article" and attrs and _cued(attrs) and stack and any(x[2] for x in stack):
                     furniture = True
@@ -150,15 +165,28 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def _told(found: list[Block], rules: Rules) -> bool:
+    """Whether stop words tell anything about a page: a block of it has those of one known language as its text has."""
+    for b in found:
+        if not b.furniture and len(b.text) >= rules.short and b.linked <= rules.links * len(b.text):
+            words = WORD.findall(b.text.lower())
+            if any(sum(w in known for w in words) >= rules.stop_high * max(1, len(words)) for known in LISTS):
+                return True
+    return False
+
+
 def classify(found: list[Block], rules: Rules) -> list[Block]:
     """Set every block's label to good or bad by the two passes."""
     inside = any(b.article and not b.furniture for b in found)
+    told = inside or _told(found, rules)
     for b in found:
         n = len(b.text)
         if b.furniture or b.linked > rules.links * n or inside and not b.article:
             b.label = "bad"
         elif n < rules.short:
             b.label = "undecided"
+        elif not told:
+            b.label = "good"
         else:
             words = WORD.findall(b.text.lower())
             density = sum(w in STOP_WORDS for w in words) / max(1, len(words))

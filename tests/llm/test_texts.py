@@ -45,6 +45,31 @@ def test_wrappers_of_the_article_are_no_furniture():
     assert html.main_text(f"<aside><article>{para}</article></aside>")[2] == 0
 
 
+@pytest.mark.parametrize("attrs", ["style='overflow:hidden'", "class=overflow-hidden", 'style="backface-visibility:hidden"', 'aria-hidden="false"', "title='hidden gems'", "data-hidden=1"])
+def test_attributes_that_do_not_hide(attrs):
+    assert html.main_text(f"<article {attrs}><p>Text of it.</p></article>")[0] == "Text of it."
+    assert html.main_text(f"<article><div {attrs}><p>Text of it.</p></div></article>")[0] == "Text of it."
+
+
+@pytest.mark.parametrize("attrs", ["hidden", "class=x hidden", 'hidden=""', "HIDDEN='until-found'", "aria-hidden=true", "aria-hidden = 'true'", 'style="color:red; display : none"', "style='visibility:hidden!important'", "style=display:none"])
+def test_attributes_that_hide(attrs):
+    assert html.main_text(f"<article><p>Text of it.</p><div {attrs}><p>Not shown.</p></div></article>")[0] == "Text of it."
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Järjestelmä tallentaa kaikki muutokset automaattisesti, joten käyttäjän ei tarvitse huolehtia tiedostojen häviämisestä missään vaiheessa.",
+        "Система сохраняет все изменения сама, поэтому пользователю не нужно следить за тем, чтобы файлы не пропали при сбое питания.",
+        "系统会自动保存所有更改,因此用户无需担心文件在断电时丢失。" * 4,
+    ],
+)
+def test_pages_of_other_languages_without_article_elements(text):
+    links = "".join(f"<a href=/{k}>{text[:30]}</a> " for k in range(5))
+    page = f"<div>{links}</div><div><p>{text}</p><p>{text[:20]}</p><p>{text}</p></div><footer>{text}</footer>"
+    assert html.main_text(page)[0].split("\n") == [text, text[:20].strip(), text]
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<!-- open", "<script>x", "a < b & c", "<p>" * 3000, "<div class='ad'>x</div>", "&nbsp;", "<p title='>'>x</p>", "</p></div>x"])
 def test_odd_markup_does_not_break(page):
     html.main_text(page)

@@ -1,11 +1,13 @@
-"""Call-graph operators: bounded rounds of joins and aggregations over edges (caller, callee).
+"""Call-graph operators: rounds of joins and aggregations over edges (caller, callee).
 
-Every round's result is cut from its lineage by a written table or checkpoint in the shared folder; the number of rounds
-is a constant of the operator, so nothing is collected but, where asked for, a count.
+Every round's result is cut from its lineage by a written table or checkpoint in the shared folder. The number of rounds
+is a constant of the operator or, for closures and levels, lasts until no row is new; nothing is collected but counts.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -117,15 +119,14 @@ def propagate_scores(scores: DataFrame, edges: DataFrame, rounds: int = 2, down:
     return now.select("node", "score")
 
 
-def levels(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """node, level: callees before callers (0 for nodes that call nothing), null for members of cycles and their callers
-    beyond `rounds`."""
+def levels(edges: DataFrame) -> DataFrame:
+    """node, level: callees before callers (0 for nodes that call nothing), null for members of cycles and their callers."""
     edges = settled(edges)
     every = settled(nodes(edges))
     done = settled(every.join(edges.select(F.col("caller").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)))
     own = edges.filter("caller != callee").distinct()
     need = settled(edges.distinct().groupBy("caller").agg(F.count("*").alias("need")))
-    for k in range(1, rounds + 1):
+    for k in count(1):
         have = own.join(done.select(F.col("node").alias("callee")), "callee").groupBy("caller").agg(F.count("*").alias("have"))
         new = need.join(have, "caller").filter("need = have").select(F.col("caller").alias("node")).join(done, "node", "left_anti").withColumn("level", F.lit(k))
         new = settled(new)
@@ -169,22 +170,21 @@ def nearest(queries: DataFrame, store: DataFrame, least: float, block: int = 200
     return found.select("id", "b.store_id", "b.cos")
 
 
-def tainted(flow: DataFrame, seeds: DataFrame, rounds: int = 100, hops: int = 4) -> DataFrame:
+def tainted(flow: DataFrame, seeds: DataFrame, hops: int = 4) -> DataFrame:
     """Variables that taint reaches inside functions: closure of flow (fn, src, dst) from seeds (fn, var). A round follows
     the newly reached ones for some hops before it is written, until none is new."""
     step = settled(flow.select("fn", F.col("src").alias("var"), "dst"))
     seen = settled(seeds.select("fn", "var").distinct())
     front = seen
-    for _ in range(rounds):
+    while True:
         reached, last = None, front
         for _ in range(hops):
             last = last.join(step, ["fn", "var"]).select("fn", F.col("dst").alias("var")).distinct()
             reached = last if reached is None else reached.unionByName(last)
         front = settled(reached.distinct().join(seen, ["fn", "var"], "left_anti"))
         if front.limit(1).count() == 0:
-            break
+            return seen
         seen = settled(seen.unionByName(front))
-    return seen
 
 
 def backward_slice(flow: DataFrame, targets: DataFrame, depth: int = 20) -> DataFrame:
@@ -201,31 +201,33 @@ def backward_slice(flow: DataFrame, targets: DataFrame, depth: int = 20) -> Data
     return seen
 
 
-def aliases(moves: DataFrame, params: DataFrame, rounds: int = 100) -> DataFrame:
+def aliases(moves: DataFrame, params: DataFrame) -> DataFrame:
     """Parameter that each variable is an alias of, through moves (fn, src, dst): fn, var, position; of several the
-    parameter of the least position."""
+    parameter of the least position. A round follows what the last one reached or lowered, until there is none."""
     moves = settled(moves)
-    now = settled(params.select("fn", "var", "position"))
-    for _ in range(rounds):
-        more = now.withColumnRenamed("var", "src").join(moves, ["fn", "src"]).select("fn", F.col("dst").alias("var"), "position")
-        nxt = settled(now.unionByName(more).groupBy("fn", "var").agg(F.min("position").alias("position")))
-        if nxt.count() == now.count():
-            return nxt
-        now = nxt
-    return now
+    now = front = settled(params.groupBy("fn", "var").agg(F.min("position").alias("position")))
+    while True:
+        more = front.withColumnRenamed("var", "src").join(moves, ["fn", "src"]).groupBy("fn", F.col("dst").alias("var")).agg(F.min("position").alias("position"))
+        known = now.withColumnRenamed("position", "_known")
+        front = settled(more.join(known, ["fn", "var"], "left").filter("_known IS NULL OR position < _known").drop("_known"))
+        if front.limit(1).count() == 0:
+            return now
+        now = settled(now.unionByName(front).groupBy("fn", "var").agg(F.min("position").alias("position")))
 
 
-def longest_hops(flow: DataFrame, seeds: DataFrame, rounds: int = 100) -> DataFrame:
-    """Longest distance of each tainted variable from a seed along flow, which is acyclic within a function: fn, var, hops."""
+def longest_hops(flow: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Longest distance of each tainted variable from a seed along flow, which is acyclic within a function: fn, var, hops.
+    A path of more steps than a function has variables to step to is a cycle, for which no distance is the longest."""
     flow = settled(flow)
+    most = flow.groupBy("fn").agg(F.count_distinct("dst").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n
     best = front = settled(seeds.select("fn", "var").distinct().withColumn("hops", F.lit(0)))
-    for _ in range(rounds):
+    for _ in range(most + 1):
         nxt = front.withColumnRenamed("var", "src").join(flow, ["fn", "src"]).groupBy("fn", F.col("dst").alias("var")).agg((F.max("hops") + 1).cast("int").alias("hops"))
         front = settled(nxt)
         if front.limit(1).count() == 0:
             return best
         best = settled(best.unionByName(front).groupBy("fn", "var").agg(F.max("hops").alias("hops")))
-    return best
+    raise ValueError("flow has a cycle within a function")
 
 
 def external_functions(edges: DataFrame, local: DataFrame, rounds: int = 10) -> DataFrame:

@@ -388,14 +388,14 @@ def flow_steps(walked: DataFrame) -> DataFrame:
     return walked.select("fn", F.explode("steps").alias("s")).select("fn", "s.*")
 
 
-def summaries_by_level(ops: DataFrame, levels: DataFrame, rounds: int = 20) -> dict[str, list[tuple[int, str]]]:
+def summaries_by_level(ops: DataFrame, levels: DataFrame) -> dict[str, list[tuple[int, str]]]:
     """Effects of each function's parameters, callees before callers: {fn: [(parameter, effect)]}.
 
     One walk per parameter position with that one parameter tainted; effects are `return` and `frees`. Levels come from
     graph.levels; members of cycles are walked last, with what is known by then. The result is a dimension of functions.
     """
     known: dict[str, list[tuple[int, str]]] = {}
-    placed = ops.join(levels.withColumnRenamed("node", "fn"), "fn", "left").withColumn("level", F.coalesce("level", F.lit(rounds + 1)))
+    placed = ops.join(levels.withColumnRenamed("node", "fn"), "fn", "left").withColumn("level", F.coalesce("level", F.lit((1 << 31) - 1)))
     for (level,) in placed.select("level").distinct().orderBy("level").collect():
         here = placed.filter(F.col("level") == level)
         packed = here.groupBy("fn").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "callee", F.col("out_var").alias("out"), "args", "sizes"))).alias("ops"))

@@ -53,7 +53,7 @@ SELECT node, CAST(max(depth) AS INTEGER) AS level FROM d GROUP BY node""")
 def g03(s: Source) -> DataFrame:
     # Every edge turned to the later name, so that none closes a cycle.
     turned = s.b_graph.filter("caller != callee").select(F.least("caller", "callee").alias("caller"), F.greatest("caller", "callee").alias("callee"))
-    return graph.levels(turned.distinct(), rounds=100)
+    return graph.levels(turned.distinct())
 
 
 @query("g04_reaches_dangerous", f"""

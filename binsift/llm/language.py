@@ -23,14 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import arrow_map, fold
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Bounds of the training sample: rows of each language, characters of a row, languages, n-grams kept of a language.
-ROWS_PER_LANG, MAX_CHARS, LANGS, GRAMS = 1000, 20_000, 64, 50_000
+#: Bounds of the training sample: rows of each language, characters of a row, n-grams kept of a language.
+ROWS_PER_LANG, MAX_CHARS, GRAMS = 1000, 20_000, 50_000
 #: Nats that a change of language costs.
 PENALTY = 12.0
 CACHE = 200_000
@@ -195,18 +195,26 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFra
 
 
 def train(docs: DataFrame, where: Column | None = None, rows_per_lang: int = ROWS_PER_LANG, max_chars: int = MAX_CHARS) -> Model:
-    """Fit on about rows_per_lang rows of each language, drawn by a hash of the id, of the rows that `where` holds for."""
+    """Fit on about rows_per_lang rows of each language, drawn by a hash of the id, of the rows that `where` holds for.
+
+    Every language is learned. Rows of at most max_chars characters are drawn; of a language that has a letter in none of
+    those, the longer rows, of which the stretch of max_chars characters from the first letter on teaches. The rows of the
+    least hash are drawn in any case.
+    """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if where is None else where))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
-    if not counts:
+    draw, long = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)), F.length("text") > max_chars
+    lettered = known.filter(F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang", draw.alias("_draw"), long.alias("_long"))
+    of = lettered.groupBy("lang", "_long").agg(F.count("*").alias("n"), F.min("_draw").alias("least")).collect()
+    if not of:
         return fit([])
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r.lang, min(1.0, rows_per_lang / r["count"])).otherwise(share)
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000
-    taken = known.filter(drawn & F.length("text").between(1, max_chars)).select("doc_id", "text", "lang")
-    # Repeated ids could exceed the share; the limit keeps the stated bound.
-    got = taken.limit(2 * rows_per_lang * len(counts)).collect()
+    used = {r.lang: r for r in sorted(of, key=lambda r: not r["_long"])}  # short ones replace long ones
+    plan = [(r.lang, r["_long"], max(int(min(1.0, rows_per_lang / r.n) * 1_000_000), r.least + 1)) for r in used.values()]
+    bounds = docs.sparkSession.createDataFrame(plan, "lang string, _long boolean, _bound long")
+    taken = lettered.join(F.broadcast(bounds), ["lang", "_long"]).filter("_draw < _bound")
+    stretch = F.when(F.col("_long"), F.substr(F.regexp_replace("text", r"^\P{L}+", ""), F.lit(1), F.lit(max_chars))).otherwise(F.col("text"))
+    # Repeated ids could exceed the share; the limit keeps the stated bound for each language.
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "doc_id", F.xxhash64("text")))
+    got = taken.select("doc_id", stretch.alias("text"), "lang", "_draw").withColumn("_nth", nth).filter(F.col("_nth") <= 2 * rows_per_lang).select("doc_id", "text", "lang").collect()
     return fit([(r.text, r.lang) for r in sorted(got, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang, r.text))])
 
 

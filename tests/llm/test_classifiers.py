@@ -133,3 +133,24 @@ def test_languages_of_defined_cases(docs, clashing):
     empty = language.classify(docs([]))
     assert empty.count() == 0
     assert language.label("the dog", language.Words(language.fit([]))) == ("und", 0.0, [])
+
+
+def test_every_language_is_learned(docs):
+    letters = "abcdefghijklmnop"
+    word = lambda k: letters[k // 16] + letters[k % 16] + "zzq"
+    rows = [(2 * k + j, f"{word(k)} {word(k)}", f"l{k:02}") for k in range(70) for j in range(2)]
+    m = language.train(docs(rows))
+    assert m.langs == [f"l{k:02}" for k in range(70)]
+    words = language.Words(m)
+    assert all(language.label(f"{word(k)} {word(k)}", words)[0] == f"l{k:02}" for k in range(70))
+
+
+def test_a_language_of_long_texts_is_learned(docs):
+    rows = [(0, "the house and the dog", "en"), (1, "1 " * 20_000 + "das haus und der hund " * 2_000, "de"), (2, "das haus " * 10_000, "de"), (3, "12", "de")]
+    m = language.train(docs(rows))
+    assert m.langs == ["de", "en"] and language.label("und der hund", language.Words(m))[0] == "de"
+
+
+def test_repeated_ids_leave_room_for_other_languages(docs):
+    rows = [(7, f"the house {k}", "en") for k in range(200)] + [(k, "das haus und der hund", "de") for k in range(3)]
+    assert language.train(docs(rows), rows_per_lang=20).langs == ["de", "en"]

@@ -20,6 +20,7 @@ from ..functions.dims import NOT_SOURCES, SOURCE_CONFIDENCE, SOURCE_FALLBACKS, S
 ALL_EXTERNAL = frozenset("INT_ADD INT_SUB INT_MULT INT_DIV INT_AND INT_OR INT_XOR INT_LEFT".split())
 CARRY_MULT = frozenset("INT_MULT COPY INT_ZEXT INT_SEXT INT_ADD INT_SUB INT_LEFT PTRADD PTRSUB CAST SUBPIECE".split())
 CARRY_CHECK = frozenset("COPY INT_ZEXT INT_SEXT INT_ADD INT_SUB CAST INT_MULT".split())
+ALIAS = frozenset("COPY CAST INT_ZEXT INT_SEXT PTRADD PTRSUB".split())
 COMPARE = frozenset("INT_LESS INT_LESSEQUAL INT_SLESS INT_SLESSEQUAL INT_EQUAL INT_NOTEQUAL".split())
 ALLOCATORS = frozenset("malloc calloc realloc reallocarray valloc pvalloc png_malloc png_malloc_warn png_calloc png_realloc_array g_malloc_n _TIFFmalloc _TIFFrealloc xmlMalloc sqlite3Malloc OPENSSL_malloc CRYPTO_malloc".split())
 COPY_SINKS = frozenset("memcpy memmove bcopy _TIFFmemcpy png_memcpy".split())
@@ -149,7 +150,8 @@ class Walk:
             frees = rule is not None and at(rule.frees_at) == hit
             self.report(seq, "double_free" if frees else "use_after_free", name, "STRUCTURAL_MATCH", DOUBLE_FREE if frees else FREED, hit)
         if rule is None:
-            self._unknown(o, name)
+            if name not in self.summaries:
+                self._unknown(o, name)
         else:
             self._sink(seq, name, rule, args, at)
             reason = Mark(f"external:{name}", True, max(source_confidence(name), 0.5))
@@ -391,7 +393,8 @@ def flow_steps(walked: DataFrame) -> DataFrame:
 def summaries_by_level(ops: DataFrame, levels: DataFrame) -> dict[str, list[tuple[int, str]]]:
     """Effects of each function's parameters, callees before callers: {fn: [(parameter, effect)]}.
 
-    One walk per parameter position with that one parameter tainted; effects are `return` and `frees`. Levels come from
+    One walk per parameter position with that one parameter tainted; effects are `return`, `frees` and `mem:i` (what
+    parameter i points at). Levels come from
     graph.levels; members of cycles are walked last, with what is known by then. The result is a dimension of functions.
     """
     known: dict[str, list[tuple[int, str]]] = {}
@@ -418,6 +421,10 @@ def effects(fn: str, rows: list[dict], rules: dict[str, Rule], known: dict) -> l
     """What a function does with each of its parameters: (position, effect)."""
     made = {o["out"] for o in rows if o["out"]}
     params = list(dict.fromkeys(a for o in rows for a in o["args"] if a and a.startswith("VAR_") and a not in made))
+    alias = {p: i for i, p in enumerate(params)}
+    for o in rows:
+        if o["op"] in ALIAS and o["out"] and o["out"] not in alias and (of := next((a for a in o["args"] if a in alias), None)):
+            alias[o["out"]] = alias[of]
     found = []
     for i, p in enumerate(params):
         w = Walk(rules, known)
@@ -425,7 +432,8 @@ def effects(fn: str, rows: list[dict], rules: dict[str, Rule], known: dict) -> l
         for o in rows:
             o["fn"] = fn
             if o["op"] in ("CALL", "CALLIND"):
-                w.call(o)
+                if any(w.seen(a) for a in o["args"]):  # what other calls take in isn't this parameter's doing
+                    w.call(o)
             elif o["op"] == "STORE":
                 w.store(o)
             elif o["op"] == "LOAD":
@@ -436,4 +444,5 @@ def effects(fn: str, rows: list[dict], rules: dict[str, Rule], known: dict) -> l
             found.append((i, "return"))
         if p in w.freed:
             found.append((i, "frees"))
+        found += [(i, f"mem:{k}") for k in sorted({alias[v] for v in w.memory if v in alias})]
     return found

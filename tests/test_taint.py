@@ -89,3 +89,13 @@ def test_nested_records_become_flat_operations(spark):
     df = spark.createDataFrame([("f", "0x1", "int f()", 3, 0.0, ["strcpy"], None, None, ops_)], FUNCTION)
     got = [(r.seq, r.op, r.callee, r.args) for r in ops.flat(df).orderBy("seq").collect()]
     assert got == [(0, "LOAD", None, ["V0"]), (1, "CALL", "strcpy", ["V1", "V2"])]
+
+
+def test_effects_on_memory_of_parameters():
+    copies = program(("COPY", "VAR_d", ("VAR_0",)), ("LOAD", "VAR_v", ("VAR_1",)), ("PTRADD", "VAR_e", ("VAR_d", "const(0x8)")), ("STORE", None, ("const(0x1)", "VAR_e", "VAR_v")))
+    assert (1, "mem:0") in taint.effects("copies", copies, RULES, {})
+    known = {"copies": [(1, "mem:0")]}
+    passes = program(("CALL", None, ("VAR_a", "VAR_b"), {"callee": "copies"}))
+    assert taint.effects("passes", passes, RULES, known) == [(1, "mem:0")]
+    other = program(RECV, ("COPY", "VAR_d", ("VAR_0",)))
+    assert taint.effects("other", other, RULES, {}) == []

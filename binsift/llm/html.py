@@ -2,11 +2,19 @@
 
 Pass one classifies each text block by stop-word density, length and link density as good, bad or undecided; page
 furniture (menus, headers and footers of the page, sidebars, forms, adverts, notices, comments), told by element or by
-class and id tokens, is bad outright. Where no block of a page has the stop words of a known language, length and link
-density alone tell good from bad. Pass two gives undecided blocks, which are short, the label of the nearest decided
-neighbour inside the same article element (ties go to good); undecided blocks without one are bad.
+class and id tokens, is bad outright. Tokens that articles use too (`legal`, `related`, `search`, ...) only count outside
+of article elements, and not at all on a page that would have no text otherwise. Article elements decide for their page
+unless more good text stands outside of them; then they are teasers. Where most text of a page has the stop words of no
+known language, length and link density alone tell good from bad. Pass two gives undecided blocks, which are short, the
+label of the nearest decided neighbour inside the same article element (ties go to good); undecided blocks without one
+are bad.
 
-Defined results: null, empty and text-less pages give the empty text. Unclosed elements end with their parent. Character
+The page is read once from left to right: every search for an end (of a quote, a comment, an element) is remembered until
+it is passed, so time grows with the length of a page whatever stands in it.
+
+Defined results: null, empty and text-less pages give the empty text. Unclosed elements end with their parent; what has
+no end tag although it needs one (script, style, svg, ...) hides no more than the text up to the next tag, an unclosed
+comment ends at the next `>`, an unclosed quote at the end of its tag, an unfinished last tag is no text. Character
 references are decoded once. Repeated rows give repeated results. Extra columns of the input are ignored.
 """
 
@@ -14,6 +22,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,35 +33,45 @@ from pyspark.sql import functions as F
 from ._spark import arrow_map
 
 SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks int, n_kept int"
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|head|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
-BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose content is page furniture wherever they stand.
-FURNITURE = frozenset("nav aside form footer button dialog menu".split())
+FURNITURE = frozenset("nav aside footer button dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Elements whose content is no markup, and elements whose content isn't shown as text.
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+UNSEEN = frozenset("svg math object canvas select template noscript audio video datalist".split())
+#: Of those, the ones that the start of a block ends.
+FOREIGN = frozenset("svg math select canvas".split())
+#: Elements that their next sibling ends.
+SIBLINGS = frozenset("p li option td th tr dt dd".split())
 #: Tokens of class, id and role that name page furniture.
 CUES = frozenset(
-    "ad ads advert adverts advertisement adverts advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login"
-    " nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar aside widget widgets related recommended recommendations share sharing social comment comments reply replies discussion disqus footer masthead topbar toolbar copyright legal search form".split()
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo banner cookie cookies consent gdpr popup modal newsletter subscribe subscription"
+    " nav navbar navigation breadcrumb breadcrumbs pagination pager sidebar share sharing comment comments reply replies disqus footer masthead topbar toolbar".split()
 )
-CUE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Tokens that name it only outside of articles, and tokens of articles that stand for others.
+DOUBTFUL = frozenset("notice notices alert overlay signup login menu aside widget widgets related recommended recommendations promotion social discussion copyright legal search form header".split())
+TEASER = frozenset("teaser teasers card preview excerpt".split())
 PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
-ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-#: What only attributes of hidden elements hold, and the declarations that hide in a style.
-MAY_HIDE = re.compile(r"hidden|display", re.I)
 HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:;|!|$)", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 #: The most frequent function words of English, German, French and Spanish.
-LISTS = [
-    frozenset("the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were her all she there would their we him been has when who will more no if out so what up said its about into than them can only other".split()),
-    frozenset("der die und den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch".split()),
-    frozenset("le la les de des et un une du en est que qui dans pour au par sur pas plus ne se ce il elle avec sont aux son cette ou mais nous vous leur être comme tout fait".split()),
-    frozenset("el los las y del que en por con para una su al lo como más pero sus este ya entre porque cuando muy sin sobre también hasta hay donde quien desde todo nos durante".split()),
-]
-STOP_WORDS = frozenset().union(*LISTS)
+STOP_WORDS = frozenset(
+    (
+        "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were her all she there would their we him been has when who will more no if out so what up said its about into than them can only other"
+        " der die und den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch"
+        " le la les de des et un une du en est que qui dans pour au par sur pas plus ne se ce il elle avec sont aux son cette ou mais nous vous leur être comme tout fait"
+        " el los las y del que en por con para una su al lo como más pero sus este ya entre porque cuando muy sin sobre también hasta hay donde quien desde todo nos durante"
+    ).split()
+)
+
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)>")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_GAP = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)\s*(=\s*)?")
+_BARE = re.compile(r"[^\s>]*")
+_AFTER_QUOTE = frozenset(" \t\n\r\f/>")
+_BREAK = re.compile(r"<(?:p|div|article|main|section|h[1-6]|ul|ol|table|body)(?=[\s/>])", re.I)
 
 
 @dataclass
@@ -71,131 +90,248 @@ class Block:
     text: str
     linked: int
     furniture: bool
+    doubtful: bool
     article: int
     label: str = ""
 
 
-def _cued(attrs: str) -> bool:
-    for m in CUE.finditer(attrs):
-        if CUES & set(PARTS.split((m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return False
+class Scanner:
+    """Tags and texts of a page, in one pass over it."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.next: dict[str, int] = {}
+        self.ends: dict[str, int] = {}
+        self.pairs: dict[str, dict[int, int]] = {}
+
+    def find(self, what: str, at: int) -> int:
+        """Place of the next `what`, -1 if there is none; each stretch of the page is searched once."""
+        known = self.next.get(what, 0)
+        if known == -1 or known > at:
+            return known
+        self.next[what] = found = self.page.find(what, at)
+        return found
+
+    def end_tag(self, name: str, at: int) -> int:
+        """Place after the next end tag of a raw element, -1 if there is none."""
+        known = self.ends.get(name, 0)
+        if known == -1 or known > at:
+            return known
+        m = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(self.page, at)
+        self.ends[name] = m.end() if m else -1
+        return self.ends[name]
+
+    def partner(self, name: str, at: int) -> int:
+        """Place after the end tag that belongs to the start tag at a place, -1 if none does."""
+        if name not in self.pairs:
+            pairs: dict[int, int] = {}
+            opened: list[int] = []
+            for m in re.compile(rf"<(/?){name}(?=[\s/>])", re.I).finditer(self.page):
+                if not m[1]:
+                    opened.append(m.start())
+                elif opened:
+                    pairs[opened.pop()] = m.start()
+            self.pairs[name] = pairs
+        return self.pairs[name].get(at, -1)
+
+    def attributes(self, at: int) -> tuple[dict[str, str], int, bool]:
+        """Attributes from a place inside a tag on, the place after its end, whether it closes itself."""
+        page, n, out = self.page, len(self.page), {}
+        while True:
+            gap = _GAP.match(page, at)
+            at = gap.end()
+            if at >= n or page[at] == ">":
+                return out, min(at + 1, n), gap[0].endswith("/")
+            m = _ATTRIBUTE.match(page, at)
+            at, value = m.end(), ""
+            if m[2]:
+                quote = page[at : at + 1]
+                end = self.find(quote, at + 1) if quote in ('"', "'") else -1
+                # What follows the end of a value tells a quote from an apostrophe of a text further on.
+                if end >= 0 and (page[end + 1 : end + 2] in _AFTER_QUOTE or end + 1 == n or page.find(">", at, end) < 0):
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    bare = _BARE.match(page, at)
+                    value, at = bare[0].strip("\"'"), bare.end()
+            out.setdefault(m[1].lower(), value)
+
+    def tokens(self) -> Iterator[tuple[str, str, bool, dict[str, str]]]:
+        """(text, name, closing, attributes): a text without name, or a tag."""
+        page, at, n = self.page, 0, len(self.page)
+        none: dict[str, str] = {}
+        while at < n:
+            lt = page.find("<", at)
+            if lt < 0:
+                yield page[at:], "", False, none
+                return
+            if lt > at:
+                yield page[at:lt], "", False, none
+            if m := _PLAIN.match(page, lt):
+                name, closing, attrs, at, selfish = m[2].lower(), bool(m[1]), none, m.end(), False
+            elif page.startswith("<!--", lt):
+                at = lt + 4 if page.startswith(("<!-->", "<!--->"), lt) else self.find("-->", lt + 4)
+                at = self.find(">", lt if at < 0 else at) + 1 or n
+                continue
+            elif page.startswith(("<!", "<?"), lt):
+                at = self.find(">", lt) + 1 or n
+                continue
+            elif page.startswith("</", lt):
+                m = _NAME.match(page, lt + 2)
+                at = self.find(">", lt) + 1 or n
+                if not m:
+                    continue
+                name, closing, attrs, selfish = m[0].lower(), True, none, False
+            elif m := _NAME.match(page, lt + 1):
+                name, closing = m[0].lower(), False
+                attrs, at, selfish = self.attributes(m.end())
+            else:
+                yield "<", "", False, none
+                at = lt + 1
+                continue
+            if not closing and (name in RAW or name in UNSEEN and not selfish):
+                at = self._beyond(name, lt, at)
+                continue
+            yield "", name, closing, attrs
+
+    def _beyond(self, name: str, lt: int, at: int) -> int:
+        """Place after an element whose content isn't text: its end tag, or the next tag if it has none."""
+        if name in RAW:
+            end = self.end_tag(name, at)
+        else:
+            end = self.partner(name, lt)
+            if end >= 0 and name in FOREIGN and (m := _BREAK.search(self.page, at, end)):
+                return m.start()
+        if end >= 0:
+            return end
+        end = self.page.find("<", at) if name in RAW else at
+        return len(self.page) if end < 0 else end
+
+
+def _tokens_of(attrs: dict[str, str]) -> set[str]:
+    """Tokens of class, id and role."""
+    found: set[str] = set()
+    for key in ("class", "id", "role"):
+        if value := attrs.get(key):
+            found.update(PARTS.split(value.lower()))
+    return found
 
 
-def _hidden(attrs: str) -> bool:
+def _hidden(attrs: dict[str, str]) -> bool:
     """Whether attributes hide their element: hidden, aria-hidden=true, display:none or visibility:hidden in its style."""
-    if MAY_HIDE.search(attrs):
-        for m in ATTRIBUTE.finditer(attrs):
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip()
-            if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDING.search(value):
-                return True
-    return False
+    return "hidden" in attrs or attrs.get("aria-hidden", "").strip().lower() == "true" or bool(HIDING.search(attrs.get("style", "")))
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order, with the number of linked characters, whether furniture, and the article they stand in."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # open block elements: name, furniture below it, article number
+    stack: list[tuple[str, bool, bool, int]] = []  # open elements: name, furniture and doubtful below it, article number
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked = links = articles = breaks = 0
-    furniture, article = False, 0
+    furniture, doubtful, article = False, False, 0
 
     def flush() -> None:
         nonlocal linked, breaks
-        text = " ".join(entities.unescape("".join(parts)).split())
-        if text:
-            out.append(Block(text, min(linked, len(text)), furniture, article))
-        parts.clear()
+        if parts:
+            text = " ".join(entities.unescape("".join(parts)).split())
+            if text:
+                out.append(Block(text, min(linked, len(text)), furniture, doubtful, article))
+            parts.clear()
         linked = breaks = 0
 
-    for m in TOKEN.finditer(page):
-        text = m["text"]
-        if text is not None:
+    def pop() -> str:
+        nonlocal furniture, doubtful, article
+        name = stack.pop()[0]
+        opened[name] -= 1
+        furniture, doubtful, article = stack[-1][1:] if stack else (False, False, 0)
+        return name
+
+    for text, name, closing, attrs in Scanner(page).tokens():
+        if not name:
             parts.append(text)
             if links:
                 linked += len(text.strip())
             if breaks and not text.isspace():
                 breaks = 0
             continue
-        name = m["name"]
-        if name is None:
-            continue
-        name = name.lower()
         if name == "a":
-            links = 0 if m["close"] else 1
-        elif name == "br":
+            links = 0 if closing else 1
+            continue
+        if name == "br":
             breaks += 1
             parts.append(" ")
             if breaks == 2:
                 flush()
-        elif name in BLOCK or name in FURNITURE or name == "span" and not m["close"] and m["attrs"] and _cued(m["attrs"]):
-            flush()
-            links = 0
-            if name in VOID:
-                continue
-            if not m["close"]:
-                if stack and stack[-1][0] == name in ("p", "li", "option", "td", "th", "tr", "dt", "dd"):
-                    stack.pop()
-                    furniture, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-                elif stack and stack[-1][0] == "p":  # a block element ends an open paragraph
-                    stack.pop()
-                    furniture, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-                attrs = m["attrs"]
-                if name in ("article", "main") and not article:
-                    articles += 1
-                    article = articles
-                    if articles == 1:  # what wraps the page's article isn't furniture, whatever its class says
-                        furniture = any(x[0] in FURNITURE for x in stack)
-                elif name in FURNITURE or name == "header" and not article:
-                    furniture = True
-                if attrs and name not in ("body", "html", "main") and (_hidden(attrs) or _cued(attrs) and name != "article"):
-                    furniture = True
-                if name == "article" and attrs and _cued(attrs) and stack and any(x[2] for x in stack):
-                    furniture = True
-                stack.append((name, furniture, article))
-            elif any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
+            continue
+        tokens = _tokens_of(attrs) if attrs else set()
+        if name not in BLOCK and not (name == "span" and (tokens & CUES or closing and stack and stack[-1][0] == "span")):
+            continue
+        flush()
+        links = 0
+        if name in VOID:
+            continue
+        if closing:
+            if opened[name]:
+                while pop() != name:
                     pass
-                furniture, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-        elif name == "span" and m["close"] and any(x[0] == "span" for x in stack) and stack[-1][0] == "span":
-            flush()
-            stack.pop()
-            furniture, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+            continue
+        if stack and (stack[-1][0] == "p" and name != "span" or stack[-1][0] == name in SIBLINGS):
+            pop()  # a block ends an open paragraph, a list item the one before it
+        cued = bool(tokens & CUES) and name not in ("html", "body", "main")
+        if name in ("article", "main") and not article:
+            articles += 1
+            article = articles
+            if articles == 1:  # what wraps the page's article isn't furniture for its class
+                furniture = any(opened[x] for x in FURNITURE)
+            doubtful = cued or bool(tokens & TEASER)
+        elif name in FURNITURE or cued or name == ("form" if article else "header"):
+            furniture = True
+        elif not article and (name == "form" or tokens & DOUBTFUL and name not in ("html", "body")):
+            doubtful = True
+        if attrs and name not in ("html", "body") and _hidden(attrs):
+            furniture = True
+        stack.append((name, furniture, doubtful, article))
+        opened[name] += 1
     flush()
     return out
 
 
-def _told(found: list[Block], rules: Rules) -> bool:
-    """Whether stop words tell anything about a page: a block of it has those of one known language as its text has."""
-    for b in found:
-        if not b.furniture and len(b.text) >= rules.short and b.linked <= rules.links * len(b.text):
-            words = WORD.findall(b.text.lower())
-            if any(sum(w in known for w in words) >= rules.stop_high * max(1, len(words)) for known in LISTS):
-                return True
-    return False
+def _density(text: str) -> float:
+    words = WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
 
 
-def classify(found: list[Block], rules: Rules) -> list[Block]:
-    """Set every block's label to good or bad by the two passes."""
-    inside = any(b.article and not b.furniture for b in found)
-    told = inside or _told(found, rules)
-    for b in found:
+def _first_pass(found: list[Block], rules: Rules, doubts: bool) -> None:
+    """Labels by furniture, article elements, length, link density and stop-word density."""
+    text_of = [not (b.furniture or doubts and b.doubtful or b.linked > rules.links * len(b.text)) for b in found]
+    inside = sum(len(b.text) for b, ok in zip(found, text_of) if ok and b.article)
+    # Stop words, of the blocks that need them: those outside of articles.
+    dense = {i: _density(b.text) for i, (b, ok) in enumerate(zip(found, text_of)) if ok and not b.article and len(b.text) >= rules.short}
+    known = sum(len(found[i].text) for i, d in dense.items() if d >= rules.stop_low)
+    told = known >= sum(len(found[i].text) for i in dense) - known
+    for i, b in enumerate(found):
         n = len(b.text)
-        if b.furniture or b.linked > rules.links * n or inside and not b.article:
+        if not text_of[i]:
             b.label = "bad"
         elif n < rules.short:
             b.label = "undecided"
-        elif not told:
+        elif b.article or not told or dense[i] >= rules.stop_high:
             b.label = "good"
+        elif dense[i] >= rules.stop_low:
+            b.label = "good" if n >= rules.long else "undecided"
         else:
-            words = WORD.findall(b.text.lower())
-            density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            if density >= rules.stop_high or b.article:
-                b.label = "good"
-            elif density >= rules.stop_low:
-                b.label = "good" if n >= rules.long else "undecided"
-            else:
-                b.label = "bad"
+            b.label = "bad"
+    outside = sum(len(b.text) for b in found if b.label == "good" and not b.article)
+    for b in found:
+        if bool(b.article) == (inside < outside) and inside:
+            b.label = "bad"
+
+
+def classify(found: list[Block], rules: Rules) -> list[Block]:
+    """Set every block's label to good or bad by the two passes."""
+    _first_pass(found, rules, True)
+    if any(b.doubtful for b in found) and not any(b.label == "good" or b.label == "undecided" and b.article for b in found):
+        _first_pass(found, rules, False)
     # Nearest decided neighbour of the same article on either side; furniture decides only for text outside articles.
     near: list[list[tuple[int, str]]] = [[] for _ in found]
     for order in (range(len(found)), range(len(found) - 1, -1, -1)):

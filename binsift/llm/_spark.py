@@ -8,7 +8,6 @@ import gc
 import io
 import os
 import tempfile
-import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -23,8 +22,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes of strings that Python code is given at a time.
 SLICE = 2 << 20
-#: Rows that Spark hands Python at a time.
-BATCH_ROWS, MOST_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+#: Setting that lets Spark drop a query's shuffle files when the query is over.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _shipped: set[str] = set()
 _tables: list[tuple[SparkSession, str]] = []
@@ -75,11 +74,8 @@ def in_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE) -> Iterator
 
 
 def arrow_map(df: DataFrame, fn: Mapper, schema: str | StructType) -> DataFrame:
-    """mapInArrow over small batches, with the package on the executors."""
-    spark = df.sparkSession
-    ship(spark)
-    if int(spark.conf.get(BATCH_ROWS)) > MOST_ROWS:  # texts are long: batches of Spark's default size hold too much
-        spark.conf.set(BATCH_ROWS, MOST_ROWS)
+    """mapInArrow over small slices of batches, with the package on the executors."""
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(in_slices(batches))
@@ -93,30 +89,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of this process where that is unset (tests, local mode)."""
+    """The folder of spark.checkpoint.dir. Only a session in local mode may leave it unset: it has one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not hasattr(shared_dir, "own"):
         shared_dir.own = tempfile.mkdtemp(prefix="binsift-shared-")
     return f"file://{shared_dir.own}"
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back: no lineage, nothing recomputed, lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/binsift-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _tables.append((df.sparkSession, path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def settle(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of queries that are over: it does so when the driver collects its garbage, and
-    in two turns, for what the first one finalises holds others."""
-    for _ in range(2):
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+    """df written once to the shared folder and read back: no lineage, nothing recomputed, lost executors cost nothing.
+    The shuffle files of the query that made it go when it is written; later queries read the table."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/binsift-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    _tables.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @atexit.register

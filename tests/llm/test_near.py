@@ -69,10 +69,60 @@ def test_defined_results(docs, clashing):
     rows = [(None, "a b c d e f"), (1, None), (2, ""), (3, "word " * 60_000), (4, "a b c d e f"), (4, "a b c d e f"), (5, "a b c d e f")]
     got = near.join(clashing(rows)).collect()
     assert len(got) == len(rows)
-    assert {(r.doc_id, r.group_id) for r in got} == {(None, None), (1, 1), (2, 2), (3, 3), (4, 4), (5, 4)}
+    assert {(r.doc_id, r.group_id) for r in got} == {(None, 4), (1, 1), (2, 2), (3, 3), (4, 4), (5, 4)}
+    assert {r.n_links for r in got if r.group_id == 4} == {3}
     assert near.join(docs([])).count() == 0
     kept = near.one_of_each(clashing(rows))
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "4", "None"] and "comp" in kept.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4] and "comp" in kept.columns
+    assert near.one_of_each(docs([(None, "a b"), (None, "a b"), (None, "c d")])).count() == 2
+    assert near.one_of_each(docs([])).count() == 0
+
+
+def by_row(rows):
+    """(doc_id, n_links, group_id) of rows that may repeat ids, by all pairs of rows."""
+    found = brute(list(enumerate(t for _, t in rows)))
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            root = found[k][1]
+            least[root] = min(i, least.get(root, i))
+    return sorted(((i, found[k][0], least.get(found[k][1])) for k, (i, _) in enumerate(rows)), key=repr)
+
+
+def test_rows_that_repeat_ids_with_one_text_or_several(docs):
+    a, b = (" ".join(f"{x}{k}" for k in range(80)) for x in "ab")
+    rows = [(5, a), (5, b), (6, a + " z"), (7, b + " z"), (None, b + " y"), (None, "none like it at all here"), (8, a), (8, a)]
+    draw = random.Random(9)
+    rows += [(draw.randrange(20, 30), t) for t in family(draw, 25, 2) + family(draw, 10, 1)]
+    got = near.join(docs(rows))
+    assert sorted(((r.doc_id, r.n_links, r.group_id) for r in got.collect()), key=repr) == by_row(rows)
+    kept = near.one_of_each(docs(rows))
+    groups = {root for _, root in brute(list(enumerate(t for _, t in rows))).values()}
+    assert kept.count() == len(groups) and near.join(kept).filter("n_links > 0").count() == 0
+
+
+def test_a_long_chain_of_unlike_texts(docs):
+    words = [f"w{k}" for k in range(500)]
+    rows = [(k, " ".join(words[4 * k : 4 * k + 100])) for k in range(80)]
+    wanted = brute(rows)
+    for block in (near.BLOCK, 8):
+        got = {r.doc_id: (r.n_links, r.group_id) for r in near.join(docs(rows), block=block).collect()}
+        assert got == wanted
+
+
+def test_recall_at_the_threshold(docs):
+    """Pairs of a similarity just above the threshold, each pair by itself."""
+    draw, rows = random.Random(12), []
+    for k in range(400):
+        w = [f"p{k}x{j}" for j in range(94)]  # 90 n-grams; one changed word at 10 from an end spoils 5, two 10
+        v = list(w)
+        v[20], v[60] = "changed", "too"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    draw.shuffle(rows)
+    s = sets(dict(rows))
+    assert 0.8 <= len(s[0] & s[1]) / len(s[0] | s[1]) < 0.81
+    found = near.join(docs(rows)).filter("n_links = 1").count() / 800
+    assert found >= 0.985
 
 
 def test_band_plan_reaches_its_recall():

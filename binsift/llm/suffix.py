@@ -5,17 +5,18 @@ size, without sorting all suffixes of the corpus:
 
 1. Anchors. In each window of a text the least hash of its runs of ANCHOR bytes marks an anchor; equal strings of `length`
    bytes have equal anchors at equal places, so a string can only repeat where an anchor repeats.
-2. Contexts. Around each repeated anchor stands all that strings over it can hold. Equal contexts are counted as one.
-3. Suffix sort. The contexts of an anchor are sorted by what follows it and by what precedes it (read backwards), in a
-   mergesort whose comparisons find the common extension by binary search on prefix polynomial hashes, and are verified
-   on the bytes. In sorted order, common extensions of at least r bytes form classes; a string over the anchor repeats if
-   another context is in its class on both sides.
-4. Anchors with very many contexts don't go to one task: their strings are counted one by one, on their place
-   over the anchor and the 64-bit hashes of both.
+2. Contexts. Around each repeated anchor stands all that strings over it can hold. Equal contexts, told by 128 bits of
+   hash, are counted as one; so are equal texts.
+3. Suffix sort. The contexts of an anchor are sorted by the anchor with what follows it and by what precedes it (read
+   backwards), in a mergesort whose comparisons find the common extension by binary search on prefix polynomial hashes,
+   and are verified on the bytes. In sorted order, common extensions of at least r bytes form classes; a string over the
+   anchor repeats if another context is in its class on both sides.
+4. Anchors with very many contexts don't go to one task: their strings are counted one by one, each by its place over
+   the anchor and its bytes.
 5. The repeated strings of each context go back to the places it stands at, and the bytes are cut.
 
-Defined results: null counts as empty. Texts shorter than `length` lose nothing. Rows that repeat an id and text are
-documents of their own, so each repeats the other. Null ids are kept. Extra columns of the input are ignored. Empty
+Defined results: null counts as empty. Texts shorter than `length` lose nothing. Rows that repeat an id or text, or both,
+are documents of their own, so equal texts repeat each other; work grows in proportion to their number. Null ids are kept. Extra columns of the input are ignored. Empty
 tables give empty tables.
 """
 
@@ -169,11 +170,11 @@ class Suffixes:
         return bool((ended | ((n < self.size[j]) & (self.data[np.minimum(self.start[i] + n, len(self.data) - 1)] < self.data[np.minimum(self.start[j] + n, len(self.data) - 1)]))).all())
 
 
-def repeated_strings(group: np.ndarray, left: list[bytes], right: list[bytes], many: np.ndarray, around: int) -> np.ndarray:
+def repeated_strings(group: np.ndarray, left: list[bytes], right: list[bytes], many: np.ndarray, around: int, anchor: int = 0) -> np.ndarray:
     """For each context (row) and each number x of bytes before the anchor (column): does that string repeat?
 
-    left holds the bytes before the anchor read backwards, right those after it; a string takes x of the one and around - x
-    of the other. Contexts that stand at many places repeat all their strings.
+    left holds the bytes before the anchor read backwards, right the anchor and those after it; a string takes x of the one
+    and anchor + around - x of the other. Contexts that stand at many places repeat all their strings.
     """
     n = len(left)
     size_l, size_r = np.fromiter(map(len, left), np.int64, n), np.fromiter(map(len, right), np.int64, n)
@@ -181,11 +182,11 @@ def repeated_strings(group: np.ndarray, left: list[bytes], right: list[bytes], m
     out = np.zeros((n, around + 1), dtype=bool)
     class_l, class_r = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
     for x in range(around + 1):
-        rows = np.flatnonzero((size_l >= x) & (size_r >= around - x))
+        rows = np.flatnonzero((size_l >= x) & (size_r >= anchor + around - x))
         if not rows.size:
             continue
         class_l[order_l] = np.cumsum(common_l < x)
-        class_r[order_r] = np.cumsum(common_r < around - x)
+        class_r[order_r] = np.cumsum(common_r < anchor + around - x)
         key = class_l[rows] * (n + 1) + class_r[rows]
         by = np.argsort(key)
         key = key[by]
@@ -203,7 +204,7 @@ def _raw(text: str | None) -> bytes:
 
 
 def _anchor_rows(docs: DataFrame, length: int, anchor: int) -> DataFrame:
-    """(h, row, spot) of every anchor of every text; spot holds its position above the text's 32-bit key."""
+    """(h, t1, t2, at) of every anchor of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -211,45 +212,46 @@ def _anchor_rows(docs: DataFrame, length: int, anchor: int) -> DataFrame:
                 part = b.slice(lo, 256)
                 found = [anchors(_raw(t), length, anchor) for t in part.column("text").to_pylist()]
                 n = [len(at) for at, _ in found]
-                row = np.repeat(part.column("row").to_numpy(zero_copy_only=False), n)
-                key = np.repeat(part.column("key").to_numpy(zero_copy_only=False).astype(np.int64) & 0xFFFFFFFF, n)
-                spot = np.concatenate([at for at, _ in found]) << 32 | key
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for _, h in found]).view(np.int64)), pa.array(row), pa.array(spot)], ["h", "row", "spot"])
+                keys = [pa.array(np.repeat(part.column(c).to_numpy(zero_copy_only=False), n)) for c in ("t1", "t2")]
+                at = np.concatenate([at for at, _ in found]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for _, h in found]).view(np.int64)), *keys, pa.array(at)], ["h", "t1", "t2", "at"])
 
-    return arrow_map(docs.filter(F.octet_length("text") >= length).select("row", "key", "text"), run, "h long, row long, spot long")
+    return arrow_map(docs.filter(F.octet_length("text") >= length).select("t1", "t2", "text"), run, "h long, t1 long, t2 long, at int")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """(row, key, doc_id, packed): compressed texts, for the shuffle."""
+    """(t1, t2, doc_id, packed): compressed texts, for the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("key"), b.column("doc_id"), pa.array([pack(_raw(t)) for t in b.column("text").to_pylist()], pa.binary())], ["row", "key", "doc_id", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column("t1"), b.column("t2"), b.column("doc_id"), pa.array([pack(_raw(t)) for t in b.column("text").to_pylist()], pa.binary())], ["t1", "t2", "doc_id", "packed"])
 
-    return arrow_map(docs.select("row", "key", "doc_id", "text"), run, "row long, key int, doc_id long, packed binary")
+    return arrow_map(docs.select("t1", "t2", "doc_id", "text"), run, "t1 long, t2 long, doc_id long, packed binary")
 
 
 def unpack(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed, max_output_size=0) if packed else b""
 
 
-_CONTEXT = "kind int, row long, key int, doc_id long, packed binary, n_bytes long, kept_sha256 string, h long, s long, at int, many int, lefts binary, rights binary, w long"
+_CONTEXT = "kind int, t1 long, t2 long, doc_id long, packed binary, n_bytes long, kept_sha256 string, h long, s long, at int, many int, lefts binary, rights binary"
 
 
 def _contexts(joined: DataFrame, length: int, anchor: int) -> DataFrame:
     """Kinds of rows: 0 texts without a repeated anchor, finished; 1 other texts; 2 a place of a context; 3 a context
-    to sort, once per task; 4 a string of a context to count, once per task."""
+    to sort, once per task; 4 a string of a context to count, once per task. Equal texts come one after another: the
+    first gives its places and contexts, the second its contexts once more, those after it repeat nothing new."""
     around = length - anchor
     names = [x.split()[0] for x in _CONTEXT.split(", ")]
-    kinds = dict(zip(names, [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]))
+    kinds = dict(zip(names, [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]))
 
     def table(n: int, **columns: object) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in kinds.items()], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], list] = {}
-        counted: dict[tuple[int, int, int, int], int] = {}
+        counted: dict[tuple[int, int, int, bytes], int] = {}
+        last, copies = None, 0
 
         def out() -> Iterator[pa.RecordBatch]:
             if seen:
@@ -258,20 +260,24 @@ def _contexts(joined: DataFrame, length: int, anchor: int) -> DataFrame:
                 seen.clear()
             if counted:
                 k = list(counted)
-                for lo in range(0, len(k), 50_000):
-                    c = k[lo : lo + 50_000]
-                    yield table(len(c), kind=[4] * len(c), h=[x[0] for x in c], s=[x[1] for x in c], at=[x[2] for x in c], w=[x[3] for x in c], many=[counted[x] for x in c])
+                for lo in range(0, len(k), 10_000):
+                    c = k[lo : lo + 10_000]
+                    yield table(len(c), kind=[4] * len(c), h=[x[0] for x in c], s=[x[1] for x in c], at=[x[2] for x in c], lefts=[x[3] for x in c], many=[counted[x] for x in c])
                 counted.clear()
 
         for b in batches:
-            done, texts, raws, cuts, where, spots, prints, anchored, hots = [], [], [], [], [], [], [], [], []
+            done, texts, owners, fresh, raws, cuts, where, spots, prints, anchored, hots = ([] for _ in range(11))
             sizes = pc.list_value_length(b.column("ats")).fill_null(0).to_numpy(zero_copy_only=False)
             flat = [b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("ats", "hs", "hots")]
             ends = np.cumsum(sizes)
-            for row, tkey, doc_id, packed, n, end in zip(*(b.column(c).to_pylist() for c in ("row", "key", "doc_id", "packed")), sizes.tolist(), ends.tolist()):
+            for t1, t2, doc_id, packed, n, end in zip(*(b.column(c).to_pylist() for c in ("t1", "t2", "doc_id", "packed")), sizes.tolist(), ends.tolist()):
                 raw = unpack(packed)
                 if not n:
-                    done.append((row, doc_id, len(raw), hashlib.sha256(raw).hexdigest()))
+                    done.append((doc_id, len(raw), hashlib.sha256(raw).hexdigest()))
+                    continue
+                texts.append((t1, t2, doc_id, packed, len(raw)))
+                last, copies = (t1, t2), copies + 1 if last == (t1, t2) else 0
+                if copies > 1:
                     continue
                 at, h, hot = (x[end - n : end] for x in flat)
                 at = at.astype(np.int64)
@@ -284,7 +290,8 @@ def _contexts(joined: DataFrame, length: int, anchor: int) -> DataFrame:
                     else:
                         for q in range(k, min(k + 4096, n)):
                             s[q] = span_hash(prefix_hash(np.frombuffer(raw[lo[q] : hi[q]], np.uint8)), np.array([0]), np.array([hi[q] - lo[q]]))[0]
-                texts.append((row, tkey, doc_id, packed, len(raw)))
+                owners.append((t1, t2))
+                fresh.append(np.full(n, copies == 0))
                 raws.append(raw)
                 cuts.append((lo, hi))
                 where.append(np.full(n, len(raws) - 1))
@@ -295,30 +302,30 @@ def _contexts(joined: DataFrame, length: int, anchor: int) -> DataFrame:
             if raws:
                 at, s, h, doc, hot = (np.concatenate(x) for x in (spots, prints, anchored, where, hots))
                 lo, hi = (np.concatenate(x) for x in zip(*cuts))
-                yield table(len(at), kind=np.full(len(at), 2), row=np.array([x[0] for x in texts], dtype=np.int64)[doc], key=np.array([x[1] for x in texts], dtype=np.int32)[doc], h=h, s=s, at=at.astype(np.int32))
+                own, new = np.array(owners, dtype=np.int64), np.concatenate(fresh)
+                yield table(int(new.sum()), kind=np.full(int(new.sum()), 2), t1=own[doc[new], 0], t2=own[doc[new], 1], h=h[new], s=s[new], at=at[new].astype(np.int32))
                 cool = np.flatnonzero(~hot)
                 _, first, many = np.unique(s[cool], return_index=True, return_counts=True)
                 first = cool[first]
                 for k, g, p, d, x, y, z, m in zip(first.tolist(), h[first].tolist(), s[first].tolist(), doc[first].tolist(), lo[first].tolist(), at[first].tolist(), hi[first].tolist(), many.tolist()):
                     got = seen.get((g, p))
                     if got is None:
-                        seen[g, p] = [m, raws[d][x:y][::-1], raws[d][y + anchor : z]]
+                        seen[g, p] = [m, raws[d][x:y][::-1], raws[d][y:z]]
                     else:
                         got[0] += m
                 for k in np.flatnonzero(hot).tolist():
                     raw = raws[doc[k]]
-                    x = np.arange(lo[k], hi[k] - length + 1)
-                    if x.size:
-                        w = span_hash(prefix_hash(np.frombuffer(raw[lo[k] : hi[k]], np.uint8)), x - lo[k], x - lo[k] + length)
-                        for y, v in zip((at[k] - x).tolist(), w.view(np.int64).tolist()):
-                            key = (int(h[k]), int(s[k]), y, v)
-                            counted[key] = counted.get(key, 0) + 1
-                if len(seen) > 40_000 or len(counted) > 200_000:
+                    for x in range(int(lo[k]), int(hi[k]) - length + 1):
+                        key = (int(h[k]), int(s[k]), int(at[k]) - x, raw[x : x + length])
+                        counted[key] = counted.get(key, 0) + 1
+                    if len(counted) > 50_000:
+                        yield from out()
+                if len(seen) > 40_000:
                     yield from out()
             if done:
-                yield table(len(done), kind=[0] * len(done), row=[x[0] for x in done], doc_id=[x[1] for x in done], n_bytes=[x[2] for x in done], kept_sha256=[x[3] for x in done])
+                yield table(len(done), kind=[0] * len(done), doc_id=[x[0] for x in done], n_bytes=[x[1] for x in done], kept_sha256=[x[2] for x in done])
             if texts:
-                yield table(len(texts), kind=[1] * len(texts), row=[x[0] for x in texts], key=[x[1] for x in texts], doc_id=[x[2] for x in texts], packed=[x[3] for x in texts], n_bytes=[x[4] for x in texts])
+                yield table(len(texts), kind=[1] * len(texts), t1=[x[0] for x in texts], t2=[x[1] for x in texts], doc_id=[x[2] for x in texts], packed=[x[3] for x in texts], n_bytes=[x[4] for x in texts])
         yield from out()
 
     return arrow_map(joined, run, _CONTEXT)
@@ -334,7 +341,7 @@ def _sorted_contexts(contexts: DataFrame, length: int, anchor: int) -> DataFrame
         def done(rows: list[list]) -> pa.RecordBatch:
             h = np.array([r[0] for r in rows], dtype=np.int64)
             group = np.cumsum(np.concatenate(([0], h[1:] != h[:-1])))
-            found = repeated_strings(group, [r[3] for r in rows], [r[4] for r in rows], np.array([r[2] for r in rows]) > 1, around)
+            found = repeated_strings(group, [r[3] for r in rows], [r[4] for r in rows], np.array([r[2] for r in rows]) > 1, around, anchor)
             some = np.flatnonzero(found.any(1))
             return pa.RecordBatch.from_arrays(
                 [pa.array(h[some]), pa.array(np.array([r[1] for r in rows], dtype=np.int64)[some]), pa.array([x.tobytes() for x in np.packbits(found[some], axis=1)], pa.binary())], ["h", "s", "xs"]
@@ -388,22 +395,22 @@ def _cut(texts: DataFrame, length: int) -> DataFrame:
 def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left; null where nothing was removed)."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = own.withColumn("row", F.coalesce("doc_id", F.lit(-1 << 63))).withColumn("key", F.hash("text"))
+    # Texts are told apart by 128 bits of hash, whatever their ids.
+    keyed = own.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit(7), F.col("text")))
     places = _anchor_rows(keyed, length, anchor)
     counts = places.groupBy("h").agg(F.count("*").alias("n"))
     repeated = saved(counts.filter("n > 1"))
     found = places.join(repeated.select("h", (F.col("n") > HOT).alias("hot")), "h")
-    spots = found.select("row", F.expr("CAST(shiftright(shiftleft(spot, 32), 32) AS INT)").alias("key"), F.struct(F.shiftright("spot", 32).cast("int").alias("at"), "h", "hot").alias("place"))
-    by_row = saved(spots.groupBy("row", "key").agg(F.collect_list("place").alias("places")))
-    parts = saved(_contexts(_packed(keyed).join(by_row, ["row", "key"], "left").select("row", "key", "doc_id", "packed", F.col("places.at").alias("ats"), F.col("places.h").alias("hs"), F.col("places.hot").alias("hots")), length, anchor))
+    by_text = saved(found.groupBy("t1", "t2").agg(F.sort_array(F.collect_set(F.struct("at", "h", "hot"))).alias("places")))
+    parts = saved(_contexts(_packed(keyed).join(by_text, ["t1", "t2"], "left").select("t1", "t2", "doc_id", "packed", F.col("places.at").alias("ats"), F.col("places.h").alias("hs"), F.col("places.hot").alias("hots")), length, anchor))
     sorted_ = _sorted_contexts(parts.filter("kind = 3").select("h", "s", "many", "lefts", "rights"), length, anchor)
-    strings = parts.filter("kind = 4").select("h", "s", F.col("at").alias("x"), "w", "many")
-    often = saved(strings.groupBy("h", "x", "w").agg(F.sum("many").alias("n")).filter("n > 1").select("h", "x", "w"))
-    by_context = strings.join(often, ["h", "x", "w"]).groupBy("h", "s").agg(F.collect_set("x").alias("x"))
+    strings = parts.filter("kind = 4").select("h", "s", F.col("at").alias("x"), F.col("lefts").alias("string"), "many")
+    often = saved(strings.groupBy("h", "x", "string").agg(F.sum("many").alias("n")).filter("n > 1").select("h", "x", "string"))
+    by_context = strings.join(often, ["h", "x", "string"]).groupBy("h", "s").agg(F.collect_set("x").alias("x"))
     byte = "lpad(hex(aggregate(sequence(0, 7), 0, (a, j) -> a * 2 + IF(array_contains(x, i * 8 + j), 1, 0))), 2, '0')"
     bits = F.expr(f"unhex(array_join(transform(sequence(0, {(length - anchor) // 8}), i -> {byte}), ''))")
     known = saved(sorted_.unionByName(by_context.select("h", "s", bits.alias("xs"))))
-    back = parts.filter("kind = 2").select("row", "key", "h", "s", "at").join(known, ["h", "s"]).groupBy("row", "key").agg(F.collect_list(F.struct("at", "xs")).alias("found")).select("row", "key", F.col("found.at").alias("ats"), F.col("found.xs").alias("xs"))
-    texts = parts.filter("kind = 1").select("row", "key", "doc_id", "packed").join(back, ["row", "key"], "left").select("doc_id", "packed", "ats", "xs")
+    back = parts.filter("kind = 2").select("t1", "t2", "h", "s", "at").join(known, ["h", "s"]).groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "xs")).alias("found")).select("t1", "t2", F.col("found.at").alias("ats"), F.col("found.xs").alias("xs"))
+    texts = parts.filter("kind = 1").select("t1", "t2", "doc_id", "packed").join(back, ["t1", "t2"], "left").select("doc_id", "packed", "ats", "xs")
     whole = parts.filter("kind = 0").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256", F.lit(None).cast("binary").alias("kept"))
     return whole.unionByName(_cut(texts, length))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -81,3 +82,19 @@ def test_colliding_hashes_are_found_out(monkeypatch):
     strings = [b"b", b"a", b"ab", b"", b"a"]
     order, common = suffix.Suffixes(strings, np.zeros(5, dtype=np.int64)).sort()
     assert [strings[k] for k in order] == sorted(strings) and common.tolist() == [-1, 0, 1, 1, 0]
+
+
+def test_many_copies_of_one_row_cost_in_proportion(docs):
+    text = words(random.Random(8), 3000)
+    rows = [(i, t) for i, t in [(1, text)] * 500 + [(None, text)] * 300 + [(2, text[:5000])] * 200]
+    start = time.monotonic()
+    got = result(docs(rows))
+    assert len(got) == 1000 and all(r[2] == r[1] for r in got)
+    assert time.monotonic() - start < 60
+
+
+def test_null_ids_of_many_texts(docs):
+    draw = random.Random(10)
+    shared = words(draw, 80)
+    rows = [(None, f"{words(draw, 20)} {shared if k % 3 else ''} {words(draw, 20)}") for k in range(60)]
+    assert result(docs(rows)) == sorted(brute(rows), key=repr)

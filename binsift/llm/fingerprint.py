@@ -7,8 +7,8 @@ the edit distance of inserts and deletes between signatures (runs cut to three),
 0 unless they share five characters in a row.
 
 Defined results: null counts as empty; the empty text's fingerprint is `3::`, equal to itself with likeness 1. Equal
-texts have equal fingerprints. Rows of equal doc_id follow each other in the order of a hash of the text. Extra columns
-of the input are ignored.
+texts have equal fingerprints. Rows of equal doc_id follow each other in the order of two hashes of the text; null ids
+come after all others. Extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import arrow_map, saved
@@ -144,31 +144,28 @@ def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each partition's last row with the next partition's first; the very last with the very first."""
-    first = last = None
+    """The last row of a partition with the text of the first row of the next one."""
     for b in batches:
-        out = []
-        for doc_id, edge, text in zip(b.column("doc_id").to_pylist(), b.column("edge").to_pylist(), b.column("text").to_pylist()):
-            own = fingerprint(text)
-            if edge:
-                last = doc_id, text, own
-                continue
-            if last is not None:
-                out.append((*_row(*last, text, own), None, None, None))
-            first = first or (text, own)
-        yield _batch(out)
-    if last is not None and first is not None:
-        yield _batch([(*_row(*last, *first), None, None, None)])
+        rows = []
+        for doc_id, text, following in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "following"))):
+            rows.append((*_row(doc_id, text, fingerprint(text), following, fingerprint(following)), None, None, None))
+        yield _batch(rows)
 
 
 def chained(docs: DataFrame) -> DataFrame:
     """The columns COLUMNS for every document; the next document is the one with the next lower doc_id.
 
-    The texts are dealt once, by ranges of doc_id. Only the rows at the ends of a range meet in a second, small step.
+    The texts are dealt once, by ranges of doc_id and, where many rows have one, of the text's hash and the row's place.
+    Only the rows at the ends of ranges meet in a second, small step: a join on the numbers of the ranges.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = own.repartitionByRange(F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"), F.xxhash64("text"))
-    found = saved(arrow_map(ordered, _along, SCHEMA))
-    edges = found.filter(F.col("edge").isNotNull()).coalesce(1).sortWithinPartitions("part", "edge")
-    joined = arrow_map(edges, _joints, SCHEMA)
-    return found.filter(F.col("edge").isNull()).select(*COLUMNS).unionByName(joined.select(*COLUMNS))
+    order = [F.desc("doc_id"), F.col("h1"), F.col("h2"), F.col("place")]
+    keyed = own.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), F.col("text")), "place": F.monotonically_increasing_id()})
+    found = saved(arrow_map(keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text"), _along, SCHEMA))
+    edges = found.filter(F.col("edge").isNotNull())
+    firsts, lasts = edges.filter("edge = 0").select("part", F.col("text").alias("following")), edges.filter("edge = 1").select("part", "doc_id", "text")
+    # One number for each range: the next range that holds rows, after the last one the first.
+    numbers = Window.orderBy("part")
+    after = firsts.select("part").select("part", F.coalesce(F.lead("part").over(numbers), F.first("part").over(numbers)).alias("after"))
+    joints = lasts.join(after, "part").select("doc_id", "text", "after").join(firsts.withColumnRenamed("part", "after"), "after").select("doc_id", "text", "following")
+    return found.filter(F.col("edge").isNull()).select(*COLUMNS).unionByName(arrow_map(joints, _joints, SCHEMA).select(*COLUMNS))

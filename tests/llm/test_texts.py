@@ -3,12 +3,13 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from binsift.llm import decontaminate, fingerprint, html, pieces
-from binsift.llm._text import WORD_RE, word_hashes
+from binsift.llm._text import WORD_RE, prefix_hash, span_hash, word_hashes
 from binsift.llm.queries import QUERIES
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
@@ -132,6 +133,51 @@ def test_chain_against_the_plain_order(docs):
         assert got[i].near_next == fingerprint.likeness(fingerprint.fingerprint(t), fingerprint.fingerprint(nxt))
 
 
+def plain_fingerprint(text):
+    """The definition, byte by byte: chunks end where the hash of the last 7 bytes falls on size - 1."""
+    raw = text.encode()
+    padded = bytes(fingerprint.WINDOW - 1) + raw
+    hashed = []
+    for k in range(len(raw)):
+        window = np.frombuffer(padded[k : k + fingerprint.WINDOW], np.uint8)
+        hashed.append(int(span_hash(prefix_hash(window), np.array([0]), np.array([fingerprint.WINDOW]))[0]))
+
+    def sign(size):
+        out, sum_, begun = "", 0, False
+        for h in hashed:
+            sum_, begun = sum_ + h % 64, True
+            if (h >> 32) % size == size - 1:
+                out, sum_, begun = out + fingerprint.ALPHABET[sum_ % 64], 0, False
+        return out + fingerprint.ALPHABET[sum_ % 64] if begun else out
+
+    size = 3
+    while size * 64 < len(raw):
+        size *= 2
+    while size > 3 and len(sign(size)) < 32:
+        size //= 2
+    return f"{size}:{sign(size)}:{sign(2 * size)}"
+
+
+def test_fingerprints_against_the_definition():
+    draw = random.Random(11)
+    for n in (0, 1, 6, 7, 40, 200, 900, 3000):
+        text = "".join(draw.choice("abcdé fgh") for _ in range(n))
+        assert fingerprint.fingerprint(text) == plain_fingerprint(text)
+    assert fingerprint.fingerprint("a" * 2000) == plain_fingerprint("a" * 2000)
+
+
+def test_chain_of_rows_that_repeat_one_id(docs):
+    draw = random.Random(12)
+    rows = [(draw.choice([1, 2, None]), "".join(draw.choice("ab é") for _ in range(draw.randint(0, 60)))) for _ in range(90)] + [(2, "the same text")] * 30
+    got = fingerprint.chained(docs(rows).repartition(7)).collect()
+    assert len(got) == 120
+    # A chain: every row's edited text ends as some row of the same or the next lower id begins.
+    prints = {fingerprint.fingerprint(t) for _, t in rows}
+    assert {r.fingerprint for r in got} == prints
+    same = [r for r in got if r.doc_id == 2 and r.n_chars == 13 and r.near_next == 1.0]
+    assert len(same) >= 29
+
+
 def test_chain_of_defined_cases(docs, clashing):
     assert fingerprint.chained(docs([])).count() == 0
     one = fingerprint.chained(docs([(5, "abcdef")])).collect()

@@ -1,11 +1,14 @@
 """Line deduplication by winnowing over line hashes, with DataFrame functions only.
 
-The sequence of a document's non-blank lines (surrounding blanks off) is cut at every line into its shortest window of at
-least `min_lines` lines or `min_chars` characters. The smallest line hash of each window is a fingerprint; equal runs
-that hold a window select equal fingerprints, so every repeated run of that size is guaranteed to share one. Positions of
-fingerprints that occur more than once are joined, matches are extended both ways by comparing the windows around them,
-and windows that occurred earlier (lower doc_id, then text hash, then position) are united into maximal runs and deleted.
-The first occurrence stays.
+The sequence of a document's non-blank lines (surrounding blanks off) has, from every line on, a shortest window of at
+least `min_lines` lines or `min_chars` characters. The first smallest line hash of each window is a fingerprint of the
+document, kept once for its position; equal runs that hold a window select fingerprints of equal hash at equal places, so
+every repeated run of that size is guaranteed to share one.
+
+Positions whose fingerprint occurs elsewhere are joined with the first position of the same fingerprint and window (lower
+doc_id, then text hash, then position). Each such pair is a match of a window's length; pairs of one document and one
+origin at one distance that overlap or touch are the same match, extended both ways until the lines differ. What the
+matches of a document cover is deleted. The first occurrence stays.
 
 Defined results: null text stays null with no lines; blank lines are no part of a window, but go with a run that spans
 them. A line repeated over and over overlaps its own earlier windows and collapses to its first. Documents with fewer
@@ -28,8 +31,10 @@ def _text_key() -> Column:
     return F.xxhash64("text")
 
 
-def windows(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per window: fp and fp_at, doc_id, text key, first and last (line numbers), body (hash of its lines)."""
+def fingerprints(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row per selected position: fp (line hash), doc_id, key (text hash), and the windows it is the smallest of:
+    p and q (first and last of the non-blank lines), first and last (line numbers), body (hash of its lines)."""
+
     def once(df: DataFrame, name: str, expr: str) -> DataFrame:
         """A column computed once for each row: Spark would put its expression into every lambda that uses it."""
         return df.select("*", F.explode(F.array(F.expr(expr))).alias(name))
@@ -45,37 +50,51 @@ def windows(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CH
         width += f" WHEN p + {k} <= size(sizes) {enough} THEN {k}"
     width += " END"
     widths = once(arrays, "widths", f"transform(sizes, (x, p) -> {width})")
+    # The position that each window selects; -1 where the lines left are no window.
+    least = "p + array_position(slice(hashes, p + 1, widths[p]), array_min(slice(hashes, p + 1, widths[p]))) - 1"
+    chosen = once(widths, "chosen", f"transform(sequence(0, size(widths) - 1), p -> IF(widths[p] IS NULL, -1, CAST({least} AS INT)))")
     # Windows are built inside the array, so that no row carries its whole document.
-    least = "array_min(slice(hashes, p + 1, widths[p]))"
-    built = widths.select(
+    built = chosen.select(
         "doc_id",
         "key",
         F.expr(
-            f"""transform(filter(sequence(0, size(widths) - 1), p -> widths[p] IS NOT NULL), p -> named_struct('fp', {least},
-            'fp_at', p + array_position(slice(hashes, p + 1, widths[p]), {least}) - 1, 'first', lines[p].i, 'last', lines[p + widths[p] - 1].i,
-            'body', unhex(md5(IF(widths[p] = 1, lines[p].s, array_join(transform(slice(lines, p + 1, widths[p]), x -> x.s), '\n'))))))"""
-        ).alias("windows"),
+            f"""transform(filter(array_distinct(chosen), a -> a >= 0), a -> named_struct('fp', hashes[a], 'windows',
+            transform(filter(sequence(greatest(0, a - {min_lines - 1}), a), p -> chosen[p] = a), p -> named_struct('p', p, 'q', p + widths[p] - 1,
+            'first', lines[p].i, 'last', lines[p + widths[p] - 1].i,
+            'body', unhex(md5(IF(widths[p] = 1, lines[p].s, array_join(transform(slice(lines, p + 1, widths[p]), x -> x.s), '\n'))))))))"""
+        ).alias("positions"),
     )
-    return built.select("doc_id", "key", F.explode("windows").alias("w")).select("w.fp", "w.fp_at", "doc_id", "key", "w.first", "w.last", "w.body")
+    return built.select("doc_id", "key", F.explode("positions").alias("at")).select("at.fp", "doc_id", "key", "at.windows")
+
+
+def matches(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Repeated runs with where they stood before: doc_id, key, first and last (line numbers), origin (doc_id, key, p of
+    the first of the same lines), each as long as its lines and the origin's agree window by window."""
+    found = saved(fingerprints(docs, min_lines, min_chars))
+    common = saved(found.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp"))
+    # Merge joins at every size: neither side is small where the corpus isn't, and AQE splits their hot keys.
+    shared = found.join(common.hint("merge"), "fp").select("doc_id", "key", F.explode("windows").alias("w")).select("doc_id", "key", "w.*")
+    place = F.struct("doc_id", "key", "p")
+    # Windows that occur more than once, with the first place of each: a unique side for the join.
+    firsts = saved(shared.groupBy("body").agg(F.min(place).alias("origin"), F.count("*").alias("n")).filter("n > 1").select("body", "origin"))
+    pairs = shared.join(firsts.hint("merge"), "body").filter(place > F.col("origin")).select("doc_id", "key", "p", "q", "first", "last", "origin", (F.col("p") - F.col("origin.p")).alias("shift"))
+    along = ["doc_id", "key", "origin.doc_id", "origin.key", "shift"]
+    dealt = pairs.repartition("doc_id", "key")
+    return _united(dealt, along, "p", "q", [F.min("first").alias("first"), F.max("last").alias("last"), F.min("origin").alias("origin")])
+
+
+def _united(df: DataFrame, keys: list[str], lo: str, hi: str, take: list[Column]) -> DataFrame:
+    """Intervals of equal keys that overlap or touch as one: the columns doc_id, key and what `take` gives."""
+    one = Window.partitionBy(*keys).orderBy(lo, hi)
+    before = F.max(hi).over(one.rowsBetween(Window.unboundedPreceding, -1))
+    begun = df.select("*", F.when(F.col(lo) <= before + 1, 0).otherwise(1).alias("begins"))
+    numbered = begun.select("*", F.sum("begins").over(one.rowsBetween(Window.unboundedPreceding, 0)).alias("island"))
+    return numbered.groupBy("doc_id", "key", *(F.col(k).alias(f"k{n}") for n, k in enumerate(keys) if k not in ("doc_id", "key")), "island").agg(*take).select("doc_id", "key", "first", "last", *(["origin"] if len(take) > 2 else []))
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, key and runs: the array of (first, last) line numbers to delete, for documents that have any."""
-    found = saved(windows(docs, min_lines, min_chars))
-    # Fingerprints by position: neighbouring windows often select the same line.
-    spot = F.xxhash64("doc_id", "key", "fp_at")
-    common = saved(found.select("fp", spot.alias("spot")).groupBy("fp").agg(F.min("spot").alias("lo"), F.max("spot").alias("hi")).filter("lo != hi").select("fp"))
-    # Merge joins at every size: neither side is small where the corpus isn't, and AQE splits their hot keys.
-    matched = found.drop("fp_at").join(common.hint("merge"), "fp").select("doc_id", "key", "first", "last", "body")
-    at = F.struct("doc_id", "key", "first")
-    # Only bodies that occur more than once, with the earliest place.
-    firsts = saved(matched.groupBy("body").agg(F.min(at).alias("origin"), F.count("*").alias("n")).filter("n > 1").select("body", "origin"))
-    later = matched.join(firsts.hint("merge"), "body").filter(at > F.col("origin")).select("doc_id", "key", "first", "last")
-    by_doc = Window.partitionBy("doc_id", "key").orderBy("first")
-    before = F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
-    islands = later.select("*", F.when(F.col("first") <= before + 1, 0).otherwise(1).alias("starts"))
-    numbered = islands.select("*", F.sum("starts").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)).alias("island"))
-    runs = numbered.groupBy("doc_id", "key", "island").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    runs = _united(matches(docs, min_lines, min_chars), ["doc_id", "key"], "first", "last", [F.min("first").alias("first"), F.max("last").alias("last")])
     return runs.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 

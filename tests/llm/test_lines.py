@@ -48,6 +48,21 @@ def test_hot_line_within_and_across_documents(docs):
     assert got[0].text == rows[0][1] and got[7].text == "own 7" and got[60].text == "same"
 
 
+def test_matches_are_extended_both_ways(docs):
+    story = [f"line {k} of a story" for k in range(40)]
+    rows = [(1, "\n".join(story)), (2, "\n".join(["own", *story[10:30], "end"])), (3, "\n".join([*story[35:], "", *story[:5]]))]
+    got = sorted((r.doc_id, r.first, r.last, r.origin.doc_id, r.origin.p) for r in lines.matches(docs(rows)).collect())
+    assert got == [(2, 1, 20, 1, 10), (3, 0, 4, 1, 35), (3, 6, 10, 1, 0)]
+
+
+def test_fingerprints_are_guaranteed_and_fewer_than_windows(docs):
+    draw = random.Random(5)
+    rows = [(k, "\n".join(f"line {draw.randrange(10**6)}" for _ in range(300))) for k in range(3)]
+    found = lines.fingerprints(docs(rows))
+    windows = found.selectExpr("explode(windows) w").count()
+    assert windows == 3 * 298 and found.count() < 0.75 * windows
+
+
 def test_defined_results(docs, clashing):
     rows = [(0, None), (1, ""), (2, "x"), (2, "x"), (3, f"{LONG}\n{LONG}"), (None, f"{LONG}\ny"), (4, "word " * 40_000)]
     got = sorted(((r.doc_id, r.text, r.n_removed) for r in lines.dedup(clashing(rows)).collect()), key=repr)

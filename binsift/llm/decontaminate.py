@@ -6,15 +6,16 @@ around hits. Every stretch, however many texts its n-grams are in, is aligned wi
 score is the best alignment's over that of the whole item against itself, so edited and paraphrased copies score by what
 is left of them.
 
-Items are broadcast in blocks of bounded size, one pass for each block; texts are never shuffled.
+Items are broadcast in blocks of about `block_chars` characters (one item, if that is longer), as sorted arrays, and each
+block takes one pass over the texts, which are never shuffled. Public benchmarks together fill a few blocks.
 
 Defined results: null and empty texts and items give no rows. Items of fewer than n words have one n-gram, all their
-words. Rows that repeat an id are compared each on its own and give the best of their scores. Extra columns are ignored.
+words. Rows that repeat an id, of texts or of items, are compared each on its own; ids give the best of their rows' scores,
+and `clean` drops only the row that holds the copy. Null ids of items are left out. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,34 +30,51 @@ from ._text import batches, gram_hashes, word_hashes
 #: Words of a seed, score from which a text is contaminated.
 WORDS, THRESHOLD = 4, 0.5
 #: Characters of test items in one block.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 16 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
-HITS = "doc_id long, item_id long, stretches array<struct<start:int,words:binary>>"
+FOUND = "doc_id long, tkey long, item_id long, score double, start_word int, end_word int"
+HITS = "doc_id long, tkey long, item int, stretches array<struct<start:int,words:binary>>"
 
 
 @dataclass
 class Items:
-    """Word hashes of each item, every n-gram hash with the (item, offset) pairs it stands at, and a bit table of the
-    upper bits of those hashes, which tells most other n-grams off at once."""
-
-    words: dict[int, np.ndarray]
-    where: dict[int, list[tuple[int, int]]]
+    """A block of test items: ids and word hashes by number, the sorted hashes of their n-grams with the item and offset
+    each stands at, and a bit table of the upper bits of those hashes, which tells most other n-grams off at once."""
+
+    ids: list[int]
+    words: list[np.ndarray]
+    grams: np.ndarray
+    item: np.ndarray
+    offset: np.ndarray
     present: np.ndarray
     shift: np.uint64
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]], n: int) -> Items:
-        words, where = {}, defaultdict(list)
-        for item, text in rows:
-            hashed, _ = word_hashes([text])
-            if len(hashed):
-                words[item] = hashed
-                for k, g in enumerate(gram_hashes(hashed, min(n, len(hashed))).tolist()):
-                    where[g].append((item, k))
-        bits = max(16, (32 * len(where)).bit_length())
+        words = [(i, word_hashes([text])[0]) for i, text in rows]
+        words = [(i, w) for i, w in words if len(w)]
+        grams = [gram_hashes(w, min(n, len(w))) for _, w in words]
+        size = [len(g) for g in grams]
+        flat = np.concatenate([*grams, np.zeros(0, np.uint64)])
+        order = np.argsort(flat, kind="stable")
+        item = np.repeat(np.arange(len(words), dtype=np.int32), size)
+        offset = np.concatenate([*(np.arange(k, dtype=np.int32) for k in size), np.zeros(0, np.int32)])
+        bits = max(16, (32 * len(flat)).bit_length())
         present = np.zeros(1 << bits, dtype=bool)
-        present[np.fromiter(where, np.uint64, len(where)) >> np.uint64(64 - bits)] = True
-        return cls(words, dict(where), present, np.uint64(64 - bits))
+        present[flat >> np.uint64(64 - bits)] = True
+        return cls([i for i, _ in words], [w for _, w in words], flat[order], item[order], offset[order], np.packbits(present), np.uint64(64 - bits))
+
+    def known(self, grams: np.ndarray) -> np.ndarray:
+        """Positions of n-grams that may be of the block."""
+        at = grams >> self.shift
+        return np.flatnonzero(self.present[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1)
+
+    def lookup(self, grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, item, offset) of each place where one of the n-grams stands in an item."""
+        lo, hi = np.searchsorted(self.grams, grams[at], "left"), np.searchsorted(self.grams, grams[at], "right")
+        many = hi - lo
+        place = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return np.repeat(at, many), self.item[place], self.offset[place]
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
@@ -74,13 +92,13 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _stretches(hits: list[tuple[int, int]], size: int, n_words: int) -> list[tuple[int, int]]:
-    """(start, end) of the stretches of a text that may hold an item of `size` words, from its hits (position, offset):
-    each hit's expected place, half an item wider on both sides, overlapping ones united."""
+def _stretches(begin: list[int], size: int, n_words: int) -> list[tuple[int, int]]:
+    """(start, end) of the stretches of a text that may hold an item of `size` words, from the places where its hits would
+    have it begin (sorted): each half an item wider on both sides, overlapping ones united."""
     slack = size // 2 + 2
     out: list[list[int]] = []
-    for begin in sorted(p - o for p, o in hits):
-        lo, hi = max(0, begin - slack), min(n_words, begin + size + slack)
+    for x in begin:
+        lo, hi = max(0, x - slack), min(n_words, x + size + slack)
         if out and lo <= out[-1][1]:
             out[-1][1] = max(out[-1][1], hi)
         else:
@@ -94,41 +112,46 @@ def find_hits(docs: DataFrame, items: Items, n: int = WORDS) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it = shared.value
-        sizes = sorted({min(n, len(w)) for w in it.words.values()})
+        length = np.array([len(w) for w in it.words], dtype=np.int64)
+        sizes = sorted({min(n, int(k)) for k in length})
         stretch = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.binary())]))
         for b in parts:
-            texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
+            texts, ids, keys = (b.column(c).to_pylist() for c in ("text", "doc_id", "tkey"))
             rows = []
             for lo, hi in batches(texts):
                 hashed, at = word_hashes(texts[lo:hi])
-                found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+                found = []
                 for k in sizes:
                     grams = gram_hashes(hashed, k)
-                    for p in np.flatnonzero(it.present[grams >> it.shift]).tolist():
-                        for item, offset in it.where.get(int(grams[p]), ()):
-                            if min(n, len(it.words[item])) == k:
-                                doc = int(np.searchsorted(at, p, "right")) - 1
-                                if p + k <= at[doc + 1]:
-                                    found[doc, item].append((p - int(at[doc]), offset))
-                for (doc, item), hits in found.items():
-                    own = hashed[at[doc] : at[doc + 1]]
-                    spans = _stretches(hits, len(it.words[item]), len(own))
-                    rows.append((ids[lo + doc], item, [{"start": s, "words": own[s:e].tobytes()} for s, e in spans]))
-            kinds = [pa.int64(), pa.int64(), stretch]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "stretches"])
-
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, HITS)
+                    p, item, offset = it.lookup(grams, it.known(grams))
+                    doc = np.searchsorted(at, p, "right") - 1
+                    ok = (np.minimum(length[item], n) == k) & (p + k <= at[doc + 1])
+                    found.append(np.stack((doc[ok], item[ok], (p - at[doc] - offset)[ok])))
+                doc, item, begin = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+                order = np.lexsort((begin, item, doc))
+                doc, item, begin = doc[order], item[order], begin[order]
+                cuts = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0)) + 1 if len(doc) else np.zeros(0, np.int64)
+                for x, y in zip([0, *cuts], [*cuts, len(doc)] if len(doc) else []):
+                    d, k = int(doc[x]), int(item[x])
+                    own = hashed[at[d] : at[d + 1]]
+                    spans = _stretches(begin[x:y].tolist(), int(length[k]), len(own))
+                    rows.append((ids[lo + d], keys[lo + d], k, [{"start": s, "words": own[s:e].tobytes()} for s, e in spans]))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), stretch]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "tkey", "item", "stretches"])
+
+    text = F.col("text").cast("string")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tkey"), text.alias("text")), run, HITS)
 
 
 def aligned(hits: DataFrame, items: Items, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, score, start_word, end_word) of the best alignment of each text and item that reaches threshold."""
-    shared = hits.sparkSession.sparkContext.broadcast(items.words)
+    """(doc_id, tkey, item_id, score, start_word, end_word) of the best alignment of each text and item that reaches threshold."""
+    shared = hits.sparkSession.sparkContext.broadcast((items.ids, items.words))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
+        ids, words = shared.value
         for b in parts:
             rows = []
-            for doc, item, stretches in zip(*(b.column(c).to_pylist() for c in ("doc_id", "item_id", "stretches"))):
+            for doc, tkey, item, stretches in zip(*(b.column(c).to_pylist() for c in ("doc_id", "tkey", "item", "stretches"))):
                 best = None
                 own = words[item]
                 for s in stretches:
@@ -140,29 +163,35 @@ def aligned(hits: DataFrame, items: Items, threshold: float = THRESHOLD) -> Data
                         _, back = align(own[::-1], text[:end][::-1])
                         best = score, s["start"] + end - back, s["start"] + end
                 if best:
-                    rows.append((doc, item, best[0] / (MATCH * len(own)), best[1], best[2]))
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "score", "start_word", "end_word"])
+                    rows.append((doc, tkey, ids[item], best[0] / (MATCH * len(own)), best[1], best[2]))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "tkey", "item_id", "score", "start_word", "end_word"])
 
-    return arrow_map(hits.select("doc_id", "item_id", "stretches"), run, "doc_id long, item_id long, score double, start_word int, end_word int")
+    return arrow_map(hits, run, FOUND)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, item_id, score, start_word, end_word of every text that holds a copy of a test item, best copy first kept."""
+def _copies(docs: DataFrame, benchmark: DataFrame, n: int, threshold: float, block_chars: int) -> DataFrame:
+    """FOUND of every row of docs and row of benchmark."""
     tests = benchmark.filter(F.col("item_id").isNotNull() & (F.length("text") > 0)).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = tests.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
     blocks = -(-size // block_chars)
-    out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, start_word int, end_word int")
+    out = docs.sparkSession.createDataFrame([], FOUND)
     for k in range(blocks):
-        rows = tests.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
+        rows = tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).distinct().collect()
         items = Items.of(sorted((r.item_id, r.text) for r in rows), n)
-        hits = saved(find_hits(docs, items, n))
-        out = out.unionByName(aligned(hits, items, threshold))
-    best = F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", -F.col("start_word")))
-    return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.score", "b.start_word", "b.end_word")
+        out = out.unionByName(aligned(saved(find_hits(docs, items, n)), items, threshold))
+    return out
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id, item_id, score, start_word, end_word of every text that holds a copy of a test item, best copy first kept."""
+    best = F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", -F.col("start_word"), -F.col("end_word")))
+    found = _copies(docs, benchmark, n, threshold, block_chars)
+    return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.score", "b.start_word", "b.end_word")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
-    """The documents without a copy of a test item. Extra columns stay; rows with null ids can't be told apart and stay."""
-    gone = contaminated(docs, benchmark, **options).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents without a copy of a test item; of rows that repeat an id, null or not, only those with a copy go.
+    Extra columns stay."""
+    gone = _copies(docs, benchmark, n, threshold, block_chars).select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_key")), "left_anti")

@@ -2,7 +2,8 @@
 
 Documents get a score w.x so that P(a preferred to b) = sigmoid(w.(x_a - x_b)). The preference pairs put a document
 labelled good above one labelled poor; w minimises the logistic loss on the feature differences. The cut lies at the
-score quantile that the labels' share of poor documents names; scores are moved so that 0.3 is that cut.
+score quantile that the labels' share of poor documents names, over the scores of all labelled documents that may be
+learned from; scores are moved so that 0.3 is that cut.
 
 Defined results: null and empty texts have all features 0 and are scored like any other. Repeated rows are scored alike.
 Extra columns of the input are ignored. Without labels of both kinds every score is 0.5.
@@ -10,6 +11,7 @@ Extra columns of the input are ignored. Without labels of both kinds every score
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -20,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import arrow_map, fold, sample_of_labels, texts_of
+from ._spark import arrow_map, fold, sample_of_labels, saved, texts_of
 
 #: Bounds of the training sample: rows of each label, characters of a row, preference pairs drawn from them.
 ROWS_PER_LABEL, MAX_CHARS, PAIRS = 3000, 20_000, 40_000
-SCHEMA = "doc_id long, raw double, score double"
+SCHEMA = "doc_id long, raw double"
 _CLASS = np.zeros(256, dtype=np.int64)
 for _k, _c in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" ", b"\n", b".,", b"!?;:'\"()-", b"#$%&*+/<=>@[\\]^_`{|}~"), 1):
     _CLASS[list(_c)] = _k
@@ -65,25 +67,17 @@ class Model:
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
-    cut: float
-    level: float
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.scale) @ self.weights
 
-    def score(self, raw: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(raw - self.cut + np.log(self.level / (1 - self.level)), -30, 30)))
 
-
-def fit(rows: list[tuple[str, int]], poor_share: float, level: float = 0.3, pairs: int = PAIRS, rounds: int = 600, decay: float = 1e-4) -> Model:
-    """Learn from (text, label): preference pairs, logistic loss on feature differences, cut at the quantile poor_share.
-
-    The sample holds the labels in other shares than the corpus, so the quantile is taken over rows weighted to those.
-    """
+def fit(rows: list[tuple[str, int]], pairs: int = PAIRS, rounds: int = 600, decay: float = 1e-4) -> Model:
+    """Learn from (text, label): preference pairs, logistic loss on feature differences."""
     width = len(features(""))
     y = np.array([label for _, label in rows])
     if len(set(y.tolist())) < 2:
-        return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 0.5)
+        return Model(np.zeros(width), np.ones(width), np.zeros(width))
     x = np.array([features(t) for t, _ in rows])
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = (x - mean) / scale
@@ -96,16 +90,11 @@ def fit(rows: list[tuple[str, int]], poor_share: float, level: float = 0.3, pair
         g = -(lost @ d) / pairs + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-    raw = z @ w
-    weight = np.where(y == 1, (1 - poor_share) / len(good), poor_share / len(poor))
-    order = np.argsort(raw)
-    k = int(np.searchsorted(np.cumsum(weight[order]), poor_share))
-    cut = float(raw[order[min(k, len(raw) - 1)]])
-    return Model(mean, scale, w, cut, level)
+    return Model(mean, scale, w)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, raw (the Bradley-Terry score) and score (0 to 1)."""
+    """doc_id and raw, the Bradley-Terry score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,20 +102,36 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 raw = m.raw(np.array([features(t or "") for t in b.column("text").to_pylist()]))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(raw), pa.array(m.score(raw))], ["doc_id", "raw", "score"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(raw)], ["doc_id", "raw"])
 
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCHEMA)
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, mod: int = 5, rows_per_label: int = ROWS_PER_LABEL, max_chars: int = MAX_CHARS) -> Model:
-    """Fit on labelled rows outside the held-out fold; the share of poor documents is counted over all of those rows."""
-    learn = labels.filter(F.col("doc_id").isNotNull() & (fold(mod=mod) != held_out_fold))
-    counts = learn.agg(F.sum((F.col("quality") == 0).cast("long")).alias("poor"), F.count("quality").alias("n")).first()
-    share = (counts.poor or 0) / counts.n if counts.n else 0.5
-    return fit(texts_of(docs, sample_of_labels(learn, "quality", rows_per_label), max_chars), share)
+def learnable(labels: DataFrame, held_out_fold: int = 0, mod: int = 5) -> DataFrame:
+    """Labels outside the held-out fold."""
+    return labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold(mod=mod) != held_out_fold))
+
+
+def train(docs: DataFrame, learn: DataFrame, rows_per_label: int = ROWS_PER_LABEL, max_chars: int = MAX_CHARS) -> Model:
+    """Fit on a bounded sample of labelled rows."""
+    return fit(texts_of(docs, sample_of_labels(learn, "quality", rows_per_label), max_chars))
+
+
+def cut_at(scored: DataFrame, learn: DataFrame) -> float:
+    """The score below which the share of documents lies that the labels call poor: the quantile over all documents with
+    a label that may be learned from. 0 without any."""
+    both = scored.join(learn.select(F.col("doc_id").cast("long").alias("doc_id"), "quality"), "doc_id")
+    poor = both.agg(F.avg((F.col("quality") == 0).cast("double")).alias("share")).first().share
+    if poor is None:
+        return 0.0
+    return both.agg(F.percentile_approx("raw", F.lit(poor), F.lit(100_000)).alias("cut")).first().cut
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted, raw for every document."""
-    scored = score(docs, train(docs, labels))
-    return scored.select("doc_id", (fold(mod=5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "raw")
+    learn = learnable(labels)
+    scored = saved(score(docs, train(docs, learn)))
+    known = learn.select("quality").distinct().count() == 2
+    shift = math.log(threshold / (1 - threshold)) - cut_at(scored, learn) if known else 0.0
+    x = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("raw") + F.lit(shift)))
+    return scored.select("doc_id", (fold(mod=5) == 0).alias("held_out"), (1 / (1 + F.exp(-x))).alias("score"), "raw").select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "raw")

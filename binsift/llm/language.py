@@ -1,7 +1,7 @@
 """Language identification of mixed-language text.
 
-A word's script (from its Unicode ranges) narrows the candidate languages to those written in it; character n-grams give
-a log-likelihood per candidate; Viterbi over the words, with a penalty for every switch, labels spans. The document's
+A word's script (from its Unicode ranges) narrows the candidate languages to those written in it: no other can win the
+word. Character n-grams give a log-likelihood per candidate; Viterbi over the words, with a penalty for every switch, labels spans. The document's
 language is the one whose spans hold most letters, its score their share times the posterior of that language.
 
 Where, in every prefix, suffix and stretch of a document, no language gains more on the best one than the switching
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._spark import arrow_map, fold
 
@@ -33,8 +34,11 @@ WORD = re.compile(r"[^\W\d_]+")
 ROWS_PER_LANG, MAX_CHARS, GRAMS = 1000, 20_000, 50_000
 #: Nats that a change of language costs.
 PENALTY = 12.0
-CACHE = 200_000
-SCHEMA = "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"
+#: Nats at most that one word tells a language from others, and what a language costs that isn't written in its script.
+MOST, BARRED = 8.0, 1000.0
+#: Words remembered, and characters of them.
+CACHE, CACHE_CHARS = 200_000, 4_000_000
+SCHEMA = "lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"
 #: First code points of script ranges (Unicode blocks) and their names.
 _RANGES = [
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0780, "other"), (0x0900, "devanagari"),
@@ -100,9 +104,11 @@ class Words(dict):
         self.scores = np.zeros((1024, len(model.langs)))
         self.old: dict[str, int] = {}
         self.old_scores = self.scores
+        self.chars = 0
 
     def __missing__(self, word: str) -> int:
         m, row = self.m, len(self)
+        self.chars += len(word)
         if row == len(self.scores):
             self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
         before = self.old.get(word)
@@ -115,16 +121,16 @@ class Words(dict):
             value = 0.0
         else:
             get = m.index.get
-            value = m.table[[i for g in grams(word) if (i := get(g)) is not None]].sum(0)
+            value = np.clip(m.table[[i for g in grams(word) if (i := get(g)) is not None]].sum(0), -MOST, MOST)
             if not allowed.all():
-                value = np.where(allowed, value, -20.0)
+                value = np.where(allowed, value, -BARRED)
         self.scores[row] = value
         self[word] = row
         return row
 
     def full(self) -> None:
-        if len(self) >= CACHE // 2:
-            self.old, self.old_scores = dict(self), self.scores
+        if len(self) >= CACHE // 2 or self.chars > CACHE_CHARS:
+            self.old, self.old_scores, self.chars = ({}, self.scores, 0) if self.chars > CACHE_CHARS else (dict(self), self.scores, 0)
             self.clear()
             self.scores = np.zeros((1024, len(self.m.langs)))
 
@@ -156,7 +162,7 @@ def label(text: str, words: Words, penalty: float = PENALTY) -> tuple[str, float
         return "und", 0.0, []
     words.full()
     rows = np.fromiter(map(words.__getitem__, found), np.int64, len(found))
-    scores = np.clip(words.scores[rows], -8, 8)
+    scores = words.scores[rows]
     size = np.fromiter(map(len, found), np.int64, len(found))
     sums = np.cumsum(scores, axis=0)
     top = int(np.argmax(sums[-1]))
@@ -179,19 +185,23 @@ def label(text: str, words: Words, penalty: float = PENALTY) -> tuple[str, float
     return langs[best], float(mass[best] / mass.sum() * posterior), spans
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
-    """doc_id, lang_pred, score, spans for every row of docs."""
+def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, carry: list[str] | None = None) -> DataFrame:
+    """lang_pred, score, spans for every row of docs, after its doc_id or the columns that `carry` names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    added = ["lang_pred", "score", "spans"]
+    own = docs.select(*[c for c in carry if c not in added], F.col("text").cast("string").alias("_text")) if carry else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"))
+    kept = own.columns[:-1]
+    schema = T.StructType([*own.schema.fields[:-1], *T._parse_datatype_string(SCHEMA).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(shared.value)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
         for b in batches:
-            got = [label(t or "", words, penalty) for t in b.column("text").to_pylist()]
+            got = [label(t or "", words, penalty) for t in b.column("_text").to_pylist()]
             spans = [[{"start": s, "end": e, "lang": x} for s, e, x in g[2]] for g in got]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array(spans, kind)], ["doc_id", "lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array(spans, kind)], [*kept, *added])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCHEMA)
+    return arrow_map(own, run, schema)
 
 
 def train(docs: DataFrame, where: Column | None = None, rows_per_lang: int = ROWS_PER_LANG, max_chars: int = MAX_CHARS) -> Model:

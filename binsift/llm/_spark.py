@@ -119,8 +119,11 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 @atexit.register
-def _clear() -> None:
-    for spark, path in _tables:
+def release() -> None:
+    """Delete the tables that operators wrote to the shared folder. Call it when results are written: DataFrames made
+    before can't be read after. At the latest it happens when the interpreter ends."""
+    while _tables:
+        spark, path = _tables.pop()
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)

@@ -108,9 +108,10 @@ def gram_hashes(hashed: np.ndarray, n: int) -> np.ndarray:
 
 class Remembered(dict):
     """A bounded cache in two turns: when the younger half is full it becomes the older one, from which values still in
-    use come back without being made again."""
+    use come back without being made again. Keys of over `longest` characters are made anew each time: texts without
+    blanks are one word, and keeping those would hold whole texts."""
 
-    size = 200_000
+    size, longest = 200_000, 48
 
     def __init__(self) -> None:
         super().__init__()
@@ -124,6 +125,8 @@ class Remembered(dict):
         self.clear()
 
     def __missing__(self, key):  # noqa: ANN001, ANN204
+        if len(key) > self.longest:
+            return self.make(key)
         if len(self) >= self.size // 2:
             self.turn()
         value = self.old.get(key)

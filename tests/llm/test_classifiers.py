@@ -69,9 +69,23 @@ def test_bags_find_their_offending_sentences():
 
 def test_pairs_rank_good_above_poor():
     good, poor = "The cat sat on the mat. It was warm there, and quiet.", "BUY!!! ### NOW $$$ BUY!!! ### NOW $$$"
-    m = quality.fit([(good + f" {i}", 1) for i in range(50)] + [(poor + f" {i}", 0) for i in range(20)], 20 / 70)
+    m = quality.fit([(good + f" {i}", 1) for i in range(50)] + [(poor + f" {i}", 0) for i in range(20)])
     raw = m.raw(np.array([quality.features(good), quality.features(poor)]))
-    assert raw[0] > raw[1] and m.score(raw)[1] < 0.3 < m.score(raw)[0]
+    assert raw[0] > raw[1]
+
+
+def test_the_cut_is_the_quantile_of_all_labelled_rows(spark, docs):
+    """Empty and very long rows have no part in the fit and count in the quantile."""
+    good, poor = "The cat sat on the mat. It was warm there, and quiet.", "BUY!!! ### NOW $$$ BUY!!! ### NOW $$$"
+    rows = [(i, good + f" {i} ") for i in range(60)] + [(100 + i, poor + f" {i} ") for i in range(10)] + [(200 + i, "") for i in range(10)] + [(300 + i, (poor + " ") * 800) for i in range(10)]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id long, quality int")
+    got = quality.classify(docs(rows), labels).collect()
+    learn = [r for r in got if not r.held_out]
+    share = np.mean([r.doc_id >= 100 for r in learn])
+    order = sorted(r.raw for r in learn)
+    cut = order[int(np.ceil(share * len(order))) - 1]
+    assert all(r.predicted == (r.raw >= cut) for r in got)
+    assert np.mean([r.predicted == (r.doc_id < 100) for r in got]) > 0.85
 
 
 def test_compression_is_of_the_whole_text():
@@ -99,7 +113,9 @@ def test_script_narrows_the_candidates():
     words = language.Words(model())
     assert language.label("большая собака", words)[0] == "ru"
     row = words.scores[words["дом"]]
-    assert row[words.m.langs.index("en")] == -20 and row[words.m.langs.index("ru")] > -20
+    assert row[words.m.langs.index("en")] == -language.BARRED and row[words.m.langs.index("ru")] > -language.MOST
+    spans = language.label("the dog and the cat дом are in the house with the ball", words)[2]
+    assert [s[2] for s in spans] in (["en", "ru", "en"], ["en", "bg", "en"])
     assert language.label("λόγος", words)[1] > 0  # a script no language was learned in: all alike, the first wins
 
 
@@ -154,3 +170,35 @@ def test_a_language_of_long_texts_is_learned(docs):
 def test_repeated_ids_leave_room_for_other_languages(docs):
     rows = [(7, f"the house {k}", "en") for k in range(200)] + [(k, "das haus und der hund", "de") for k in range(3)]
     assert language.train(docs(rows), rows_per_lang=20).langs == ["de", "en"]
+
+
+def test_word_scores_against_their_definition():
+    """Log-likelihoods of the trigrams between a word's ends and of the word, by counting."""
+    rows = [("ab abc ab", "x"), ("abd ab dd", "y"), ("cab", "x")]
+    m = language.fit(rows)
+    of = lambda w: [f"<{w}>"[i : i + 3] for i in range(len(w))] + [f"<{w}>"]
+    counts = {lang: [g for t, k in rows if k == lang for w in t.split() for g in of(w)] for lang in "xy"}
+    vocabulary = set(counts["x"]) | set(counts["y"])
+    for word in ("ab", "abc", "dd", "zz", "cab"):
+        wanted = np.zeros(2)
+        for g in of(word):
+            if g in vocabulary:
+                logs = np.array([np.log((counts[lang].count(g) + 0.5) / (len(counts[lang]) + 0.5 * len(vocabulary))) for lang in "xy"])
+                wanted += (logs - logs.mean()) / 3
+        words = language.Words(m)
+        assert np.allclose(words.scores[words[word]], np.clip(wanted, -language.MOST, language.MOST))
+
+
+def test_scripts_of_words():
+    for word, name in {"dog": "latin", "été": "latin", "дом": "cyrillic", "λόγος": "greek", "漢字": "han", "かな": "han", "한국": "hangul", "שלום": "hebrew", "سلام": "arabic", "नमस्ते": "devanagari"}.items():
+        assert language.script(word) == name
+
+
+def test_caches_keep_no_long_words():
+    words = language.Words(model())
+    for k in range(200):
+        language.label("漢" * 50_000 + str(k) + "字" * 50_000, words)
+    assert sum(map(len, words)) + sum(map(len, words.old)) < 3 * language.CACHE_CHARS
+    w = toxicity._Weights(np.zeros(toxicity.DIMENSIONS, dtype=np.float32))
+    w["a" * 1000], w["b"]  # noqa: B018
+    assert list(w) == ["b"]

@@ -18,34 +18,40 @@ LEAST_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that are text of a learned language: not `und`, with a score of at least LEAST_SCORE.
+    """Keep rows that are text of a learned language: not `und`, with a score of at least LEAST_SCORE.
 
-    The model is learned from the stage's own documents; null languages teach nothing. Rows with null ids are kept.
+    The model is learned from the stage's own documents; null languages teach nothing. Each row is judged by its own text,
+    whatever its id: null and empty texts go, rows that repeat a good one stay.
     """
-    found = language.identify(docs, language.train(docs))
-    gone = found.filter((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*COLUMNS)
+    found = language.identify(docs, language.train(docs), carry=COLUMNS)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut later repeated runs of lines; documents of which nothing is left go. n_chars follows the text."""
+    """Cut later repeated runs of lines; documents of which nothing is left go. n_chars follows the text.
+
+    Null and empty texts stay; rows that repeat id and text lose the same lines, none of them to each other.
+    """
     cut = lines.dedup(docs)
     kept = cut.filter("n_removed = 0 OR trim(BOTH FROM replace(text, '\n', '')) != ''")
     return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the least id."""
+    """One row of each group of near duplicates stays: the one with the least id, a null id last, then the least text hash.
+
+    Rows of one id with unlike texts are judged apart; of rows that repeat id and text one stays; texts without words stay.
+    """
     return near.one_of_each(docs).select(*COLUMNS)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a copy of a test item go."""
+    """Rows that hold a copy of a test item go; rows of the same id, null or not, without one stay, as do empty texts."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_ids, exact of every document left."""
+    """doc_id, ids, n_ids, exact of every row left; null and empty texts have no ids and are exact."""
     return pieces.round_trip(docs)
 
 

@@ -1,26 +1,81 @@
 """Call-graph operators: rounds of joins and aggregations over edges (caller, callee).
 
-Every round's result is cut from its lineage by a written table or checkpoint in the shared folder. The number of rounds
+Every round writes what is new once, as a table in the shared folder; what was known before isn't written again. The number of rounds
 is a constant of the operator or, for closures and levels, lasts until no row is new; nothing is collected but counts.
 """
 
 from __future__ import annotations
 
+import atexit
+import uuid
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df without its lineage: a checkpoint in the folder of spark.checkpoint.dir, set here only where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only a session in local mode may leave it unset: it has one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not named:
         import tempfile
 
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='binsift-checkpoint-')}")
-    return df.checkpoint()
+        named = f"file://{tempfile.mkdtemp(prefix='binsift-checkpoint-')}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df without its lineage: written once to the shared folder and read back. The shuffle files of the query that made
+    it go when it is written."""
+    spark = df.sparkSession
+    path = f"{_shared(spark)}/binsift-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Grown:
+    """A table that grows by a part a round. Parts stay as they were written; of many, one is made now and then."""
+
+    def __init__(self, first: DataFrame, most: int = 16):
+        self.parts, self.most = [first], most
+
+    def add(self, part: DataFrame) -> None:
+        if len(self.parts) == self.most:
+            self.parts = [saved(self.all())]
+        self.parts.append(part)
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+
+@atexit.register
+def release() -> None:
+    """Delete the tables that operators wrote to the shared folder. Call it when results are written: DataFrames made
+    before can't be read after. At the latest it happens when the interpreter ends."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended before the interpreter  # noqa: BLE001
+            pass
 
 
 def call_graph(call_sites: DataFrame, calls: DataFrame, functions: DataFrame) -> DataFrame:
@@ -50,14 +105,14 @@ def degrees(edges: DataFrame) -> DataFrame:
 def distances(edges: DataFrame, seeds: DataFrame, hops: int, backwards: bool = False) -> DataFrame:
     """node and its distance (0 for seeds) along edges, or against them, up to `hops`."""
     step = edges.select(F.col("callee").alias("node"), F.col("caller").alias("to")) if backwards else edges.select(F.col("caller").alias("node"), F.col("callee").alias("to"))
-    step = settled(step.distinct())
-    seen = settled(seeds.select("node", F.lit(0).alias("dist")).distinct())
-    front = seen
+    step = saved(step.distinct())
+    front = saved(seeds.select("node", F.lit(0).alias("dist")).distinct())
+    seen = Grown(front)
     for d in range(1, hops + 1):
-        reached = front.join(step, "node").select(F.col("to").alias("node")).distinct().join(seen, "node", "left_anti")
-        front = settled(reached.withColumn("dist", F.lit(d)))
-        seen = settled(seen.unionByName(front))
-    return seen
+        reached = front.join(step, "node").select(F.col("to").alias("node")).distinct().join(seen.all(), "node", "left_anti")
+        front = saved(reached.withColumn("dist", F.lit(d)))
+        seen.add(front)
+    return seen.all()
 
 
 def source_distance(edges: DataFrame, is_source: Column, hops: int = 4) -> DataFrame:
@@ -93,14 +148,14 @@ def page_rank(edges: DataFrame, personal: DataFrame | None, rounds: int = 25, da
         return d.join(d.agg(F.max("fan_in").alias("most"))).select("node", F.round(F.col("fan_in") / F.greatest("most", F.lit(1)), 4).alias("rank"))
     n = every.count()
     callers = edges.groupBy("callee").agg(F.count("caller").alias("callers"))
-    weighted = settled(edges.join(callers, "callee").select("caller", F.col("callee").alias("node"), (1.0 / F.col("callers")).alias("part")))
-    base = settled(every.join(personal, "node", "left").select("node", ((1 - damping) * F.coalesce("weight", F.lit(0.0))).alias("base")))
+    weighted = saved(edges.join(callers, "callee").select("caller", F.col("callee").alias("node"), (1.0 / F.col("callers")).alias("part")))
+    base = saved(every.join(personal, "node", "left").select("node", ((1 - damping) * F.coalesce("weight", F.lit(0.0))).alias("base")))
     rank = base.select("node", F.lit(1.0 / max(n, 1)).alias("rank"))
     for i in range(rounds):
         sent = rank.join(weighted, "node").groupBy(F.col("caller").alias("node")).agg(F.sum(F.col("rank") * F.col("part")).alias("got"))
         rank = base.join(sent, "node", "left").select("node", (F.coalesce("got", F.lit(0.0)) * damping + F.col("base")).alias("rank"))
         if i % cut_every == cut_every - 1:
-            rank = settled(rank)
+            rank = saved(rank)
     top = rank.agg(F.max("rank").alias("top"))
     return rank.join(F.broadcast(top)).select("node", F.round(F.when(F.col("top") > 0, F.col("rank") / F.col("top")).otherwise(F.lit(0.0)), 4).alias("rank"))
 
@@ -115,25 +170,25 @@ def propagate_scores(scores: DataFrame, edges: DataFrame, rounds: int = 2, down:
         caller = edges.join(s.withColumnRenamed("node", "caller"), "caller").groupBy(F.col("callee").alias("node")).agg(F.sum("score").alias("above"))
         limit = F.when(F.col("ops") > big, cap).otherwise(999.0)
         total = F.col("score") + F.least(F.coalesce("below", F.lit(0.0)) * down, limit) + F.coalesce("above", F.lit(0.0)) * up
-        now = settled(now.join(callee, "node", "left").join(caller, "node", "left").select("node", F.round(F.round(total, 9), 4).alias("score"), "ops"))
+        now = saved(now.join(callee, "node", "left").join(caller, "node", "left").select("node", F.round(F.round(total, 9), 4).alias("score"), "ops"))
     return now.select("node", "score")
 
 
 def levels(edges: DataFrame) -> DataFrame:
     """node, level: callees before callers (0 for nodes that call nothing), null for members of cycles and their callers."""
-    edges = settled(edges)
-    every = settled(nodes(edges))
-    done = settled(every.join(edges.select(F.col("caller").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)))
+    edges = saved(edges)
+    every = saved(nodes(edges))
+    done = Grown(saved(every.join(edges.select(F.col("caller").alias("node")), "node", "left_anti").withColumn("level", F.lit(0))))
     own = edges.filter("caller != callee").distinct()
-    need = settled(edges.distinct().groupBy("caller").agg(F.count("*").alias("need")))
+    need = saved(edges.distinct().groupBy("caller").agg(F.count("*").alias("need")))
     for k in count(1):
-        have = own.join(done.select(F.col("node").alias("callee")), "callee").groupBy("caller").agg(F.count("*").alias("have"))
-        new = need.join(have, "caller").filter("need = have").select(F.col("caller").alias("node")).join(done, "node", "left_anti").withColumn("level", F.lit(k))
-        new = settled(new)
+        have = own.join(done.all().select(F.col("node").alias("callee")), "callee").groupBy("caller").agg(F.count("*").alias("have"))
+        new = need.join(have, "caller").filter("need = have").select(F.col("caller").alias("node")).join(done.all(), "node", "left_anti").withColumn("level", F.lit(k))
+        new = saved(new)
         if new.limit(1).count() == 0:
             break
-        done = settled(done.unionByName(new))
-    return every.join(done, "node", "left")
+        done.add(new)
+    return every.join(done.all(), "node", "left")
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, scores: DataFrame, least_callee: float, hops: int, most: int) -> DataFrame:
@@ -173,60 +228,60 @@ def nearest(queries: DataFrame, store: DataFrame, least: float, block: int = 200
 def tainted(flow: DataFrame, seeds: DataFrame, hops: int = 4) -> DataFrame:
     """Variables that taint reaches inside functions: closure of flow (fn, src, dst) from seeds (fn, var). A round follows
     the newly reached ones for some hops before it is written, until none is new."""
-    step = settled(flow.select("fn", F.col("src").alias("var"), "dst"))
-    seen = settled(seeds.select("fn", "var").distinct())
-    front = seen
+    step = saved(flow.select("fn", F.col("src").alias("var"), "dst"))
+    front = saved(seeds.select("fn", "var").distinct())
+    seen = Grown(front)
     while True:
         reached, last = None, front
         for _ in range(hops):
             last = last.join(step, ["fn", "var"]).select("fn", F.col("dst").alias("var")).distinct()
             reached = last if reached is None else reached.unionByName(last)
-        front = settled(reached.distinct().join(seen, ["fn", "var"], "left_anti"))
+        front = saved(reached.distinct().join(seen.all(), ["fn", "var"], "left_anti"))
         if front.limit(1).count() == 0:
-            return seen
-        seen = settled(seen.unionByName(front))
+            return seen.all()
+        seen.add(front)
 
 
 def backward_slice(flow: DataFrame, targets: DataFrame, depth: int = 20) -> DataFrame:
     """Variables that a target variable (fn, target) depends on, with the least number of steps: fn, target, var, depth."""
-    flow = settled(flow)
-    seen = settled(targets.select("fn", "target", F.col("target").alias("var"), F.lit(0).alias("depth")).distinct())
-    front = seen
+    flow = saved(flow)
+    front = saved(targets.select("fn", "target", F.col("target").alias("var"), F.lit(0).alias("depth")).distinct())
+    seen = Grown(front)
     for d in range(1, depth + 1):
         back = front.select("fn", "target", "var").join(flow.select("fn", F.col("dst").alias("var"), "src"), ["fn", "var"]).select("fn", "target", F.col("src").alias("var")).distinct()
-        front = settled(back.join(seen, ["fn", "target", "var"], "left_anti").withColumn("depth", F.lit(d)))
+        front = saved(back.join(seen.all(), ["fn", "target", "var"], "left_anti").withColumn("depth", F.lit(d)))
         if front.limit(1).count() == 0:
             break
-        seen = settled(seen.unionByName(front))
-    return seen
+        seen.add(front)
+    return seen.all()
 
 
 def aliases(moves: DataFrame, params: DataFrame) -> DataFrame:
     """Parameter that each variable is an alias of, through moves (fn, src, dst): fn, var, position; of several the
     parameter of the least position. A round follows what the last one reached or lowered, until there is none."""
-    moves = settled(moves)
-    now = front = settled(params.groupBy("fn", "var").agg(F.min("position").alias("position")))
+    moves = saved(moves)
+    now = front = saved(params.groupBy("fn", "var").agg(F.min("position").alias("position")))
     while True:
         more = front.withColumnRenamed("var", "src").join(moves, ["fn", "src"]).groupBy("fn", F.col("dst").alias("var")).agg(F.min("position").alias("position"))
         known = now.withColumnRenamed("position", "_known")
-        front = settled(more.join(known, ["fn", "var"], "left").filter("_known IS NULL OR position < _known").drop("_known"))
+        front = saved(more.join(known, ["fn", "var"], "left").filter("_known IS NULL OR position < _known").drop("_known"))
         if front.limit(1).count() == 0:
             return now
-        now = settled(now.unionByName(front).groupBy("fn", "var").agg(F.min("position").alias("position")))
+        now = saved(now.unionByName(front).groupBy("fn", "var").agg(F.min("position").alias("position")))
 
 
 def longest_hops(flow: DataFrame, seeds: DataFrame) -> DataFrame:
     """Longest distance of each tainted variable from a seed along flow, which is acyclic within a function: fn, var, hops.
     A path of more steps than a function has variables to step to is a cycle, for which no distance is the longest."""
-    flow = settled(flow)
+    flow = saved(flow)
     most = flow.groupBy("fn").agg(F.count_distinct("dst").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n
-    best = front = settled(seeds.select("fn", "var").distinct().withColumn("hops", F.lit(0)))
+    best = front = saved(seeds.select("fn", "var").distinct().withColumn("hops", F.lit(0)))
     for _ in range(most + 1):
         nxt = front.withColumnRenamed("var", "src").join(flow, ["fn", "src"]).groupBy("fn", F.col("dst").alias("var")).agg((F.max("hops") + 1).cast("int").alias("hops"))
-        front = settled(nxt)
+        front = saved(nxt)
         if front.limit(1).count() == 0:
             return best
-        best = settled(best.unionByName(front).groupBy("fn", "var").agg(F.max("hops").alias("hops")))
+        best = saved(best.unionByName(front).groupBy("fn", "var").agg(F.max("hops").alias("hops")))
     raise ValueError("flow has a cycle within a function")
 
 

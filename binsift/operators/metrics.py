@@ -48,3 +48,30 @@ def outcomes(rows: DataFrame, status: str) -> DataFrame:
 
     n = rows.groupBy(status).agg(F.count("*").alias("n"))
     return n.select(status, "n", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(0))), 2).alias("pct"))
+
+
+def confusion_with_total(rows: DataFrame, by: str, label: str = "label", predicted: str = "predicted") -> DataFrame:
+    """confusion of each group and, as group TOTAL, of all rows together."""
+    return confusion(rows, label, predicted, by).unionByName(confusion(rows, label, predicted).withColumn(by, F.lit("TOTAL")))
+
+
+def graph_stats(edges: DataFrame) -> DataFrame:
+    return edges.agg(F.count("*").alias("edges"), F.count_distinct("caller").alias("callers"), F.count_distinct("callee").alias("callees"))
+
+
+def stored_stats(rows: DataFrame, key: str, role: str) -> DataFrame:
+    """Rows and distinct keys of a stored table by role and in all (role TOTAL)."""
+    r = rows.rollup(role).agg(F.count("*").alias("n"), F.count_distinct(key).alias("keys"), F.grouping(role).alias("_all"))
+    return r.select(F.when(F.col("_all") == 1, "TOTAL").otherwise(F.col(role)).alias("role"), "n", "keys")
+
+
+def write_results(rows: DataFrame, path: str) -> None:
+    """Results as JSON lines and as CSV with a header, in folders of their own under path."""
+    rows.write.mode("overwrite").json(f"{path}/json")
+    rows.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+
+
+def write_costs(calls: DataFrame, price: float, path: str) -> None:
+    """Cost log: a summary by stage with TOTAL, and the records, as JSON in folders of their own under path."""
+    cost_by_stage(calls, price).write.mode("overwrite").json(f"{path}/summary")
+    calls.write.mode("overwrite").json(f"{path}/records")

@@ -47,6 +47,12 @@ def of_bridge(b_ops: DataFrame) -> DataFrame:
     return b_ops.select("fn", "seq", "op", "callee", "out_var", F.array("in1", "in2").alias("args"), F.array("in_size", "in_size").alias("sizes"))
 
 
+def of_programs(b_prog: DataFrame) -> DataFrame:
+    """Flat operations of the view of programs, with one to three arguments."""
+    args, sizes = F.slice(F.array("in1", "in2", "in3"), 1, F.col("n")), F.slice(F.array("size1", "size2", "size3"), 1, F.col("n"))
+    return b_prog.select("fn", "seq", "op", "callee", "out_var", args.alias("args"), sizes.alias("sizes"))
+
+
 def without_skipped(ops: DataFrame, skipped: list[str]) -> DataFrame:
     """Operations without those mnemonics, numbered anew from 0 in each function."""
     left = ops.filter(~F.col("op").isin(skipped))
@@ -276,3 +282,26 @@ def context(ops: DataFrame, centres: DataFrame, around: int = 10) -> DataFrame:
     """Operations within `around` of each centre (fn, at): fn, at, seq, op."""
     hit = centres.select("fn", "at").join(ops.select("fn", "seq", "op"), "fn")
     return hit.filter(F.abs(F.col("seq") - F.col("at")) <= around).select("fn", "at", "seq", "op")
+
+
+def operand_space(op: Column, callee: Column, operand: Column) -> Column:
+    """Space of a call's first operand: external where its target has a name, else by the operand."""
+    named = op.isin(*CALLS) & callee.isNotNull() & ~callee.startswith("0x")
+    return F.when(named, "external").when(operand.startswith("const"), "const").otherwise("unique")
+
+
+def resolved_targets(calls: DataFrame, functions: DataFrame, symbols: DataFrame, address: str = "address") -> DataFrame:
+    """calls with `target`: the function's name at the address, else the symbol's, else the address in hexadecimal.
+    functions and symbols: address, name."""
+    first, second = (t.select(F.col("address").alias(address), F.col("name").alias(n)) for t, n in ((functions, "_fn"), (symbols, "_sym")))
+    return calls.join(first, address, "left").join(second, address, "left").withColumn("target", F.coalesce("_fn", "_sym", F.concat(F.lit("0x"), F.lower(F.hex(address))))).drop("_fn", "_sym")
+
+
+def qualified(flat: DataFrame, binary: Column) -> DataFrame:
+    """Flat operations of several programs as of one: functions, and callees that the same program defines, are named
+    `program!function`, so that equal names of two programs stay apart in every operator."""
+    named = flat.withColumn("_binary", binary)
+    own = named.select("_binary", F.col("fn").alias("callee")).distinct().withColumn("_own", F.lit(True))
+    rows = named.join(own, ["_binary", "callee"], "left")
+    full = lambda c: F.concat_ws("!", F.col("_binary"), F.col(c))
+    return rows.withColumn("callee", F.when(F.col("_own"), full("callee")).otherwise(F.col("callee"))).withColumn("fn", full("fn")).select(*flat.columns)

@@ -128,3 +128,41 @@ def with_extras(chosen: DataFrame, extras: DataFrame, key: str, order: str) -> D
     """Union of both, one row of a key (the chosen one's), in order."""
     more = extras.join(chosen.select(key), key, "left_anti")
     return chosen.unionByName(more).orderBy(F.desc(order), key)
+
+
+# Vulnerability types in scope.
+IN_SCOPE = "buffer_overflow heap_overflow out_of_bounds_read out_of_bounds_write integer_overflow integer_underflow integer_truncation null_dereference write_what_where check_bypass unchecked_arithmetic logic_bug".split()
+
+
+def in_scope(rows: DataFrame, confirmed: Column) -> DataFrame:
+    """Rows without confirmed ones of a type out of scope."""
+    return rows.filter(~confirmed | F.col("vuln_type").isin(IN_SCOPE))
+
+
+def library_first(rows: DataFrame, n: int, score: str = "conf_pct", tie: str = "cand_id") -> DataFrame:
+    """The first n rows: library matches, then by score."""
+    return rows.orderBy(F.col("match_kind") != "LIBRARY_MATCH", F.desc(score), tie).limit(n)
+
+
+def screening(functions: DataFrame, counts: DataFrame, n: int, least: float, score: str = "score") -> DataFrame:
+    """The first n functions (fn, score) to screen: those without candidates (counts: fn, n) first, each kind by score, from
+    `least` on."""
+    rows = functions.join(counts, "fn", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter(F.col(score) >= least)
+    return rows.orderBy(F.col("n") > 0, F.desc(score), "fn").limit(n)
+
+
+def capped(rows: DataFrame, n: int = 500, score: str = "conf_pct", tie: str = "cand_id") -> DataFrame:
+    """The n surest rows."""
+    return rows.orderBy(F.desc(score), tie).limit(n)
+
+
+def uncovered(rows: DataFrame, by: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose keys no row of the other table has."""
+    return rows.join(by.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def both_sides(truth: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """One row: hit (keys in both), missed (only in truth), extra (only in found)."""
+    sides = truth.select(key).distinct().withColumn("_t", F.lit(1)).join(found.select(key).distinct().withColumn("_f", F.lit(1)), key, "full")
+    t, f = F.col("_t").isNotNull(), F.col("_f").isNotNull()
+    return sides.agg(F.count_if(t & f).alias("hit"), F.count_if(t & ~f).alias("missed"), F.count_if(~t & f).alias("extra"))

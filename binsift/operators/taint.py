@@ -1,8 +1,12 @@
-"""Forward taint through a function's operations, in order.
+"""Forward taint through a function's operations, in order, and what functions do to each other's arguments.
 
 What is tainted, checked or freed at an operation depends on the ones before it, and frees are undone by fresh values, so
-the walk is a state machine. It runs once per function on the function's own operations (at most a few thousand), packed
-in one row; functions are dealt over the cluster. The part that is a mere closure has a relational form in `graph`.
+the walk is a state machine. It runs once per function on the function's own operations (8,000 at most by the size
+filter), packed in one row together with what is known of the functions it calls; functions are dealt over the cluster.
+The part that is a mere closure has a relational form in `graph`.
+
+Defined results: functions without operations have no row. Variables are told by name; a constant is only one where a call
+or a store writes to its address. Candidates of equal sink, type and source are one, the first. Orders are by operation, then by argument.
 """
 
 from __future__ import annotations
@@ -15,29 +19,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dims import NOT_SOURCES, SOURCE_CONFIDENCE, SOURCE_FALLBACKS, SOURCE_ROLES, rule_rows
+from .graph import saved
 
-# Operation sets, masks and confidences of the walk.
-ALL_EXTERNAL = frozenset("INT_ADD INT_SUB INT_MULT INT_DIV INT_AND INT_OR INT_XOR INT_LEFT".split())
-CARRY_MULT = frozenset("INT_MULT COPY INT_ZEXT INT_SEXT INT_ADD INT_SUB INT_LEFT PTRADD PTRSUB CAST SUBPIECE".split())
-CARRY_CHECK = frozenset("COPY INT_ZEXT INT_SEXT INT_ADD INT_SUB CAST INT_MULT".split())
+# Operations, functions, masks and confidences of the walk.
+ALL_EXTERNAL = frozenset("INT_ADD INT_SUB INT_AND INT_OR INT_XOR INT_LEFT INT_RIGHT INT_SRIGHT".split())
+CARRY_MULT = frozenset("COPY INT_ZEXT INT_SEXT INT_RIGHT INT_SRIGHT INT_LEFT INT_ADD INT_SUB INT_OR INT_AND".split())
+CARRY_CHECK = frozenset("INT_MULT INT_ADD INT_SUB INT_LEFT COPY INT_ZEXT INT_SEXT".split())
+CARRY_NARROW = frozenset("COPY INT_ZEXT INT_SEXT".split())
 ALIAS = frozenset("COPY CAST INT_ZEXT INT_SEXT PTRADD PTRSUB".split())
-COMPARE = frozenset("INT_LESS INT_LESSEQUAL INT_SLESS INT_SLESSEQUAL INT_EQUAL INT_NOTEQUAL".split())
-ALLOCATORS = frozenset("malloc calloc realloc reallocarray valloc pvalloc png_malloc png_malloc_warn png_calloc png_realloc_array g_malloc_n _TIFFmalloc _TIFFrealloc xmlMalloc sqlite3Malloc OPENSSL_malloc CRYPTO_malloc".split())
-COPY_SINKS = frozenset("memcpy memmove bcopy _TIFFmemcpy png_memcpy".split())
+COMPARE = frozenset("INT_LESS INT_LESSEQUAL INT_EQUAL INT_NOTEQUAL INT_SLESS INT_SLESSEQUAL".split())
+CALLS = frozenset("CALL CALLIND".split())
+NO_DATA = frozenset("BRANCH BRANCHIND RETURN INDIRECT".split())
+ALLOCATORS = frozenset(
+    "malloc calloc realloc reallocarray valloc pvalloc mmap mmap64 brk png_malloc png_malloc_warn png_calloc png_malloc_base png_realloc_array png_zalloc"
+    " g_malloc g_malloc0 g_malloc_n g_realloc g_try_malloc xmalloc zmalloc smalloc emalloc HeapAlloc VirtualAlloc LocalAlloc GlobalAlloc".split()
+) | {"operator new", "operator new[]"}
+COPY_SINKS = frozenset("memcpy memmove memcpy_s bcopy png_memcpy".split())
+FREES = {"free": 0, "png_free": 1, "g_free": 0, "cfree": 0, "png_free_data": 2}
+WRITERS = "_write_ write_ _encode_ encode_ _serialize serialize_ _output_ output_ _emit_ emit_ _flush".split()
 NARROW = frozenset((0xFF, 0xFFFF, 0xFFFFFF, 0x3FF, 0x7FF))
-TRUNCATE = {0xFFFFFFFF: 8, 0xFFFF: 4, 0xFF: 4, 0x7FFFFFFF: 8}
-UAF, FREED, DOUBLE_FREE, WRITE, UNKNOWN_CALL, OOB, TRUNCATION, TRUNCATED, CALLIND_NULL, LOAD_NULL = 0.80, 0.75, 0.80, 0.60, 0.35, 0.50, 0.55, 0.75, 0.65, 0.70
-
-CANDIDATES = "array<struct<seq:int,vuln_type:string,sink_fn:string,match_kind:string,confidence:double,taint_source:string,taint_var:string>>"
-SCHEMA = f"fn string, tainted array<struct<var:string,source:string,external:boolean,confidence:double,hops:int>>, steps array<struct<step:int,seq:int,op:string,from_var:string,to_var:string,reason:string,is_mem:boolean>>, candidates {CANDIDATES}, unknown_calls int"
-
-
-def const(name: str) -> int | None:
+TRUNCATE = {0xFF: 8, 0xFFFF: 4, 0xFFFFFF: 4, 0xFFFFFFFF: 8}
+UPPER_BOUND = 0x10
+UAF_FIELD, FREED, DOUBLE_FREE, WRITE, UNKNOWN_CALL, OOB, NARROWED, TRUNCATED, CALLIND_NULL, LOAD_NULL = 0.80, 0.75, 0.80, 0.60, 0.35, 0.50, 0.55, 0.75, 0.65, 0.70
+FROM_CALLER, COPIED = 0.80, 0.9
+#: Operations of a function that is walked at most.
+MOST_OPS = 8000
+
+CANDIDATES = "array<struct<seq:int,vuln_type:string,sink_fn:string,match_kind:string,confidence:double,taint_source:string,taint_var:string,taint_path:array<string>,bounded:boolean>>"
+SCHEMA = (
+    "fn string, tainted array<struct<var:string,source:string,external:boolean,confidence:double,hops:int>>, steps array<struct<step:int,seq:int,op:string,from_var:string,to_var:string,reason:string,is_mem:boolean>>,"
+    f" candidates {CANDIDATES}, unknown_calls int, marks array<struct<mark:string,var:string>>"
+)
+EFFECTS = "fn string, arg int, effect string"
+
+
+def const(name: str | None) -> int | None:
     """Value of const(..), hexadecimal after 0x, else decimal; null for variables."""
     if not name or not name.startswith("const("):
         return None
+    digits = name[6:-1]
     try:
-        return int(name[6:-1], 0)
+        return int(digits[2:], 16) if digits.startswith("0x") else int(digits)
     except ValueError:
         return None
 
@@ -67,305 +89,602 @@ class Rule:
     taint_arg: int
     confidence: float
 
+    @property
+    def is_source(self) -> bool:
+        return bool(self.external) or self.writes_all
+
+    def written(self, args: list[str], sizes: list[int]) -> list[str]:
+        """Arguments whose memory a call writes."""
+        if self.writes_all:
+            return [a for a, s in zip(args, sizes) if s == 8]
+        return args[self.writes_at : self.writes_at + 1] if self.writes_at >= 0 else []
+
 
 def catalog() -> dict[str, Rule]:
     return {r[0]: Rule(r[1], r[2], r[3], r[4], r[5], r[6], r[7], r[8], r[10], r[11], r[12], r[13]) for r in rule_rows()}
 
 
-@dataclass
-class Mark:
-    source: str
-    external: bool
-    confidence: float
-    hops: int = 0
+def parameters(rows: list[dict]) -> list[str]:
+    """Variables that a function uses and never sets, in order of first use: its parameters by position."""
+    made = {o["out"] for o in rows if o["out"]}
+    return list(dict.fromkeys(a for o in rows for a in o["args"] if a and a.startswith(("VAR_", "Var")) and a not in made))
+
+
+@dataclass(slots=True)
+class Var:
+    """What is known of one variable."""
+
+    tainted: bool = False
+    memory: bool = False  # what it points at is tainted
+    external: bool = False
+    confidence: float = 0.0
+    hops: int | None = None
+    origin: str | None = None
+    path: tuple | None = None  # how taint came: (what came before, name), from the origin on
+    mult: bool = False
+    checked: bool = False
+    narrowed: bool = False
+    freed: bool = False
+    field: tuple[str, int] | None = None  # the place in a structure that it points at
+    loaded: tuple[str, int] | None = None  # the place that it was loaded from
+    target: str | None = None  # the function whose address it holds
 
 
 @dataclass
 class Walk:
-    """State of one function's walk and what it found."""
+    """State of one function's walk and what it found.
 
+    effects holds what called functions do, by name: (argument, effect) with the effects `return`, `mem:k`, `field:offset`
+    (frees what stands there), `checks` and `external` (learned). targets holds function names by address.
+    """
+
+    fn: str
     rules: dict[str, Rule]
-    summaries: dict[str, list[tuple[int, str]]] = field(default_factory=dict)
-    vars: dict[str, Mark] = field(default_factory=dict)
-    memory: dict[str, Mark] = field(default_factory=dict)
-    mult: set[str] = field(default_factory=set)
-    checked: set[str] = field(default_factory=set)
-    truncated: set[str] = field(default_factory=set)
-    freed: set[str] = field(default_factory=set)
+    effects: dict[str, list[tuple[int, str]]] = field(default_factory=dict)
+    targets: dict[int, str] = field(default_factory=dict)
+    silent: bool = False
+    vars: dict[str, Var] = field(default_factory=dict)
     freed_fields: set[tuple[str, int]] = field(default_factory=set)
-    fields: dict[str, tuple[str, int]] = field(default_factory=dict)
-    loaded_from: dict[str, tuple[str, int]] = field(default_factory=dict)
-    pointers: dict[str, str] = field(default_factory=dict)
-    from_ptrsub: set[str] = field(default_factory=set)
     steps: list[dict] = field(default_factory=list)
-    found: list[dict] = field(default_factory=list)
+    found: dict[tuple, dict] = field(default_factory=dict)
     unknown_calls: int = 0
-
-    # -- marks
-    def mark(self, where: dict[str, Mark], to: str | None, m: Mark, seq: int, op: str, origin: str | None = None) -> None:
-        """First write logs a step; a path is kept unless the new one is external and the old isn't."""
-        if not to or const(to) is not None:
+    seq: int = -1
+    op: str = "SEED"
+
+    # -- state
+    def of(self, name: str) -> Var:
+        v = self.vars.get(name)
+        if v is None:
+            v = self.vars[name] = Var()
+        return v
+
+    def known(self, name: str | None) -> Var:
+        """State of a name that may never have been met."""
+        return self.vars.get(name) or Var()
+
+    def seen(self, name: str | None) -> bool:
+        """Whether a variable or what it points at is tainted."""
+        v = self.known(name)
+        return v.tainted or v.memory
+
+    def origin(self, name: str) -> str:
+        return self.known(name).origin or name
+
+    def path(self, name: str) -> list[str]:
+        """Origin of a variable's taint and the variables it came through."""
+        out, at = [], self.known(name).path or (None, name)
+        while at:
+            out.append(at[1])
+            at = at[0]
+        return out[::-1]
+
+    def step(self, origin: str | None, to: str, reason: str, is_mem: bool = False) -> None:
+        self.steps.append({"step": len(self.steps), "seq": self.seq, "op": self.op, "from_var": origin or None, "to_var": to, "reason": reason, "is_mem": is_mem})
+
+    def taint(self, name: str | None, reason: str, origin: str | None = None, confidence: float = 0.0) -> None:
+        """Taint a variable. Its first origin stays unless that isn't external and the new one is."""
+        if not name:
             return
-        old = where.get(to)
-        if old is None:
-            where[to] = Mark(m.source, m.external, m.confidence, m.hops)
-            self.steps.append({"step": len(self.steps), "seq": seq, "op": op, "from_var": origin, "to_var": to, "reason": m.source, "is_mem": where is self.memory})
+        v = self.of(name)
+        outside = reason.startswith("external:")
+        if v.origin is None or outside and not v.origin.startswith("external:"):
+            v.origin, v.path = reason, (None, reason)
+        v.external |= outside or confidence > 0
+        v.confidence = max(v.confidence, confidence)
+        v.hops = v.hops or 0
+        if not v.tainted:
+            v.tainted = True
+            self.step(origin, name, reason)
+
+    def taint_memory(self, name: str | None, reason: str, origin: str | None = None) -> None:
+        if not name:
             return
-        if m.external and not old.external:
-            old.source, old.external = m.source, True
-        old.confidence, old.hops = max(old.confidence, m.confidence), max(old.hops, m.hops)
+        v = self.of(name)
+        if v.origin is None:
+            v.origin, v.path = reason, (None, reason)
+        if not v.memory:
+            v.memory = True
+            self.step(origin, name, reason, True)
+
+    def report(self, kind: str, sink: str, match: str, conf: float, source: str, var: str | None, bounded: bool = False) -> None:
+        if (sink, kind, source) not in self.found:
+            path = self.path(var) if var else [source]
+            self.found[sink, kind, source] = {"seq": self.seq, "vuln_type": kind, "sink_fn": sink, "match_kind": match, "confidence": round(conf, 4), "taint_source": source, "taint_var": var, "taint_path": path, "bounded": bounded}
 
-    def seen(self, var: str | None) -> Mark | None:
-        return (self.vars.get(var) or self.memory.get(var)) if var else None
-
-    def report(self, seq: int, kind: str, sink: str, match: str, conf: float, var: str | None) -> None:
-        m = self.seen(var)
-        self.found.append({"seq": seq, "vuln_type": kind, "sink_fn": sink, "match_kind": match, "confidence": round(conf, 4), "taint_source": m.source if m else "structural", "taint_var": var})
-
-    def propagate(self, o: dict) -> bool:
-        """Any tainted input taints the output; arithmetic is external only if all its tainted inputs are."""
-        marked = [(a, self.vars[a]) for a in o["args"] if a in self.vars]
-        if not marked or not o["out"]:
+    # -- operations
+    def data(self, op: str, args: list[str], sizes: list[int], out: str | None) -> None:
+        """Operations that make a value of values."""
+        if not out:
+            return
+        self.of(out).freed = False
+        if self._propagate(op, args, out):
+            self._flags(op, args, sizes, out)
+        if op in COMPARE:
+            self._compare(op, args)
+        if op == "PTRSUB" and len(args) > 1 and const(args[0]) == 0 and (to := self.targets.get(const(args[1]) or 0)):
+            self.of(out).target = to
+        if op in ("COPY", "CAST") and args and (to := self.known(args[0]).target):
+            self.of(out).target = to
+
+    def _propagate(self, op: str, args: list[str], out: str) -> bool:
+        """Any tainted input taints the output, with the origin of the first external one, else of the first. Address and
+        bit arithmetic is external only if all its tainted inputs are; a confidence makes any output external."""
+        tainted = [a for a in args if self.known(a).tainted]
+        if not tainted:
             return False
-        best_var, best = max(marked, key=lambda x: (x[1].external, x[1].confidence))
-        external = all(m.external for _, m in marked) if o["op"] in ALL_EXTERNAL else best.external
-        external = external or any(m.confidence > 0 for _, m in marked)
-        self.mark(self.vars, o["out"], Mark(best.source, external, max(m.confidence for _, m in marked), 1 + max(m.hops for _, m in marked)), o["seq"], o["op"], best_var)
-        tainted = [a for a, _ in marked]
-        if o["op"] == "INT_MULT" or o["op"] in CARRY_MULT and self.mult.intersection(tainted):
-            self.mult.add(o["out"])
-        if o["op"] in CARRY_CHECK and (self.checked.issuperset(tainted) if o["op"] == "INT_MULT" else self.checked.intersection(tainted)):
-            self.checked.add(o["out"])
+        best = next((a for a in tainted if self.vars[a].external), tainted[0])
+        external = all(self.vars[a].external for a in tainted) if op in ALL_EXTERNAL else self.vars[best].external
+        confidence = max(self.vars[a].confidence for a in tainted)
+        hops = max(self.vars[a].hops or 0 for a in tainted) + 1
+        before, v = self.vars[best], self.of(out)
+        source, path = self.origin(best), (before.path or (None, best), out)
+        if not v.tainted:
+            self.step(best, out, f"propagate:{op}")
+        v.tainted, v.origin, v.path, v.hops = True, source, path, max(v.hops or 0, hops)
+        v.external |= external or confidence > 0
+        v.confidence = max(v.confidence, confidence)
         return True
 
-    # -- operations
-    def call(self, o: dict) -> None:
-        seq, name, args, sizes, out = o["seq"], o["callee"] or "unknown", o["args"], o["sizes"], o["out"]
-        if o["op"] == "CALLIND" and (target := self.pointers.get(name.removeprefix("INDIRECT:"))):
-            name = target
+    def _flags(self, op: str, args: list[str], sizes: list[int], out: str) -> None:
+        """What a tainted output keeps of its inputs, and what bad arithmetic shows."""
+        v, ins = self.vars[out], [self.known(a) for a in args]
+        v.mult |= op == "INT_MULT" or op in CARRY_MULT and any(x.mult for x in ins)
+        if op in CARRY_CHECK:
+            v.checked |= all(x.checked for x in ins if x.tainted) if op == "INT_MULT" else any(x.checked for x in ins)
+        second = args[1] if len(args) > 1 else None
+        if op == "PTRADD" and second and const(second) is None:
+            i = self.known(second)
+            if i.tainted and i.external and i.mult and not i.checked:
+                self.report("integer_overflow", "PTRADD", "NO_MATCH", OOB, self.origin(second), second)
+        if op == "PTRSUB" and const(second) is not None:
+            v.field = args[0], const(second)
+        if op == "INT_AND":
+            i, mask = ins[0], const(second)
+            if mask in NARROW and i.tainted and i.external and not i.checked:
+                self.report("integer_truncation", f"INT_AND(mask=0x{mask:X})", "NO_MATCH", NARROWED, self.origin(args[0]), args[0])
+            masks = [(a, const(a)) for a in args if const(a) in TRUNCATE]
+            if masks:
+                name, mask = masks[0]
+                wide = next((s or 0 for a, s, x in zip(args, sizes, ins) if a != name and x.tainted), None)
+                v.narrowed |= wide is not None and (wide == 0 or wide >= TRUNCATE[mask] and 8 * wide > mask.bit_length())
+        v.narrowed |= op in CARRY_NARROW and any(x.narrowed for x in ins)
+
+    def _compare(self, op: str, args: list[str]) -> None:
+        bound = max((c for c in map(const, args) if c is not None), default=0) > UPPER_BOUND
+        for a in args:
+            x = self.known(a)
+            if x.tainted:
+                x.checked |= bound
+                if x.narrowed and x.external:
+                    self.report("integer_truncation", op, "STRUCTURAL_MATCH", TRUNCATED, self.origin(a), a)
+
+    def store(self, args: list[str]) -> None:
+        if len(args) < 2:
+            return
+        addr, value = args[1:3] if len(args) > 2 else args
+        a, null = self.known(addr), const(value) == 0
+        if self.known(value).tainted:
+            self.taint_memory(addr, f"store:{value}", value)
+            a = self.vars[addr]
+        if a.tainted and a.external and a.field is None:
+            self.report("write_what_where", "STORE", "NO_MATCH", WRITE, self.origin(addr), addr)
+        if a.field in self.freed_fields:
+            if null or not self.known(value).tainted:
+                self.freed_fields.discard(a.field)
+            else:
+                self.report("use_after_free", "STORE", "NO_MATCH", UAF_FIELD, addr, addr)
+        if a.freed and not null:
+            self.report("use_after_free", "STORE", "NO_MATCH", FREED, addr, addr)
+
+    def load(self, args: list[str], out: str | None) -> None:
+        if not out or not args:
+            return
+        addr = args[1] if len(args) > 1 else args[0]
+        self.of(out).freed = False
+        if self.seen(addr):
+            self.taint(out, f"load:*{addr}", addr)
+            self.vars[out].external |= self.vars[addr].external
+        a = self.known(addr)
+        if a.field:
+            self.of(out).loaded = a.field
+            if a.field in self.freed_fields:
+                self.report("use_after_free", "LOAD", "NO_MATCH", UAF_FIELD, addr, addr)
+        if a.freed:
+            self.report("use_after_free", "LOAD", "NO_MATCH", FREED, addr, addr)
+
+    def branch(self, args: list[str]) -> None:
+        if args and self.known(args[-1]).tainted:
+            self.step(args[-1], "branch_condition", f"taint-controlled branch on {args[-1]}")
+
+    def call(self, name: str, args: list[str], sizes: list[int], out: str | None, direct: bool) -> None:
         rule = self.rules.get(name)
-        at = lambda i: args[i] if 0 <= i < len(args) else None
-        hit = next((a for a in args if a in self.freed), None)
-        if hit is not None:
-            frees = rule is not None and at(rule.frees_at) == hit
-            self.report(seq, "double_free" if frees else "use_after_free", name, "STRUCTURAL_MATCH", DOUBLE_FREE if frees else FREED, hit)
-        if rule is None:
-            if name not in self.summaries:
-                self._unknown(o, name)
-        else:
-            self._sink(seq, name, rule, args, at)
-            reason = Mark(f"external:{name}", True, max(source_confidence(name), 0.5))
-            for i in rule.external:
-                self.mark(self.vars, at(i), reason, seq, "CALL")
-                self.mark(self.memory, at(i), reason, seq, "CALL")
-            if rule.writes_all:
-                for a, s in zip(args, sizes):
-                    if s == 8 and const(a) is None:
-                        self.mark(self.memory, a, reason, seq, "CALL")
-                        self.mark(self.vars, a, reason, seq, "CALL")
-            elif rule.writes_at >= 0 and (src := self.seen(at(rule.reads_from))):
-                self.mark(self.memory, at(rule.writes_at), src, seq, "CALL", at(rule.reads_from))
-            if rule.returns and out:
-                self.mark(self.vars, out, Mark(f"return:{name}", False, 0.0), seq, "CALL")
-            if rule.frees_at >= 0 and (p := at(rule.frees_at)) and const(p) is None:
-                self.freed.add(p)
-                if p in self.loaded_from:
-                    self.freed_fields.add(self.loaded_from[p])
-        for i, effect in self.summaries.get(name, ()):
-            if (m := self.seen(at(i))) is not None:
-                if effect == "return":
-                    self.mark(self.vars, out, m, seq, "CALL", at(i))
-                elif effect.startswith("mem:"):
-                    self.mark(self.memory, at(int(effect[4:])), m, seq, "CALL", at(i))
-                elif effect == "frees" and at(i):
-                    self.freed.add(at(i))
+        unknown = rule is None
+        if rule:
+            self._sinks(name, rule, args)
+            self._writes(name, rule, args, sizes)
         if out:
-            self.freed.discard(out)
-
-    def _sink(self, seq: int, name: str, r: Rule, args: list[str], at) -> None:  # noqa: ANN001
-        primary = at(r.taint_arg) if r.taint_arg >= 0 else None
-        primary = primary if self.seen(primary) else at(r.reads_from) if self.seen(at(r.reads_from)) else next((a for a in args if self.seen(a)), None)
-        sizes = [at(i) for i in r.sizes if at(i)]
-        tainted = [s for s in sizes if self.seen(s)]
-        m = self.seen(primary)
-        if r.sink and m:
-            kind, match, ok = r.sink_type, "LIBRARY_MATCH", True
+            self.of(out).freed = False
+        if rule and rule.returns:
+            self.taint(out, f"return:{name}")
+        if unknown:
+            unknown = not self._summary(name if direct else self.known(name).target or name, args, out) and not self._specialised(args)
+        for i, effect in self.effects.get(name, ()):  # learned, whether or not the function has a rule
+            if i < len(args) and args[i]:
+                if effect == "checks":
+                    self.of(args[i]).checked = True
+                elif effect == "external":
+                    self.taint(args[i], f"external:llm_source:{name}")
+        if unknown:
+            self.unknown_calls += 1
+            self._unknown(name, args, sizes, out, direct)
+        self._frees(name, rule, args)
+
+    def _sinks(self, name: str, r: Rule, args: list[str]) -> None:
+        at = lambda i: args[i] if 0 <= i < len(args) else None
+        primary = next((a for a in (at(r.taint_arg), at(r.reads_from), *args) if a and self.seen(a)), None)
+        sizes = [at(i) for i in r.sizes if at(i) is not None]
+        p = self.known(primary)
+        allocates = name in ALLOCATORS
+        if r.sink and primary:
+            kind = r.sink_type or "buffer_overflow"
             if kind == "format_string":
-                ok = m.external
+                ok = p.external
             elif kind == "buffer_overflow":
-                ok = m.external and primary not in self.checked and not (sizes and all(const(s) is not None for s in sizes))
+                constant = bool(r.sizes) and all(const(at(i)) is not None for i in r.sizes)
+                ok = p.external and not p.checked and not constant
             elif kind == "null_dereference":
-                ok = self.seen(at(1)) is not None
-            elif kind == "integer_overflow":
-                if name in ALLOCATORS:
-                    ok, match = bool(tainted) and not self.checked.issuperset(tainted), "NO_MATCH"
-                else:
-                    ok = m.external
+                ok = self.known(at(1)).tainted
+            elif kind == "integer_overflow" and allocates:
+                ok = not sizes or any(map(self.seen, sizes)) and not all(self.known(s).checked for s in sizes)
+            else:
+                ok = kind != "integer_overflow" or p.external
             if ok:
-                self.report(seq, kind, name, match, r.confidence, primary)
-        elif not r.sink and m and m.external and not r.bounded and primary not in self.checked and (r.writes_at >= 0 or r.writes_all) and not r.external:
-            self.report(seq, "buffer_overflow", name, "LIBRARY_MATCH", r.confidence * 0.9, primary)
-        if name not in ALLOCATORS:
-            for s in tainted:
-                if self.seen(s).external and s not in self.checked and (s in self.mult or name in COPY_SINKS):
-                    self.report(seq, "integer_overflow", name, "LIBRARY_MATCH", r.confidence * 0.9, s)
-                    break
-
-    def _unknown(self, o: dict, name: str) -> None:
-        self.unknown_calls += 1
-        marked = [a for a in o["args"] if self.seen(a)]
-        if not marked:
+                self.report(kind, name, "NO_MATCH" if kind == "integer_overflow" and allocates else "LIBRARY_MATCH", r.confidence, self.origin(primary), primary, r.bounded)
+        elif not r.sink and not r.bounded and primary and p.external and not p.checked and (r.writes_all or r.writes_at >= 0):
+            self.report("buffer_overflow", name, "LIBRARY_MATCH", r.confidence * COPIED, self.origin(primary), primary)
+        if self.fn in ALLOCATORS:  # a wrapper's sizes are its callers'
             return
-        best = max((self.seen(a) for a in marked), key=lambda m: (m.external, m.confidence))
-        m = Mark(f"unknown_call:{name}", best.external, best.confidence)
-        self.mark(self.vars, o["out"], m, o["seq"], "CALL", marked[0])
-        for a, s in zip(o["args"], o["sizes"]):
-            if s == 8 and self.seen(a):
-                self.mark(self.memory, a, m, o["seq"], "CALL", a)
-        wide = [a for a, s in zip(o["args"], o["sizes"]) if s >= 4 and self.seen(a) and self.seen(a).external]
-        if o["op"] == "CALL" and len(o["args"]) >= 2 and wide and name != o["fn"]:
-            self.report(o["seq"], "unknown_call", name, "NO_MATCH", UNKNOWN_CALL, wide[0])
-
-    def store(self, o: dict) -> None:
-        seq, args = o["seq"], o["args"]
-        if len(args) < 2:
-            return
-        addr, value = args[-2], args[-1]
-        m = self.vars.get(value)
-        if m:
-            self.mark(self.memory, addr, m, seq, "STORE", value)
-        a = self.vars.get(addr)
-        if a and a.external and addr not in self.from_ptrsub:
-            self.report(seq, "write_what_where", "STORE", "STRUCTURAL_MATCH", WRITE, addr)
-        null = const(value) == 0
-        if (where := self.fields.get(addr)) in self.freed_fields:
-            if null or m is None:
-                self.freed_fields.discard(where)
-            else:
-                self.report(seq, "use_after_free", "STORE", "STRUCTURAL_MATCH", UAF, addr)
-        elif addr in self.freed and not null:
-            self.report(seq, "use_after_free", "STORE", "STRUCTURAL_MATCH", FREED, addr)
-
-    def load(self, o: dict) -> None:
-        if not o["args"]:
+        for s in sizes:
+            x = self.known(s)
+            if x.tainted and x.external and not x.checked and (x.mult or name in COPY_SINKS):
+                self.report("integer_overflow", name, "NO_MATCH" if allocates else "LIBRARY_MATCH", r.confidence * COPIED, self.origin(s), s)
+
+    def _writes(self, name: str, r: Rule, args: list[str], sizes: list[int]) -> None:
+        """What a call of a library function taints."""
+        for i in r.external:
+            if i < len(args):
+                self.taint(args[i], f"external:{name}")
+        written = r.written(args, sizes)
+        source = args[r.reads_from] if 0 <= r.reads_from < len(args) else None
+        for a in written:
+            if self.known(source).tainted:
+                self.taint_memory(a, f"write:{name}", source)
+        if r.is_source:
+            for a in written:
+                self.taint_memory(a, f"external:{name}")
+        if r.writes_all and r.external:
+            for a in written:
+                self.taint(a, f"external:{name}")
+
+    def _summary(self, name: str, args: list[str], out: str | None) -> bool:
+        """Apply what a function of the program is known to do; false if nothing is."""
+        known = [x for x in self.effects.get(name, ()) if x[1] not in ("checks", "external")]
+        for i, effect in known:
+            if i < len(args) and self.known(args[i]).tainted:
+                if effect == "return":
+                    self.taint(out, f"interprocedural:{name}:return", args[i])
+                elif effect.startswith("mem:") and int(effect[4:]) < len(args):
+                    self.taint_memory(args[int(effect[4:])], f"interprocedural:{name}:mem", args[i])
+        return bool(known)
+
+    def _specialised(self, args: list[str]) -> bool:
+        """Fields that a function frees whose address is passed: its parameters are the other arguments in order."""
+        rest = [a for a in args if not self.known(a).target]
+        hit = False
+        for to in (self.known(a).target for a in args):
+            for i, effect in self.effects.get(to, ()) if to else ():
+                if effect.startswith("field:") and i < len(rest):
+                    self.freed_fields.add((rest[i], int(effect[6:])))
+                    hit = True
+        return hit
+
+    def _unknown(self, name: str, args: list[str], sizes: list[int], out: str | None, direct: bool) -> None:
+        """A call of which nothing is known passes taint on, but doesn't bring any."""
+        if not any(map(self.seen, args)):
             return
-        addr = o["args"][-1]
-        m = self.memory.get(addr) or self.vars.get(addr)
-        if m and o["out"]:
-            self.mark(self.vars, o["out"], Mark(m.source, m.external, m.confidence), o["seq"], "LOAD", addr)
-            if addr in self.checked:
-                self.checked.add(o["out"])
-        where = self.fields.get(addr)
-        if where and o["out"]:
-            self.loaded_from[o["out"]] = where
-        if where in self.freed_fields:
-            self.report(o["seq"], "use_after_free", "LOAD", "STRUCTURAL_MATCH", UAF, addr)
-        elif addr in self.freed:
-            self.report(o["seq"], "use_after_free", "LOAD", "STRUCTURAL_MATCH", FREED, addr)
-
-    def arith(self, o: dict) -> None:
-        op, args, out, seq = o["op"], o["args"], o["out"], o["seq"]
-        got = self.propagate(o)
-        consts = [c for c in map(const, args) if c is not None]
-        marked = [a for a in args if a in self.vars]
-        if op == "PTRADD" and len(args) > 1 and (m := self.vars.get(args[1])) and m.external and args[1] in self.mult and args[1] not in self.checked:
-            self.report(seq, "integer_overflow", "PTRADD", "STRUCTURAL_MATCH", OOB, args[1])
-        if op == "PTRSUB" and out:
-            self.from_ptrsub.add(out)
-            if got and len(args) > 1 and const(args[1]) is not None:
-                self.fields[out] = (args[0], const(args[1]))
-            if consts and consts[0] == 0 and len(args) > 1:
-                self.pointers[out] = args[1]
-        if op in ("COPY", "CAST") and args and out:
-            for kept in (self.pointers, self.fields):
-                if args[0] in kept:
-                    kept[out] = kept[args[0]]
-            if args[0] in self.freed:
-                self.freed.add(out)
-        if op == "INT_AND" and marked and consts:
-            m = self.vars[marked[0]]
-            if m.external and marked[0] not in self.checked and max(consts) in NARROW:
-                self.report(seq, "integer_truncation", "INT_AND", "NO_MATCH", TRUNCATION, marked[0])
-            wide = max((s for a, s in zip(args, o["sizes"]) if a in self.vars), default=0)
-            if out and max(consts) in TRUNCATE and wide >= TRUNCATE[max(consts)] and max(consts) < (1 << 8 * wide) - 1:
-                self.truncated.add(out)
-        if op in ("COPY", "INT_ZEXT", "INT_SEXT") and out and self.truncated.intersection(args):
-            self.truncated.add(out)
-        if op in COMPARE and marked:
-            for a in marked:
-                if a in self.truncated and self.vars[a].external:
-                    self.report(seq, "integer_truncation", op, "STRUCTURAL_MATCH", TRUNCATED, a)
-            if not consts or max(consts) > 0x10:
-                self.checked.update(marked)
-
-
-def walk(fn: str, rows: list[dict], rules: dict[str, Rule], summaries: dict | None = None, external_args: list[str] | None = None, reach: float = 1.0) -> Walk:
-    """Walk a function's operations: dicts of seq, op, callee, out, args, sizes, in order."""
-    w = Walk(rules, summaries or {})
-    if reach == 0 and any(t in fn.lower() for t in ("write", "encode", "emit", "output", "print", "dump", "save", "export", "serialize", "put")):
-        return w  # functions that only write take no input
-    for o in rows:
-        o["fn"] = fn
+        self.taint(out, "unknown_call:return")
+        for a, s in zip(args, sizes):
+            if s == 8 and self.known(a).tainted:
+                self.taint_memory(a, "unknown_call:ptr_arg", a)
+        wide = [a for a, s in zip(args, sizes) if (s or 0) >= 4 and self.known(a).tainted and self.known(a).external]
+        if direct and len(args) >= 2 and wide and name and name != self.fn:
+            self.report("unknown_call", name, "NO_MATCH", UNKNOWN_CALL, self.origin(wide[0]), wide[0])
+
+    def _frees(self, name: str, rule: Rule | None, args: list[str]) -> None:
+        """Freed pointers among the arguments, then the pointer that the call itself frees."""
+        frees = rule is not None and rule.frees_at >= 0
+        hit = next((a for a in args if self.known(a).freed), None)
+        if hit is not None:
+            self.report("double_free" if frees else "use_after_free", name, "NO_MATCH", DOUBLE_FREE if frees else FREED, hit, hit)
+        if frees and rule.frees_at < len(args):
+            p = self.of(args[rule.frees_at])
+            p.freed = True
+            if p.loaded:
+                self.freed_fields.add(p.loaded)
+
+
+def _null_checks(rows: list[dict]) -> tuple[set[int], set[int]]:
+    """Places of indirect calls that a comparison with null follows within twelve operations, and of loads through a
+    pointer that is loaded next and never compared, while what that gives is compared with null."""
+    null = [o["op"] in ("INT_EQUAL", "INT_NOTEQUAL") and any(const(a) == 0 for a in o["args"]) for o in rows]
+    calls = {k for k, o in enumerate(rows) if o["op"] == "CALLIND" and any(null[k + 1 : k + 13])}
+    loads, compared = set(), set()
+    for k, o in enumerate(rows):
+        if null[k]:
+            compared.update(a for a in o["args"] if a and a.startswith("VAR_"))
+        nxt = rows[k + 1] if k + 1 < len(rows) else None
+        if o["op"] == "LOAD" and o["out"] and o["out"] not in compared and nxt and nxt["op"] == "LOAD" and nxt["out"] and nxt["args"] and nxt["args"][-1] == o["out"]:
+            if any(null[j] and nxt["out"] in rows[j]["args"] for j in range(k + 2, min(k + 5, len(rows)))):
+                loads.add(k)
+    return calls, loads
+
+
+def walk(fn: str, rows: list[dict], rules: dict[str, Rule], effects: dict | None = None, external_args: list[int] | None = None, reach: float = 1.0, targets: dict[int, str] | None = None) -> Walk:
+    """Walk a function's operations: dicts of seq, op, callee, out, args, sizes, in order. external_args are positions of
+    parameters that callers taint. Functions that only write and that no input reaches (reach 0) give no candidates but
+    those of arithmetic."""
+    w = Walk(fn, rules, effects or {}, targets or {}, reach == 0 and any(t in fn.lower() for t in WRITERS))
     made = {o["out"] for o in rows if o["out"]}
     for o in rows:
         for a, s in zip(o["args"], o["sizes"]):
-            if a and a not in made and s in (2, 4, 8) and const(a) is None and not a.startswith("ram("):
-                w.mark(w.vars, a, Mark(f"param:{a}", False, 0.0), o["seq"], "PARAM")
+            if a and a not in made and s in (2, 4, 8) and not a.startswith(("const(", "ram(")):
+                w.taint(a, f"param:{a}")
+    seeds: dict[str, float] = {}
     for o in rows:
-        if o["op"] in ("CALL", "CALLIND") and o["callee"] and (c := source_confidence(o["callee"])):
-            m = Mark(f"external:{o['callee']}", True, c)
-            w.mark(w.vars, o["out"], m, o["seq"], "SOURCE")
-            for a, s in zip(o["args"], o["sizes"]):
-                if s == 8 and const(a) is None:
-                    w.mark(w.vars, a, m, o["seq"], "SOURCE")
-    for a in external_args or []:
-        w.mark(w.vars, a, Mark("interprocedural:caller", True, 0.80), 0, "PARAM")
+        if o["op"] in CALLS and (c := source_confidence(o["callee"] or "")):
+            wide = [a for a, s in zip(o["args"], o["sizes"]) if s == 8 and a and not a.startswith(("const(", "ram("))]
+            for a in [o["out"], *wide] if o["out"] else wide:
+                seeds[a] = max(c, seeds.get(a, 0.0))
+    for a, c in seeds.items():
+        w.taint(a, f"external:3a_seed_{a}", None, c)
+    params = parameters(rows)
+    for i in sorted(external_args or []):
+        if i < len(params):
+            w.taint(params[i], f"external:interproc_arg_{i}", None, FROM_CALLER)
+    null_calls, null_loads = _null_checks(rows)
     for k, o in enumerate(rows):
-        op = o["op"]
-        if op in ("CALL", "CALLIND"):
-            w.call(o)
-            if op == "CALLIND" and any(x["op"] in ("INT_EQUAL", "INT_NOTEQUAL") and any(const(a) == 0 for a in x["args"]) for x in rows[k + 1 : k + 13]):
-                w.report(o["seq"], "null_dereference", "CALLIND", "STRUCTURAL_MATCH", CALLIND_NULL, o["args"][0] if o["args"] else None)
+        op, args, sizes, out = o["op"], o["args"], o["sizes"], o["out"]
+        w.seq, w.op = o["seq"], op
+        before = dict(w.found) if w.silent else None
+        if op in CALLS:
+            w.call((o["callee"] or "unknown").removeprefix("INDIRECT:"), args, sizes, out, op == "CALL")
+            if k in null_calls:
+                w.report("null_dereference", o["callee"] or "CALLIND", "NO_MATCH", CALLIND_NULL, "structural:callind_null_check", o["callee"])
         elif op == "STORE":
-            w.store(o)
+            w.store(args)
         elif op == "LOAD":
-            w.load(o)
-            nxt = rows[k + 1] if k + 1 < len(rows) else None
-            if nxt and nxt["op"] == "LOAD" and o["out"] in nxt["args"] and o["out"] not in w.checked:
-                if any(x["op"] in ("INT_EQUAL", "INT_NOTEQUAL") and nxt["out"] in x["args"] for x in rows[k + 2 : k + 5]):
-                    w.report(o["seq"], "null_dereference", "LOAD", "STRUCTURAL_MATCH", LOAD_NULL, o["out"])
+            w.load(args, out)
+            if k in null_loads:
+                w.report("null_dereference", "LOAD", "NO_MATCH", LOAD_NULL, "structural:load_load_wrong_var_check", args[-1])
         elif op == "CBRANCH":
-            w.steps += [{"step": len(w.steps), "seq": o["seq"], "op": op, "from_var": a, "to_var": None, "reason": "branch", "is_mem": False} for a in o["args"] if a in w.vars]
-        elif op not in ("BRANCH", "BRANCHIND", "RETURN", "MULTIEQUAL", "INDIRECT"):
-            w.arith(o)
-        if op not in ("CALL", "CALLIND") and o["out"] and op not in ("COPY", "CAST"):
-            w.freed.discard(o["out"])
-    first: dict[tuple, dict] = {}
-    for c in w.found:
-        first.setdefault((c["sink_fn"], c["vuln_type"], c["taint_source"]), c)
-    w.found = list(first.values())
+            w.branch(args)
+        elif op not in NO_DATA:
+            w.data(op, args, sizes, out)
+            before = None
+        if before is not None:
+            w.found = before
     return w
 
 
-def analyze(ops: DataFrame, summaries: dict | None = None, external_args: DataFrame | None = None) -> DataFrame:
-    """Walk every function of flat operations: fn, tainted, steps, candidates, unknown_calls.
+# -- what functions do with their parameters ---------------------------------------------------------------------------
+
+
+def probe(rows: list[dict], seeds: set[str], rules: dict[str, Rule], effects: dict[str, list[tuple[int, str]]]) -> tuple[set[str], set[str]]:
+    """Variables and memory that taint reaches from seeds: the closure alone, without sinks, checks and frees."""
+    live, memory = set(seeds), set()
+    for o in rows:
+        op, args, sizes, out = o["op"], o["args"], o["sizes"], o["out"]
+        if op in CALLS:
+            if live.isdisjoint(args) and memory.isdisjoint(args):
+                continue
+            name = (o["callee"] or "").removeprefix("INDIRECT:")
+            rule, known = rules.get(name), effects.get(name)
+            if rule:
+                live.update([out] if rule.returns and out else [], (args[i] for i in rule.external if i < len(args)))
+                written = rule.written(args, sizes)
+                if rule.is_source or 0 <= rule.reads_from < len(args) and args[rule.reads_from] in live:
+                    memory.update(written)
+            elif known:
+                for i, effect in known:
+                    if i < len(args) and args[i] in live:
+                        live.update([out] if effect == "return" and out else [])
+                        if effect.startswith("mem:") and int(effect[4:]) < len(args):
+                            memory.add(args[int(effect[4:])])
+            else:
+                live.update([out] if out else [])
+                memory.update(a for a, s in zip(args, sizes) if s == 8 and a in live)
+        elif op == "STORE":
+            addr, value = (args[1:3] if len(args) > 2 else args) if len(args) > 1 else (None, None)
+            if value in live:
+                memory.add(addr)
+        elif op == "LOAD":
+            addr = args[1] if len(args) > 1 else args[0] if args else None
+            if out and (addr in live or addr in memory):
+                live.add(out)
+        elif op not in NO_DATA and op != "CBRANCH" and out and not live.isdisjoint(args):
+            live.add(out)
+    return live, memory
+
+
+def freed_fields(rows: list[dict], alias: dict[str, int], effects: dict[str, list[tuple[int, str]]], targets: dict[int, str]) -> set[tuple[int, int]]:
+    """(parameter, offset) of the fields whose pointers a function frees, itself or through a function it knows the
+    address of."""
+    place: dict[str, tuple[str, int]] = {}
+    loaded: dict[str, tuple[str, int]] = {}
+    held: dict[str, str] = {}
+    out: set[tuple[int, int]] = set()
+    for o in rows:
+        op, args, to = o["op"], o["args"], o["out"]
+        if op == "PTRSUB" and to and len(args) > 1 and (offset := const(args[1])) is not None:
+            place[to] = args[0], offset
+            if const(args[0]) == 0 and offset in targets:
+                held[to] = targets[offset]
+        elif op in ("COPY", "CAST") and to and args and args[0] in held:
+            held[to] = held[args[0]]
+        elif op == "LOAD" and to and args and (at := args[1] if len(args) > 1 else args[0]) in place:
+            loaded[to] = place[at]
+        elif op in CALLS:
+            name = (o["callee"] or "").removeprefix("INDIRECT:")
+            name = name if op == "CALL" else held.get(name, "")
+            if name in FREES:
+                base, offset = loaded.get(args[FREES[name]], (None, 0)) if FREES[name] < len(args) else (None, 0)
+                if base in alias:
+                    out.add((alias[base], offset))
+            for i, effect in effects.get(name, ()):
+                if effect.startswith("field:") and i < len(args):
+                    p = alias.get(args[i], alias.get(loaded.get(args[i], ("", 0))[0]))
+                    if p is not None:
+                        out.add((p, int(effect[6:])))
+    return out
+
+
+def summary(rows: list[dict], rules: dict[str, Rule], effects: dict[str, list[tuple[int, str]]], targets: dict[int, str] | None = None) -> list[tuple[int, str]]:
+    """What a function does with each of its parameters: (position, effect)."""
+    params = parameters(rows)
+    alias = {p: i for i, p in enumerate(params)}
+    for o in rows:
+        if o["op"] in ALIAS and o["out"] and o["out"] not in alias and (of := next((a for a in o["args"] if a in alias), None)):
+            alias[o["out"]] = alias[of]
+    returned = next((o["args"][0] for o in reversed(rows) if o["op"] == "RETURN" and o["args"] and o["args"][0] and const(o["args"][0]) is None), None)
+    found: set[tuple[int, str]] = {(i, f"field:{offset}") for i, offset in freed_fields(rows, alias, effects, targets or {})}
+    for i, p in enumerate(params):
+        live, memory = probe(rows, {p}, rules, effects)
+        if returned in live:
+            found.add((i, "return"))
+        found.update((i, f"mem:{alias[v]}") for v in memory if v in alias)
+    return sorted(found)
+
+
+def passed_on(fn: str, rows: list[dict], rules: dict[str, Rule], effects: dict[str, list[tuple[int, str]]]) -> list[tuple[str, int]]:
+    """(callee, position) of the arguments that a function passes external data of its own calls in, and (fn, -1) if it
+    calls anything that brings such data."""
+    seeds: set[str] = set()
+    for o in rows:
+        rule = rules.get((o["callee"] or "").removeprefix("INDIRECT:")) if o["op"] in CALLS else None
+        if rule and rule.is_source:
+            seeds.update(o["args"][i] for i in rule.external if i < len(o["args"]))
+            seeds.update(rule.written(o["args"], o["sizes"]))
+            if rule.returns and o["out"]:
+                seeds.add(o["out"])
+    if not seeds:
+        return []
+    live, _ = probe(rows, seeds, rules, effects)
+    marks = {((o["callee"] or "").removeprefix("INDIRECT:"), i) for o in rows if o["op"] in CALLS for i, a in enumerate(o["args"]) if a in live}
+    return [(fn, -1), *sorted(marks)]
+
+
+# -- on tables ---------------------------------------------------------------------------------------------------------
+
+
+def packed(ops: DataFrame) -> DataFrame:
+    """One row per function of at most MOST_OPS operations: fn, ops. Larger functions are counted, not gathered."""
+    few = ops.groupBy("fn").agg(F.count("*").alias("_n")).filter(F.col("_n") <= MOST_OPS).select("fn")
+    fields = F.struct("seq", "op", "callee", F.col("out_var").alias("out"), "args", "sizes")
+    return ops.join(few, "fn", "left_semi").groupBy("fn").agg(F.array_sort(F.collect_list(fields)).alias("ops"))
+
 
-    external_args (fn, vars) names parameters that callers taint. A function's operations are packed into one row.
+def calls(ops: DataFrame) -> DataFrame:
+    """fn and callee of every call, once."""
+    return ops.filter(F.col("op").isin(*CALLS) & F.col("callee").isNotNull()).select("fn", F.regexp_replace("callee", "^INDIRECT:", "").alias("callee")).distinct()
+
+
+def pointers(ops: DataFrame, entries: DataFrame) -> DataFrame:
+    """fn, address, callee: functions whose address a function takes. entries (fn, entry_addr) in hexadecimal."""
+    hexed = F.lower(F.regexp_extract(F.get("args", 1), r"^const\(0x0*([0-9a-fA-F]+)\)$", 1))
+    taken = ops.filter((F.col("op") == "PTRSUB") & F.get("args", 0).isin("const(0x0)", "const(0)")).select("fn", hexed.alias("at")).filter("at != ''").distinct()
+    known = entries.select(F.col("fn").alias("callee"), F.regexp_replace(F.lower("entry_addr"), "^(0x)?0*(?=.)", "").alias("at"))
+    return taken.join(known, "at").select("fn", F.conv("at", 16, 10).cast("long").alias("address"), "callee")
+
+
+def with_knowledge(functions: DataFrame, edges: DataFrame, effects: DataFrame | None, taken: DataFrame | None) -> DataFrame:
+    """functions with `known`, the effects of those they call or take the address of, and `targets`, names by address."""
+    if effects is not None:
+        used = edges if taken is None else edges.unionByName(taken.select("fn", "callee")).distinct()
+        met = used.join(effects.select(F.col("fn").alias("callee"), "arg", "effect"), "callee")
+        functions = functions.join(met.groupBy("fn").agg(F.sort_array(F.collect_list(F.struct("callee", "arg", "effect"))).alias("known")), "fn", "left")
+    else:
+        functions = functions.withColumn("known", F.lit(None).cast("array<struct<callee:string,arg:int,effect:string>>"))
+    if taken is not None:
+        return functions.join(taken.groupBy("fn").agg(F.sort_array(F.collect_list(F.struct("address", "callee"))).alias("targets")), "fn", "left")
+    return functions.withColumn("targets", F.lit(None).cast("array<struct<address:bigint,callee:string>>"))
+
+
+def _known(row: list[dict] | None) -> dict[str, list[tuple[int, str]]]:
+    out: dict[str, list[tuple[int, str]]] = {}
+    for x in row or []:
+        out.setdefault(x["callee"], []).append((x["arg"], x["effect"]))
+    return out
+
+
+def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    return zip(*(batch.column(c).to_pylist() for c in names))
+
+
+def analyze(ops: DataFrame, effects: DataFrame | None = None, external: DataFrame | None = None, entries: DataFrame | None = None, reach: DataFrame | None = None) -> DataFrame:
+    """Walk every function of flat operations: fn, tainted, steps, candidates, unknown_calls, marks.
+
+    effects (EFFECTS) says what functions do with their parameters: from `summaries`, from learned rules, or both. external
+    (fn, arg) names parameters that callers taint, entries (fn, entry_addr) where functions start, reach (fn, reach) how
+    surely input reaches them.
     """
-    packed = ops.groupBy("fn").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "callee", F.col("out_var").alias("out"), "args", "sizes"))).alias("ops"))
-    rows = packed.join(external_args.select("fn", F.col("vars")), "fn", "left") if external_args is not None else packed.withColumn("vars", F.lit(None).cast("array<string>"))
-    known = summaries or {}
+    taken = None if entries is None else pointers(ops, entries)
+    rows = with_knowledge(packed(ops), calls(ops), effects, taken)
+    if external is not None:
+        rows = rows.join(external.filter("arg >= 0").groupBy("fn").agg(F.array_sort(F.collect_set("arg")).alias("vars")), "fn", "left")
+    else:
+        rows = rows.withColumn("vars", F.lit(None).cast("array<int>"))
+    rows = rows.join(reach.select("fn", F.col("reach").cast("double").alias("reach")), "fn", "left") if reach is not None else rows.withColumn("reach", F.lit(1.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = catalog()
         for b in batches:
             out = []
-            for fn, fn_ops, extra in zip(*(b.column(c).to_pylist() for c in ("fn", "ops", "vars"))):
-                w = walk(fn, fn_ops, rules, known, extra)
-                out.append({"fn": fn, "tainted": [{"var": v, "source": m.source, "external": m.external, "confidence": m.confidence, "hops": m.hops} for v, m in sorted(w.vars.items())], "steps": w.steps, "candidates": w.found, "unknown_calls": w.unknown_calls})
+            for fn, fn_ops, known, targets, extra, sure in _rows(b, "fn", "ops", "known", "targets", "vars", "reach"):
+                w = walk(fn, fn_ops, rules, _known(known), extra, 1.0 if sure is None else sure, {t["address"]: t["callee"] for t in targets or []})
+                names = sorted(w.vars.items())
+                out.append(
+                    {
+                        "fn": fn,
+                        "tainted": [{"var": n, "source": w.origin(n), "external": v.external, "confidence": v.confidence, "hops": v.hops or 0} for n, v in names if v.tainted],
+                        "steps": w.steps,
+                        "candidates": list(w.found.values()),
+                        "unknown_calls": w.unknown_calls,
+                        "marks": [{"mark": m, "var": n} for m in ("memory", "mult", "checked", "narrowed", "freed") for n, v in names if getattr(v, m)],
+                    }
+                )
             yield pa.RecordBatch.from_pylist(out, schema=_arrow())
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.select("fn", "ops", "known", "targets", "vars", "reach").mapInArrow(run, SCHEMA)
 
 
 def _arrow() -> pa.Schema:
@@ -375,8 +694,9 @@ def _arrow() -> pa.Schema:
             ("fn", s),
             ("tainted", pa.list_(pa.struct([("var", s), ("source", s), ("external", t), ("confidence", f), ("hops", i)]))),
             ("steps", pa.list_(pa.struct([("step", i), ("seq", i), ("op", s), ("from_var", s), ("to_var", s), ("reason", s), ("is_mem", t)]))),
-            ("candidates", pa.list_(pa.struct([("seq", i), ("vuln_type", s), ("sink_fn", s), ("match_kind", s), ("confidence", f), ("taint_source", s), ("taint_var", s)]))),
+            ("candidates", pa.list_(pa.struct([("seq", i), ("vuln_type", s), ("sink_fn", s), ("match_kind", s), ("confidence", f), ("taint_source", s), ("taint_var", s), ("taint_path", pa.list_(s)), ("bounded", t)]))),
             ("unknown_calls", i),
+            ("marks", pa.list_(pa.struct([("mark", s), ("var", s)]))),
         ]
     )
 
@@ -390,59 +710,69 @@ def flow_steps(walked: DataFrame) -> DataFrame:
     return walked.select("fn", F.explode("steps").alias("s")).select("fn", "s.*")
 
 
-def summaries_by_level(ops: DataFrame, levels: DataFrame) -> dict[str, list[tuple[int, str]]]:
-    """Effects of each function's parameters, callees before callers: {fn: [(parameter, effect)]}.
+def tainted(walked: DataFrame) -> DataFrame:
+    return walked.select("fn", F.explode("tainted").alias("t")).select("fn", "t.*")
+
 
-    One walk per parameter position with that one parameter tainted; effects are `return`, `frees` and `mem:i` (what
-    parameter i points at). Levels come from
-    graph.levels; members of cycles are walked last, with what is known by then. The result is a dimension of functions.
+def marks(walked: DataFrame) -> DataFrame:
+    """What the walk knows of variables at its end: memory, mult, checked, narrowed, freed."""
+    return walked.select("fn", F.explode("marks").alias("m")).select("fn", "m.*")
+
+
+def summaries(ops: DataFrame, levels: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """Effects of each function's parameters, callees before callers: EFFECTS, a written table.
+
+    Levels come from graph.levels; a function is done when its callees are, members of cycles and their callers last,
+    with what is known by then. A round is one distributed job that joins the functions of a level with the effects of
+    those they call, so neither rows nor effects pass through the driver.
     """
-    known: dict[str, list[tuple[int, str]]] = {}
-    placed = ops.join(levels.withColumnRenamed("node", "fn"), "fn", "left").withColumn("level", F.coalesce("level", F.lit((1 << 31) - 1)))
-    for (level,) in placed.select("level").distinct().orderBy("level").collect():
-        here = placed.filter(F.col("level") == level)
-        packed = here.groupBy("fn").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "callee", F.col("out_var").alias("out"), "args", "sizes"))).alias("ops"))
-        sofar = dict(known)
-
-        def run(batches: Iterator[pa.RecordBatch], sofar: dict = sofar) -> Iterator[pa.RecordBatch]:
-            rules = catalog()
-            for b in batches:
-                out = []
-                for fn, rows in zip(b.column("fn").to_pylist(), b.column("ops").to_pylist()):
-                    out += [{"fn": fn, "arg": i, "effect": e} for i, e in effects(fn, rows, rules, sofar)]
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("fn", pa.string()), ("arg", pa.int32()), ("effect", pa.string())]))
-
-        for r in packed.mapInArrow(run, "fn string, arg int, effect string").collect():
-            known.setdefault(r.fn, []).append((r.arg, r.effect))
-    return known
-
-
-def effects(fn: str, rows: list[dict], rules: dict[str, Rule], known: dict) -> list[tuple[int, str]]:
-    """What a function does with each of its parameters: (position, effect)."""
-    made = {o["out"] for o in rows if o["out"]}
-    params = list(dict.fromkeys(a for o in rows for a in o["args"] if a and a.startswith("VAR_") and a not in made))
-    alias = {p: i for i, p in enumerate(params)}
-    for o in rows:
-        if o["op"] in ALIAS and o["out"] and o["out"] not in alias and (of := next((a for a in o["args"] if a in alias), None)):
-            alias[o["out"]] = alias[of]
-    found = []
-    for i, p in enumerate(params):
-        w = Walk(rules, known)
-        w.mark(w.vars, p, Mark(f"param:{p}", True, 0.5), 0, "PARAM")
-        for o in rows:
-            o["fn"] = fn
-            if o["op"] in ("CALL", "CALLIND"):
-                if any(w.seen(a) for a in o["args"]):  # what other calls take in isn't this parameter's doing
-                    w.call(o)
-            elif o["op"] == "STORE":
-                w.store(o)
-            elif o["op"] == "LOAD":
-                w.load(o)
-            elif o["op"] not in ("CBRANCH", "BRANCH", "BRANCHIND", "RETURN"):
-                w.arith(o)
-        if any(o["op"] == "RETURN" and any(a in w.vars for a in o["args"]) for o in rows):
-            found.append((i, "return"))
-        if p in w.freed:
-            found.append((i, "frees"))
-        found += [(i, f"mem:{k}") for k in sorted({alias[v] for v in w.memory if v in alias})]
-    return found
+    ops = saved(ops)
+    edges, taken = saved(calls(ops)), None if entries is None else saved(pointers(ops, entries))
+    functions = saved(packed(ops).join(levels.withColumnRenamed("node", "fn"), "fn", "left"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules = catalog()
+        schema = pa.schema([("fn", pa.string()), ("arg", pa.int32()), ("effect", pa.string())])
+        for b in batches:
+            out = []
+            for fn, rows, known, targets in _rows(b, "fn", "ops", "known", "targets"):
+                out += [{"fn": fn, "arg": i, "effect": e} for i, e in summary(rows, rules, _known(known), {t["address"]: t["callee"] for t in targets or []})]
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    deepest = functions.agg(F.max("level").alias("n")).first().n
+    done = ops.sparkSession.createDataFrame([], EFFECTS)
+    # Functions without a level: those that call nothing of the program go first, members of cycles and their callers last.
+    for level in [*range(-1 if deepest is None else deepest + 1), None]:
+        here = functions.filter(F.col("level").isNull() if level is None else F.col("level") == level).drop("level")
+        done = done.unionByName(saved(with_knowledge(here, edges, done, taken).select("fn", "ops", "known", "targets").mapInArrow(run, EFFECTS)))
+    return done
+
+
+def external_arguments(ops: DataFrame, effects: DataFrame | None = None, rounds: int = 10) -> DataFrame:
+    """fn and arg of the parameters that external data enters functions by; arg -1 marks functions that bring it in.
+
+    First each function's own calls of sources: what they taint is followed through the function, and the arguments it
+    passes it on in are marked at the callee. Then upwards, up to `rounds` calls: a function that calls one of those marked
+    is marked at the positions of the variables it passes.
+    """
+    ops = saved(ops)
+    edges = saved(calls(ops))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules = catalog()
+        schema = pa.schema([("fn", pa.string()), ("arg", pa.int32())])
+        for b in batches:
+            out = [{"fn": f, "arg": i} for fn, rows, known in _rows(b, "fn", "ops", "known") for f, i in passed_on(fn, rows, rules, _known(known))]
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    own = saved(with_knowledge(packed(ops), edges, effects, None).select("fn", "ops", "known").mapInArrow(run, "fn string, arg int").distinct())
+    reached = saved(own.select("fn").distinct())
+    front = reached
+    for _ in range(rounds):
+        front = saved(edges.join(front.withColumnRenamed("fn", "callee"), "callee", "left_semi").select("fn").distinct().join(reached, "fn", "left_anti"))
+        if front.limit(1).count() == 0:
+            break
+        reached = reached.unionByName(front)
+    to_marked = ops.filter(F.col("op").isin(*CALLS)).withColumn("callee", F.regexp_replace("callee", "^INDIRECT:", "")).join(reached.withColumnRenamed("fn", "callee"), "callee", "left_semi")
+    passed = to_marked.select("fn", F.posexplode("args").alias("arg", "var")).filter(F.col("var").startswith("VAR_")).select("fn", "arg")
+    return own.unionByName(passed).distinct()

@@ -115,9 +115,9 @@ def p29(s: Source) -> DataFrame:
     return rows.groupBy("vuln_type", "severity", select.boosted(F.col("severity")).alias("boosted")).agg(F.count("*").alias("n"))
 
 
-@query("p21_in_scope", "SELECT cand_id FROM b_candidates WHERE NOT (conf_pct > 60) OR vuln_type IN ('buffer_overflow', 'format_string')")
+@query("p21_in_scope", "SELECT cand_id FROM b_candidates WHERE NOT (conf_pct > 60) OR vuln_type IN ('buffer_overflow', 'heap_overflow', 'out_of_bounds_read', 'out_of_bounds_write', 'integer_overflow', 'integer_underflow', 'integer_truncation', 'null_dereference', 'write_what_where', 'check_bypass', 'unchecked_arithmetic', 'logic_bug')")
 def p21(s: Source) -> DataFrame:
-    return s.b_candidates.filter(~(F.col("conf_pct") > 60) | F.col("vuln_type").isin("buffer_overflow", "format_string")).select("cand_id")
+    return select.in_scope(s.b_candidates, F.col("conf_pct") > 60).select("cand_id")
 
 
 @query("p25_confidence_role", "SELECT cand_id, CASE WHEN abs(c - 1) < 0.06 THEN 'DIRECT_IO' WHEN abs(c - 0.98) < 0.06 THEN 'NETWORK_WRAPPED' WHEN abs(c - 0.9) < 0.06 THEN 'LIBRARY_READER' WHEN abs(c - 0.85) < 0.06 THEN 'DB_INPUT' WHEN abs(c - 0.75) < 0.06 THEN 'CLI_ARGUMENT' WHEN abs(c - 0.65) < 0.06 THEN 'ENVIRONMENT' ELSE 'UNKNOWN' END AS role FROM (SELECT cand_id, conf_pct / 100 AS c FROM b_candidates) t")
@@ -189,7 +189,7 @@ def j13(s: Source) -> DataFrame:
 
 @query("j14_semantic_only", "SELECT sem_id FROM b_sem WHERE fn NOT IN (SELECT fn FROM b_assess WHERE support = 'Strong')")
 def j14(s: Source) -> DataFrame:
-    return s.b_sem.join(s.b_assess.filter("support = 'Strong'").select("fn").distinct(), "fn", "left_anti").select("sem_id")
+    return select.uncovered(s.b_sem, s.b_assess.filter("support = 'Strong'"), ["fn"]).select("sem_id")
 
 
 @query("w03_round_robin", "SELECT cand_id, CAST(row_number() OVER (PARTITION BY fn ORDER BY conf_pct DESC, cand_id, vuln_type, match_kind) AS INTEGER) AS fn_rank, CAST(match_kind <> 'LIBRARY_MATCH' AS INTEGER) AS library_first FROM b_candidates")
@@ -218,7 +218,12 @@ def w05(s: Source) -> DataFrame:
     return select.by_quota(rows, _QUOTAS, 100, "conf_pct", "cand_id").select("cand_id", "category", "filled")
 
 
-@query("t11_adaptive_quotas", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', CAST({v} AS BIGINT))" for k, v in select.adaptive_quotas({"parser": 0.4, "validator": 0.1, "arithmetic": 0.2, "memory": 0.3}, 75).items()) + ") q(category, slots)")
+@query("t11_adaptive_quotas", """
+WITH b(category, base, share) AS (VALUES ('parser', 0.233e0, 0.4e0), ('validator', 0.200e0, 0.1e0), ('arithmetic', 0.167e0, 0.2e0), ('memory', 0.133e0, 0.3e0), ('unknown', 0.133e0, 0e0), ('state_machine', 0.067e0, 0e0), ('error_handler', 0.067e0, 0e0)),
+r AS (SELECT category, base * greatest(0.5e0, least(2e0, share / greatest(base, 0.01e0))) AS raw, row_number() OVER () AS place FROM b),
+s AS (SELECT category, place, greatest(1, CAST(floor(raw / (SELECT sum(raw) FROM r) * 75) AS BIGINT)) AS slots FROM r),
+o AS (SELECT *, row_number() OVER (ORDER BY slots DESC, place) AS n FROM s)
+SELECT category, CAST(slots + CASE WHEN n <= 75 - (SELECT sum(slots) FROM s) THEN 1 ELSE 0 END AS BIGINT) AS slots FROM o""")
 def t11(s: Source) -> DataFrame:
     return s.spark.createDataFrame(list(select.adaptive_quotas(_SHARES, 75).items()), "category string, slots long")
 
@@ -230,10 +235,10 @@ def w06(s: Source) -> DataFrame:
     return select.elbow(s.part.select("p_partkey", F.floor("p_retailprice").alias("s")), "s")
 
 
-@query("w12_ids_by_severity", f"SELECT cand_id, format('VULN-{{:03d}}', row_number() OVER (ORDER BY CASE {_SEV} WHEN 'critical' THEN 4 WHEN 'high' THEN 3 ELSE 2 END DESC, cand_id, fn, vuln_type)) AS id FROM b_candidates WHERE conf_pct = 100")
+@query("w12_ids_by_severity", f"SELECT cand_id, fn, vuln_type, format('VULN-{{:03d}}', row_number() OVER (ORDER BY CASE {_SEV} WHEN 'critical' THEN 4 WHEN 'high' THEN 3 ELSE 2 END DESC, cand_id, fn, vuln_type)) AS id FROM b_candidates")
 def w12(s: Source) -> DataFrame:
-    rows = s.b_candidates.filter("conf_pct = 100").withColumn("severity", fuse.default_severity(F.col("vuln_type")))
-    return report.numbered(rows, "cand_id", "fn", "vuln_type").select("cand_id", "id")
+    rows = s.b_candidates.withColumn("severity", fuse.default_severity(F.col("vuln_type")))
+    return report.numbered(rows, "cand_id", "fn", "vuln_type").select("cand_id", "fn", "vuln_type", "id")
 
 
 @query("t01_rank", "SELECT fn, cand_id, vuln_type, CAST(row_number() OVER (PARTITION BY fn ORDER BY conf_pct < 10, conf_pct DESC, cand_id, vuln_type, match_kind) AS INTEGER) AS place FROM b_candidates")
@@ -244,7 +249,7 @@ def t01(s: Source) -> DataFrame:
 
 @query("t04_library_first", "SELECT cand_id FROM b_candidates ORDER BY match_kind <> 'LIBRARY_MATCH', conf_pct DESC, cand_id LIMIT 50")
 def t04(s: Source) -> DataFrame:
-    return s.b_candidates.orderBy(F.col("match_kind") != "LIBRARY_MATCH", F.desc("conf_pct"), "cand_id").limit(50).select("cand_id")
+    return select.library_first(s.b_candidates, 50).select("cand_id")
 
 
 @query("t06_two_tier_screening", """
@@ -252,13 +257,12 @@ SELECT fn, score, n FROM (SELECT f.fn, f.score, coalesce(c.n, 0) AS n FROM (SELE
   LEFT JOIN (SELECT fn, count(*) AS n FROM b_candidates WHERE conf_pct > 98 GROUP BY fn) c ON c.fn = f.fn) t WHERE score >= 0.3 ORDER BY n > 0, score DESC, fn LIMIT 15""")
 def t06(s: Source) -> DataFrame:
     f = s.supplier.select(F.concat(F.lit("fn_"), F.col("s_suppkey").cast("string")).alias("fn"), (F.col("s_suppkey") % 10 / 10).alias("score"))
-    c = s.b_candidates.filter("conf_pct > 98").groupBy("fn").agg(F.count("*").alias("n"))
-    return f.join(c, "fn", "left").select("fn", "score", F.coalesce("n", F.lit(0)).alias("n")).filter("score >= 0.3").orderBy(F.col("n") > 0, F.desc("score"), "fn").limit(15)
+    return select.screening(f, s.b_candidates.filter("conf_pct > 98").groupBy("fn").agg(F.count("*").alias("n")), 15, 0.3).select("fn", "score", "n")
 
 
 @query("t08_cap_confirmed", "SELECT cand_id FROM b_candidates WHERE conf_pct > 50 ORDER BY conf_pct DESC, cand_id LIMIT 500")
 def t08(s: Source) -> DataFrame:
-    return s.b_candidates.filter("conf_pct > 50").orderBy(F.desc("conf_pct"), "cand_id").limit(500).select("cand_id")
+    return select.capped(s.b_candidates.filter("conf_pct > 50")).select("cand_id")
 
 
 @query("u01_union_extras", "SELECT c_custkey FROM customer WHERE c_custkey % 50 = 0 OR c_custkey % 70 = 0")
@@ -272,10 +276,11 @@ def u02(s: Source) -> DataFrame:
     return s.b_ops.select("fn").distinct().exceptAll(s.b_ops.filter("op = 'CALLIND'").select("fn").distinct())
 
 
-@query("u05_ground_truth_sets", "SELECT (SELECT count(*) FROM (SELECT doc_id FROM b_truth WHERE label = 1 INTERSECT SELECT doc_id FROM b_truth WHERE predicted = 1) a) AS hit, (SELECT count(*) FROM (SELECT doc_id FROM b_truth WHERE label = 1 EXCEPT SELECT doc_id FROM b_truth WHERE predicted = 1) b) AS missed")
+@query("u05_ground_truth_sets", """
+WITH t AS (SELECT DISTINCT doc_id FROM b_truth WHERE label = 1), p AS (SELECT DISTINCT doc_id FROM b_truth WHERE predicted = 1)
+SELECT (SELECT count(*) FROM (SELECT * FROM t INTERSECT SELECT * FROM p) a) AS hit, (SELECT count(*) FROM (SELECT * FROM t EXCEPT SELECT * FROM p) b) AS missed, (SELECT count(*) FROM (SELECT * FROM p EXCEPT SELECT * FROM t) c) AS extra""")
 def u05(s: Source) -> DataFrame:
-    t, p = s.b_truth.filter("label = 1").select("doc_id"), s.b_truth.filter("predicted = 1").select("doc_id")
-    return t.intersect(p).agg(F.count("*").alias("hit")).join(t.exceptAll(p).distinct().agg(F.count("*").alias("missed")))
+    return select.both_sides(s.b_truth.filter("label = 1"), s.b_truth.filter("predicted = 1"), "doc_id")
 
 
 @query("u07_append_uncovered", "SELECT fn, vuln_type FROM b_candidates WHERE conf_pct > 90 UNION ALL SELECT fn, 'format_string' FROM (SELECT DISTINCT fn FROM b_candidates) f WHERE fn NOT IN (SELECT fn FROM b_candidates WHERE conf_pct > 90 AND vuln_type = 'format_string')")
@@ -314,7 +319,29 @@ def a16(s: Source) -> DataFrame:
 
 @query("a17_graph_stats", "SELECT count(*) AS edges, count(DISTINCT caller) AS callers, count(DISTINCT callee) AS callees FROM b_graph")
 def a17(s: Source) -> DataFrame:
-    return s.b_graph.agg(F.count("*").alias("edges"), F.count_distinct("caller").alias("callers"), F.count_distinct("callee").alias("callees"))
+    return metrics.graph_stats(s.b_graph)
+
+
+@query("a17b_stored_stats", "SELECT coalesce(match_kind, 'TOTAL') AS role, count(*) AS n, count(DISTINCT fn) AS keys FROM b_candidates GROUP BY ROLLUP (match_kind)")
+def a17b(s: Source) -> DataFrame:
+    return metrics.stored_stats(s.b_candidates, "fn", "match_kind")
+
+
+@query("k17_cost_table", """
+WITH c AS (SELECT coalesce(stage, 'TOTAL') AS stage, CAST(count(*) AS VARCHAR) AS calls, CAST(sum(tokens) AS VARCHAR) AS tokens FROM b_calls GROUP BY ROLLUP (stage)),
+w AS (SELECT greatest(5, max(length(stage))) AS a, greatest(5, max(length(calls))) AS b, greatest(6, max(length(tokens))) AS d FROM c)
+SELECT CAST(0 AS BIGINT) AS line_no, rtrim(rpad('stage', CAST(a AS INTEGER), ' ') || '  ' || rpad('calls', CAST(b AS INTEGER), ' ') || '  ' || rpad('tokens', CAST(d AS INTEGER), ' ')) AS line FROM w
+UNION ALL SELECT row_number() OVER (ORDER BY stage = 'TOTAL', stage), rtrim(rpad(stage, CAST(a AS INTEGER), ' ') || '  ' || rpad(calls, CAST(b AS INTEGER), ' ') || '  ' || rpad(tokens, CAST(d AS INTEGER), ' ')) FROM c, w""")
+def k17(s: Source) -> DataFrame:
+    return report.table(metrics.cost_by_stage(s.b_calls, 0.5), ["stage", "calls", "tokens"], F.col("stage") == "TOTAL", F.col("stage"))
+
+
+@query("k17b_regression_table", """
+WITH g AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'a' WHEN doc_id % 3 = 1 THEN 'b' ELSE 'c' END AS part, label, predicted FROM b_truth)
+SELECT coalesce(part, 'TOTAL') AS part, count_if(label = 1 AND predicted = 1) AS tp, count_if(label <> 1 AND predicted = 1) AS fp, count_if(label = 1 AND predicted <> 1) AS fn, count_if(label <> 1 AND predicted <> 1) AS tn FROM g GROUP BY ROLLUP (part)""")
+def k17b(s: Source) -> DataFrame:
+    part = F.when(F.col("doc_id") % 3 == 0, "a").when(F.col("doc_id") % 3 == 1, "b").otherwise("c")
+    return metrics.confusion_with_total(s.b_truth.withColumn("part", part), "part").select("part", "tp", "fp", "fn", "tn")
 
 
 @query("a22_stage_reduction", "SELECT fn, n, k, round(coalesce((n - k) * 100 / nullif(n, 0), 0.0), 1)::DOUBLE AS reduction FROM (SELECT fn, count(*) AS n, count_if(conf_pct > 60) AS k FROM b_candidates GROUP BY fn) t")
@@ -354,15 +381,28 @@ def e05(s: Source) -> DataFrame:
 
 
 @query("s16_text_report", f"""
-SELECT line_no, line FROM (SELECT row_number() OVER (ORDER BY CASE {_SEV} WHEN 'critical' THEN 4 WHEN 'high' THEN 3 ELSE 2 END DESC, cand_id, fn, vuln_type) AS line_no, '[' || upper({_SEV}) || '] ' || vuln_type || ' in ' || fn || ' at ' || sink_fn || ' (' || CAST(conf_pct AS VARCHAR) || '%)' AS line FROM b_candidates WHERE conf_pct = 100) t""")
+WITH c AS (SELECT *, {_SEV} AS sev FROM b_candidates), y AS (SELECT * FROM c WHERE conf_pct > 80), n AS (SELECT * FROM c WHERE NOT conf_pct > 80), f AS (SELECT fn, count(*) AS candidates, count_if(match_kind = 'NO_MATCH') AS unknown_calls FROM c GROUP BY fn)
+SELECT 1 AS section, CAST(1 AS BIGINT) AS line_no, 'Functions: ' || (SELECT count(*) FROM f) AS line UNION ALL SELECT 1, 2, 'Candidates: ' || (SELECT count(*) FROM c) UNION ALL SELECT 1, 3, 'Confirmed: ' || (SELECT count(*) FROM y) UNION ALL SELECT 1, 4, 'Rejected: ' || (SELECT count(*) FROM n)
+UNION ALL SELECT 2, row_number() OVER (ORDER BY CASE sev WHEN 'critical' THEN 4 WHEN 'high' THEN 3 ELSE 2 END DESC, cand_id, fn, vuln_type, match_kind), '[' || upper(sev) || '] ' || vuln_type || ' in ' || fn || ' at ' || sink_fn || ' (' || CAST(conf_pct AS VARCHAR) || '%)' FROM y
+UNION ALL SELECT 3, row_number() OVER (ORDER BY cand_id, fn, vuln_type, match_kind), vuln_type || ' in ' || fn || ' at ' || sink_fn || ': ' || lower(match_kind) FROM n
+UNION ALL SELECT 4, row_number() OVER (ORDER BY candidates DESC, fn), fn || ' vulns=' || candidates || ' unknown_calls=' || unknown_calls FROM f""")
 def s16(s: Source) -> DataFrame:
-    rows = s.b_candidates.filter("conf_pct = 100").withColumn("severity", fuse.default_severity(F.col("vuln_type")))
-    return report.text_lines(rows, "cand_id", "fn", "vuln_type")
+    rows = s.b_candidates.withColumns({"severity": fuse.default_severity(F.col("vuln_type")), "reason": F.lower("match_kind")})
+    stats = rows.groupBy("fn").agg(F.count("*").alias("candidates"), F.count_if(F.col("match_kind") == "NO_MATCH").alias("unknown_calls"))
+    return report.text_report(rows.filter("conf_pct > 80"), rows.filter("NOT conf_pct > 80"), stats, "cand_id", "fn", "vuln_type", "match_kind")
+
+
+@query("s17b_html_rows", f"""
+WITH c AS (SELECT *, {_SEV} AS sev FROM b_candidates WHERE conf_pct > 80), o AS (SELECT *, row_number() OVER (ORDER BY CASE sev WHEN 'critical' THEN 4 WHEN 'high' THEN 3 ELSE 2 END DESC, cand_id, fn, vuln_type) AS line_no FROM c)
+SELECT line_no, '<tr class=' || chr(39) || sev || chr(39) || '><td>' || format('VULN-{{:03d}}', line_no) || '</td><td>' || sev || '</td><td>' || vuln_type || '</td><td>' || fn || '</td><td>' || sink_fn || '</td><td>' || conf_pct || '</td><td></td></tr>' AS html FROM o""")
+def s17b(s: Source) -> DataFrame:
+    rows = s.b_candidates.withColumn("severity", fuse.default_severity(F.col("vuln_type")))
+    return report.html_lines(rows.filter("conf_pct > 80"), rows.filter("NOT conf_pct > 80"), "program", "cand_id", "fn", "vuln_type").filter("section = 2").select("line_no", "html")
 
 
 @query("s18_json_report", f"""
-SELECT id, severity, vuln_type, fn FROM (SELECT format('VULN-{{:03d}}', row_number() OVER (ORDER BY CASE {_SEV} WHEN 'critical' THEN 4 WHEN 'high' THEN 3 ELSE 2 END DESC, cand_id, fn, vuln_type)) AS id, {_SEV} AS severity, vuln_type, fn FROM b_candidates WHERE conf_pct = 100) t""")
+SELECT id, severity, vuln_type, fn FROM (SELECT format('VULN-{{:03d}}', row_number() OVER (ORDER BY CASE {_SEV} WHEN 'critical' THEN 4 WHEN 'high' THEN 3 ELSE 2 END DESC, cand_id, fn, vuln_type)) AS id, {_SEV} AS severity, vuln_type, fn FROM b_candidates) t""")
 def s18(s: Source) -> DataFrame:
-    rows = s.b_candidates.filter("conf_pct = 100").withColumn("severity", fuse.default_severity(F.col("vuln_type")))
+    rows = s.b_candidates.withColumn("severity", fuse.default_severity(F.col("vuln_type")))
     j = report.json_findings(rows, "cand_id", "fn", "vuln_type")
     return j.select(F.from_json("finding", "id string, severity string, vuln_type string, fn string").alias("f")).select("f.*")

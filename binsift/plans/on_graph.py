@@ -40,11 +40,6 @@ def g02(s: Source) -> DataFrame:
     return match.internal_edges(s.b_edges, s.b_ops.select("fn").distinct()).select("caller", "callee")
 
 
-@query("j05_semi_join", "SELECT caller, callee FROM b_edges WHERE callee IN (SELECT fn FROM b_ops)")
-def j05(s: Source) -> DataFrame:
-    return match.internal_edges(s.b_edges, s.b_ops.select("fn").distinct()).select("caller", "callee")
-
-
 @query("g03_levels", """
 WITH RECURSIVE e AS (SELECT DISTINCT least(caller, callee) AS caller, greatest(caller, callee) AS callee FROM b_graph WHERE caller <> callee),
 d AS (SELECT node, 0 AS depth FROM (SELECT caller AS node FROM e UNION SELECT callee FROM e) n WHERE node NOT IN (SELECT caller FROM e)
@@ -149,11 +144,11 @@ def g17b(s: Source) -> DataFrame:
 
 @query("g15_backward_slice", f"""
 WITH RECURSIVE {_FLOW}, g AS (SELECT DISTINCT fn, in1 AS target FROM b_ops WHERE op = 'STORE'),
-d AS (SELECT fn, target, target AS var, 0 AS depth FROM g UNION SELECT d.fn, d.target, f.src, d.depth + 1 FROM d JOIN f ON f.fn = d.fn AND f.dst = d.var WHERE d.depth < 6)
+d AS (SELECT fn, target, target AS var, 0 AS depth FROM g UNION SELECT d.fn, d.target, f.src, d.depth + 1 FROM d JOIN f ON f.fn = d.fn AND f.dst = d.var WHERE d.depth < 20)
 SELECT fn, target, var, CAST(min(depth) AS INTEGER) AS depth FROM d GROUP BY fn, target, var""")
 def g15(s: Source) -> DataFrame:
     targets = s.b_ops.filter("op = 'STORE'").select("fn", F.col("in1").alias("target")).distinct()
-    return graph.backward_slice(_flow(s), targets, 6)
+    return graph.backward_slice(_flow(s), targets, 20)
 
 
 @query("n2_longest_hops", f"WITH RECURSIVE {_FLOW}, {_SEED}, d AS (SELECT fn, var, 0 AS hops FROM s UNION SELECT f.fn, f.dst, d.hops + 1 FROM d JOIN f ON f.fn = d.fn AND f.src = d.var) SELECT fn, var, CAST(max(hops) AS INTEGER) AS hops FROM d GROUP BY fn, var")

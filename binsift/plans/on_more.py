@@ -13,15 +13,13 @@ from .base import Source, query
 
 @query("p02_call_target", "SELECT event_id, CASE WHEN op = 'CALL' AND callee IS NOT NULL AND NOT starts_with(callee, '0x') THEN 'external' WHEN starts_with(in1, 'const') THEN 'const' ELSE 'unique' END AS space FROM b_ops")
 def p02(s: Source) -> DataFrame:
-    named = F.col("op").isin("CALL", "CALLIND") & F.col("callee").isNotNull() & ~F.col("callee").startswith("0x")
-    return s.b_ops.select("event_id", F.when(named, "external").when(F.col("in1").startswith("const"), "const").otherwise("unique").alias("space"))
+    return s.b_ops.select("event_id", ops.operand_space(F.col("op"), F.col("callee"), F.col("in1")).alias("space"))
 
 
 @query("p03_target_resolution", "SELECT event_id, coalesce(t.name, y.name, '0x' || lower(hex(k))) AS target FROM b_ops b LEFT JOIN (SELECT s_suppkey AS a, s_name AS name FROM supplier) t ON t.a = b.k LEFT JOIN (SELECT p_partkey AS a, p_name AS name FROM part) y ON y.a = b.k")
 def p03(s: Source) -> DataFrame:
-    first = s.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("t"))
-    second = s.part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("y"))
-    return s.b_ops.join(first, "k", "left").join(second, "k", "left").select("event_id", F.coalesce("t", "y", F.concat(F.lit("0x"), F.lower(F.hex("k")))).alias("target"))
+    functions, symbols = s.supplier.selectExpr("s_suppkey AS address", "s_name AS name"), s.part.selectExpr("p_partkey AS address", "p_name AS name")
+    return ops.resolved_targets(s.b_ops, functions, symbols, "k").select("event_id", "target")
 
 
 @query("p07_strict_constant", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(k AS BIGINT) END AS value FROM b_ops")
@@ -108,11 +106,6 @@ def j07(s: Source) -> DataFrame:
     return left.join(right, "a").select("p_partkey", "s_name")
 
 
-@query("j15_truth_intersection", "SELECT count(*) AS n FROM (SELECT doc_id FROM b_truth WHERE label = 1 INTERSECT SELECT doc_id FROM b_truth WHERE predicted = 1) t")
-def j15(s: Source) -> DataFrame:
-    return s.b_truth.filter("label = 1").select("doc_id").join(s.b_truth.filter("predicted = 1").select("doc_id"), "doc_id", "left_semi").distinct().agg(F.count("*").alias("n"))
-
-
 @query("j16_evidence_by_id", "SELECT a.cand_id, count(*) AS n FROM (SELECT DISTINCT cand_id FROM b_candidates WHERE conf_pct > 90) a JOIN b_candidates b ON b.cand_id = a.cand_id GROUP BY a.cand_id")
 def j16(s: Source) -> DataFrame:
     return s.b_candidates.join(s.b_candidates.filter("conf_pct > 90").select("cand_id").distinct(), "cand_id").groupBy("cand_id").agg(F.count("*").alias("n"))
@@ -334,14 +327,3 @@ def f16(s: Source) -> DataFrame:
 def f18(s: Source) -> DataFrame:
     found = s.b_sem.filter("conf_pct >= 60")
     return found.select("sem_id", F.concat(F.lit("logic:"), F.col("analysis_type")).alias("vuln_type"), F.lit("LOGIC").alias("sink_fn"), F.when(F.col("conf_pct") >= 80, "high").otherwise("medium").alias("severity"))
-
-
-@query("l02_service_answers", "SELECT s_name AS fn, CASE WHEN s_suppkey % 2 = 0 THEN 'copy' ELSE 'exec' END AS likely_role, 0.7::DOUBLE AS confidence FROM supplier")
-def l02(s: Source) -> DataFrame:
-    service = lambda q: q.select(F.col("s_name").alias("fn"), F.when(F.col("s_suppkey") % 2 == 0, "copy").otherwise("exec").alias("likely_role"), F.lit(0.7).alias("confidence"))
-    return external.ask("summaries", s.supplier, service).select("fn", "likely_role", "confidence")
-
-
-@query("g08b_longest_levels", "SELECT count(*) AS n FROM (SELECT DISTINCT caller FROM b_graph) t")
-def g08b(s: Source) -> DataFrame:
-    return graph.nodes(s.b_graph).join(s.b_graph.select(F.col("caller").alias("node")), "node", "left_semi").agg(F.count("*").alias("n"))

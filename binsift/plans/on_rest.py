@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions.names import contains_any
-from ..operators import evidence, fuse, match, ops, select, sources, store, taint
+from ..operators import evidence, fuse, match, ops, select, services, sources, store, taint
 from ..sources import external
+from . import taint_sql
 from .base import Source, query
 from .on_more import _R, _SCORES, _score_inputs
 
@@ -21,9 +22,13 @@ def p01(s: Source) -> DataFrame:
     return ops.canonical(ops.of_bridge(s.b_ops))
 
 
-@query("p24_source_confidence", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in dims.SOURCE_CONFIDENCE.items()) + ") t(role, conf)")
+@query("p24_source_confidence", """
+SELECT DISTINCT callee, CASE callee WHEN 'recv' THEN 'DIRECT_IO' WHEN 'fread' THEN 'DIRECT_IO' WHEN 'recvmsg' THEN 'DIRECT_IO' WHEN 'fgets' THEN 'DIRECT_IO' WHEN 'scanf' THEN 'DIRECT_IO' WHEN 'getenv' THEN 'ENVIRONMENT'
+  WHEN 'my_read_buffer' THEN 'LIBRARY_READER' WHEN 'png_read_row' THEN 'LIBRARY_READER' WHEN 'memcpy' THEN NULL WHEN 'malloc' THEN NULL WHEN 'calloc' THEN NULL WHEN 'realloc' THEN NULL WHEN 'free' THEN NULL WHEN 'strlen' THEN NULL WHEN 'printf' THEN NULL ELSE 'UNKNOWN' END AS role,
+  CASE callee WHEN 'recv' THEN 1e0 WHEN 'fread' THEN 1e0 WHEN 'recvmsg' THEN 1e0 WHEN 'fgets' THEN 1e0 WHEN 'scanf' THEN 1e0 WHEN 'getenv' THEN 0.65e0 WHEN 'my_read_buffer' THEN 0.9e0 WHEN 'png_read_row' THEN 0.9e0 ELSE 0e0 END AS conf FROM b_prog WHERE callee IS NOT NULL""")
 def p24(s: Source) -> DataFrame:
-    return s.spark.createDataFrame([(r,) for r in dims.SOURCE_CONFIDENCE], "role string").select("role", sources.base_confidence(F.col("role")).alias("conf"))
+    named = s.b_prog.filter("callee IS NOT NULL").select("callee").distinct().withColumn("role", sources.source_role(F.col("callee")))
+    return named.withColumn("conf", sources.base_confidence(F.col("role")))
 
 
 @query("p30_severity_boost", "SELECT cand_id, vuln_type, CASE vuln_type WHEN 'integer_overflow' THEN 'high' WHEN 'write_what_where' THEN 'critical' ELSE 'critical' END AS boosted FROM b_candidates")
@@ -136,27 +141,73 @@ def f13(s: Source) -> DataFrame:
     return s.b_candidates.select("cand_id", "vuln_type", F.round(fuse.verdict_confidence(kind, F.col("conf_pct") / 100), 6).alias("confidence"))
 
 
+@query("x09_tainted_sizes", f"SELECT vuln_type, sink_fn, match_kind, count(*) AS n FROM ({taint_sql.CANDIDATES}) c GROUP BY vuln_type, sink_fn, match_kind")
+def x09(s: Source) -> DataFrame:
+    """Candidates of the walk by rule family: what each sink and type was told by."""
+    return taint.candidates(taint.analyze(ops.of_programs(s.b_prog))).groupBy("vuln_type", "sink_fn", "match_kind").agg(F.count("*").alias("n"))
+
+
+@query("l01_callee_names", "SELECT DISTINCT '0x' || lower(to_hex(k)) AS target, CASE WHEN k % 3 = 0 THEN 'name_' || CAST(k AS VARCHAR) END AS name FROM b_ops WHERE op = 'CALLIND'")
+def l01(s: Source) -> DataFrame:
+    hexed = F.concat(F.lit("0x"), F.lower(F.hex("k")))
+    k = F.conv(F.substring("target", 3, 20), 16, 10).cast("int")
+    name = F.when(k % 3 == 0, F.concat(F.lit("name_"), k.cast("string"))).when(k % 3 == 1, F.col("target")).otherwise(F.lit(" "))
+    return services.callee_names(s.b_ops.filter("op = 'CALLIND'").select(hexed.alias("target")), lambda q: q.withColumn("name", name))
+
+
+@query("l02_verified_summaries", """
+WITH g AS (SELECT fn, bool_or(coalesce(callee IN ('system'), false)) AS ce, bool_or(op = 'LOAD') AS l, bool_or(op = 'STORE') AS st, CAST(split_part(fn, '_', 2) AS INT) AS k FROM b_ops GROUP BY fn)
+SELECT fn, CASE k % 3 WHEN 0 THEN 'copy' ELSE 'exec' END AS likely_role, CASE WHEN k % 3 = 0 THEN 'weakly_confirmed' ELSE 'confirmed' END AS status, CASE WHEN k % 3 = 0 THEN 0.42e0 ELSE 0.7e0 END AS confidence
+FROM g WHERE (k % 3 = 0 AND l AND st OR k % 3 = 1 AND ce) AND k % 7 <> 0
+UNION ALL SELECT fn, 'exec', 'confirmed', 0.9e0 FROM g WHERE k % 7 = 0 AND ce""")
+def l02(s: Source) -> DataFrame:
+    signs = evidence.role_signs(ops.of_bridge(s.b_ops))
+    k = F.substring_index("fn", "_", -1).cast("int")
+    empty = external.ask("summaries", signs.select("fn"))
+    cache = empty.unionByName(signs.filter(k % 7 == 0).select("fn", F.lit("exec").alias("likely_role"), F.lit(0.9).alias("confidence")), allowMissingColumns=True)
+    service = lambda q: q.select("fn", F.when(k % 3 == 0, "copy").when(k % 3 == 1, "exec").alias("likely_role"), F.lit(0.7).alias("confidence"))
+    return services.summaries(signs, cache, signs, service)[0].select("fn", "likely_role", "status", "confidence")
+
+
 @query("l03_reviewed_candidates", """
-WITH b AS (SELECT cand_id, fn, conf_pct FROM (SELECT *, row_number() OVER (PARTITION BY fn ORDER BY conf_pct DESC, cand_id) AS n FROM b_candidates WHERE conf_pct >= 35) t WHERE n <= 4 ORDER BY conf_pct DESC, cand_id LIMIT 40)
-SELECT cand_id, true AS confirmed FROM b""")
+WITH b AS (SELECT cand_id, conf_pct FROM (SELECT *, row_number() OVER (PARTITION BY fn ORDER BY conf_pct DESC, cand_id) AS n FROM b_candidates WHERE conf_pct >= 50) t WHERE n <= 4 ORDER BY conf_pct DESC, cand_id LIMIT 40)
+SELECT cand_id, cand_id % 2 = 0 AS confirmed FROM b WHERE cand_id % 5 <> 0""")
 def l03(s: Source) -> DataFrame:
-    asked = select.dual_budget(s.b_candidates, 4, 40, least=35)
-    return external.ask("reviews", asked, lambda q: q.select("cand_id", F.lit(True).alias("confirmed"))).select("cand_id", "confirmed")
+    service = lambda q: q.select("cand_id", (F.col("cand_id") % 2 == 0).alias("confirmed"), F.when(F.col("cand_id") % 5 == 0, 0.3).otherwise(0.8).alias("confidence"))
+    return services.reviewed(s.b_candidates, service).select("cand_id", "confirmed")
+
 
+@query("l04_assessed_candidates", """
+WITH b AS (SELECT cand_id, conf_pct FROM (SELECT *, row_number() OVER (PARTITION BY fn ORDER BY conf_pct DESC, cand_id) AS n FROM b_candidates WHERE conf_pct >= 35) t WHERE n <= 4 ORDER BY conf_pct DESC, cand_id LIMIT 40)
+SELECT cand_id, CASE WHEN cand_id % 2 = 0 THEN 'Strong' ELSE 'Weak' END AS support FROM b WHERE cand_id % 3 <> 0""")
+def l04(s: Source) -> DataFrame:
+    service = lambda q: q.filter("cand_id % 3 <> 0").select("cand_id", F.when(F.col("cand_id") % 2 == 0, "Strong").otherwise("Weak").alias("support"))
+    return services.assessed(s.b_candidates, service).select("cand_id", "support")
 
-@query("l05_kept_assessments", "SELECT fn, analysis_type, conf_pct / 100 AS confidence FROM b_sem WHERE conf_pct >= 40")
+
+@query("l05_chained_analyses", """
+WITH f AS (SELECT DISTINCT fn, CAST(split_part(fn, '_', 2) AS INT) AS k FROM b_ops), a(name, i) AS (VALUES ('arithmetic', 0), ('bounds', 1), ('lifetime', 2), ('control_flow', 3), ('interface', 4))
+SELECT fn, name AS analysis_type, round((k % 10 + i * 2) / 20.0, 6)::DOUBLE AS confidence FROM f, a WHERE (k % 10 + i * 2) / 20.0 >= 0.4""")
 def l05(s: Source) -> DataFrame:
-    got = external.ask("semantic_assessments", s.b_sem, lambda q: q.select("fn", "analysis_type", (F.col("conf_pct") / 100).alias("confidence")))
-    return got.filter(F.col("confidence") >= fuse.SEMANTIC_KEPT).select("fn", "analysis_type", "confidence")
+    k = F.substring_index("fn", "_", -1).cast("int")
+    service = lambda q: q.select("fn", "analysis_type", F.lit("x").alias("vuln_type"), F.round((k % 10 + F.size("seen") * 2) / 20, 6).alias("confidence"))
+    return services.chained(s.b_ops.select("fn").distinct(), service).select("fn", "analysis_type", "confidence")
 
 
-@query("l07_arbitration", "SELECT cand_id FROM b_candidates WHERE cand_id % 4 = 3")
-def l07(s: Source) -> DataFrame:
-    asked = s.b_candidates.filter(F.col("cand_id") % 4 == 3)
-    return external.ask("verdicts", asked, lambda q: q.select("cand_id")).select("cand_id")
+@query("l06_logic_screening", """
+SELECT fn FROM (SELECT f.fn, f.score, coalesce(c.n, 0) AS n FROM (SELECT concat('fn_', CAST(s_suppkey AS VARCHAR)) AS fn, (s_suppkey % 10) / 10 AS score FROM supplier) f
+  LEFT JOIN (SELECT fn, count(*) AS n FROM b_candidates WHERE conf_pct > 98 GROUP BY fn) c ON c.fn = f.fn WHERE score >= 0.3 ORDER BY n > 0, score DESC, fn LIMIT 15) t WHERE score >= 0.8""")
+def l06(s: Source) -> DataFrame:
+    f = s.supplier.select(F.concat(F.lit("fn_"), F.col("s_suppkey").cast("string")).alias("fn"), (F.col("s_suppkey") % 10 / 10).alias("score"))
+    counts = s.b_candidates.filter("conf_pct > 98").groupBy("fn").agg(F.count("*").alias("n"))
+    return services.screened(f, counts, lambda q: q.select("fn", (F.col("score") >= 0.8).alias("found"))).select("fn")
 
 
-@query("x09_tainted_sizes")
-def x09(s: Source) -> DataFrame:
-    """Candidates of the walk by rule family: what each sink and type was told by."""
-    return taint.candidates(taint.analyze(ops.of_bridge(s.b_ops))).groupBy("vuln_type", "sink_fn", "match_kind").agg(F.count("*").alias("n"))
+@query("l07_arbitration", """
+WITH k AS (SELECT cand_id, CASE cand_id % 5 WHEN 0 THEN 'disagrees' WHEN 1 THEN 'agrees_safe' WHEN 2 THEN 'agrees_vulnerable' WHEN 3 THEN 'one_sided_memory' ELSE 'disagrees' END AS kind, conf_pct / 100 AS c FROM b_candidates)
+SELECT cand_id, kind, CASE WHEN cand_id % 5 = 0 THEN true ELSE kind NOT IN ('agrees_safe', 'disagrees') END AS confirmed,
+  round(CASE WHEN cand_id % 5 = 0 THEN 0.9e0 WHEN kind = 'agrees_vulnerable' THEN least(1e0, c * 1.1) WHEN kind = 'agrees_safe' THEN 0.2e0 WHEN kind = 'one_sided_memory' THEN c * 0.9 ELSE c * 0.8 END, 6)::DOUBLE AS confidence FROM k""")
+def l07(s: Source) -> DataFrame:
+    kinds = F.element_at(F.array(*map(F.lit, ("disagrees", "agrees_safe", "agrees_vulnerable", "one_sided_memory", "disagrees"))), (F.col("cand_id") % 5 + 1).cast("int"))
+    rows = s.b_candidates.select("cand_id", kinds.alias("kind"), (F.col("conf_pct") / 100).alias("confidence"))
+    return services.arbitrated(rows, lambda q: q.filter("cand_id % 5 = 0").select("cand_id", F.lit(True).alias("confirmed"), F.lit(0.9).alias("confidence")).distinct())

@@ -1,5 +1,5 @@
-"""Queries over the forward taint walk and the composed stages. The walk is an ordered state machine, which SQL can't
-express: these have no SQL and are held against scenarios in the tests."""
+"""Queries over the forward taint walk, what functions do to each other, and the composed stages. The walk is held against
+the same state machine in SQL; what follows calls from function to function is held against brute force in the tests."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..operators import graph, ops, pipeline, report, taint
+from . import taint_sql
 from .base import Source, query
 
 
@@ -15,26 +16,58 @@ def _ops(s: Source) -> DataFrame:
     return ops.of_bridge(s.b_ops)
 
 
-@query("x26_forward_taint")
+def _walked(s: Source) -> DataFrame:
+    return taint.analyze(ops.of_programs(s.b_prog))
+
+
+def _levels(flat: DataFrame) -> DataFrame:
+    """Levels of the functions of a program by the calls among them."""
+    own = flat.select(F.col("fn").alias("callee")).distinct()
+    return graph.levels(taint.calls(flat).join(own, "callee", "left_semi").select(F.col("fn").alias("caller"), "callee"))
+
+
+@query("x26_forward_taint", taint_sql.CANDIDATES)
 def x26(s: Source) -> DataFrame:
-    return taint.candidates(taint.analyze(_ops(s)))
+    return taint.candidates(_walked(s)).drop("taint_path", "bounded")
 
 
-@query("x04_flow_steps")
+@query("x04_flow_steps", taint_sql.STEPS)
 def x04(s: Source) -> DataFrame:
-    return taint.flow_steps(taint.analyze(_ops(s)))
+    return taint.flow_steps(_walked(s))
 
 
-@query("x05_tainted_variables")
+@query("x05_tainted_variables", taint_sql.TAINTED)
 def x05(s: Source) -> DataFrame:
-    return taint.analyze(_ops(s)).select("fn", F.explode("tainted").alias("t")).select("fn", "t.*")
+    return taint.tainted(_walked(s))
+
+
+@query("x17_variable_marks", taint_sql.MARKS)
+def x17(s: Source) -> DataFrame:
+    return taint.marks(_walked(s))
+
+
+@query("x13_unknown_calls", taint_sql.UNKNOWN)
+def x13(s: Source) -> DataFrame:
+    return _walked(s).select("fn", "unknown_calls")
 
 
 @query("g11_function_summaries")
 def g11(s: Source) -> DataFrame:
-    edges = s.b_edges.join(s.b_ops.select(F.col("fn").alias("callee")).distinct(), "callee", "left_semi").select("caller", "callee")
-    known = taint.summaries_by_level(_ops(s), graph.levels(edges))
-    return s.spark.createDataFrame([(f, i, e) for f, xs in known.items() for i, e in xs], "fn string, arg_idx int, effect string")
+    flat = ops.of_programs(s.b_prog)
+    return taint.summaries(flat, _levels(flat)).select("fn", F.col("arg").alias("arg_idx"), "effect")
+
+
+@query("g14_external_arguments")
+def g14(s: Source) -> DataFrame:
+    flat = ops.of_programs(s.b_prog)
+    return taint.external_arguments(flat, taint.summaries(flat, _levels(flat)))
+
+
+@query("x03_taint_from_callers")
+def x03(s: Source) -> DataFrame:
+    flat = ops.of_programs(s.b_prog)
+    effects = taint.summaries(flat, _levels(flat))
+    return taint.candidates(taint.analyze(flat, effects, taint.external_arguments(flat, effects))).drop("taint_path", "bounded")
 
 
 @query("r11_ranked_functions")
@@ -50,23 +83,15 @@ def r11b(s: Source) -> DataFrame:
 
 @query("e06_evidence_vectors")
 def e06(s: Source) -> DataFrame:
-    from ..operators import evidence
-
-    walked = taint.analyze(_ops(s))
-    cands = taint.candidates(walked).withColumn("cand_id", F.xxhash64("fn", "seq", "vuln_type", "sink_fn", "taint_source"))
-    tainted = walked.select("fn", F.explode("tainted").alias("t")).select("fn", "t.var", "t.hops")
-    arith = _ops(s).groupBy("fn").agg(F.count_if(F.col("op").isin("INT_ADD", "INT_MULT")).alias("arith"))
-    risk = evidence.semantic_risk(ops.risk_counters(_ops(s)).join(arith, "fn").withColumn("role", F.lit("unknown")))
-    v = pipeline.evidence_vectors(cands, tainted, risk, walked.select("fn", "unknown_calls"))
-    return v.withColumn("contradictions", F.array_join("contradictions", ","))
+    return pipeline.evidence_vectors(ops.of_programs(s.b_prog)).drop("cand_id")
 
 
 @query("e09_findings_without_models")
 def e09(s: Source) -> DataFrame:
-    return pipeline.without_models(s.spark, _ops(s)).drop("cand_id")
+    return pipeline.without_models(ops.of_programs(s.b_prog)).drop("cand_id")
 
 
 @query("s17_html_report")
 def s17(s: Source) -> DataFrame:
-    found = pipeline.without_models(s.spark, _ops(s)).filter("confirmed").withColumn("conf_pct", F.round(F.col("confidence") * 100).cast("int"))
-    return report.html_report(found, "fn", "vuln_type", "sink_fn")
+    found = pipeline.without_models(ops.of_programs(s.b_prog)).withColumn("conf_pct", F.round(F.col("confidence") * 100).cast("int"))
+    return report.html_report(found.filter("confirmed"), found.filter("NOT confirmed"), "program", "fn", "vuln_type", "sink_fn")

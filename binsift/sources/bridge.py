@@ -29,6 +29,30 @@ SELECT concat('fn_', CAST(user_id AS STRING)) AS fn, seq, k, event_id,
        ELSE concat('VAR_', CAST(seq - 1 - (event_id % 7) AS STRING)) END AS in2,
   CASE WHEN event_id % 5 = 0 THEN 4 ELSE 8 END AS in_size
 FROM e""",
+    # Programs with every operation, rule and constant that the forward walk tells apart: in1 to in3, of which n are arguments.
+    "b_prog": """
+WITH e AS (
+  SELECT user_id, event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k,
+         CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS seq
+  FROM events),
+m AS (
+  SELECT *, CASE (k * 5 + event_id) % 24 WHEN 6 THEN 'LOAD' WHEN 7 THEN 'STORE' WHEN 8 THEN 'INT_MULT' WHEN 9 THEN 'INT_ADD' WHEN 10 THEN 'INT_LESS' WHEN 11 THEN 'CBRANCH'
+    WHEN 12 THEN 'PTRADD' WHEN 13 THEN 'INT_AND' WHEN 14 THEN 'COPY' WHEN 15 THEN 'INT_ZEXT' WHEN 16 THEN 'PTRSUB' WHEN 17 THEN 'CALLIND' WHEN 18 THEN 'INT_EQUAL' WHEN 19 THEN 'RETURN'
+    WHEN 20 THEN 'LOAD' WHEN 21 THEN 'STORE' WHEN 22 THEN 'PTRSUB' WHEN 23 THEN CASE event_id % 3 WHEN 0 THEN 'INT_RIGHT' WHEN 1 THEN 'CAST' ELSE 'MULTIEQUAL' END ELSE 'CALL' END AS op FROM e)
+SELECT CASE WHEN user_id = 5 THEN 'xmalloc' ELSE concat(CASE WHEN user_id % 11 = 3 THEN 'encode_' ELSE 'fn_' END, CAST(user_id AS STRING)) END AS fn, seq, op,
+  CASE WHEN op IN ('STORE', 'CBRANCH', 'RETURN') OR (op = 'CALL' AND event_id % 7 = 0) THEN NULL WHEN event_id % 11 = 0 AND seq >= 2 THEN concat('VAR_', CAST(seq - 2 AS STRING)) ELSE concat('VAR_', CAST(seq AS STRING)) END AS out_var,
+  CASE WHEN op <> 'CALL' THEN NULL ELSE CASE (event_id + k) % 27 WHEN 0 THEN 'recv' WHEN 1 THEN 'fread' WHEN 2 THEN 'getenv' WHEN 3 THEN 'memcpy' WHEN 4 THEN 'strcpy' WHEN 5 THEN 'malloc' WHEN 6 THEN 'free'
+    WHEN 7 THEN 'system' WHEN 8 THEN 'printf' WHEN 9 THEN concat('fn_', CAST(k AS STRING)) WHEN 10 THEN 'xmlStrlen' WHEN 11 THEN 'fgets' WHEN 12 THEN 'free' WHEN 13 THEN 'calloc' WHEN 14 THEN 'realloc'
+    WHEN 15 THEN 'scanf' WHEN 16 THEN 'recvmsg' WHEN 17 THEN 'png_free' WHEN 18 THEN 'png_safe_execute' WHEN 19 THEN 'strncpy' WHEN 20 THEN 'snprintf' WHEN 21 THEN 'xmlParserInputBufferPush' WHEN 22 THEN 'bcopy'
+    WHEN 23 THEN 'png_read_row' WHEN 24 THEN 'free' WHEN 25 THEN 'my_read_buffer' ELSE 'strlen' END END AS callee,
+  CASE WHEN seq - 1 - (event_id % 4) < 0 THEN concat('VAR_p', CAST(event_id % 2 AS STRING)) ELSE concat('VAR_', CAST(seq - 1 - (event_id % 4) AS STRING)) END AS in1,
+  CASE WHEN op = 'PTRSUB' AND event_id % 9 < 8 THEN CASE event_id % 2 WHEN 0 THEN 'const(0x8)' ELSE 'const(0x10)' END
+       WHEN event_id % 3 = 0 THEN CASE k % 8 WHEN 0 THEN 'const(0x0)' WHEN 1 THEN 'const(0xff)' WHEN 2 THEN 'const(0xffff)' WHEN 3 THEN 'const(0xffffffff)' WHEN 4 THEN 'const(0x3ff)' WHEN 5 THEN 'const(0x8)' WHEN 6 THEN 'const(0xffff)' ELSE 'const(24)' END
+       WHEN seq - 1 - (event_id % 5) < 0 THEN 'VAR_p1' ELSE concat('VAR_', CAST(seq - 1 - (event_id % 5) AS STRING)) END AS in2,
+  CASE WHEN k % 3 = 0 THEN 'const(0x20)' WHEN seq - 1 - (k % 6) < 0 THEN 'VAR_p2' ELSE concat('VAR_', CAST(seq - 1 - (k % 6) AS STRING)) END AS in3,
+  CASE event_id % 5 WHEN 0 THEN 4 WHEN 1 THEN 1 ELSE 8 END AS size1, CASE k % 4 WHEN 0 THEN 4 ELSE 8 END AS size2, CASE event_id % 6 WHEN 0 THEN 2 WHEN 1 THEN 4 ELSE 8 END AS size3,
+  CASE op WHEN 'CALL' THEN 3 WHEN 'CALLIND' THEN 2 WHEN 'LOAD' THEN CASE WHEN event_id % 3 = 2 THEN 2 ELSE 1 END WHEN 'STORE' THEN CASE WHEN event_id % 5 = 4 THEN 3 ELSE 2 END WHEN 'COPY' THEN 1 WHEN 'INT_ZEXT' THEN 1 WHEN 'CAST' THEN 1 WHEN 'CBRANCH' THEN 1 ELSE 2 END AS n
+FROM m""",
     "b_edges": "SELECT DISTINCT fn AS caller, callee FROM b_ops WHERE callee IS NOT NULL",
     "b_candidates": """
 SELECT concat('fn_', CAST(l_suppkey AS STRING)) AS fn, l_orderkey * 10 + l_linenumber AS cand_id,

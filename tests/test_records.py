@@ -69,10 +69,28 @@ def test_reports(spark):
     rows = spark.createDataFrame([("f", "buffer_overflow", "memcpy", "high", 90), ("g<x>", "format_string", "printf", "critical", 80)], "fn string, vuln_type string, sink_fn string, severity string, conf_pct int")
     doc = json.loads(report.json_report(rows, spark.createDataFrame([], "fn string, vuln_type string, reason string"), "bin", "fn").first().report)
     assert [f["id"] for f in doc["confirmed_vulnerabilities"]] == ["VULN-001", "VULN-002"] and doc["confirmed_vulnerabilities"][0]["severity"] == "critical"
-    page = report.html_report(rows, "fn").first().html
+    none = spark.createDataFrame([("h", "use_after_free", "no path")], "fn string, vuln_type string, reason string")
+    page = report.html_report(rows, none, "a<b", "fn").first().html
+    assert "a&lt;b" in page and "no path" in page and page.endswith("</html>")
     assert "g&lt;x&gt;" in page and page.index("VULN-001") < page.index("VULN-002")
 
 
+def test_results_and_costs_are_written(spark, tmp_path):
+    from binsift.operators import metrics
+
+    metrics.write_results(spark.createDataFrame([("a", 1)], "k string, v int"), f"file://{tmp_path}/r")
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/r/csv").first().k == "a" and spark.read.json(f"file://{tmp_path}/r/json").first().v == 1
+    metrics.write_costs(spark.createDataFrame([("a", 10), ("b", 5)], "stage string, tokens long"), 2.0, f"file://{tmp_path}/c")
+    total = spark.read.json(f"file://{tmp_path}/c/summary").filter("stage = 'TOTAL'").first()
+    assert total.tokens == 15 and spark.read.json(f"file://{tmp_path}/c/records").count() == 2
+
+
+def test_order_over_many_ranges(spark):
+    rows = spark.range(1000).selectExpr("id", "id % 7 AS k").repartition(5)
+    got = report.in_order(rows, F.desc("k"), F.col("id")).orderBy("order").collect()
+    assert [r.order for r in got] == list(range(1, 1001)) and [(r.k, r.id) for r in got] == sorted(((r.k, r.id) for r in got), key=lambda x: (-x[0], x[1]))
+
+
 def test_dedup_is_idempotent_and_order_free(spark):
     rows = spark.createDataFrame([("a", 1, 5), ("a", 2, 9), ("a", 3, 9), ("b", 4, 1)], "fn string, cand_id int, conf int")
     once = select.keep_max(rows, ["fn"], "conf", "cand_id")

@@ -38,7 +38,7 @@ from ._text import mix, powers, prefix_hash, span_hash
 LENGTH, ANCHOR = 200, 100
 #: Contexts that are sorted at a time, more only if one anchor has more; one with more places than HOT has its strings
 #: counted instead, so no task holds more contexts of an anchor.
-BATCH, HOT = 16_384, 65_536
+BATCH, HOT = 8_192, 16_384
 #: Bytes of a text whose anchors are found at a time.
 PIECE = 1 << 20
 

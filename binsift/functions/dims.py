@@ -5,179 +5,181 @@ Rules are data: a rule added to a table changes what the operators find, no code
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 
-# The library rules. One function a line: in = arguments that external input comes in by, w = argument
-# whose memory is written (* = every pointer), r = argument read from, rt = result tainted, b = bounded, s = size
-# arguments, f = argument whose memory is freed, rb = result is a buffer, sink = sink type, t = tainted argument, v = score.
-_RULES = """
-fread in=0 w=0 rt b s=1,2 v=4
-read in=1 w=1 rt b s=2 v=4
-recv in=1 w=1 rt b s=2 v=5
-recvfrom in=1 w=1 rt b s=2 v=5
-recvmsg in=1 w=1 rt v=5
-fgets in=0 w=0 rt b s=1 v=3
-gets in=0 w=0 rt sink=buffer_overflow t=0 v=9
-scanf w=* v=4
-fscanf w=* v=4
-sscanf w=* v=3
-getenv rt v=3
-ReadFile in=1 w=1 b s=2 v=4
-WSARecv in=1 w=1 b s=2 v=5
-BIO_read in=1 w=1 rt b s=2 v=4
-strcpy w=0 r=1 sink=buffer_overflow t=1 v=8
-strcat w=0 r=1 sink=buffer_overflow t=1 v=7
-sprintf w=0 sink=buffer_overflow t=0 v=7
-vsprintf w=0 sink=buffer_overflow t=0 v=7
-wcscpy w=0 r=1 sink=buffer_overflow t=1 v=7
-wcscat w=0 r=1 sink=buffer_overflow t=1 v=7
-strncpy w=0 r=1 b s=2 v=3
-strncat w=0 r=1 b s=2 v=3
-snprintf w=0 b s=1 v=2
-vsnprintf w=0 b s=1 v=2
-strlcpy w=0 r=1 b s=2 v=2
-strlcat w=0 r=1 b s=2 v=2
-wcsncat w=0 r=1 b s=2 v=3
-wcsncpy w=0 r=1 b s=2 v=3
-memcpy w=0 r=1 b s=2 sink=buffer_overflow t=2 v=5
-memmove w=0 r=1 b s=2 sink=buffer_overflow t=2 v=5
-mempcpy w=0 r=1 b s=2 rt v=4
-memcpy_s w=0 r=2 b s=1 v=3
-memmove_s w=0 r=2 b s=1 v=3
-bcopy w=1 r=0 b s=2 sink=buffer_overflow t=2 v=5
-png_memcpy w=0 r=1 b s=2 sink=buffer_overflow t=2 v=5
-memset w=0 b s=2 v=1
-printf sink=format_string t=0 v=6
-fprintf sink=format_string t=1 v=6
-vprintf sink=format_string t=0 v=6
-vfprintf sink=format_string t=1 v=6
-syslog sink=format_string t=1 v=5
-err sink=format_string t=1 v=4
-warn sink=format_string t=0 v=4
-system sink=command_injection t=0 v=10
-popen sink=command_injection t=0 rt v=9
-execve sink=command_injection t=0 v=10
-execl sink=command_injection t=0 v=10
-execlp sink=command_injection t=0 v=10
-execv sink=command_injection t=0 v=10
-execvp sink=command_injection t=0 v=10
-ShellExecute sink=command_injection t=2 v=9
-CreateProcess sink=command_injection t=1 v=9
-malloc rb sink=integer_overflow t=0 s=0 v=3
-calloc rb sink=integer_overflow s=0,1 v=4
-realloc rb sink=integer_overflow t=1 s=1 v=4
-reallocarray rb sink=integer_overflow s=1,2 v=4
-valloc rb s=0 v=3
-pvalloc rb s=0 v=3
-mmap rb s=1 v=3
-mmap64 rb s=1 v=3
-HeapAlloc rb s=2 v=3
-VirtualAlloc rb s=1 v=3
-LocalAlloc rb s=1 v=3
-GlobalAlloc rb s=1 v=3
-xmalloc rb s=0 v=3
-zmalloc rb s=0 v=3
-smalloc rb s=0 v=3
-emalloc rb s=0 v=3
-operator_new rb s=0 v=3
-operator_new[] rb s=0 v=3
-png_malloc rb sink=integer_overflow t=1 s=1 v=3
-png_malloc_warn rb sink=integer_overflow t=1 s=1 v=3
-png_calloc rb sink=integer_overflow t=1 s=1 v=3
-png_malloc_base rb s=1 v=3
-png_realloc_array rb sink=integer_overflow t=2 s=2,3 v=4
-png_zalloc rb s=1 v=3
-g_malloc rb s=0 v=3
-g_malloc0 rb s=0 v=3
-g_malloc_n rb sink=integer_overflow s=0,1 v=4
-g_realloc rb s=1 v=3
-g_try_malloc rb s=0 v=3
-g_new rb s=1 v=3
-g_new0 rb s=1 v=3
-free f=0 v=2
-cfree f=0 v=2
-png_free f=1 v=2
-png_free_data f=2 v=2
-g_free f=0 v=2
-png_read_data in=1 w=1 b s=2 v=4
-png_read_row w=1 v=3
-png_read_rows w=1 b s=3 v=3
-png_safe_execute sink=null_dereference t=1 v=4
-psf_binheader_readf w=* v=4
-psf_fread in=0 w=0 rt b s=1,2 v=4
-TIFFGetField w=* v=4
-TIFFReadRawTile in=1 w=1 rt b s=2 v=4
-TIFFReadEncodedTile in=1 w=1 rt b s=2 v=4
-TIFFReadRawStrip in=1 w=1 rt b s=2 v=4
-TIFFReadEncodedStrip in=1 w=1 rt b s=2 v=4
-_TIFFmalloc rb s=0 sink=integer_overflow t=0 v=3
-_TIFFrealloc rb s=1 sink=integer_overflow t=1 v=3
-_TIFFfree f=0 v=2
-_TIFFmemcpy w=0 r=1 b s=2 sink=buffer_overflow t=2 v=5
-xmlGetProp rt v=3
-xmlNodeGetContent rt v=3
-xmlStrndup rt rb v=3
-xmlMalloc rb s=0 sink=integer_overflow t=0 v=3
-xmlMallocAtomic rb s=0 v=3
-xmlRealloc rb s=1 v=3
-xmlFree f=0 v=2
-xmlMemMalloc rb s=0 v=3
-xmlMemRealloc rb s=1 v=3
-xmlMemFree f=0 v=2
-xmlParserInputBufferRead in=0 w=0 v=4
-xmlParserInputBufferPush in=2 w=2 v=4
-xmlParseChunk in=1 w=1 v=4
-php_stream_read in=1 w=1 v=4
-_php_stream_read in=1 w=1 v=4
-php_stream_gets in=1 w=1 v=4
-php_stream_fill_read_buffer in=0 w=0 v=3
-zend_stream_read in=1 w=1 v=4
-sqlite3_value_text rt v=3
-sqlite3_value_blob rt v=3
-sqlite3_value_int rt v=2
-sqlite3_value_int64 rt v=2
-sqlite3_column_text rt v=3
-sqlite3_column_blob rt v=3
-sqlite3_column_int rt v=2
-sqlite3_column_int64 rt v=2
-sqlite3Malloc rb s=0 sink=integer_overflow t=0 v=3
-sqlite3Realloc rb s=1 v=3
-sqlite3MallocZero rb s=0 v=3
-sqlite3DbMalloc rb s=1 v=3
-sqlite3DbMallocZero rb s=1 v=3
-sqlite3DbRealloc rb s=2 v=3
-sqlite3_free f=0 v=2
-lua_tostring rt v=3
-lua_tolstring rt v=3
-lua_tointeger rt v=2
-lua_tonumber rt v=2
-luaM_malloc rb s=1 v=3
-luaM_realloc rb s=2 v=3
-OPENSSL_malloc rb s=0 sink=integer_overflow t=0 v=3
-OPENSSL_realloc rb s=1 v=3
-OPENSSL_free f=0 v=2
-CRYPTO_malloc rb s=0 sink=integer_overflow t=0 v=3
-CRYPTO_realloc rb s=1 v=3
-CRYPTO_free f=0 v=2
-strlen rt v=1
-strnlen rt b s=1 v=1
-wcslen rt v=1
-strcmp v=1
-strncmp b s=2 v=1
-memcmp b s=2 v=1
-fopen v=1
-fclose v=1
-fwrite r=0 b s=1,2 v=1
-write r=1 b s=2 v=1
-send r=1 b s=2 v=1
-atoi rt v=2
-atol rt v=2
-atoll rt v=2
-strtol rt v=2
-strtoul rt v=2
-strtoll rt v=2
-strtoull rt v=2
-strtod rt v=2
+# The library rules, as rows of named fields. Arguments are numbered from 0; writes_at is the argument whose
+# memory is written, `pointers` for every pointer; fields that don't apply are empty.
+RULES_CSV = """
+name,external_input,writes_at,reads_from,return_tainted,bounded,size_args,frees_at,return_is_buffer,sink_type,taint_arg,vuln_score
+fread,0,0,,yes,yes,1 2,,,,,4
+read,1,1,,yes,yes,2,,,,,4
+recv,1,1,,yes,yes,2,,,,,5
+recvfrom,1,1,,yes,yes,2,,,,,5
+recvmsg,1,1,,yes,,,,,,,5
+fgets,0,0,,yes,yes,1,,,,,3
+gets,0,0,,yes,,,,,buffer_overflow,0,9
+scanf,,pointers,,,,,,,,,4
+fscanf,,pointers,,,,,,,,,4
+sscanf,,pointers,,,,,,,,,3
+getenv,,,,yes,,,,,,,3
+ReadFile,1,1,,,yes,2,,,,,4
+WSARecv,1,1,,,yes,2,,,,,5
+BIO_read,1,1,,yes,yes,2,,,,,4
+strcpy,,0,1,,,,,,buffer_overflow,1,8
+strcat,,0,1,,,,,,buffer_overflow,1,7
+sprintf,,0,,,,,,,buffer_overflow,0,7
+vsprintf,,0,,,,,,,buffer_overflow,0,7
+wcscpy,,0,1,,,,,,buffer_overflow,1,7
+wcscat,,0,1,,,,,,buffer_overflow,1,7
+strncpy,,0,1,,yes,2,,,,,3
+strncat,,0,1,,yes,2,,,,,3
+snprintf,,0,,,yes,1,,,,,2
+vsnprintf,,0,,,yes,1,,,,,2
+strlcpy,,0,1,,yes,2,,,,,2
+strlcat,,0,1,,yes,2,,,,,2
+wcsncat,,0,1,,yes,2,,,,,3
+wcsncpy,,0,1,,yes,2,,,,,3
+memcpy,,0,1,,yes,2,,,buffer_overflow,2,5
+memmove,,0,1,,yes,2,,,buffer_overflow,2,5
+mempcpy,,0,1,yes,yes,2,,,,,4
+memcpy_s,,0,2,,yes,1,,,,,3
+memmove_s,,0,2,,yes,1,,,,,3
+bcopy,,1,0,,yes,2,,,buffer_overflow,2,5
+png_memcpy,,0,1,,yes,2,,,buffer_overflow,2,5
+memset,,0,,,yes,2,,,,,1
+printf,,,,,,,,,format_string,0,6
+fprintf,,,,,,,,,format_string,1,6
+vprintf,,,,,,,,,format_string,0,6
+vfprintf,,,,,,,,,format_string,1,6
+syslog,,,,,,,,,format_string,1,5
+err,,,,,,,,,format_string,1,4
+warn,,,,,,,,,format_string,0,4
+system,,,,,,,,,command_injection,0,10
+popen,,,,yes,,,,,command_injection,0,9
+execve,,,,,,,,,command_injection,0,10
+execl,,,,,,,,,command_injection,0,10
+execlp,,,,,,,,,command_injection,0,10
+execv,,,,,,,,,command_injection,0,10
+execvp,,,,,,,,,command_injection,0,10
+ShellExecute,,,,,,,,,command_injection,2,9
+CreateProcess,,,,,,,,,command_injection,1,9
+malloc,,,,,,0,,yes,integer_overflow,0,3
+calloc,,,,,,0 1,,yes,integer_overflow,,4
+realloc,,,,,,1,,yes,integer_overflow,1,4
+reallocarray,,,,,,1 2,,yes,integer_overflow,,4
+valloc,,,,,,0,,yes,,,3
+pvalloc,,,,,,0,,yes,,,3
+mmap,,,,,,1,,yes,,,3
+mmap64,,,,,,1,,yes,,,3
+HeapAlloc,,,,,,2,,yes,,,3
+VirtualAlloc,,,,,,1,,yes,,,3
+LocalAlloc,,,,,,1,,yes,,,3
+GlobalAlloc,,,,,,1,,yes,,,3
+xmalloc,,,,,,0,,yes,,,3
+zmalloc,,,,,,0,,yes,,,3
+smalloc,,,,,,0,,yes,,,3
+emalloc,,,,,,0,,yes,,,3
+operator new,,,,,,0,,yes,,,3
+operator new[],,,,,,0,,yes,,,3
+png_malloc,,,,,,1,,yes,integer_overflow,1,3
+png_malloc_warn,,,,,,1,,yes,integer_overflow,1,3
+png_calloc,,,,,,1,,yes,integer_overflow,1,3
+png_malloc_base,,,,,,1,,yes,,,3
+png_realloc_array,,,,,,2 3,,yes,integer_overflow,2,4
+png_zalloc,,,,,,1,,yes,,,3
+g_malloc,,,,,,0,,yes,,,3
+g_malloc0,,,,,,0,,yes,,,3
+g_malloc_n,,,,,,0 1,,yes,integer_overflow,,4
+g_realloc,,,,,,1,,yes,,,3
+g_try_malloc,,,,,,0,,yes,,,3
+g_new,,,,,,1,,yes,,,3
+g_new0,,,,,,1,,yes,,,3
+free,,,,,,,0,,,,2
+cfree,,,,,,,0,,,,2
+png_free,,,,,,,1,,,,2
+png_free_data,,,,,,,2,,,,2
+g_free,,,,,,,0,,,,2
+png_read_data,1,1,,,yes,2,,,,,4
+png_read_row,,1,,,,,,,,,3
+png_read_rows,,1,,,yes,3,,,,,3
+png_safe_execute,,,,,,,,,null_dereference,1,4
+psf_binheader_readf,,pointers,,,,,,,,,4
+psf_fread,0,0,,yes,yes,1 2,,,,,4
+TIFFGetField,,pointers,,,,,,,,,4
+TIFFReadRawTile,1,1,,yes,yes,2,,,,,4
+TIFFReadEncodedTile,1,1,,yes,yes,2,,,,,4
+TIFFReadRawStrip,1,1,,yes,yes,2,,,,,4
+TIFFReadEncodedStrip,1,1,,yes,yes,2,,,,,4
+_TIFFmalloc,,,,,,0,,yes,integer_overflow,0,3
+_TIFFrealloc,,,,,,1,,yes,integer_overflow,1,3
+_TIFFfree,,,,,,,0,,,,2
+_TIFFmemcpy,,0,1,,yes,2,,,buffer_overflow,2,5
+xmlGetProp,,,,yes,,,,,,,3
+xmlNodeGetContent,,,,yes,,,,,,,3
+xmlStrndup,,,,yes,,,,yes,,,3
+xmlMalloc,,,,,,0,,yes,integer_overflow,0,3
+xmlMallocAtomic,,,,,,0,,yes,,,3
+xmlRealloc,,,,,,1,,yes,,,3
+xmlFree,,,,,,,0,,,,2
+xmlMemMalloc,,,,,,0,,yes,,,3
+xmlMemRealloc,,,,,,1,,yes,,,3
+xmlMemFree,,,,,,,0,,,,2
+xmlParserInputBufferRead,0,0,,,,,,,,,4
+xmlParserInputBufferPush,2,2,,,,,,,,,4
+xmlParseChunk,1,1,,,,,,,,,4
+php_stream_read,1,1,,,,,,,,,4
+_php_stream_read,1,1,,,,,,,,,4
+php_stream_gets,1,1,,,,,,,,,4
+php_stream_fill_read_buffer,0,0,,,,,,,,,3
+zend_stream_read,1,1,,,,,,,,,4
+sqlite3_value_text,,,,yes,,,,,,,3
+sqlite3_value_blob,,,,yes,,,,,,,3
+sqlite3_value_int,,,,yes,,,,,,,2
+sqlite3_value_int64,,,,yes,,,,,,,2
+sqlite3_column_text,,,,yes,,,,,,,3
+sqlite3_column_blob,,,,yes,,,,,,,3
+sqlite3_column_int,,,,yes,,,,,,,2
+sqlite3_column_int64,,,,yes,,,,,,,2
+sqlite3Malloc,,,,,,0,,yes,integer_overflow,0,3
+sqlite3Realloc,,,,,,1,,yes,,,3
+sqlite3MallocZero,,,,,,0,,yes,,,3
+sqlite3DbMalloc,,,,,,1,,yes,,,3
+sqlite3DbMallocZero,,,,,,1,,yes,,,3
+sqlite3DbRealloc,,,,,,2,,yes,,,3
+sqlite3_free,,,,,,,0,,,,2
+lua_tostring,,,,yes,,,,,,,3
+lua_tolstring,,,,yes,,,,,,,3
+lua_tointeger,,,,yes,,,,,,,2
+lua_tonumber,,,,yes,,,,,,,2
+luaM_malloc,,,,,,1,,yes,,,3
+luaM_realloc,,,,,,2,,yes,,,3
+OPENSSL_malloc,,,,,,0,,yes,integer_overflow,0,3
+OPENSSL_realloc,,,,,,1,,yes,,,3
+OPENSSL_free,,,,,,,0,,,,2
+CRYPTO_malloc,,,,,,0,,yes,integer_overflow,0,3
+CRYPTO_realloc,,,,,,1,,yes,,,3
+CRYPTO_free,,,,,,,0,,,,2
+strlen,,,,yes,,,,,,,1
+strnlen,,,,yes,yes,1,,,,,1
+wcslen,,,,yes,,,,,,,1
+strcmp,,,,,,,,,,,1
+strncmp,,,,,yes,2,,,,,1
+memcmp,,,,,yes,2,,,,,1
+fopen,,,,,,,,,,,1
+fclose,,,,,,,,,,,1
+fwrite,,,0,,yes,1 2,,,,,1
+write,,,1,,yes,2,,,,,1
+send,,,1,,yes,2,,,,,1
+atoi,,,,yes,,,,,,,2
+atol,,,,yes,,,,,,,2
+atoll,,,,yes,,,,,,,2
+strtol,,,,yes,,,,,,,2
+strtoul,,,,yes,,,,,,,2
+strtoll,,,,yes,,,,,,,2
+strtoull,,,,yes,,,,,,,2
+strtod,,,,yes,,,,,,,2
 """
 RULE_CONFIDENCE = 0.95
 RULE_SCHEMA = "rule_fn string, external_input array<int>, writes_at int, writes_all_ptr boolean, reads_from int, return_tainted boolean, bounded boolean, size_args array<int>, frees_at int, return_is_buffer boolean, sink boolean, sink_type string, taint_arg int, confidence double, vuln_score double"
@@ -186,12 +188,13 @@ RULE_SCHEMA = "rule_fn string, external_input array<int>, writes_at int, writes_
 def rule_rows() -> list[tuple]:
     """The catalog as rows of RULE_SCHEMA; -1 is no argument."""
     rows = []
-    for line in _RULES.strip().split("\n"):
-        name, *rest = line.split()
-        f = {k: v for k, _, v in (x.partition("=") for x in rest)}
-        ints = lambda k: [int(x) for x in f[k].split(",")] if k in f else []
-        at = lambda k: int(f[k]) if f.get(k, "*") != "*" else -1
-        rows.append((name.replace("operator_new", "operator new"), ints("in"), at("w"), f.get("w") == "*", at("r"), "rt" in f, "b" in f, ints("s"), at("f"), "rb" in f, "sink" in f, f.get("sink", ""), at("t"), RULE_CONFIDENCE, float(f["v"])))
+    for r in csv.DictReader(RULES_CSV.strip().splitlines()):
+        ints = lambda k: [int(x) for x in r[k].split()]  # noqa: E731, B023
+        at = lambda k: int(r[k]) if r[k].isdigit() else -1  # noqa: E731, B023
+        yes = lambda k: r[k] == "yes"  # noqa: E731, B023
+        rows.append(
+            (r["name"], ints("external_input"), at("writes_at"), r["writes_at"] == "pointers", at("reads_from"), yes("return_tainted"), yes("bounded"), ints("size_args"), at("frees_at"), yes("return_is_buffer"), r["sink_type"] != "", r["sink_type"], at("taint_arg"), RULE_CONFIDENCE, float(r["vuln_score"]))
+        )
     return rows
 
 
@@ -238,11 +241,25 @@ SOURCE_FALLBACKS = [
 ]
 # Sink classes by name, in the order they are tried.
 SINK_CLASSES = {
-    "ALLOCATOR": "malloc|calloc|realloc|reallocarray|valloc|pvalloc|mmap|mmap64|brk|png_malloc|png_malloc_warn|png_calloc|png_malloc_base|png_realloc_array|png_zalloc|_TIFFmalloc|_TIFFrealloc|_TIFFcalloc|xmlMalloc|xmlRealloc|xmlMallocAtomic|g_malloc|g_malloc0|g_malloc_n|g_realloc|sqlite3_malloc|sqlite3_malloc64|sqlite3_realloc|xmalloc|zmalloc|emalloc|HeapAlloc|VirtualAlloc|LocalAlloc|operator new|operator new[]",
-    "COPY": "memcpy|memmove|bcopy|memcpy_s|memmove_s|strcpy|strcat|stpcpy|strcpy_s|strcat_s|png_memcpy|png_memset|wmemcpy|wmemmove",
-    "FORMAT": "printf|fprintf|sprintf|snprintf|vprintf|vfprintf|vsprintf|vsnprintf|wprintf|fwprintf|swprintf",
-    "FREE": "free|g_free|png_free|xmlFree|TIFFClose|sqlite3_free|_TIFFfree|operator delete|operator delete[]",
+    "ALLOCATOR": ["malloc", "calloc", "realloc", "reallocarray", "valloc", "pvalloc", "mmap", "mmap64", "brk", "png_malloc", "png_malloc_warn", "png_calloc", "png_malloc_base", "png_realloc_array", "png_zalloc", "_TIFFmalloc", "_TIFFrealloc", "_TIFFcalloc", "xmlMalloc", "xmlRealloc", "xmlMallocAtomic", "g_malloc", "g_malloc0", "g_malloc_n", "g_realloc", "sqlite3_malloc", "sqlite3_malloc64", "sqlite3_realloc", "xmalloc", "zmalloc", "emalloc", "HeapAlloc", "VirtualAlloc", "LocalAlloc", "operator new", "operator new[]"],
+    "COPY": ["memcpy", "memmove", "bcopy", "memcpy_s", "memmove_s", "strcpy", "strcat", "stpcpy", "strcpy_s", "strcat_s", "png_memcpy", "png_memset", "wmemcpy", "wmemmove"],
+    "FORMAT": ["printf", "fprintf", "sprintf", "snprintf", "vprintf", "vfprintf", "vsprintf", "vsnprintf", "wprintf", "fwprintf", "swprintf"],
+    "FREE": ["free", "g_free", "png_free", "xmlFree", "TIFFClose", "sqlite3_free", "_TIFFfree", "operator delete", "operator delete[]"],
+}
+# Parts of the name-independent shape of a candidate: words of external origins, families of sinks by what
+# their lower-cased names contain (begin with, for those marked ^), in the order they are tried, words for match kinds, and
+# buckets of confidence.
+SHAPE_EXTERNAL = ["fread", "recv", "read", "BIO_read", "TIFFGetField", "sqlite3_value", "xmlGetProp", "lua_to"]
+SHAPE_FAMILIES = {
+    "memcpy_family": ["memcpy", "memmove", "mempcpy", "bcopy"],
+    "malloc_family": ["malloc", "realloc", "calloc", "alloc"],
+    "callind_null": ["callind", "^var_"],
+    "ptradd_oob": ["ptradd"],
+    "int_and_trunc": ["int_and"],
+    "load_null": ["load"],
 }
+SHAPE_MATCH = {"LIBRARY_MATCH": "lib", "STRUCTURAL_MATCH": "struct", "NO_MATCH": "heur"}
+SHAPE_CONFIDENCE = {"high": 0.7, "med": 0.45, "low": 0.0}
 # Imports that bring attacker data in, and sinks that are dangerous whatever their arguments.
 TAINT_SOURCES = "recv recvfrom read fread fgets scanf sscanf fscanf getenv ReadFile WSARecv gets".split()
 TAINT_SINKS = "strcpy strcat sprintf vsprintf gets memcpy memmove mempcpy wmemcpy strncat strncpy snprintf vsnprintf system popen execl execle execlp execv execve execvp printf fprintf wprintf".split()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dims import CALIBRATION, SEVERITY, SOURCE_TRUST, SOURCE_TRUST_DEFAULT
+from ..functions.dims import CALIBRATION, SEVERITY, SHAPE_CONFIDENCE, SHAPE_EXTERNAL, SHAPE_FAMILIES, SHAPE_MATCH, SOURCE_TRUST, SOURCE_TRUST_DEFAULT
 from ..functions.names import first_contained
 
 # Levels of an assessment as factors, thresholds of fusion.
@@ -165,9 +167,16 @@ def review_budget(learned: Column, hit_rate: Column) -> Column:
 
 def structural_fingerprint(vuln_type: Column, source: Column, sink: Column, kind: Column, conf: Column) -> Column:
     """Name-independent shape of a candidate: type, origin, sink family, match, confidence bucket, joined by |."""
-    origin = F.when(source.startswith("structural:"), "structural").otherwise(first_contained(source, [(x, "external") for x in ("fread", "recv", "read", "BIO_read", "TIFFGetField", "sqlite3_value", "xmlGetProp", "lua_to")], "param"))
-    s = F.lower(F.coalesce(sink, F.lit("")))
-    rest = F.when(s.contains("callind") | s.startswith("var_"), "callind_null").when(s.contains("ptradd"), "ptradd_oob").when(s.contains("int_and"), "int_and_trunc").when(s.contains("load"), "load_null").when(s == "", "unknown").otherwise(F.substring(s, 1, 20))
-    family = F.when(s.rlike("memcpy|memmove|mempcpy|bcopy"), "memcpy_family").when(s.rlike("malloc|realloc|calloc|alloc"), "malloc_family").otherwise(rest)
-    match = F.when(kind == "LIBRARY_MATCH", "lib").when(kind == "STRUCTURAL_MATCH", "struct").when(kind == "NO_MATCH", "heur").otherwise("?")
-    return F.concat_ws("|", vuln_type, origin, family, match, F.when(conf >= 0.7, "high").when(conf >= 0.45, "med").otherwise("low"))
+    name = F.lower(F.coalesce(sink, F.lit("")))
+    family = F.when(name == "", "unknown").otherwise(F.substring(name, 1, 20))
+    for label, words in reversed(SHAPE_FAMILIES.items()):
+        hit = [name.startswith(w[1:]) if w.startswith("^") else name.contains(w) for w in words]
+        family = F.when(reduce(Column.__or__, hit), label).otherwise(family)
+    bucket = F.lit(None).cast("string")
+    for label, least in reversed(SHAPE_CONFIDENCE.items()):
+        bucket = F.when(conf >= least, label).otherwise(bucket)
+    origin = F.when(source.startswith("structural:"), "structural").otherwise(first_contained(source, [(x, "external") for x in SHAPE_EXTERNAL], "param"))
+    match = F.lit("?")
+    for label, word in SHAPE_MATCH.items():
+        match = F.when(kind == label, word).otherwise(match)
+    return F.concat_ws("|", vuln_type, origin, family, match, F.coalesce(bucket, F.lit("low")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import callee_before_at, raw_address
+from ..functions.names import raw_address
 
 #: Severity order of sinks when a function's worst one is named.
 SINK_ORDER = ["command_injection", "buffer_overflow", "format_string", "uaf"]
@@ -123,7 +123,3 @@ def argument_effects(call_rows: DataFrame, summaries: DataFrame) -> DataFrame:
     """Arguments of calls with the effects that summaries (callee, arg_idx, effect) give them."""
     args = call_rows.select("fn", "seq", "callee", F.posexplode("args").alias("arg_idx", "var"))
     return args.join(summaries, ["callee", "arg_idx"])
-
-
-def callee_key(name: Column) -> Column:
-    return callee_before_at(name)

@@ -40,7 +40,7 @@ def sink_class(name: Column) -> Column:
     n = last_scope(name)
     out = F.lit("GENERIC")
     for c, members in reversed(SINK_CLASSES.items()):
-        known = F.array(*[F.lit(m.lower()) for m in members.split("|")])
+        known = F.array(*[F.lit(m.lower()) for m in members])
         out = F.when(F.exists(known, lambda m: F.contains(n, m) | F.contains(m, n)), c).otherwise(out)
     return out
 

@@ -141,7 +141,7 @@ def p23(s: Source) -> DataFrame:
     return s.b_ops.filter("callee IS NOT NULL").groupBy("callee", role.alias("role")).agg(F.count("*").alias("n")).select("callee", "role", sources.base_confidence(F.col("role")).alias("base_conf"), "n")
 
 
-_SINKS = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(x, '{n.lower()}') OR contains('{n.lower()}', x)" for n in v.split("|")) + f" THEN '{k}'" for k, v in dims.SINK_CLASSES.items()) + " ELSE 'GENERIC' END"
+_SINKS = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(x, '{n.lower()}') OR contains('{n.lower()}', x)" for n in v) + f" THEN '{k}'" for k, v in dims.SINK_CLASSES.items()) + " ELSE 'GENERIC' END"
 
 
 @query("p26_sink_class", f"SELECT callee, {_SINKS} AS sink_class FROM (SELECT DISTINCT callee, lower(callee) AS x FROM b_ops WHERE callee IS NOT NULL) t")

@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -210,19 +214,48 @@ def neighbours(spark: SparkSession, edges: DataFrame, start: list[str], hops: in
 
 def nearest(queries: DataFrame, store: DataFrame, least: float, block: int = 2000) -> DataFrame:
     """For each query vector (id, vector) the stored vector (store_id, stored) of the greatest cosine, itself left out, of
-    equal ones the least id, if it reaches `least`. The queries are a stated set, counted and broadcast in blocks; the
-    store is read once for each block and never shuffled: each task keeps its best, then few rows meet."""
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+    equal ones the least id, if it reaches `least`: id, store_id, cos (to six places). Vectors without length have none.
+
+    The queries are a stated set; they are taken in blocks of `block` vectors, each a matrix of known size that goes to all
+    tasks. The store is read once for each block and never shuffled: a task multiplies it batch by batch and gives its best
+    for each query, of which few rows meet.
+    """
+    spark = queries.sparkSession
     blocks = max(1, -(-queries.count() // block))
-    q = queries.select("id", "vector", norm(F.col("vector")).alias("qn"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"))
-    s = store.select("store_id", "stored", norm(F.col("stored")).alias("sn"))
-    dot = F.aggregate(F.zip_with("vector", "stored", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    dealt = queries.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    rows = store.select(F.col("store_id").cast("long").alias("store_id"), F.col("stored").cast("array<double>").alias("stored")).filter("stored IS NOT NULL AND store_id IS NOT NULL")
     found = None
     for k in range(blocks):
-        hit = s.join(F.broadcast(q.filter(F.col("b") == k)), F.col("store_id") != F.col("id")).select("id", "store_id", F.round(dot / (F.col("qn") * F.col("sn")), 6).alias("cos"))
-        top = hit.filter(F.col("cos") >= least).groupBy("id").agg(F.max_by(F.struct("store_id", "cos"), F.struct("cos", -F.col("store_id"))).alias("b"))
+        mine = sorted((r.id, r.vector) for r in dealt.filter((F.col("b") == k) & F.col("vector").isNotNull()).collect())
+        shared = spark.sparkContext.broadcast((np.array([i for i, _ in mine], dtype=np.int64), _units(np.array([v for _, v in mine], dtype=np.float64))))
+
+        def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            best, of = np.full(len(ids), -2.0), np.zeros(len(ids), dtype=np.int64)
+            for b in batches:
+                if not b.num_rows or not len(ids):
+                    continue
+                own = b.column("store_id").to_numpy()
+                cos = np.floor(q @ _units(np.stack(b.column("stored").to_numpy(zero_copy_only=False))).T * 1e6 + 0.5) / 1e6
+                cos[ids[:, None] == own[None, :]] = -2.0
+                order = np.argsort(own, kind="stable")  # of equal ones the least id
+                at = order[np.argmax(np.nan_to_num(cos, nan=-2.0)[:, order], axis=1)]
+                top = np.nan_to_num(cos[np.arange(len(ids)), at], nan=-2.0)
+                better = (top > best) | (top == best) & (own[at] < of)
+                best, of = np.where(better, top, best), np.where(better, own[at], of)
+            some = np.flatnonzero(best >= least)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(of[some]), pa.array(best[some])], ["id", "store_id", "cos"])
+
+        top = rows.mapInArrow(run, "id long, store_id long, cos double")
         found = top if found is None else found.unionByName(top)
-    return found.select("id", "b.store_id", "b.cos")
+    best = F.max_by(F.struct("store_id", "cos"), F.struct("cos", -F.col("store_id")))
+    return found.groupBy("id").agg(best.alias("b")).select("id", "b.store_id", "b.cos")
+
+
+def _units(m: np.ndarray) -> np.ndarray:
+    """Rows of length one; NaN for those without length."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return m / np.sqrt((m * m).sum(-1, keepdims=True)) if m.size else m.reshape(0, 0)
 
 
 def tainted(flow: DataFrame, seeds: DataFrame, hops: int = 4) -> DataFrame:

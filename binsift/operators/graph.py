@@ -106,15 +106,17 @@ def degrees(edges: DataFrame) -> DataFrame:
     return out.join(into, "node", "full").select("node", F.coalesce("fan_in", F.lit(0)).alias("fan_in"), F.coalesce("fan_out", F.lit(0)).alias("fan_out"))
 
 
-def distances(edges: DataFrame, seeds: DataFrame, hops: int, backwards: bool = False) -> DataFrame:
-    """node and its distance (0 for seeds) along edges, or against them, up to `hops`."""
+def distances(edges: DataFrame, seeds: DataFrame, hops: int | None = None, backwards: bool = False) -> DataFrame:
+    """node and its distance (0 for seeds) along edges, or against them, up to `hops`, or as far as they lead."""
     step = edges.select(F.col("callee").alias("node"), F.col("caller").alias("to")) if backwards else edges.select(F.col("caller").alias("node"), F.col("callee").alias("to"))
     step = saved(step.distinct())
     front = saved(seeds.select("node", F.lit(0).alias("dist")).distinct())
     seen = Grown(front)
-    for d in range(1, hops + 1):
+    for d in count(1) if hops is None else range(1, hops + 1):
         reached = front.join(step, "node").select(F.col("to").alias("node")).distinct().join(seen.all(), "node", "left_anti")
         front = saved(reached.withColumn("dist", F.lit(d)))
+        if front.limit(1).count() == 0:
+            break
         seen.add(front)
     return seen.all()
 
@@ -126,9 +128,9 @@ def source_distance(edges: DataFrame, is_source: Column, hops: int = 4) -> DataF
     return nodes(edges).join(near, "node", "left").select("node", F.coalesce("dist", F.lit(hops + 1)).alias("dist"))
 
 
-def reachable(edges: DataFrame, is_seed: Column, is_write: Column, hops: int = 10, least_share: float = 0.05) -> DataFrame:
-    """Nodes that data from seeds reaches: seeds (and callers of them) and all their callers up to `hops`. If that is
-    under `least_share` of the nodes, all nodes but the write-only ones instead."""
+def reachable(edges: DataFrame, is_seed: Column, is_write: Column, hops: int | None = None, least_share: float = 0.05) -> DataFrame:
+    """Nodes that data from seeds reaches: seeds and all their callers, and theirs (up to `hops`, if given). If that is under
+    `least_share` of the nodes, all nodes but the write-only ones instead."""
     every = nodes(edges)
     near = distances(edges, every.filter(is_seed).select("node"), hops, backwards=True).select("node")
     total, found = every.count(), near.count()

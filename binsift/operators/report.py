@@ -117,5 +117,5 @@ def table(rows: DataFrame, columns: list[str], *keys: Column) -> DataFrame:
     widest = text.agg(*[F.greatest(F.lit(len(c)), F.coalesce(F.max(F.length(f"_{c}")), F.lit(0))).alias(f"w_{c}") for c in columns])
     padded = lambda value, c: F.rpad(value, F.col(f"w_{c}"), F.lit(" "))
     line = lambda of: F.rtrim(F.concat_ws("  ", *[padded(of(c), c) for c in columns]))
-    body = in_order(text, *keys).crossJoin(F.broadcast(widest)).select(F.col("order").cast("long").alias("line_no"), line(lambda c: F.col(f"_{c}")).alias("line"))
+    body = in_order(text, *keys).join(F.broadcast(widest)).select(F.col("order").cast("long").alias("line_no"), line(lambda c: F.col(f"_{c}")).alias("line"))
     return widest.select(F.lit(0).cast("long").alias("line_no"), line(F.lit).alias("line")).unionByName(body)

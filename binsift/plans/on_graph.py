@@ -69,7 +69,7 @@ def g05(s: Source) -> DataFrame:
 WITH RECURSIVE d AS (SELECT 'fn_5' AS node UNION SELECT g.caller FROM d JOIN b_graph g ON g.callee = d.node)
 SELECT node FROM {_N} n WHERE CASE WHEN (SELECT count(*) FROM d) >= 0.05 * (SELECT count(*) FROM {_N} m) THEN node IN (SELECT node FROM d) ELSE NOT contains(node, '9') END""")
 def g06(s: Source) -> DataFrame:
-    return graph.reachable(s.b_graph, F.col("node") == "fn_5", contains_any(F.col("node"), ["9"]), hops=30)
+    return graph.reachable(s.b_graph, F.col("node") == "fn_5", contains_any(F.col("node"), ["9"]))
 
 
 def _ppr(rounds: int) -> str:

@@ -71,7 +71,7 @@ FROM orders""",
     "b_sem": """
 SELECT concat('fn_', CAST(user_id AS STRING)) AS fn, event_id AS sem_id, event_type AS analysis_type,
   CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS conf_pct
-FROM events WHERE event_id % 4 = 0""",
+FROM events""",
     "b_truth": """
 SELECT l.doc_id, l.toxic AS label, CASE WHEN d.n_chars > 2000 THEN 1 ELSE 0 END AS predicted
 FROM labels l JOIN documents d ON d.doc_id = l.doc_id""",
@@ -80,7 +80,7 @@ SELECT role AS stage, conv_id, turn, CASE WHEN length(text) < 4 THEN 1 ELSE CAST
 FROM conversations""",
     "b_graph": """
 SELECT DISTINCT concat('fn_', CAST(l_suppkey AS STRING)) AS caller, concat('fn_', CAST(l_partkey % 100 + 1 AS STRING)) AS callee
-FROM lineitem WHERE l_orderkey % 97 = 0""",
+FROM lineitem""",
 }
 
 

@@ -22,11 +22,15 @@ from pyspark.sql.types import StructType
 
 #: Bytes of strings that Python code is given at a time.
 SLICE = 2 << 20
+#: Rows that Spark hands Python at a time. It is a setting of the session, read when a query runs, and texts are long:
+#: batches of Spark's default of 10,000 rows hold too much. release() sets it back.
+BATCH_ROWS, MOST_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Setting that lets Spark drop a query's shuffle files when the query is over.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _shipped: set[str] = set()
 _tables: list[tuple[SparkSession, str]] = []
+_lowered: list[tuple[SparkSession, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -74,8 +78,12 @@ def in_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE) -> Iterator
 
 
 def arrow_map(df: DataFrame, fn: Mapper, schema: str | StructType) -> DataFrame:
-    """mapInArrow over small slices of batches, with the package on the executors."""
-    ship(df.sparkSession)
+    """mapInArrow over small slices of small batches, with the package on the executors. Lowers BATCH_ROWS in the session."""
+    spark = df.sparkSession
+    ship(spark)
+    if int(before := spark.conf.get(BATCH_ROWS)) > MOST_ROWS:
+        _lowered.append((spark, before))
+        spark.conf.set(BATCH_ROWS, MOST_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(in_slices(batches))
@@ -120,8 +128,14 @@ def saved(df: DataFrame) -> DataFrame:
 
 @atexit.register
 def release() -> None:
-    """Delete the tables that operators wrote to the shared folder. Call it when results are written: DataFrames made
-    before can't be read after. At the latest it happens when the interpreter ends."""
+    """Delete the tables that operators wrote to the shared folder and set BATCH_ROWS back. Call it when results are
+    written: DataFrames made before can't be read after. At the latest it happens when the interpreter ends."""
+    while _lowered:
+        spark, before = _lowered.pop()
+        try:
+            spark.conf.set(BATCH_ROWS, before)
+        except Exception:  # the session has ended  # noqa: BLE001
+            pass
     while _tables:
         spark, path = _tables.pop()
         try:

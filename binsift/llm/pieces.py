@@ -161,8 +161,24 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: s
 
 
 def round_trip(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
-    """doc_id, ids, n_ids and whether decoding gives the whole text back (null counts as empty), for every document."""
+    """doc_id, ids, n_ids and whether decoding gives the whole text back (null counts as empty), for every document.
+
+    A text is encoded and its ids decoded in one pass, as encode and decode do it, so that neither crosses to Python twice.
+    """
     v = Vocabulary.load(model_path)
+    shared = docs.sparkSession.sparkContext.broadcast(v)
     own = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    both = decode(encode(own, v), v)
-    return both.select("doc_id", "ids", F.size("ids").alias("n_ids"), (F.col("decoded") == F.col("text")).alias("exact"))
+    schema = T.StructType([own.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.IntegerType()), T.StructField("exact", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = Encoder(shared.value)
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            found = [e.encode(t) for t in texts]
+            exact = [decode_ids(ids.tolist(), e.v.surface) == t for ids, t in zip(found, texts)]
+            n = np.array([len(x) for x in found], dtype=np.int32)
+            at = pa.array(np.concatenate((np.zeros(1, np.int32), np.cumsum(n, dtype=np.int32))))
+            ids = pa.ListArray.from_arrays(at, pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array(n), pa.array(exact, pa.bool_())], ["doc_id", "ids", "n_ids", "exact"])
+
+    return arrow_map(own, run, schema)

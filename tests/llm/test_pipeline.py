@@ -30,11 +30,32 @@ def test_run_is_the_stages_one_after_another(spark, small):
 
 def test_stages_of_defined_cases(spark, small, clashing, docs):
     rows = [(None, "the dog and the cat"), (1, None), (2, ""), (3, "the dog and the cat"), (3, "the dog and the cat"), (4, "of the and a " * 30_000)]
+    ids = {
+        "language_id": [3, 3, 4, None],  # null and empty texts are of no language
+        "line_dedup": [1, 2, 3, 3, 4, None],
+        "ngram_jaccard_join": [1, 2, 3, 4],  # one row of the equal ones, texts without words all
+        "benchmark_decontamination": [1, 2, 3, 3, 4, None],
+        "sentencepiece": [1, 2, 3, 3, 4, None],
+    }
     for name, stage in corpus_pipeline.STAGES:
-        assert stage(spark, clashing(rows), small).count() > 0, name
+        got = stage(spark, clashing(rows), small)
+        assert sorted((r.doc_id for r in got.collect()), key=lambda x: (x is None, x)) == ids[name], name
         assert stage(spark, docs([]), small).count() == 0, name
 
 
+def test_rows_of_one_id_are_judged_apart(spark, small, docs):
+    """A bad text doesn't take a good one of its id, null or not, with it."""
+    from binsift.llm._spark import table
+
+    item = table(spark, small, "benchmark").filter("length(text) > 60").first().text
+    good = "the river and the house stood in the old garden of the town "
+    rows = [(1, "123 456"), (1, good + "one"), (None, "!!"), (None, good + "two"), (2, f"start {item} end"), (2, good + "three and more of it all")]
+    kept = {r.text for r in corpus_pipeline.identify_language(spark, docs(rows), small).collect()}
+    assert kept == {t for _, t in rows if any(c.isalpha() for c in t)}
+    kept = {r.text for r in corpus_pipeline.decontaminate_benchmark(spark, docs(rows), small).collect()}
+    assert kept == {t for _, t in rows if item not in t}
+
+
 def test_run_against_brute_force(spark, small):
     """The whole pipeline over the small tables, stage by stage in plain Python."""
     from test_lines import brute as brute_lines

@@ -599,7 +599,7 @@ def passed_on(fn: str, rows: list[dict], rules: dict[str, Rule], effects: dict[s
     if not seeds:
         return []
     live, _ = probe(rows, seeds, rules, effects)
-    marks = {((o["callee"] or "").removeprefix("INDIRECT:"), i) for o in rows if o["op"] in CALLS for i, a in enumerate(o["args"]) if a in live}
+    marks = {(o["callee"].removeprefix("INDIRECT:"), i) for o in rows if o["op"] in CALLS and o["callee"] for i, a in enumerate(o["args"]) if a in live}
     return [(fn, -1), *sorted(marks)]
 
 

@@ -57,14 +57,26 @@ def g11(s: Source) -> DataFrame:
     return taint.summaries(flat, _levels(flat)).select("fn", F.col("arg").alias("arg_idx"), "effect")
 
 
-@query("g14_external_arguments")
-def g14(s: Source) -> DataFrame:
+@query("g11b_own_summaries", taint_sql.OWN_EFFECTS)
+def g11b(s: Source) -> DataFrame:
     flat = ops.of_programs(s.b_prog)
-    return taint.external_arguments(flat, taint.summaries(flat, _levels(flat)))
+    alone = flat.select(F.col("fn").alias("node")).distinct().withColumn("level", F.lit(0))
+    return taint.summaries(flat, alone).filter("effect NOT LIKE 'field:%'")
+
+
+@query("g14_external_arguments", taint_sql.ENTERED)
+def g14(s: Source) -> DataFrame:
+    return taint.external_arguments(ops.of_programs(s.b_prog))
 
 
-@query("x03_taint_from_callers")
+@query("x03_taint_from_callers", taint_sql.FROM_CALLERS)
 def x03(s: Source) -> DataFrame:
+    flat = ops.of_programs(s.b_prog)
+    return taint.candidates(taint.analyze(flat, external=taint.external_arguments(flat))).drop("taint_path", "bounded")
+
+
+@query("x11_taint_through_calls")
+def x11(s: Source) -> DataFrame:
     flat = ops.of_programs(s.b_prog)
     effects = taint.summaries(flat, _levels(flat))
     return taint.candidates(taint.analyze(flat, effects, taint.external_arguments(flat, effects))).drop("taint_path", "bounded")

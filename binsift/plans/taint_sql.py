@@ -159,16 +159,74 @@ def _stages() -> list[str]:
     return out
 
 
-def _sql() -> str:
+_BASE = f"""
+rules(rule, ext, writes, reads, ret, bounded, sizes_, frees, sink, targ) AS (VALUES {_RULES.strip()}),
+flat AS (SELECT fn, seq, op, out_var, callee, list_slice([in1, in2, in3], 1, n) AS args, list_slice([size1, size2, size3], 1, n) AS szs FROM b_prog)"""
+
+
+def _probe(name: str, seeds: str) -> str:
+    """CTEs that follow taint from seeds (fn, id, T): {name}(fn, id, T, M), the closure alone, one step an operation."""
+    chain = f"SELECT s.* REPLACE (s.i + 1 AS i), f.op, f.out_var, f.callee, f.args, f.szs, r.* FROM {name}_w s JOIN flat f ON f.fn = s.fn AND f.seq = s.i + 1 LEFT JOIN rules r ON f.callee = r.rule"
+    stages = [
+        "*, op IN ('CALL', 'CALLIND') AND len(list_filter(args, lambda z: list_contains(T, z) OR list_contains(M, z))) > 0 AS touched, CASE WHEN op = 'STORE' THEN CASE WHEN len(args) > 2 THEN args[2] ELSE args[1] END WHEN op = 'LOAD' THEN CASE WHEN len(args) > 1 THEN args[2] ELSE args[1] END END AS addr, CASE WHEN op = 'STORE' THEN CASE WHEN len(args) > 2 THEN args[3] ELSE args[2] END END AS val",
+        "*, touched AND (rule IS NULL OR ret) OR op = 'LOAD' AND (" + _has("T", "addr") + " OR " + _has("M", "addr") + ") OR op NOT IN ('CALL', 'CALLIND', 'STORE', 'LOAD', 'CBRANCH', 'RETURN') AND len(list_filter(args, lambda z: list_contains(T, z))) > 0 AS makes",
+        "* REPLACE (" + _put("T", "makes", "out_var") + ")",
+        "* REPLACE (" + _put("T", "touched AND rule IS NOT NULL AND len(ext) > 0", "args[ext[1] + 1]") + ")",
+        "*, CASE WHEN touched AND rule IS NULL THEN list_filter(args, lambda z, j: szs[j] = 8 AND list_contains(T, z)) WHEN touched AND writes <> -1 AND (len(ext) > 0 OR writes = -2 OR reads >= 0 AND " + _has("T", "args[reads + 1]") + ") THEN CASE WHEN writes = -2 THEN list_filter(args, lambda z, j: szs[j] = 8) ELSE list_filter([args[writes + 1]], lambda z: z IS NOT NULL) END WHEN op = 'STORE' AND " + _has("T", "val") + " THEN [addr] ELSE [] END AS to_",
+        "* REPLACE (list_distinct(list_concat(M, to_)) AS M)",
+    ]
+    for stage in stages:
+        chain = f"SELECT {stage} FROM ({chain})"
+    return f"""{name}_w AS (
+  SELECT fn, id, CAST(-1 AS INTEGER) AS i, T, CAST([] AS VARCHAR[]) AS M FROM ({seeds})
+  UNION ALL
+  SELECT fn, id, i, T, M FROM ({chain})),
+{name} AS (SELECT w.fn, w.id, w.T, w.M FROM {name}_w w JOIN (SELECT fn, max(seq) AS last_ FROM flat GROUP BY fn) z ON z.fn = w.fn AND z.last_ = w.i)"""
+
+
+_SOURCES_OF = """
+SELECT fn, 0 AS id, list(DISTINCT v) AS T FROM (
+  SELECT f.fn, unnest(list_concat(CASE WHEN len(r.ext) > 0 THEN [f.args[r.ext[1] + 1]] ELSE [] END, CASE WHEN r.writes = -2 THEN list_filter(f.args, lambda z, j: f.szs[j] = 8) WHEN r.writes >= 0 THEN [f.args[r.writes + 1]] ELSE [] END, CASE WHEN r.ret AND f.out_var IS NOT NULL THEN [f.out_var] ELSE [] END)) AS v
+  FROM flat f JOIN rules r ON r.rule = f.callee WHERE f.op = 'CALL' AND (len(r.ext) > 0 OR r.writes = -2)) t WHERE v IS NOT NULL GROUP BY fn"""
+_ENTERED = f"""{_probe('reach', _SOURCES_OF)},
+own AS (
+  SELECT DISTINCT fn, -1 AS arg FROM reach
+  UNION SELECT f.callee, j - 1 FROM flat f JOIN reach r ON r.fn = f.fn, unnest(range(1, len(f.args) + 1)) u(j) WHERE f.op = 'CALL' AND f.callee IS NOT NULL AND list_contains(r.T, f.args[j])),
+up AS (SELECT fn, 0 AS far FROM own UNION SELECT c.fn, up.far + 1 FROM up JOIN (SELECT DISTINCT fn, callee FROM flat WHERE callee IS NOT NULL) c ON c.callee = up.fn WHERE up.far < 10),
+entered AS (
+  SELECT fn, CAST(arg AS INTEGER) AS arg FROM own
+  UNION SELECT f.fn, CAST(j - 1 AS INTEGER) FROM flat f, unnest(range(1, len(f.args) + 1)) u(j) WHERE f.op = 'CALL' AND f.callee IN (SELECT fn FROM up) AND starts_with(f.args[j], 'VAR_'))"""
+#: Parameters by position: variables used and never set, in order of first use.
+_PARAMETERS = """
+named AS (
+  SELECT fn, var, row_number() OVER (PARTITION BY fn ORDER BY min(pos_)) - 1 AS position FROM (SELECT fn, unnest(args) AS var, seq * 10 + unnest(range(1, len(args) + 1)) AS pos_ FROM flat) u
+  WHERE starts_with(var, 'VAR_') AND NOT EXISTS (SELECT 1 FROM flat f WHERE f.fn = u.fn AND f.out_var = u.var) GROUP BY fn, var)"""
+_MOVES = "op IN ('COPY', 'CAST', 'INT_ZEXT', 'INT_SEXT', 'PTRADD', 'PTRSUB') AND out_var IS NOT NULL"
+ENTERED = f"WITH RECURSIVE {_BASE},\n{_ENTERED}\nSELECT DISTINCT fn, arg FROM entered"
+#: Effects of functions on their own, without those they call: aliases of parameters in order, first aliased input.
+OWN_EFFECTS = f"""WITH RECURSIVE {_BASE},{_PARAMETERS},
+{_probe('each', "SELECT fn, position AS id, [var] AS T FROM named")},
+al AS (
+  SELECT fn, CAST(-1 AS INTEGER) AS i, map_from_entries(list({{'k': var, 'v': position}})) AS A FROM named GROUP BY fn
+  UNION ALL
+  SELECT a.fn, a.i + 1, CASE WHEN {_MOVES} AND a.A[f.out_var] IS NULL AND len(list_filter(f.args, lambda z: a.A[z] IS NOT NULL)) > 0
+    THEN map_concat(a.A, MAP {{f.out_var: a.A[list_filter(f.args, lambda z: a.A[z] IS NOT NULL)[1]]}}) ELSE a.A END FROM al a JOIN flat f ON f.fn = a.fn AND f.seq = a.i + 1),
+alias AS (SELECT a.fn, a.A FROM al a JOIN (SELECT fn, max(seq) AS last_ FROM flat GROUP BY fn) z ON z.fn = a.fn AND z.last_ = a.i),
+back AS (SELECT fn, arg_max(args[1], seq) AS var FROM flat WHERE op = 'RETURN' AND NOT starts_with(args[1], 'const(') GROUP BY fn)
+SELECT DISTINCT e.fn, CAST(e.id AS INTEGER) AS arg, 'return' AS effect FROM each e JOIN back b ON b.fn = e.fn AND list_contains(e.T, b.var)
+UNION SELECT e.fn, CAST(e.id AS INTEGER), 'mem:' || a.A[mem] FROM (SELECT *, unnest(M) AS mem FROM each) e JOIN alias a ON a.fn = e.fn WHERE a.A[mem] IS NOT NULL"""
+
+
+def _sql(callers: bool = False) -> str:
+    more = f",\n{_ENTERED},{_PARAMETERS}" if callers else ""
+    third = "\n  UNION ALL SELECT DISTINCT n.fn, n.var, 3, n.position, 'external:interproc_arg_' || n.position, 0.8e0 FROM named n JOIN entered e ON e.fn = n.fn AND e.arg = n.position" if callers else ""
     chain = "SELECT s.*, o.op, o.out_var, o.callee, o.args, o.szs, o.null_call, o.null_load, r.* FROM w s JOIN o ON o.fn = s.fn AND o.seq = s.i + 1 LEFT JOIN rules r ON o.callee = r.rule"
     chain = chain.replace("s.*", "s.* REPLACE (s.i + 1 AS i)")
     for stage in _stages():
         chain = f"SELECT {stage} FROM ({chain})"
     null = "op IN ('INT_LESS_', 'INT_EQUAL') AND coalesce(list_contains(args, 'const(0x0)') OR list_contains(args, 'const(0)'), false)"
     return f"""
-WITH RECURSIVE
-rules(rule, ext, writes, reads, ret, bounded, sizes_, frees, sink, targ) AS (VALUES {_RULES.strip()}),
-flat AS (SELECT fn, seq, op, out_var, callee, list_slice([in1, in2, in3], 1, n) AS args, list_slice([size1, size2, size3], 1, n) AS szs FROM b_prog),
+WITH RECURSIVE {_BASE}{more},
 nulls AS (SELECT *, {null} AS nil_ FROM flat),
 o AS (
   SELECT a.*, a.op = 'CALLIND' AND EXISTS (SELECT 1 FROM nulls b WHERE b.fn = a.fn AND b.nil_ AND b.seq BETWEEN a.seq + 1 AND a.seq + 12) AS null_call,
@@ -187,8 +245,8 @@ seeded AS (
     UNION ALL SELECT c.fn, u.var, conf, u.seq * 10 + u.slot FROM called c JOIN uses u ON u.fn = c.fn AND u.seq = c.seq WHERE conf > 0 AND u.size = 8 AND NOT starts_with(u.var, 'const(')) t GROUP BY fn, var),
 first_ AS (
   SELECT fn, var, 1 AS pass, pos_, 'param:' || var AS reason, 0e0 AS conf FROM params
-  UNION ALL SELECT s.fn, s.var, 2, s.pos_, 'external:3a_seed_' || s.var, s.conf FROM seeded s),
-once AS (SELECT *, row_number() OVER (PARTITION BY fn, var ORDER BY pass) AS nth, last_value(reason) OVER (PARTITION BY fn, var ORDER BY pass ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS root, max(conf) OVER (PARTITION BY fn, var) AS best FROM first_),
+  UNION ALL SELECT s.fn, s.var, 2, s.pos_, 'external:3a_seed_' || s.var, s.conf FROM seeded s{third}),
+once AS (SELECT *, row_number() OVER (PARTITION BY fn, var ORDER BY pass) AS nth, first_value(reason) OVER (PARTITION BY fn, var ORDER BY pass = 1, pass) AS root, max(conf) OVER (PARTITION BY fn, var) AS best FROM first_),
 start AS (
   SELECT fn, list(var ORDER BY pass, pos_) AS T, list(var) FILTER (WHERE best > 0) AS E,
     map_from_entries(list({{'k': var, 'v': CAST(best AS DOUBLE)}})) AS C, map_from_entries(list({{'k': var, 'v': 0}})) AS H, map_from_entries(list({{'k': var, 'v': root}})) AS O,
@@ -206,9 +264,11 @@ done AS (SELECT w.* FROM w JOIN (SELECT fn, max(seq) AS last_ FROM flat GROUP BY
 
 
 WALK = _sql()
-CANDIDATES = f"""{WALK}
+_CANDIDATES = """
 SELECT fn, CAST(d.seq AS INTEGER) AS seq, d.kind AS vuln_type, d.sink AS sink_fn, d.m AS match_kind, d.c AS confidence, d.s AS taint_source, d.v AS taint_var FROM (
   SELECT *, row_number() OVER (PARTITION BY fn, d.sink, d.kind, d.s ORDER BY nth) AS k FROM (SELECT fn, unnest(D) AS d, unnest(range(len(D))) AS nth FROM done) t) t WHERE k = 1"""
+CANDIDATES = WALK + _CANDIDATES
+FROM_CALLERS = _sql(True) + _CANDIDATES
 STEPS = f"""{WALK}
 SELECT fn, CAST(nth AS INTEGER) AS step, CAST(s.seq AS INTEGER) AS seq, s.op AS op, s.a AS from_var, s.b AS to_var, s.r AS reason, s.m AS is_mem FROM (SELECT fn, unnest(S) AS s, unnest(range(len(S))) AS nth FROM done) t"""
 TAINTED = f"""{WALK}

@@ -180,3 +180,15 @@ def structural_fingerprint(vuln_type: Column, source: Column, sink: Column, kind
     for label, word in SHAPE_MATCH.items():
         match = F.when(kind == label, word).otherwise(match)
     return F.concat_ws("|", vuln_type, origin, family, match, F.coalesce(bucket, F.lit("low")))
+
+
+def calibrated_finding(rows: DataFrame, llm: str, kind: str, score: str, taint: str, source: str, bounded: str, status: str | None = None) -> DataFrame:
+    """rows with `calibrated`: the weighted signals of each finding, named by its columns, to six places."""
+    found = signals(F.col(llm), F.col(kind), F.col(score), F.col(taint), F.col(source), F.col(bounded), None if status is None else F.col(status))
+    return rows.withColumn("calibrated", F.round(calibrated(found), 6))
+
+
+def fallback_verdicts(rows: DataFrame) -> DataFrame:
+    """Verdicts (memory_confirmed, confidence) of disagreements that no arbiter settles: the memory side's position at 0.8 of
+    its confidence."""
+    return rows.withColumn("confirmed", F.col("memory_confirmed")).withColumn("confidence", F.round(verdict_confidence(F.lit("disagrees"), F.col("confidence")), 6))

@@ -166,3 +166,18 @@ def both_sides(truth: DataFrame, found: DataFrame, key: str) -> DataFrame:
     sides = truth.select(key).distinct().withColumn("_t", F.lit(1)).join(found.select(key).distinct().withColumn("_f", F.lit(1)), key, "full")
     t, f = F.col("_t").isNotNull(), F.col("_f").isNotNull()
     return sides.agg(F.count_if(t & f).alias("hit"), F.count_if(t & ~f).alias("missed"), F.count_if(~t & f).alias("extra"))
+
+
+def evaluation_set(named: DataFrame, truth: DataFrame, dangerous: DataFrame, budget: int) -> DataFrame:
+    """fn, phase of the functions to evaluate on: the named ones, then those of the ground truth, then others with dangerous
+    calls, each name once, in order of phase and name, `budget` in all. Each table: fn."""
+    phases = [named.select("fn", F.lit(0).alias("phase")), truth.select("fn", F.lit(1).alias("phase")), dangerous.select("fn", F.lit(2).alias("phase"))]
+    rows = phases[0].unionByName(phases[1]).unionByName(phases[2]).groupBy("fn").agg(F.min("phase").alias("phase"))
+    return rows.orderBy("phase", "fn").limit(budget)
+
+
+def final_findings(rows: DataFrame, conf: str, *ties: str) -> DataFrame:
+    """Findings with place (1, 2, ...), the surest first."""
+    from .report import in_order
+
+    return in_order(rows, F.desc(conf), *map(F.col, ties)).withColumnRenamed("order", "place")

@@ -75,3 +75,13 @@ def seeds(ops: DataFrame) -> DataFrame:
     rows = calls.select("fn", "seq", "conf", "callee", F.explode(F.concat(result, wide)).alias("v")).filter("v.var IS NOT NULL")
     best = rows.groupBy("fn", F.col("v.var").alias("var")).agg(F.max_by(F.struct("conf", "callee"), F.struct("conf", -F.col("seq"), -F.col("v.slot"))).alias("b"))
     return best.select("fn", "var", "b.conf", "b.callee")
+
+
+def is_allocator(name: Column) -> Column:
+    """Whether a function is of the class of allocators."""
+    return sink_class(name) == "ALLOCATOR"
+
+
+def confidence_of(name: Column) -> Column:
+    """Source confidence of a called function; 0 for those that are no source."""
+    return F.coalesce(base_confidence(source_role(name)), F.lit(0.0))

@@ -69,3 +69,19 @@ def merged(old: DataFrame, new: DataFrame, keys: Sequence[str], count: str = "se
 def cleared(rows: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
     """rows without the keys of gone."""
     return rows.join(gone.select(*keys), list(keys), "left_anti")
+
+
+def put_metadata(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Key-value metadata (key, value, version; values are JSON) with the newest value of each key."""
+    return latest(old, new, ["key"], "version")
+
+
+def metadata(rows: DataFrame, key: str, schema: str) -> DataFrame:
+    """The value of a key as fields, one row; none where the key isn't set or its value can't be read."""
+    return rows.filter(F.col("key") == key).select(F.from_json("value", schema).alias("v")).filter("v IS NOT NULL").select("v.*")
+
+
+def learned_roles(rules: DataFrame) -> DataFrame:
+    """One row: roles, the map of learned roles by function (empty where nothing was learned), the surest of each."""
+    best = rules.filter("role IS NOT NULL").groupBy("fn").agg(F.max_by("role", F.struct("confidence", "role")).alias("role"))
+    return best.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("fn", "role")))).alias("roles"))

@@ -201,11 +201,7 @@ WITH a AS (SELECT fn, 0 AS phase FROM b_ops WHERE fn IN ('fn_1', 'fn_2', 'fn_nop
 SELECT fn, phase FROM (SELECT fn, min(phase) AS phase FROM a GROUP BY fn) t ORDER BY phase, fn LIMIT 12""")
 def k15(s: Source) -> DataFrame:
     b = s.b_ops
-    parts = [b.filter("fn IN ('fn_1', 'fn_2', 'fn_nope')"), b.filter("callee = 'recv'"), b.filter("callee = 'system'")]
-    rows = parts[0].select("fn", F.lit(0).alias("phase"))
-    for i, p in enumerate(parts[1:], 1):
-        rows = rows.unionByName(p.select("fn", F.lit(i).alias("phase")))
-    return rows.groupBy("fn").agg(F.min("phase").alias("phase")).orderBy("phase", "fn").limit(12)
+    return select.evaluation_set(b.filter("fn IN ('fn_1', 'fn_2', 'fn_nope')"), b.filter("callee = 'recv'"), b.filter("callee = 'system'"), 12)
 
 
 @query("g12_freed_fields", """

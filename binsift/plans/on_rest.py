@@ -211,3 +211,53 @@ def l07(s: Source) -> DataFrame:
     kinds = F.element_at(F.array(*map(F.lit, ("disagrees", "agrees_safe", "agrees_vulnerable", "one_sided_memory", "disagrees"))), (F.col("cand_id") % 5 + 1).cast("int"))
     rows = s.b_candidates.select("cand_id", kinds.alias("kind"), (F.col("conf_pct") / 100).alias("confidence"))
     return services.arbitrated(rows, lambda q: q.filter("cand_id % 5 = 0").select("cand_id", F.lit(True).alias("confirmed"), F.lit(0.9).alias("confidence")).distinct())
+
+
+@query("s11_metadata", "SELECT s_nationkey AS k, max(s_suppkey) AS newest FROM supplier GROUP BY s_nationkey HAVING s_nationkey = (SELECT min(s_nationkey) FROM supplier)")
+def s11(s: Source) -> DataFrame:
+    value = F.to_json(F.struct(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("newest")))
+    rows = s.supplier.select(F.col("s_nationkey").cast("string").alias("key"), value.alias("value"), F.col("s_suppkey").alias("version"))
+    kept = store.put_metadata(rows.filter("version % 2 = 0"), rows.filter("version % 2 = 1"))
+    first = s.supplier.agg(F.min("s_nationkey").cast("string").alias("n")).first().n
+    return store.metadata(kept, first, "k bigint, newest bigint")
+
+
+@query("t09_final_findings", "SELECT cand_id, fn, vuln_type, sink_fn, CAST(row_number() OVER (ORDER BY conf_pct DESC, cand_id, fn, vuln_type, sink_fn) AS BIGINT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY fn, vuln_type, sink_fn ORDER BY conf_pct DESC, cand_id) AS n FROM b_candidates) t WHERE n = 1")
+def t09(s: Source) -> DataFrame:
+    kept = select.keep_max(s.b_candidates, ["fn", "vuln_type", "sink_fn"], "conf_pct", "cand_id")
+    return select.final_findings(kept, "conf_pct", "cand_id", "fn", "vuln_type", "sink_fn").select("cand_id", "fn", "vuln_type", "sink_fn", F.col("place").cast("long").alias("place"))
+
+
+@query("k14_lookups", """
+SELECT DISTINCT callee, callee IN ('malloc', 'calloc', 'realloc') AS allocator, CASE callee WHEN 'recv' THEN 1e0 WHEN 'fread' THEN 1e0 WHEN 'recvmsg' THEN 1e0 WHEN 'fgets' THEN 1e0 WHEN 'scanf' THEN 1e0 WHEN 'getenv' THEN 0.65e0 WHEN 'my_read_buffer' THEN 0.9e0 WHEN 'png_read_row' THEN 0.9e0 ELSE 0e0 END AS confidence
+FROM b_prog WHERE callee IS NOT NULL""")
+def k14(s: Source) -> DataFrame:
+    names = s.b_prog.filter("callee IS NOT NULL").select("callee").distinct()
+    return names.select("callee", sources.is_allocator(F.col("callee")).alias("allocator"), sources.confidence_of(F.col("callee")).alias("confidence"))
+
+
+@query("k14b_calibrated_findings", "SELECT cand_id, fn, sink_fn, round(greatest(0.05e0, least(0.99e0, 0.4 * (conf_pct / 100.0)::DOUBLE + 0.25 * CASE match_kind WHEN 'LIBRARY_MATCH' THEN 1e0 WHEN 'STRUCTURAL_MATCH' THEN 0.7e0 ELSE 0.4e0 END * least(1e0, 5e0 / 8) * 0.8e0 + 0.2 * 0.5e0 + 0.1 * 0.3e0 + 0.05 * 0.5e0)), 6) AS calibrated FROM b_candidates")
+def k14b(s: Source) -> DataFrame:
+    rows = s.b_candidates.select("cand_id", "fn", "sink_fn", "match_kind", (F.col("conf_pct") / 100).alias("llm"), F.lit(5.0).alias("score"), F.lit(0.5).alias("taint"), F.lit("param:VAR_0").alias("source"), F.lit(True).alias("bounded"))
+    return fuse.calibrated_finding(rows, "llm", "match_kind", "score", "taint", "source", "bounded").select("cand_id", "fn", "sink_fn", "calibrated")
+
+
+@query("k21_learned_roles", "SELECT fn, arg_max(analysis_type, (conf_pct, analysis_type)) AS role FROM b_sem GROUP BY fn")
+def k21(s: Source) -> DataFrame:
+    rows = s.b_sem.select("fn", F.col("analysis_type").alias("role"), F.col("conf_pct").alias("confidence"))
+    return store.learned_roles(rows).select(F.explode("roles").alias("fn", "role"))
+
+
+@query("f14_fallback_verdicts", "SELECT cand_id, fn, sink_fn, conf_pct > 50 AS confirmed, round(conf_pct / 100.0::DOUBLE * 0.8e0, 6) AS confidence FROM b_candidates WHERE match_kind = 'NO_MATCH'")
+def f14(s: Source) -> DataFrame:
+    rows = s.b_candidates.filter("match_kind = 'NO_MATCH'").select("cand_id", "fn", "sink_fn", (F.col("conf_pct") > 50).alias("memory_confirmed"), (F.col("conf_pct") / 100).alias("confidence"))
+    return fuse.fallback_verdicts(rows).drop("memory_confirmed")
+
+
+@query("e04_validator_bypass", """
+WITH c AS (SELECT fn, count_if(op = 'STORE') AS st, count_if(op = 'CBRANCH') AS b, count_if(coalesce(contains(lower(callee), 'alloc'), false)) AS al FROM b_ops GROUP BY fn)
+SELECT fn, 'role' || CASE WHEN b < 2 THEN ',few_branches' ELSE '' END || CASE WHEN al > 0 OR st >= 2 THEN ',memory_writes' ELSE '' END AS items FROM c WHERE b < 2 OR al > 0 OR st >= 2""")
+def e04(s: Source) -> DataFrame:
+    o = ops.of_bridge(s.b_ops)
+    counted = ops.risk_counters(o).join(o.groupBy("fn").agg(F.count_if(F.col("op").isin("INT_ADD", "INT_MULT")).alias("arith")), "fn").withColumn("role", F.lit("validator"))
+    return evidence.semantic_risk(counted).filter("vuln_type = 'validator_bypass'").select("fn", F.array_join("items", ",").alias("items"))

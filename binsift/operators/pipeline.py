@@ -9,10 +9,6 @@ from ..functions import dims
 from ..functions.names import contains_any
 from . import evidence, fuse, graph, match, ops, select, sources, taint
 
-# Fixed value: confidence of a slice that ends at a variable nothing sets.
-PARAMETER = 0.55
-
-
 def ranked(functions_ops: DataFrame, edges: DataFrame, rules: DataFrame, prototypes: DataFrame | None = None) -> DataFrame:
     """fn, the eight scores, total, role, category and the total after propagation over the call graph."""
     flat, edges = graph.saved(functions_ops), graph.saved(edges)
@@ -68,19 +64,6 @@ def selected(rows: DataFrame, budget: int, profile: dict[str, float]) -> DataFra
     return select.by_quota(rows, select.adaptive_quotas(profile, int(budget * 0.75)), budget, "final", "fn")
 
 
-def slices(flat: DataFrame, targets: DataFrame, depth: int = 20) -> DataFrame:
-    """Backward slices of target variables (fn, target): fn, target, backward_conf (that of the surest source call it
-    comes from; of a variable that nothing sets, PARAMETER), backward_depth (operations in the slice)."""
-    conf = F.when(F.col("op").isin(*ops.CALLS), sources.base_confidence(sources.source_role(F.col("callee")))).otherwise(0.0)
-    made = flat.filter("out_var IS NOT NULL").groupBy("fn", F.col("out_var").alias("dst")).agg(F.max_by(F.struct(conf.alias("conf"), "args"), "seq").alias("d")).select("fn", "dst", "d.conf", "d.args")
-    made = graph.saved(made)
-    # A source call ends its branch; other calls and operations go on to their inputs.
-    inputs = made.filter("conf = 0").select("fn", "dst", F.explode("args").alias("src")).filter("src IS NOT NULL AND NOT startswith(src, 'const(') AND NOT startswith(src, 'ram(')").distinct()
-    reached = graph.backward_slice(inputs, targets, depth)
-    known = reached.join(made.select("fn", F.col("dst").alias("var"), "conf"), ["fn", "var"], "left")
-    return known.groupBy("fn", "target").agg(F.max(F.coalesce("conf", F.lit(PARAMETER))).alias("backward_conf"), F.count("conf").cast("int").alias("backward_depth"))
-
-
 def semantic(flat: DataFrame, roles: DataFrame | None = None) -> DataFrame:
     """Semantic risk candidates of functions, with their roles where known: fn, vuln_type, items."""
     arith = flat.groupBy("fn").agg(F.count_if(F.col("op").isin("INT_ADD", "INT_MULT")).alias("arith"))
@@ -89,39 +72,32 @@ def semantic(flat: DataFrame, roles: DataFrame | None = None) -> DataFrame:
     return evidence.semantic_risk(known)
 
 
-def evidence_vectors(flat: DataFrame, roles: DataFrame | None = None, reach: DataFrame | None = None, entries: DataFrame | None = None, internal: DataFrame | None = None) -> DataFrame:
+def evidence_vectors(flat: DataFrame, roles: DataFrame | None = None, reach: DataFrame | None = None, entries: DataFrame | None = None) -> DataFrame:
     """What is known of each candidate: the walk with the effects of called functions and what callers taint, its source,
     path, slice, semantic risk, sink, uncertainty and contradictions. One row per candidate, shapes that look alike apart.
 
-    roles (fn, role), reach (fn, reach), entries (fn, entry_addr) are optional, as is internal, the call graph's edges.
+    roles (fn, role), reach (fn, reach) and entries (fn, entry_addr) are optional.
     """
     flat = graph.saved(flat)
-    own = flat.select(F.col("fn").alias("callee")).distinct()
-    edges = taint.calls(flat).join(own, "callee", "left_semi").select(F.col("fn").alias("caller"), "callee") if internal is None else internal
-    effects = taint.summaries(flat, graph.levels(edges), entries)
+    effects = taint.summaries(flat, entries)
     walked = graph.saved(taint.analyze(flat, effects, taint.external_arguments(flat, effects), entries, reach))
-    found = taint.candidates(walked).withColumn("cand_id", F.xxhash64("fn", "seq", "vuln_type", "sink_fn", "taint_source"))
+    by_fn = walked.select("fn", (F.col("unknown_calls") > 0).alias("unknown_call"), F.exists("steps", lambda x: F.contains(x["reason"], F.lit("interproc"))).alias("interproc_confirmed"), F.exists("steps", lambda x: F.contains(F.lower(x["reason"]), F.lit("missing"))).alias("missing_summary"))
     # Source: the seed of the variable, else the surest seed of its path, else the name of its origin, else its confidence.
-    seeded = sources.seeds(flat).select("fn", "var", F.col("callee").alias("seed_fn"), F.col("conf").alias("seed_conf"))
-    state = taint.tainted(walked).select("fn", "var", F.col("confidence").alias("var_conf"), "hops").join(seeded, ["fn", "var"], "left")
-    direct = state.select("fn", F.col("var").alias("taint_var"), "var_conf", "hops", "seed_fn", "seed_conf")
-    on_path = found.select("cand_id", "fn", F.explode("taint_path").alias("var")).join(state, ["fn", "var"]).groupBy("cand_id").agg(
-        F.max_by("seed_fn", "seed_conf").alias("path_fn"), F.max("seed_conf").alias("path_seed"), F.max("var_conf").alias("path_conf")
+    outside = F.col("taint_source").startswith("external:") & ~F.col("taint_source").rlike("^external:(3a_seed|interproc)")
+    named = F.when(outside, F.regexp_replace("taint_source", "^external:(llm_source:)?", ""))
+    found = taint.candidates(walked).withColumns({"cand_id": F.xxhash64("fn", "seq", "vuln_type", "sink_fn", "taint_source"), "named": named, "best": F.greatest("var_conf", "path_conf")})
+    # Each name's role once, not in every row.
+    names = found.select(F.coalesce("seed_fn", "named").alias("name")).filter("name IS NOT NULL").distinct().withColumn("name_role", F.coalesce(sources.source_role(F.col("name")), F.lit("UNKNOWN")))
+    names = graph.saved(names.withColumn("name_conf", sources.base_confidence(F.col("name_role"))))
+    rows = found.join(by_fn, "fn").join(names, F.coalesce("seed_fn", "named") == names["name"], "left")
+    reader = F.col("seed_fn").isNull() & F.col("named").isNotNull() & (F.col("name_role") == "UNKNOWN")  # what tainted it is a source of some kind
+    rows = rows.withColumns(
+        {
+            "source_fn": F.coalesce("seed_fn", "named", "taint_source"),
+            "source_role": F.when(reader, "LIBRARY_READER").otherwise(F.coalesce("name_role", F.when(F.col("best") > 0, sources.role_of_confidence(F.col("best"))), F.lit("UNKNOWN"))),
+            "source_base_conf": F.when(reader, dims.SOURCE_CONFIDENCE["LIBRARY_READER"]).otherwise(F.coalesce("name_conf", "best")),
+        }
     )
-    marks = taint.marks(walked).groupBy("fn", F.col("var").alias("taint_var")).agg(F.bool_or(F.col("mark") == "mult").alias("mult"), F.bool_or(F.col("mark") == "checked").alias("checked"), F.bool_or(F.col("mark") == "freed").alias("freed"))
-    by_fn = walked.select("fn", (F.col("unknown_calls") > 0).alias("unknown_call"), F.exists("steps", lambda x: F.contains(x["reason"], F.lit("interproc"))).alias("interproc_confirmed"), F.exists("steps", lambda x: F.contains(F.lower(x["reason"]), F.lit("missing"))).alias("missing_summary"))
-    rows = found.join(direct, ["fn", "taint_var"], "left").join(on_path, "cand_id", "left").join(marks, ["fn", "taint_var"], "left").join(by_fn, "fn")
-    name = F.regexp_replace("taint_source", "^external:(llm_source:)?", "")
-    named = F.when(F.col("taint_source").startswith("external:") & ~F.col("taint_source").rlike("^external:(3a_seed|interproc)"), name)
-    role_of = sources.source_role
-    by_name = F.when(named.isNotNull(), F.when(F.coalesce(role_of(named), F.lit("UNKNOWN")) == "UNKNOWN", F.lit("LIBRARY_READER")).otherwise(role_of(named)))
-    best = F.greatest(F.coalesce("var_conf", F.lit(0.0)), F.coalesce("path_conf", F.lit(0.0)))
-    source_fn = F.coalesce("seed_fn", "path_fn", named, "taint_source")
-    role = F.coalesce(role_of(F.col("seed_fn")), role_of(F.col("path_fn")), by_name, F.when(best > 0, sources.role_of_confidence(best)), F.lit("UNKNOWN"))
-    rows = rows.withColumns({"source_fn": source_fn, "source_role": role, "source_base_conf": F.coalesce("seed_conf", "path_seed", F.when(by_name.isNotNull(), sources.base_confidence(by_name)), best)})
-    # A backward slice where no variable of the path has a source confidence.
-    sliced = slices(flat, rows.filter((best == 0) & F.col("taint_var").isNotNull()).select("fn", F.col("taint_var").alias("target")).distinct())
-    rows = rows.join(sliced.withColumnRenamed("target", "taint_var"), ["fn", "taint_var"], "left")
     # Semantic risk of the same type, else the strongest of the function.
     risk = semantic(flat, roles)
     same = risk.select("fn", "vuln_type", F.col("items").alias("same_items"))
@@ -134,13 +110,13 @@ def evidence_vectors(flat: DataFrame, roles: DataFrame | None = None, reach: Dat
     if entries is not None:
         rows = rows.join(entries.select("fn", "entry_addr"), "fn", "left")
     no = F.lit(False)
-    checked, mult, unknown = F.col("bounded") | F.coalesce("checked", no), F.coalesce("mult", no), F.col("source_role") == "UNKNOWN"
+    checked, mult, unknown = F.col("bounded") | F.col("checked"), F.col("mult"), F.col("source_role") == "UNKNOWN"
     forward, backward = (F.coalesce("sink_fn", F.lit("")) != "") & (F.col("seq") >= 0), F.coalesce(F.col("backward_conf") > 0, no)
     flags = F.struct(unknown.alias("unknown_source"), "unknown_call", "missing_summary", no.alias("incomplete_cfg"))
     return rows.select(
         "cand_id", "fn", F.col("entry_addr") if entries is not None else F.lit(None).cast("string").alias("entry_addr"), "seq", "vuln_type", "sink_fn", "match_kind", "confidence", "taint_source", "taint_var",
         sources.sink_class(F.coalesce("sink_fn", F.lit(""))).alias("sink_class"), "source_role", "source_fn", "source_base_conf", forward.alias("forward_reached"),
-        F.when(F.coalesce("hops", F.lit(0)) > 0, F.col("hops")).otherwise(F.size("taint_path")).alias("transformation_count"), mult.alias("path_has_mult"), checked.alias("path_checked"), F.coalesce("freed", no).alias("path_freed"), "taint_path",
+        F.when(F.col("hops") > 0, F.col("hops")).otherwise(F.size("taint_path")).alias("transformation_count"), mult.alias("path_has_mult"), checked.alias("path_checked"), F.col("freed").alias("path_freed"), "taint_path",
         backward.alias("backward_reached"), F.when(backward, sources.role_of_confidence(F.col("backward_conf"))).otherwise("").alias("backward_role"), F.coalesce("backward_depth", F.lit(0)).alias("backward_depth"),
         F.coalesce("semantic_role", F.lit("unknown")).alias("semantic_role") if roles is not None else F.lit("unknown").alias("semantic_role"), "semantic_items", F.size("semantic_items").cast("double").alias("semantic_score"),
         F.lit(0.0).alias("behavioral_similarity"), F.lit(0.5).alias("behavioral_prior_tp"), flags.alias("uncertainty"), evidence.is_uncertain(unknown, F.col("unknown_call"), F.col("missing_summary")).alias("uncertain"),

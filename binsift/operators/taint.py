@@ -11,6 +11,7 @@ or a store writes to its address. Candidates of equal sink, type and source are
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dims import NOT_SOURCES, SOURCE_CONFIDENCE, SOURCE_FALLBACKS, SOURCE_ROLES, rule_rows
-from .graph import saved
+from .graph import Grown, saved
 
 # Operations, functions, masks and confidences of the walk.
 ALL_EXTERNAL = frozenset("INT_ADD INT_SUB INT_AND INT_OR INT_XOR INT_LEFT INT_RIGHT INT_SRIGHT".split())
@@ -40,12 +41,13 @@ WRITERS = "_write_ write_ _encode_ encode_ _serialize serialize_ _output_ output
 NARROW = frozenset((0xFF, 0xFFFF, 0xFFFFFF, 0x3FF, 0x7FF))
 TRUNCATE = {0xFF: 8, 0xFFFF: 4, 0xFFFFFF: 4, 0xFFFFFFFF: 8}
 UPPER_BOUND = 0x10
+PARAMETER, SLICE_DEPTH = 0.55, 20
 UAF_FIELD, FREED, DOUBLE_FREE, WRITE, UNKNOWN_CALL, OOB, NARROWED, TRUNCATED, CALLIND_NULL, LOAD_NULL = 0.80, 0.75, 0.80, 0.60, 0.35, 0.50, 0.55, 0.75, 0.65, 0.70
 FROM_CALLER, COPIED = 0.80, 0.9
 #: Operations of a function that is walked at most.
 MOST_OPS = 8000
 
-CANDIDATES = "array<struct<seq:int,vuln_type:string,sink_fn:string,match_kind:string,confidence:double,taint_source:string,taint_var:string,taint_path:array<string>,bounded:boolean>>"
+CANDIDATES = "array<struct<seq:int,vuln_type:string,sink_fn:string,match_kind:string,confidence:double,taint_source:string,taint_var:string,taint_path:array<string>,bounded:boolean,hops:int,var_conf:double,path_conf:double,seed_fn:string,mult:boolean,checked:boolean,freed:boolean,backward_conf:double,backward_depth:int>>"
 SCHEMA = (
     "fn string, tainted array<struct<var:string,source:string,external:boolean,confidence:double,hops:int>>, steps array<struct<step:int,seq:int,op:string,from_var:string,to_var:string,reason:string,is_mem:boolean>>,"
     f" candidates {CANDIDATES}, unknown_calls int, marks array<struct<mark:string,var:string>>"
@@ -143,6 +145,7 @@ class Walk:
     effects: dict[str, list[tuple[int, str]]] = field(default_factory=dict)
     targets: dict[int, str] = field(default_factory=dict)
     silent: bool = False
+    seeds: dict[str, tuple[float, str]] = field(default_factory=dict)  # confidence and source call of variables
     vars: dict[str, Var] = field(default_factory=dict)
     freed_fields: set[tuple[str, int]] = field(default_factory=set)
     steps: list[dict] = field(default_factory=list)
@@ -459,13 +462,13 @@ def walk(fn: str, rows: list[dict], rules: dict[str, Rule], effects: dict | None
         for a, s in zip(o["args"], o["sizes"]):
             if a and a not in made and s in (2, 4, 8) and not a.startswith(("const(", "ram(")):
                 w.taint(a, f"param:{a}")
-    seeds: dict[str, float] = {}
     for o in rows:
         if o["op"] in CALLS and (c := source_confidence(o["callee"] or "")):
             wide = [a for a, s in zip(o["args"], o["sizes"]) if s == 8 and a and not a.startswith(("const(", "ram("))]
             for a in [o["out"], *wide] if o["out"] else wide:
-                seeds[a] = max(c, seeds.get(a, 0.0))
-    for a, c in seeds.items():
+                if c > w.seeds.get(a, (0.0, ""))[0]:
+                    w.seeds[a] = c, o["callee"]
+    for a, (c, _) in w.seeds.items():
         w.taint(a, f"external:3a_seed_{a}", None, c)
     params = parameters(rows)
     for i in sorted(external_args or []):
@@ -493,9 +496,46 @@ def walk(fn: str, rows: list[dict], rules: dict[str, Rule], effects: dict | None
             before = None
         if before is not None:
             w.found = before
+    _evidence(w, rows)
     return w
 
 
+def backward(rows: list[dict], var: str, depth: int = SLICE_DEPTH) -> tuple[float, int]:
+    """Confidence of the surest source that a variable comes from (PARAMETER for one that nothing sets), and the number of
+    operations on the way back: breadth first over the last definitions, source calls end a branch."""
+    made = {o["out"]: o for o in rows if o["out"]}
+    conf, n, seen, queue = 0.0, 0, {var}, deque([(var, 0)])
+    while queue:
+        name, far = queue.popleft()
+        o = made.get(name)
+        if o is None:
+            conf = max(conf, PARAMETER)
+        elif far < depth:
+            n += 1
+            c = source_confidence(o["callee"] or "") if o["op"] in CALLS else 0.0
+            conf = max(conf, c)
+            for a in o["args"] if c == 0 else ():
+                if a and a not in seen and not a.startswith(("const(", "ram(")):
+                    seen.add(a)
+                    queue.append((a, far + 1))
+    return conf, n
+
+
+def _evidence(w: Walk, rows: list[dict]) -> None:
+    """What the walk knows at its end of each candidate's variable and path; a backward slice where no variable of the path
+    has a source confidence."""
+    sliced: dict[str, tuple[float, int]] = {}
+    for c in w.found.values():
+        var, path = c["taint_var"], c["taint_path"]
+        v = w.known(var)
+        path_conf = max((w.known(p).confidence for p in path), default=0.0)
+        seed = w.seeds.get(var) or max((w.seeds[p] for p in path if p in w.seeds), key=lambda x: x[0], default=None)
+        back = (None, None)
+        if var and v.confidence == 0 and path_conf == 0:
+            back = sliced[var] = sliced.get(var) or backward(rows, var)
+        c.update(hops=v.hops or 0, var_conf=v.confidence, path_conf=path_conf, seed_fn=seed and seed[1], mult=v.mult, checked=v.checked, freed=v.freed, backward_conf=back[0], backward_depth=back[1])
+
+
 # -- what functions do with their parameters ---------------------------------------------------------------------------
 
 
@@ -694,15 +734,19 @@ def _arrow() -> pa.Schema:
             ("fn", s),
             ("tainted", pa.list_(pa.struct([("var", s), ("source", s), ("external", t), ("confidence", f), ("hops", i)]))),
             ("steps", pa.list_(pa.struct([("step", i), ("seq", i), ("op", s), ("from_var", s), ("to_var", s), ("reason", s), ("is_mem", t)]))),
-            ("candidates", pa.list_(pa.struct([("seq", i), ("vuln_type", s), ("sink_fn", s), ("match_kind", s), ("confidence", f), ("taint_source", s), ("taint_var", s), ("taint_path", pa.list_(s)), ("bounded", t)]))),
+            ("candidates", pa.list_(pa.struct([("seq", i), ("vuln_type", s), ("sink_fn", s), ("match_kind", s), ("confidence", f), ("taint_source", s), ("taint_var", s), ("taint_path", pa.list_(s)), ("bounded", t), ("hops", i), ("var_conf", f), ("path_conf", f), ("seed_fn", s), ("mult", t), ("checked", t), ("freed", t), ("backward_conf", f), ("backward_depth", i)]))),
             ("unknown_calls", i),
             ("marks", pa.list_(pa.struct([("mark", s), ("var", s)]))),
         ]
     )
 
 
+#: What a candidate is; the rest of its columns is what is known of it.
+CANDIDATE = ["fn", "seq", "vuln_type", "sink_fn", "match_kind", "confidence", "taint_source", "taint_var"]
+
+
 def candidates(walked: DataFrame) -> DataFrame:
-    """One row per candidate."""
+    """One row per candidate: CANDIDATE and its evidence."""
     return walked.select("fn", F.explode("candidates").alias("c")).select("fn", "c.*")
 
 
@@ -719,16 +763,17 @@ def marks(walked: DataFrame) -> DataFrame:
     return walked.select("fn", F.explode("marks").alias("m")).select("fn", "m.*")
 
 
-def summaries(ops: DataFrame, levels: DataFrame, entries: DataFrame | None = None) -> DataFrame:
-    """Effects of each function's parameters, callees before callers: EFFECTS, a written table.
+def summaries(ops: DataFrame, entries: DataFrame | None = None, chained: bool = True) -> DataFrame:
+    """Effects of each function's parameters, callees before callers: EFFECTS.
 
-    Levels come from graph.levels; a function is done when its callees are, members of cycles and their callers last,
-    with what is known by then. A round is one distributed job that joins the functions of a level with the effects of
-    those they call, so neither rows nor effects pass through the driver.
+    A round is one distributed job over the functions whose callees in the program are done; members of cycles and their
+    callers come last, with what is known by then. Functions are joined with the effects of those they call, so neither
+    operations nor effects pass through the driver. Not chained, each function is taken alone.
     """
     ops = saved(ops)
     edges, taken = saved(calls(ops)), None if entries is None else saved(pointers(ops, entries))
-    functions = saved(packed(ops).join(levels.withColumnRenamed("node", "fn"), "fn", "left"))
+    functions = saved(packed(ops))
+    inside = edges.join(functions.select(F.col("fn").alias("callee")), "callee", "left_semi").select("fn", "callee")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = catalog()
@@ -736,16 +781,27 @@ def summaries(ops: DataFrame, levels: DataFrame, entries: DataFrame | None = Non
         for b in batches:
             out = []
             for fn, rows, known, targets in _rows(b, "fn", "ops", "known", "targets"):
+                out.append({"fn": fn, "arg": None, "effect": None})  # done
                 out += [{"fn": fn, "arg": i, "effect": e} for i, e in summary(rows, rules, _known(known), {t["address"]: t["callee"] for t in targets or []})]
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    deepest = functions.agg(F.max("level").alias("n")).first().n
-    done = ops.sparkSession.createDataFrame([], EFFECTS)
-    # Functions without a level: those that call nothing of the program go first, members of cycles and their callers last.
-    for level in [*range(-1 if deepest is None else deepest + 1), None]:
-        here = functions.filter(F.col("level").isNull() if level is None else F.col("level") == level).drop("level")
-        done = done.unionByName(saved(with_knowledge(here, edges, done, taken).select("fn", "ops", "known", "targets").mapInArrow(run, EFFECTS)))
-    return done
+    done = Grown(ops.sparkSession.createDataFrame([], EFFECTS))
+    more = True
+    while more:
+        finished = done.all().filter("arg IS NULL").select("fn")
+        left = functions.join(finished, "fn", "left_anti")
+        if chained:
+            waiting = inside.join(finished.withColumnRenamed("fn", "callee"), "callee", "left_anti").select("fn").distinct()
+            here = left.join(waiting, "fn", "left_anti")
+        else:
+            here = left
+        part = saved(with_knowledge(here, edges, done.all().filter("arg IS NOT NULL"), taken).select("fn", "ops", "known", "targets").mapInArrow(run, EFFECTS))
+        more = chained and part.limit(1).count() > 0
+        done.add(part)
+    if chained:  # cycles and their callers
+        left = functions.join(done.all().filter("arg IS NULL").select("fn"), "fn", "left_anti")
+        done.add(saved(with_knowledge(left, edges, done.all().filter("arg IS NOT NULL"), taken).select("fn", "ops", "known", "targets").mapInArrow(run, EFFECTS)))
+    return done.all().filter("arg IS NOT NULL")
 
 
 def external_arguments(ops: DataFrame, effects: DataFrame | None = None, rounds: int = 10) -> DataFrame:

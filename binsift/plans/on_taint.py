@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims
-from ..operators import graph, ops, pipeline, report, taint
+from ..operators import ops, pipeline, report, taint
 from . import taint_sql
 from .base import Source, query
 
@@ -20,15 +20,9 @@ def _walked(s: Source) -> DataFrame:
     return taint.analyze(ops.of_programs(s.b_prog))
 
 
-def _levels(flat: DataFrame) -> DataFrame:
-    """Levels of the functions of a program by the calls among them."""
-    own = flat.select(F.col("fn").alias("callee")).distinct()
-    return graph.levels(taint.calls(flat).join(own, "callee", "left_semi").select(F.col("fn").alias("caller"), "callee"))
-
-
 @query("x26_forward_taint", taint_sql.CANDIDATES)
 def x26(s: Source) -> DataFrame:
-    return taint.candidates(_walked(s)).drop("taint_path", "bounded")
+    return taint.candidates(_walked(s)).select(*taint.CANDIDATE)
 
 
 @query("x04_flow_steps", taint_sql.STEPS)
@@ -54,14 +48,13 @@ def x13(s: Source) -> DataFrame:
 @query("g11_function_summaries")
 def g11(s: Source) -> DataFrame:
     flat = ops.of_programs(s.b_prog)
-    return taint.summaries(flat, _levels(flat)).select("fn", F.col("arg").alias("arg_idx"), "effect")
+    return taint.summaries(flat).select("fn", F.col("arg").alias("arg_idx"), "effect")
 
 
 @query("g11b_own_summaries", taint_sql.OWN_EFFECTS)
 def g11b(s: Source) -> DataFrame:
     flat = ops.of_programs(s.b_prog)
-    alone = flat.select(F.col("fn").alias("node")).distinct().withColumn("level", F.lit(0))
-    return taint.summaries(flat, alone).filter("effect NOT LIKE 'field:%'")
+    return taint.summaries(flat, chained=False).filter("effect NOT LIKE 'field:%'")
 
 
 @query("g14_external_arguments", taint_sql.ENTERED)
@@ -72,14 +65,14 @@ def g14(s: Source) -> DataFrame:
 @query("x03_taint_from_callers", taint_sql.FROM_CALLERS)
 def x03(s: Source) -> DataFrame:
     flat = ops.of_programs(s.b_prog)
-    return taint.candidates(taint.analyze(flat, external=taint.external_arguments(flat))).drop("taint_path", "bounded")
+    return taint.candidates(taint.analyze(flat, external=taint.external_arguments(flat))).select(*taint.CANDIDATE)
 
 
 @query("x11_taint_through_calls")
 def x11(s: Source) -> DataFrame:
     flat = ops.of_programs(s.b_prog)
-    effects = taint.summaries(flat, _levels(flat))
-    return taint.candidates(taint.analyze(flat, effects, taint.external_arguments(flat, effects))).drop("taint_path", "bounded")
+    effects = taint.summaries(flat)
+    return taint.candidates(taint.analyze(flat, effects, taint.external_arguments(flat, effects))).select(*taint.CANDIDATE)
 
 
 @query("r11_ranked_functions")

@@ -312,10 +312,8 @@ def plain_summaries(rows):
 
 def test_summaries_against_a_loop(spark, small):
     flat, rows = programs(spark, small)
-    own = flat.select(F.col("fn").alias("callee")).distinct()
-    edges = taint.calls(flat).join(own, "callee", "left_semi").select(F.col("fn").alias("caller"), "callee")
     got: dict = {}
-    for r in taint.summaries(flat, graph.levels(edges)).collect():
+    for r in taint.summaries(flat).collect():
         if not r.effect.startswith("field"):
             got.setdefault(r.fn, set()).add((r.arg, r.effect))
     wanted = {f: set(e) for f, e in plain_summaries(rows).items()}
@@ -366,3 +364,20 @@ def test_functions_above_the_size_filter_are_left_out(spark, monkeypatch):
     monkeypatch.setattr(taint, "MOST_OPS", 3)
     rows = [("big", i, "COPY", None, f"V{i + 1}", [f"V{i}"], [8]) for i in range(4)] + [("small", 0, "COPY", None, "V1", ["V0"], [8])]
     assert [r.fn for r in taint.analyze(spark.createDataFrame(rows, OPS)).collect()] == ["small"]
+
+
+def test_backward_slices():
+    rows = program(("CALL", "Va", ("V0",), {"callee": "getenv"}), ("COPY", "Vb", ("Va",)), ("INT_ADD", "Vc", ("Vb", "V9")), ("CALL", "Vd", ("Vc",), {"callee": "helper"}), ("COPY", "Ve", ("const(0x1)",)))
+    assert taint.backward(rows, "Vb") == (0.65, 2) and taint.backward(rows, "Vd") == (0.65, 4) and taint.backward(rows, "Ve") == (0.0, 1)
+    assert taint.backward(rows, "V9") == (0.55, 0) and taint.backward(rows, "Vd", 1) == (0.0, 1)
+    chain_ = program(*[("COPY", f"V{k + 1}", (f"V{k}",)) for k in range(30)])
+    assert taint.backward(chain_, "V30") == (0.0, 20)  # beyond the depth nothing is known
+
+
+def test_evidence_of_candidates():
+    w = taint.walk("f", program(*EXT, ("INT_MULT", "Vn", ("Vc", "const(0x8)")), ("CALL", "Vp", ("Vn",), {"callee": "malloc"})), RULES)
+    c = next(iter(w.found.values()))
+    assert (c["hops"], c["var_conf"], c["seed_fn"], c["mult"], c["checked"], c["backward_conf"]) == (1, 1.0, None, True, False, None)
+    w = taint.walk("f", program(("CALL", None, ("VAR_0", "VAR_1"), {"callee": "png_safe_execute"})), RULES)
+    c = next(iter(w.found.values()))
+    assert c["var_conf"] == 0 and c["backward_conf"] == 0.55 and c["backward_depth"] == 0

@@ -205,14 +205,14 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, carry: lis
 
 
 def train(docs: DataFrame, where: Column | None = None, rows_per_lang: int = ROWS_PER_LANG, max_chars: int = MAX_CHARS) -> Model:
-    """Fit on about rows_per_lang rows of each language, drawn by a hash of the id, of the rows that `where` holds for.
+    """Fit on about rows_per_lang rows of each language, drawn by a hash of id and text, of the rows that `where` holds for.
 
     Every language is learned. Rows of at most max_chars characters are drawn; of a language that has a letter in none of
     those, the longer rows, of which the stretch of max_chars characters from the first letter on teaches. The rows of the
-    least hash are drawn in any case.
+    least hash are drawn in any case. Rows that repeat id, text and language count once.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if where is None else where))
-    draw, long = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)), F.length("text") > max_chars
+    draw, long = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)), F.length("text") > max_chars
     lettered = known.filter(F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang", draw.alias("_draw"), long.alias("_long"))
     of = lettered.groupBy("lang", "_long").agg(F.count("*").alias("n"), F.min("_draw").alias("least")).collect()
     if not of:
@@ -222,7 +222,8 @@ def train(docs: DataFrame, where: Column | None = None, rows_per_lang: int = ROW
     bounds = docs.sparkSession.createDataFrame(plan, "lang string, _long boolean, _bound long")
     taken = lettered.join(F.broadcast(bounds), ["lang", "_long"]).filter("_draw < _bound")
     stretch = F.when(F.col("_long"), F.substr(F.regexp_replace("text", r"^\P{L}+", ""), F.lit(1), F.lit(max_chars))).otherwise(F.col("text"))
-    # Repeated ids could exceed the share; the limit keeps the stated bound for each language.
+    taken = taken.dropDuplicates(["lang", "doc_id", "text"])  # however many rows one text has, one of each task goes on
+    # The share is a mean; the limit keeps the stated bound for each language.
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "doc_id", F.xxhash64("text")))
     got = taken.select("doc_id", stretch.alias("text"), "lang", "_draw").withColumn("_nth", nth).filter(F.col("_nth") <= 2 * rows_per_lang).select("doc_id", "text", "lang").collect()
     return fit([(r.text, r.lang) for r in sorted(got, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang, r.text))])

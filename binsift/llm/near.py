@@ -7,7 +7,8 @@ Classes that share a band bucket are compared on their full n-gram sets, in grou
 * Classes that hang together by buckets form a cluster; a cluster of at most `block` classes is one group.
 * A larger cluster is compared bucket by bucket (buckets of the same classes once), each pair in the first band it shares,
   or as a whole, whichever copies fewer rows: chains of unlike texts by buckets, dense families as a whole.
-* Groups of more than `block` classes are dealt as pairs of blocks, so no task holds more than two blocks.
+* Groups of more than `block` classes, or BLOCK_GRAMS n-grams, are dealt as pairs of blocks, so no task holds more than two
+  blocks (a block is one class at least).
 
 No pair of classes that shares a bucket is left out in any of these ways, and no pair is ever written: a block gives each
 class its number of links and the least member it is connected to.
@@ -35,8 +36,10 @@ from .graph import components
 
 #: Words of an n-gram, least Jaccard similarity of a link, wanted chance to find a pair at exactly that similarity.
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.997
-#: Hash functions at most, and classes of a block.
-HASHES, BLOCK = 192, 512
+#: Hash functions at most, classes of a block, and n-grams of a block.
+HASHES, BLOCK, BLOCK_GRAMS = 192, 512, 1 << 20
+#: N-grams of a block that are compared at a time.
+PASS_GRAMS = 1 << 18
 #: Cells of the 0/1 matrix that a block multiplies at a time.
 CELLS = 1 << 21
 SIGNED = "doc_id long, tkey long, hi long, lo long, n_grams int, bands array<long>"
@@ -104,23 +107,27 @@ def signed(docs: DataFrame, words: int = WORDS, plan: tuple[int, int] | None = N
 
 
 def linked(n: np.ndarray, parts: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Symmetric matrix of the pairs of sets whose Jaccard similarity reaches the threshold, without the diagonal."""
-    flat = np.concatenate(parts)
-    owner = np.repeat(np.arange(len(parts)), n)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    first = np.concatenate(([True], flat[1:] != flat[:-1]))
-    column = np.cumsum(first) - 1
-    many = np.bincount(column) > 1
-    keep = many[column]
-    owner, column = owner[keep], np.cumsum(many)[column[keep]] - 1
+    """Symmetric matrix of the pairs of sorted sets whose Jaccard similarity reaches the threshold, without the diagonal."""
     both = np.zeros((len(parts), len(parts)), dtype=np.float32)
-    width = max(1, CELLS // len(parts))
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, z = np.searchsorted(column, [lo, lo + width])
-        m = np.zeros((len(parts), width), dtype=np.float32)
-        m[owner[a:z], column[a:z] - lo] = 1
-        both += m @ m.T
+    # N-grams are counted by ranges of their hashes, so that arrays stay small however long the texts are.
+    passes = int(n.sum()) // PASS_GRAMS + 1
+    cuts = np.array([min((k << 64) // passes, (1 << 64) - 1) for k in range(1, passes)], dtype=np.uint64)
+    at = np.array([[0, *np.searchsorted(p, cuts), len(p)] for p in parts])
+    for k in range(passes):
+        flat = np.concatenate([p[x:y] for p, x, y in zip(parts, at[:, k], at[:, k + 1])])
+        owner = np.repeat(np.arange(len(parts), dtype=np.int32), at[:, k + 1] - at[:, k])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        column = np.cumsum(np.concatenate(([True], flat[1:] != flat[:-1]))[: len(flat)], dtype=np.int32) - 1
+        many = np.bincount(column) > 1
+        keep = many[column]
+        owner, column = owner[keep], (np.cumsum(many, dtype=np.int32) - 1)[column[keep]]
+        width = max(1, CELLS // len(parts))
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            a, z = np.searchsorted(column, [lo, lo + width])
+            m = np.zeros((len(parts), width), dtype=np.float32)
+            m[owner[a:z], column[a:z] - lo] = 1
+            both += m @ m.T
     size = n.astype(np.float32)
     found = np.empty(both.shape, dtype=bool)
     for lo in range(0, len(parts), 256):  # counts of grams are whole numbers that float32 holds
@@ -209,12 +216,12 @@ def with_grams(rows: DataFrame, words: int = WORDS) -> DataFrame:
 
 def _groups(dealt: DataFrame, buckets: DataFrame, clusters: DataFrame, block: int) -> DataFrame:
     """grp, blocks, node, band, kept: every class in each group it is compared in. Ids only; no texts."""
-    size = F.ceil(F.col("n") / F.lit(block))
-    whole = clusters.groupBy("comp").agg(F.count("*").alias("n")).withColumn("blocks", size.cast("int"))
+    size = F.greatest(F.ceil(F.col("n") / F.lit(block)), F.least(F.col("n"), F.ceil(F.col("grams") / F.lit(BLOCK_GRAMS))))
+    whole = clusters.groupBy("comp").agg(F.count("*").alias("n"), F.sum("n_grams").alias("grams")).withColumn("blocks", size.cast("int"))
     # Buckets of large clusters, those of the same classes once, and what comparing by them copies.
-    large = clusters.join(whole.filter("blocks > 1").select("comp"), "comp")
-    once = buckets.groupBy("n", "sum", "hub").agg(F.min(F.struct("band", "hash")).alias("b")).select("b.band", "b.hash", "n")
-    inside = saved(dealt.join(once, ["band", "hash"]).join(large, "node").select("comp", "node", "band", "hash", "n"))
+    large = clusters.join(whole.filter("blocks > 1").select("comp"), "comp").select("comp", "node")
+    once = buckets.groupBy("n", "sum", "hub").agg(F.min(F.struct("band", "hash")).alias("b"), F.first("grams").alias("grams")).select("b.band", "b.hash", "n", "grams")
+    inside = saved(dealt.join(once, ["band", "hash"]).join(large, "node").select("comp", "node", "band", "hash", once["n"], once["grams"]))
     cheaper = whole.join(inside.groupBy("comp").agg(F.sum(size).alias("rows")), "comp").filter("rows < n * blocks").select("comp")
     by_bucket = inside.join(cheaper, "comp")
     kept = by_bucket.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("band", "hash"))).alias("of"))
@@ -222,7 +229,7 @@ def _groups(dealt: DataFrame, buckets: DataFrame, clusters: DataFrame, block: in
     listed = kept.select("node", F.expr(f"transform(sequence(0, {last}), x -> coalesce(of[x], 0))").alias("kept"))
     grp = lambda *c: F.struct(*(x.cast("long").alias(n) for n, x in zip(("a", "b", "c"), c)))
     buckets_of = by_bucket.join(listed, "node").select(grp(F.col("band"), F.col("hash"), F.lit(1)).alias("grp"), size.cast("int").alias("blocks"), "node", "band", "kept")
-    clusters_of = clusters.join(whole, "comp").join(cheaper, "comp", "left_anti")
+    clusters_of = clusters.select("comp", "node").join(whole, "comp").join(cheaper, "comp", "left_anti")
     return clusters_of.select(grp(F.col("comp.hi"), F.col("comp.lo"), F.lit(0)).alias("grp"), "blocks", "node", F.lit(None).cast("int").alias("band"), F.lit(None).cast("array<bigint>").alias("kept")).unionByName(buckets_of)
 
 
@@ -238,12 +245,12 @@ def _joined(docs: DataFrame, words: int, threshold: float, recall: float, block:
     sets = saved(signed(own, words, band_plan(threshold, recall)))
     full = sets.filter("n_grams > 0")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")
-    classes = saved(full.groupBy("hi", "lo").agg(F.min(row).alias("of"), F.count("*").alias("copies"), F.first("bands").alias("bands")).select(F.struct("hi", "lo").alias("node"), "of", "copies", "bands"))
-    dealt = classes.select("node", F.posexplode("bands").alias("band", "hash"))
-    met = dealt.groupBy("band", "hash").agg(F.min("node").alias("hub"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"))
+    classes = saved(full.groupBy("hi", "lo").agg(F.min(row).alias("of"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")).select(F.struct("hi", "lo").alias("node"), "of", "copies", "n_grams", "bands"))
+    dealt = classes.select("node", "n_grams", F.posexplode("bands").alias("band", "hash"))
+    met = dealt.groupBy("band", "hash").agg(F.min("node").alias("hub"), F.count("*").alias("n"), F.sum("n_grams").alias("grams"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"))
     buckets = saved(met.filter("n > 1"))
     edges = dealt.join(buckets, ["band", "hash"]).select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    clusters = components(edges)
+    clusters = components(edges).join(classes.select("node", "n_grams"), "node")
     groups = _groups(dealt, buckets, clusters, block)
     placed = groups.join(classes.select("node", "of", "copies"), "node").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met_text = placed.join(own, placed["of.doc_id"].eqNullSafe(own["doc_id"]) & (placed["of.tkey"] == own["tkey"]))

@@ -60,6 +60,20 @@ def test_against_brute_force(docs):
         assert got == wanted
 
 
+def test_long_sets_are_counted_by_ranges(docs, monkeypatch):
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2)
+    parts = [np.unique(np.concatenate((draw.choice(base, draw.integers(2400, 2900), replace=False), draw.integers(0, 1 << 63, 20, dtype=np.uint64)))) for _ in range(12)]
+    n = np.array([len(x) for x in parts])
+    wanted = [[i != j and len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) for j, y in enumerate(parts)] for i, x in enumerate(parts)]
+    for size in (near.PASS_GRAMS, 1000):
+        monkeypatch.setattr(near, "PASS_GRAMS", size)
+        assert near.linked(n, parts, 0.8).tolist() == wanted
+    monkeypatch.setattr(near, "BLOCK_GRAMS", 500)  # groups are dealt by their n-grams too
+    rows = list(enumerate(family(random.Random(4), 30, 3)))
+    assert {r.doc_id: (r.n_links, r.group_id) for r in near.join(docs(rows)).collect()} == brute(rows)
+
+
 def test_equal_texts_are_one_class(docs):
     got = {r.doc_id: r for r in near.join(docs([(3, "a b c d e f"), (9, "A b, c d e f"), (11, "x")])).collect()}
     assert got[9].class_id == 3 and got[9].n_links == 1 and got[11].n_links == 0

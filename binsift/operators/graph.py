@@ -36,15 +36,15 @@ def _shared(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df without its lineage: written once to the shared folder and read back. The shuffle files of the query that made
-    it go when it is written."""
+def saved(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df without its lineage: written once to the shared folder, in a folder for each value of a column if named, and read
+    back. The shuffle files of the query that made it go when it is written."""
     spark = df.sparkSession
     path = f"{_shared(spark)}/binsift-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)
@@ -180,21 +180,49 @@ def propagate_scores(scores: DataFrame, edges: DataFrame, rounds: int = 2, down:
     return now.select("node", "score")
 
 
-def levels(edges: DataFrame) -> DataFrame:
-    """node, level: callees before callers (0 for nodes that call nothing), null for members of cycles and their callers."""
-    edges = saved(edges)
+def levels(edges: DataFrame, small: int = 100_000) -> DataFrame:
+    """node, level: callees before callers (0 for nodes that call nothing), null for members of cycles and their callers.
+
+    Levels are peeled in rounds, each a join of what is left with what is done. Graphs of at most `small` edges, counted
+    first, are peeled on the driver instead, with the same result.
+    """
+    edges = saved(edges.select("caller", "callee").distinct())
+    some = edges.limit(small + 1).collect()
+    if len(some) <= small:
+        return edges.sparkSession.createDataFrame(list(_peeled({(r.caller, r.callee) for r in some}).items()), "node string, level int")
     every = saved(nodes(edges))
     done = Grown(saved(every.join(edges.select(F.col("caller").alias("node")), "node", "left_anti").withColumn("level", F.lit(0))))
-    own = edges.filter("caller != callee").distinct()
-    need = saved(edges.distinct().groupBy("caller").agg(F.count("*").alias("need")))
+    left = edges
     for k in count(1):
-        have = own.join(done.all().select(F.col("node").alias("callee")), "callee").groupBy("caller").agg(F.count("*").alias("have"))
-        new = need.join(have, "caller").filter("need = have").select(F.col("caller").alias("node")).join(done.all(), "node", "left_anti").withColumn("level", F.lit(k))
-        new = saved(new)
+        left = saved(left.join(done.parts[-1].select(F.col("node").alias("callee")), "callee", "left_anti"))
+        waits = left.select(F.col("caller").alias("node")).distinct()
+        new = saved(every.join(waits, "node", "left_anti").join(done.all(), "node", "left_anti").withColumn("level", F.lit(k)))
         if new.limit(1).count() == 0:
-            break
+            return every.join(done.all(), "node", "left")
         done.add(new)
-    return every.join(done.all(), "node", "left")
+
+
+def _peeled(edges: set[tuple[str, str]]) -> dict[str, int | None]:
+    """Level of each node, callees first."""
+    callers: dict[str, list[str]] = {}
+    need: dict[str, int] = {}
+    for caller, callee in edges:
+        callers.setdefault(callee, []).append(caller)
+        need[caller] = need.get(caller, 0) + 1
+        need.setdefault(callee, 0)
+    out: dict[str, int | None] = dict.fromkeys(need)
+    front, k = [n for n, c in need.items() if c == 0], 0
+    while front:
+        for n in front:
+            out[n] = k
+        nxt = []
+        for n in front:
+            for c in callers.get(n, ()):
+                need[c] -= 1
+                if need[c] == 0:
+                    nxt.append(c)
+        front, k = nxt, k + 1
+    return out
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, scores: DataFrame, least_callee: float, hops: int, most: int) -> DataFrame:

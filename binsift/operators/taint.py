@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dims import NOT_SOURCES, SOURCE_CONFIDENCE, SOURCE_FALLBACKS, SOURCE_ROLES, rule_rows
-from .graph import Grown, saved
+from .graph import Grown, levels, saved
 
 # Operations, functions, masks and confidences of the walk.
 ALL_EXTERNAL = frozenset("INT_ADD INT_SUB INT_AND INT_OR INT_XOR INT_LEFT INT_RIGHT INT_SRIGHT".split())
@@ -46,6 +46,8 @@ UAF_FIELD, FREED, DOUBLE_FREE, WRITE, UNKNOWN_CALL, OOB, NARROWED, TRUNCATED, CA
 FROM_CALLER, COPIED = 0.80, 0.9
 #: Operations of a function that is walked at most.
 MOST_OPS = 8000
+#: Level of members of cycles and their callers.
+LAST = (1 << 31) - 1
 
 CANDIDATES = "array<struct<seq:int,vuln_type:string,sink_fn:string,match_kind:string,confidence:double,taint_source:string,taint_var:string,taint_path:array<string>,bounded:boolean,hops:int,var_conf:double,path_conf:double,seed_fn:string,mult:boolean,checked:boolean,freed:boolean,backward_conf:double,backward_depth:int>>"
 SCHEMA = (
@@ -766,14 +768,23 @@ def marks(walked: DataFrame) -> DataFrame:
 def summaries(ops: DataFrame, entries: DataFrame | None = None, chained: bool = True) -> DataFrame:
     """Effects of each function's parameters, callees before callers: EFFECTS.
 
-    A round is one distributed job over the functions whose callees in the program are done; members of cycles and their
-    callers come last, with what is known by then. Functions are joined with the effects of those they call, so neither
-    operations nor effects pass through the driver. Not chained, each function is taken alone.
+    Functions are written by level (graph.levels over the calls among them). A round is one distributed job that reads its
+    level and joins it with the effects of the functions it calls, so operations are read once and neither they nor effects
+    pass through the driver; members of cycles and their callers come last, with what is known by then. Not chained, each
+    function is taken alone.
     """
     ops = saved(ops)
     edges, taken = saved(calls(ops)), None if entries is None else saved(pointers(ops, entries))
-    functions = saved(packed(ops))
-    inside = edges.join(functions.select(F.col("fn").alias("callee")), "callee", "left_semi").select("fn", "callee")
+    functions = packed(ops)
+    level = F.lit(0)
+    if chained:
+        inside = edges.join(ops.select(F.col("fn").alias("callee")).distinct(), "callee", "left_semi").select(F.col("fn").alias("caller"), "callee")
+        placed = levels(inside)
+        # Functions that call none of the program and that none calls have no edge.
+        alone = ops.select("fn").distinct().join(placed.select(F.col("node").alias("fn")), "fn", "left_anti").withColumn("level", F.lit(0))
+        functions = functions.join(placed.withColumnRenamed("node", "fn").unionByName(alone), "fn")
+        level = F.coalesce("level", F.lit(LAST))
+    functions = saved(functions.withColumn("level", level), by="level")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = catalog()
@@ -781,27 +792,14 @@ def summaries(ops: DataFrame, entries: DataFrame | None = None, chained: bool =
         for b in batches:
             out = []
             for fn, rows, known, targets in _rows(b, "fn", "ops", "known", "targets"):
-                out.append({"fn": fn, "arg": None, "effect": None})  # done
                 out += [{"fn": fn, "arg": i, "effect": e} for i, e in summary(rows, rules, _known(known), {t["address"]: t["callee"] for t in targets or []})]
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     done = Grown(ops.sparkSession.createDataFrame([], EFFECTS))
-    more = True
-    while more:
-        finished = done.all().filter("arg IS NULL").select("fn")
-        left = functions.join(finished, "fn", "left_anti")
-        if chained:
-            waiting = inside.join(finished.withColumnRenamed("fn", "callee"), "callee", "left_anti").select("fn").distinct()
-            here = left.join(waiting, "fn", "left_anti")
-        else:
-            here = left
-        part = saved(with_knowledge(here, edges, done.all().filter("arg IS NOT NULL"), taken).select("fn", "ops", "known", "targets").mapInArrow(run, EFFECTS))
-        more = chained and part.limit(1).count() > 0
-        done.add(part)
-    if chained:  # cycles and their callers
-        left = functions.join(done.all().filter("arg IS NULL").select("fn"), "fn", "left_anti")
-        done.add(saved(with_knowledge(left, edges, done.all().filter("arg IS NOT NULL"), taken).select("fn", "ops", "known", "targets").mapInArrow(run, EFFECTS)))
-    return done.all().filter("arg IS NOT NULL")
+    for k in sorted(r.level for r in functions.select("level").distinct().collect()):
+        here = with_knowledge(functions.filter(F.col("level") == k).drop("level"), edges, done.all(), taken)
+        done.add(saved(here.select("fn", "ops", "known", "targets").mapInArrow(run, EFFECTS)))
+    return done.all()
 
 
 def external_arguments(ops: DataFrame, effects: DataFrame | None = None, rounds: int = 10) -> DataFrame:

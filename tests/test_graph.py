@@ -43,8 +43,17 @@ def test_an_alias_of_a_lesser_position_goes_on(spark, one_task):
 
 
 def test_levels_beyond_twenty(spark, one_task):
-    got = graph.levels(chain(spark, 23).selectExpr("src AS caller", "dst AS callee"))
-    assert {r.node: r.level for r in got.collect()} == {f"v{k}": 23 - k for k in range(24)}
+    edges = chain(spark, 23).selectExpr("src AS caller", "dst AS callee")
+    for small in (100_000, 5):
+        assert {r.node: r.level for r in graph.levels(edges, small).collect()} == {f"v{k}": 23 - k for k in range(24)}
+
+
+def test_levels_of_cycles_and_repeated_edges(spark, one_task):
+    rows = [("a", "b"), ("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("z", "x"), ("z", "c"), ("s", "s"), ("t", "c")]
+    edges = spark.createDataFrame(rows, "caller string, callee string")
+    for small in (100_000, 3):
+        got = {r.node: r.level for r in graph.levels(edges, small).collect()}
+        assert got == {"c": 0, "b": 1, "t": 1, "a": 2, "x": None, "y": None, "z": None, "s": None}
 
 
 def test_a_cycle_has_no_longest_path(spark, one_task):

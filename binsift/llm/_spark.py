@@ -162,7 +162,10 @@ def sample_of_labels(labels: DataFrame, label: str, per_class: int) -> list[tupl
 
 
 def texts_of(docs: DataFrame, rows: list[tuple[int, int]], max_chars: int) -> list[tuple[str, int]]:
-    """Whole texts of those rows (a bounded number) that have 1 to max_chars characters, with their labels, by doc_id."""
+    """Whole texts of those ids that have 1 to max_chars characters, with their labels, by doc_id: of rows that repeat an
+    id, however many, the one whose text has the least hash, so that what comes to the driver stays as bounded as rows."""
     wanted = docs.sparkSession.createDataFrame(rows, "doc_id long, label int")
-    got = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").filter(F.length("text").between(1, max_chars))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    some = texts.join(F.broadcast(wanted), "doc_id").filter(F.length("text").between(1, max_chars))
+    got = some.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     return [(r.text, r.label) for r in sorted(got.collect(), key=lambda r: (r.doc_id, r.label))]

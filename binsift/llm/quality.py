@@ -119,8 +119,8 @@ def train(docs: DataFrame, learn: DataFrame, rows_per_label: int = ROWS_PER_LABE
 
 def cut_at(scored: DataFrame, learn: DataFrame) -> float:
     """The score below which the share of documents lies that the labels call poor: the quantile over all documents with
-    a label that may be learned from. 0 without any."""
-    both = scored.join(learn.select(F.col("doc_id").cast("long").alias("doc_id"), "quality"), "doc_id")
+    a label that may be learned from; a label that rows repeat counts once. 0 without any."""
+    both = scored.join(learn.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").distinct(), "doc_id")
     poor = both.agg(F.avg((F.col("quality") == 0).cast("double")).alias("share")).first().share
     if poor is None:
         return 0.0

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from binsift.llm import language, quality, toxicity
-from binsift.llm._spark import table
+from binsift.llm._spark import table, texts_of
 from binsift.llm.queries import QUERIES
 
 MEDIUM = "/root/testdata/sf0.01"
@@ -88,6 +88,17 @@ def test_the_cut_is_the_quantile_of_all_labelled_rows(spark, docs):
     assert np.mean([r.predicted == (r.doc_id < 100) for r in got]) > 0.85
 
 
+def test_repeated_ids_teach_one_text_and_count_each_label_once(spark, docs):
+    rows = docs([(1, f"text {k}") for k in range(50)] + [(2, "other"), (2, None), (3, "")])
+    got = texts_of(rows, [(1, 0), (2, 1), (3, 1)], 100)
+    assert [label for _, label in got] == [0, 1] and got[1][0] == "other" and got[0][0].startswith("text ")
+    assert texts_of(rows.repartition(5), [(1, 0), (2, 1), (3, 1)], 100) == got
+    scored = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, 2.0), (4, 3.0)], "doc_id long, raw double")
+    once = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, 1)], "doc_id long, quality int")
+    often = once.unionByName(once.filter("doc_id = 4").crossJoin(spark.range(20).select()))
+    assert quality.cut_at(scored, often) == quality.cut_at(scored, once) == 0.0
+
+
 def test_compression_is_of_the_whole_text():
     draw = random.Random(2)
     start = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz .,") for _ in range(1 << 20))

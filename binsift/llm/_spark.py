@@ -108,6 +108,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{shared_dir.own}"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for a table that the caller writes; release() deletes it."""
+    path = f"{shared_dir(spark)}/binsift-{name}"
+    _tables.append((spark, path))
+    return path
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read back: no lineage, nothing recomputed, lost executors cost nothing.
     The shuffle files of the query that made it go when it is written; later queries read the table."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, html, language, lines, near, pieces, quality, suffix, toxicity
+from . import bytepairs, centroids, decontaminate, filters, fingerprint, html, language, lines, near, pieces, quality, suffix, toxicity
 from ._spark import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,5 +52,17 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_benchmark_decontamination, op3_html_extraction, op4_quality_classifier, op5_toxicity, op6_document_fingerprints, op7_language_id, op8_ngram_jaccard_join, op9_sentencepiece, op10_suffix_array_dedup)}
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": lines.ORACLE_SQL}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepairs.round_trip(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_benchmark_decontamination, op3_html_extraction, op4_quality_classifier, op5_toxicity, op6_document_fingerprints, op7_language_id, op8_ngram_jaccard_join, op9_sentencepiece, op10_suffix_array_dedup, op11_centroid_clustering, op12_filter_interaction_audit, op13_byte_level_bpe)}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": lines.ORACLE_SQL, "op11_centroid_clustering": centroids.ORACLE_SQL, "op12_filter_interaction_audit": filters.ORACLE_SQL}

@@ -54,6 +54,13 @@ def saved(df: DataFrame, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one that release() deletes."""
+    path = f"{_shared(spark)}/binsift-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 class Grown:
     """A table that grows by a part a round. Parts stay as they were written; of many, one is made now and then."""
 

@@ -232,6 +232,100 @@ def _peeled(edges: set[tuple[str, str]]) -> dict[str, int | None]:
     return out
 
 
+def strong_components(edges: DataFrame, small: int = 100_000) -> DataFrame:
+    """node, comp: the strongly connected component of each node of edges (caller, callee), named by its greatest node.
+
+    By colouring with trimming. Nodes without an edge in or out among those left are components of their own and go first.
+    Then the greatest name flows along edges until each node has that of the greatest node it can be reached from; going
+    back from that node along edges between nodes of its colour gives its component. Those go, and the rest is done again.
+    Rounds read what is left and write what changed. Graphs of at most `small` edges, counted first, are done on the driver
+    instead, with the same result. Self edges and repeated ones change nothing.
+    """
+    edges = saved(edges.select("caller", "callee").distinct())
+    some = edges.limit(small + 1).collect()
+    if len(some) <= small:
+        return edges.sparkSession.createDataFrame(list(_strong([(r.caller, r.callee) for r in some]).items()), "node string, comp string")
+    every = saved(nodes(edges))
+    left, size = _trimmed(edges.filter("caller != callee"))
+    found: list[DataFrame] = []
+    while size:
+        colour = _coloured(left)
+        of = lambda end: colour.select(F.col("node").alias(end), F.col("colour").alias(f"{end}_colour"))  # noqa: B023, E731
+        alike = saved(left.join(of("caller"), "caller").join(of("callee"), "callee").filter("caller_colour = callee_colour").select("caller", "callee"))
+        roots = saved(colour.filter("node = colour").select("node"))
+        mine = saved(distances(alike, roots, backwards=True).select("node").join(colour, "node").select("node", F.col("colour").alias("comp")))
+        found.append(mine)
+        gone = mine.select("node")
+        left, size = _trimmed(left.join(gone.withColumnRenamed("node", "caller"), "caller", "left_anti").join(gone.withColumnRenamed("node", "callee"), "callee", "left_anti").select("caller", "callee"))
+    if not found:
+        return every.select("node", F.col("node").alias("comp"))
+    return every.join(reduce(DataFrame.unionByName, found), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+
+
+def _trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges between nodes that have one in and one out, until there is no other, and their number."""
+    edges = saved(edges)
+    n = edges.count()
+    while n:
+        both = edges.select(F.col("caller").alias("node")).distinct().join(edges.select(F.col("callee").alias("node")).distinct(), "node", "left_semi")
+        kept = saved(edges.join(both.withColumnRenamed("node", "caller"), "caller", "left_semi").join(both.withColumnRenamed("node", "callee"), "callee", "left_semi").select("caller", "callee"))
+        m = kept.count()
+        edges = kept
+        if m == n:
+            break
+        n = m
+    return edges, n
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """node, colour: the greatest node that each can be reached from, itself included."""
+    front = saved(nodes(edges).withColumn("colour", F.col("node")))
+    best = Grown(front)
+    while True:
+        sent = front.withColumnRenamed("node", "caller").join(edges, "caller").groupBy(F.col("callee").alias("node")).agg(F.max("colour").alias("colour"))
+        known = best.all().groupBy("node").agg(F.max("colour").alias("_known"))
+        front = saved(sent.join(known, "node").filter("colour > _known").drop("_known"))
+        if front.limit(1).count() == 0:
+            return saved(best.all().groupBy("node").agg(F.max("colour").alias("colour")))
+        best.add(front)
+
+
+def _strong(edges: list[tuple[str, str]]) -> dict[str, str]:
+    """Greatest node of each node's component: depth first, with the nodes of open components on a stack."""
+    to: dict[str, list[str]] = {}
+    for a, b in edges:
+        to.setdefault(a, []).append(b)
+        to.setdefault(b, [])
+    number: dict[str, int] = {}
+    low: dict[str, int] = {}
+    out: dict[str, str] = {}
+    open_: list[str] = []
+    for start in to:
+        if start in number:
+            continue
+        work = [(start, iter(to[start]))]
+        number[start] = low[start] = len(number)
+        open_.append(start)
+        while work:
+            node, rest = work[-1]
+            nxt = next((b for b in rest if b not in out), None)
+            if nxt is None:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == number[node]:
+                    k = open_.index(node) if open_[-1] != node else len(open_) - 1
+                    mine, open_[k:] = open_[k:], []
+                    out.update(dict.fromkeys(mine, max(mine)))
+            elif nxt in number:
+                low[node] = min(low[node], number[nxt])
+            else:
+                number[nxt] = low[nxt] = len(number)
+                open_.append(nxt)
+                work.append((nxt, iter(to[nxt])))
+    return out
+
+
 def neighbourhood(edges: DataFrame, seeds: DataFrame, scores: DataFrame, least_callee: float, hops: int, most: int) -> DataFrame:
     """Nodes around seeds: callers up to `hops` away, and callees of those visited whose score reaches `least_callee`
     (not followed further); at most `most`, in order of hop, then score, then name: node, hop."""

@@ -1,9 +1,8 @@
 """Forward taint through a function's operations, in order, and what functions do to each other's arguments.
 
 What is tainted, checked or freed at an operation depends on the ones before it, and frees are undone by fresh values, so
-the walk is a state machine. It runs once per function on the function's own operations (8,000 at most by the size
-filter), packed in one row together with what is known of the functions it calls; functions are dealt over the cluster.
-The part that is a mere closure has a relational form in `graph`.
+the walk is a state machine. It runs once per function on the function's own operations, which stream past it in order after
+what is known of the functions it calls (`functionwise`); functions are dealt over the cluster. The part that is a mere closure has a relational form in `graph`.
 
 Defined results: functions without operations have no row. Variables are told by name; a constant is only one where a call
 or a store writes to its address. Candidates of equal sink, type and source are one, the first. Orders are by operation, then by argument.
@@ -12,7 +11,7 @@ or a store writes to its address. Candidates of equal sink, type and source are
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -20,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dims import NOT_SOURCES, SOURCE_CONFIDENCE, SOURCE_FALLBACKS, SOURCE_ROLES, rule_rows
-from .graph import Grown, levels, saved
+from . import functionwise
+from .graph import Grown, levels, saved, strong_components
 
 # Operations, functions, masks and confidences of the walk.
 ALL_EXTERNAL = frozenset("INT_ADD INT_SUB INT_AND INT_OR INT_XOR INT_LEFT INT_RIGHT INT_SRIGHT".split())
@@ -44,10 +44,8 @@ UPPER_BOUND = 0x10
 PARAMETER, SLICE_DEPTH = 0.55, 20
 UAF_FIELD, FREED, DOUBLE_FREE, WRITE, UNKNOWN_CALL, OOB, NARROWED, TRUNCATED, CALLIND_NULL, LOAD_NULL = 0.80, 0.75, 0.80, 0.60, 0.35, 0.50, 0.55, 0.75, 0.65, 0.70
 FROM_CALLER, COPIED = 0.80, 0.9
-#: Operations of a function that is walked at most.
-MOST_OPS = 8000
-#: Level of members of cycles and their callers.
-LAST = (1 << 31) - 1
+#: Operations of a function that is walked at most: the size filter of the stage before. None for no limit.
+MOST_OPS: int | None = 8000
 
 CANDIDATES = "array<struct<seq:int,vuln_type:string,sink_fn:string,match_kind:string,confidence:double,taint_source:string,taint_var:string,taint_path:array<string>,bounded:boolean,hops:int,var_conf:double,path_conf:double,seed_fn:string,mult:boolean,checked:boolean,freed:boolean,backward_conf:double,backward_depth:int>>"
 SCHEMA = (
@@ -108,7 +106,7 @@ def catalog() -> dict[str, Rule]:
     return {r[0]: Rule(r[1], r[2], r[3], r[4], r[5], r[6], r[7], r[8], r[10], r[11], r[12], r[13]) for r in rule_rows()}
 
 
-def parameters(rows: list[dict]) -> list[str]:
+def parameters(rows: Sequence[dict]) -> list[str]:
     """Variables that a function uses and never sets, in order of first use: its parameters by position."""
     made = {o["out"] for o in rows if o["out"]}
     return list(dict.fromkeys(a for o in rows for a in o["args"] if a and a.startswith(("VAR_", "Var")) and a not in made))
@@ -438,7 +436,7 @@ class Walk:
                 self.freed_fields.add(p.loaded)
 
 
-def _null_checks(rows: list[dict]) -> tuple[set[int], set[int]]:
+def _null_checks(rows: Sequence[dict]) -> tuple[set[int], set[int]]:
     """Places of indirect calls that a comparison with null follows within twelve operations, and of loads through a
     pointer that is loaded next and never compared, while what that gives is compared with null."""
     null = [o["op"] in ("INT_EQUAL", "INT_NOTEQUAL") and any(const(a) == 0 for a in o["args"]) for o in rows]
@@ -454,7 +452,7 @@ def _null_checks(rows: list[dict]) -> tuple[set[int], set[int]]:
     return calls, loads
 
 
-def walk(fn: str, rows: list[dict], rules: dict[str, Rule], effects: dict | None = None, external_args: list[int] | None = None, reach: float = 1.0, targets: dict[int, str] | None = None) -> Walk:
+def walk(fn: str, rows: Sequence[dict], rules: dict[str, Rule], effects: dict | None = None, external_args: list[int] | None = None, reach: float = 1.0, targets: dict[int, str] | None = None) -> Walk:
     """Walk a function's operations: dicts of seq, op, callee, out, args, sizes, in order. external_args are positions of
     parameters that callers taint. Functions that only write and that no input reaches (reach 0) give no candidates but
     those of arithmetic."""
@@ -502,18 +500,18 @@ def walk(fn: str, rows: list[dict], rules: dict[str, Rule], effects: dict | None
     return w
 
 
-def backward(rows: list[dict], var: str, depth: int = SLICE_DEPTH) -> tuple[float, int]:
+def backward(rows: Sequence[dict], var: str, depth: int = SLICE_DEPTH) -> tuple[float, int]:
     """Confidence of the surest source that a variable comes from (PARAMETER for one that nothing sets), and the number of
     operations on the way back: breadth first over the last definitions, source calls end a branch."""
-    made = {o["out"]: o for o in rows if o["out"]}
+    made = {o["out"]: k for k, o in enumerate(rows) if o["out"]}
     conf, n, seen, queue = 0.0, 0, {var}, deque([(var, 0)])
     while queue:
         name, far = queue.popleft()
-        o = made.get(name)
-        if o is None:
+        k = made.get(name)
+        if k is None:
             conf = max(conf, PARAMETER)
         elif far < depth:
-            n += 1
+            o, n = rows[k], n + 1
             c = source_confidence(o["callee"] or "") if o["op"] in CALLS else 0.0
             conf = max(conf, c)
             for a in o["args"] if c == 0 else ():
@@ -523,7 +521,7 @@ def backward(rows: list[dict], var: str, depth: int = SLICE_DEPTH) -> tuple[floa
     return conf, n
 
 
-def _evidence(w: Walk, rows: list[dict]) -> None:
+def _evidence(w: Walk, rows: Sequence[dict]) -> None:
     """What the walk knows at its end of each candidate's variable and path; a backward slice where no variable of the path
     has a source confidence."""
     sliced: dict[str, tuple[float, int]] = {}
@@ -541,7 +539,7 @@ def _evidence(w: Walk, rows: list[dict]) -> None:
 # -- what functions do with their parameters ---------------------------------------------------------------------------
 
 
-def probe(rows: list[dict], seeds: set[str], rules: dict[str, Rule], effects: dict[str, list[tuple[int, str]]]) -> tuple[set[str], set[str]]:
+def probe(rows: Sequence[dict], seeds: set[str], rules: dict[str, Rule], effects: dict[str, list[tuple[int, str]]]) -> tuple[set[str], set[str]]:
     """Variables and memory that taint reaches from seeds: the closure alone, without sinks, checks and frees."""
     live, memory = set(seeds), set()
     for o in rows:
@@ -578,7 +576,7 @@ def probe(rows: list[dict], seeds: set[str], rules: dict[str, Rule], effects: di
     return live, memory
 
 
-def freed_fields(rows: list[dict], alias: dict[str, int], effects: dict[str, list[tuple[int, str]]], targets: dict[int, str]) -> set[tuple[int, int]]:
+def freed_fields(rows: Sequence[dict], alias: dict[str, int], effects: dict[str, list[tuple[int, str]]], targets: dict[int, str]) -> set[tuple[int, int]]:
     """(parameter, offset) of the fields whose pointers a function frees, itself or through a function it knows the
     address of."""
     place: dict[str, tuple[str, int]] = {}
@@ -610,7 +608,7 @@ def freed_fields(rows: list[dict], alias: dict[str, int], effects: dict[str, lis
     return out
 
 
-def summary(rows: list[dict], rules: dict[str, Rule], effects: dict[str, list[tuple[int, str]]], targets: dict[int, str] | None = None) -> list[tuple[int, str]]:
+def summary(rows: Sequence[dict], rules: dict[str, Rule], effects: dict[str, list[tuple[int, str]]], targets: dict[int, str] | None = None) -> list[tuple[int, str]]:
     """What a function does with each of its parameters: (position, effect)."""
     params = parameters(rows)
     alias = {p: i for i, p in enumerate(params)}
@@ -627,7 +625,7 @@ def summary(rows: list[dict], rules: dict[str, Rule], effects: dict[str, list[tu
     return sorted(found)
 
 
-def passed_on(fn: str, rows: list[dict], rules: dict[str, Rule], effects: dict[str, list[tuple[int, str]]]) -> list[tuple[str, int]]:
+def passed_on(fn: str, rows: Sequence[dict], rules: dict[str, Rule], effects: dict[str, list[tuple[int, str]]]) -> list[tuple[str, int]]:
     """(callee, position) of the arguments that a function passes external data of its own calls in, and (fn, -1) if it
     calls anything that brings such data."""
     seeds: set[str] = set()
@@ -648,13 +646,6 @@ def passed_on(fn: str, rows: list[dict], rules: dict[str, Rule], effects: dict[s
 # -- on tables ---------------------------------------------------------------------------------------------------------
 
 
-def packed(ops: DataFrame) -> DataFrame:
-    """One row per function of at most MOST_OPS operations: fn, ops. Larger functions are counted, not gathered."""
-    few = ops.groupBy("fn").agg(F.count("*").alias("_n")).filter(F.col("_n") <= MOST_OPS).select("fn")
-    fields = F.struct("seq", "op", "callee", F.col("out_var").alias("out"), "args", "sizes")
-    return ops.join(few, "fn", "left_semi").groupBy("fn").agg(F.array_sort(F.collect_list(fields)).alias("ops"))
-
-
 def calls(ops: DataFrame) -> DataFrame:
     """fn and callee of every call, once."""
     return ops.filter(F.col("op").isin(*CALLS) & F.col("callee").isNotNull()).select("fn", F.regexp_replace("callee", "^INDIRECT:", "").alias("callee")).distinct()
@@ -668,30 +659,6 @@ def pointers(ops: DataFrame, entries: DataFrame) -> DataFrame:
     return taken.join(known, "at").select("fn", F.conv("at", 16, 10).cast("long").alias("address"), "callee")
 
 
-def with_knowledge(functions: DataFrame, edges: DataFrame, effects: DataFrame | None, taken: DataFrame | None) -> DataFrame:
-    """functions with `known`, the effects of those they call or take the address of, and `targets`, names by address."""
-    if effects is not None:
-        used = edges if taken is None else edges.unionByName(taken.select("fn", "callee")).distinct()
-        met = used.join(effects.select(F.col("fn").alias("callee"), "arg", "effect"), "callee")
-        functions = functions.join(met.groupBy("fn").agg(F.sort_array(F.collect_list(F.struct("callee", "arg", "effect"))).alias("known")), "fn", "left")
-    else:
-        functions = functions.withColumn("known", F.lit(None).cast("array<struct<callee:string,arg:int,effect:string>>"))
-    if taken is not None:
-        return functions.join(taken.groupBy("fn").agg(F.sort_array(F.collect_list(F.struct("address", "callee"))).alias("targets")), "fn", "left")
-    return functions.withColumn("targets", F.lit(None).cast("array<struct<address:bigint,callee:string>>"))
-
-
-def _known(row: list[dict] | None) -> dict[str, list[tuple[int, str]]]:
-    out: dict[str, list[tuple[int, str]]] = {}
-    for x in row or []:
-        out.setdefault(x["callee"], []).append((x["arg"], x["effect"]))
-    return out
-
-
-def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
-    return zip(*(batch.column(c).to_pylist() for c in names))
-
-
 def analyze(ops: DataFrame, effects: DataFrame | None = None, external: DataFrame | None = None, entries: DataFrame | None = None, reach: DataFrame | None = None) -> DataFrame:
     """Walk every function of flat operations: fn, tainted, steps, candidates, unknown_calls, marks.
 
@@ -700,33 +667,43 @@ def analyze(ops: DataFrame, effects: DataFrame | None = None, external: DataFram
     surely input reaches them.
     """
     taken = None if entries is None else pointers(ops, entries)
-    rows = with_knowledge(packed(ops), calls(ops), effects, taken)
+    facts = known_facts(calls(ops), effects, taken)
     if external is not None:
-        rows = rows.join(external.filter("arg >= 0").groupBy("fn").agg(F.array_sort(F.collect_set("arg")).alias("vars")), "fn", "left")
-    else:
-        rows = rows.withColumn("vars", F.lit(None).cast("array<int>"))
-    rows = rows.join(reach.select("fn", F.col("reach").cast("double").alias("reach")), "fn", "left") if reach is not None else rows.withColumn("reach", F.lit(1.0))
+        facts.append(functionwise.variables_of(external))
+    if reach is not None:
+        facts.append(functionwise.reach_of(reach))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> functionwise.Job:
         rules = catalog()
-        for b in batches:
-            out = []
-            for fn, fn_ops, known, targets, extra, sure in _rows(b, "fn", "ops", "known", "targets", "vars", "reach"):
-                w = walk(fn, fn_ops, rules, _known(known), extra, 1.0 if sure is None else sure, {t["address"]: t["callee"] for t in targets or []})
-                names = sorted(w.vars.items())
-                out.append(
-                    {
-                        "fn": fn,
-                        "tainted": [{"var": n, "source": w.origin(n), "external": v.external, "confidence": v.confidence, "hops": v.hops or 0} for n, v in names if v.tainted],
-                        "steps": w.steps,
-                        "candidates": list(w.found.values()),
-                        "unknown_calls": w.unknown_calls,
-                        "marks": [{"mark": m, "var": n} for m in ("memory", "mult", "checked", "narrowed", "freed") for n, v in names if getattr(v, m)],
-                    }
-                )
-            yield pa.RecordBatch.from_pylist(out, schema=_arrow())
-
-    return rows.select("fn", "ops", "known", "targets", "vars", "reach").mapInArrow(run, SCHEMA)
+
+        def job(fn: str, rows: Sequence[dict], told: functionwise.Facts) -> list[dict]:
+            w = walk(fn, rows, rules, told.effects, told.variables, 1.0 if told.reach is None else told.reach, told.targets)
+            names = sorted(w.vars.items())
+            return [
+                {
+                    "fn": fn,
+                    "tainted": [{"var": n, "source": w.origin(n), "external": v.external, "confidence": v.confidence, "hops": v.hops or 0} for n, v in names if v.tainted],
+                    "steps": w.steps,
+                    "candidates": list(w.found.values()),
+                    "unknown_calls": w.unknown_calls,
+                    "marks": [{"mark": m, "var": n} for m in ("memory", "mult", "checked", "narrowed", "freed") for n, v in names if getattr(v, m)],
+                }
+            ]
+
+        return job
+
+    return functionwise.per_function(ops, make, SCHEMA, _arrow(), facts, MOST_OPS)
+
+
+def known_facts(edges: DataFrame, effects: DataFrame | None, taken: DataFrame | None) -> list[DataFrame]:
+    """Facts on functions from the effects of those they call (edges: fn, callee) or take the address of."""
+    facts = []
+    if effects is not None:
+        used = edges if taken is None else edges.unionByName(taken.select("fn", "callee")).distinct()
+        facts.append(functionwise.effects_of(used, effects))
+    if taken is not None:
+        facts.append(functionwise.targets_of(taken))
+    return facts
 
 
 def _arrow() -> pa.Schema:
@@ -765,43 +742,75 @@ def marks(walked: DataFrame) -> DataFrame:
     return walked.select("fn", F.explode("marks").alias("m")).select("fn", "m.*")
 
 
-def summaries(ops: DataFrame, entries: DataFrame | None = None, chained: bool = True) -> DataFrame:
+def placed(edges: DataFrame, functions: DataFrame) -> DataFrame:
+    """fn, comp, level, cyclic of functions: the strongly connected component that calls (fn, callee) put a function in,
+    callees' components before callers', and whether it can call itself again."""
+    inside = edges.join(functions.select(F.col("fn").alias("callee")), "callee", "left_semi").select(F.col("fn").alias("caller"), "callee")
+    comp = saved(strong_components(inside))
+    of = lambda end: comp.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))
+    between = saved(inside.join(of("caller"), "caller").join(of("callee"), "callee"))
+    level = levels(between.filter("caller_comp != callee_comp").select(F.col("caller_comp").alias("caller"), F.col("callee_comp").alias("callee")))
+    cyclic = between.filter("caller_comp = callee_comp").select(F.col("caller_comp").alias("comp"), F.lit(True).alias("cyclic")).distinct()
+    found = comp.join(level.select(F.col("node").alias("comp"), "level"), "comp", "left").join(cyclic, "comp", "left")
+    # Functions that call none of the program and that none calls have no edge.
+    rows = functions.select("fn").join(found.withColumnRenamed("node", "fn"), "fn", "left")
+    return rows.select("fn", F.coalesce("comp", "fn").alias("comp"), F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+
+
+#: Stands for a call inside a component: known, so that it passes nothing on but what has been found of it.
+INSIDE = "inside"
+
+
+def summaries(ops: DataFrame, entries: DataFrame | None = None, chained: bool = True, known: DataFrame | None = None) -> DataFrame:
     """Effects of each function's parameters, callees before callers: EFFECTS.
 
-    Functions are written by level (graph.levels over the calls among them). A round is one distributed job that reads its
-    level and joins it with the effects of the functions it calls, so operations are read once and neither they nor effects
-    pass through the driver; members of cycles and their callers come last, with what is known by then. Not chained, each
-    function is taken alone.
+    Operations are written by the level of their function's component (placed). A round is one distributed job that reads
+    its level with the effects of the functions called, so neither operations nor effects pass through the driver. Members
+    of a cycle start from calls among themselves that do nothing and are done again with what was found of each other until
+    nothing is new: the least fixpoint, whatever the order. (Taken in some order, with calls of members not yet done as
+    unknown ones, as an engine without components would, effects through recursion are lost or guessed.) Effects only grow
+    from round to round, of which there are at most as many as a component has effects, and few in practice. Not chained,
+    each function is taken alone. known (EFFECTS) are effects of functions that ops doesn't hold.
     """
     ops = saved(ops)
     edges, taken = saved(calls(ops)), None if entries is None else saved(pointers(ops, entries))
-    functions = packed(ops)
-    level = F.lit(0)
-    if chained:
-        inside = edges.join(ops.select(F.col("fn").alias("callee")).distinct(), "callee", "left_semi").select(F.col("fn").alias("caller"), "callee")
-        placed = levels(inside)
-        # Functions that call none of the program and that none calls have no edge.
-        alone = ops.select("fn").distinct().join(placed.select(F.col("node").alias("fn")), "fn", "left_anti").withColumn("level", F.lit(0))
-        functions = functions.join(placed.withColumnRenamed("node", "fn").unionByName(alone), "fn")
-        level = F.coalesce("level", F.lit(LAST))
-    functions = saved(functions.withColumn("level", level), by="level")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("fn", pa.string()), ("arg", pa.int32()), ("effect", pa.string())])
+
+    def make() -> functionwise.Job:
         rules = catalog()
-        schema = pa.schema([("fn", pa.string()), ("arg", pa.int32()), ("effect", pa.string())])
-        for b in batches:
-            out = []
-            for fn, rows, known, targets in _rows(b, "fn", "ops", "known", "targets"):
-                out += [{"fn": fn, "arg": i, "effect": e} for i, e in summary(rows, rules, _known(known), {t["address"]: t["callee"] for t in targets or []})]
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    done = Grown(ops.sparkSession.createDataFrame([], EFFECTS))
-    for k in sorted(r.level for r in functions.select("level").distinct().collect()):
-        here = with_knowledge(functions.filter(F.col("level") == k).drop("level"), edges, done.all(), taken)
-        done.add(saved(here.select("fn", "ops", "known", "targets").mapInArrow(run, EFFECTS)))
+        return lambda fn, rows, told: [{"fn": fn, "arg": i, "effect": e} for i, e in summary(rows, rules, told.effects, told.targets)]
+
+    def found(rows: DataFrame, effects: DataFrame) -> DataFrame:
+        return saved(functionwise.per_function(rows, make, EFFECTS, schema, known_facts(edges, effects, taken), MOST_OPS))
+
+    start = ops.sparkSession.createDataFrame([], EFFECTS) if known is None else known
+    if not chained:
+        return found(ops, start)
+    place = saved(placed(edges, ops.select("fn").distinct()))
+    leveled = saved(ops.join(place, "fn"), by="level")
+    here = place.filter("cyclic").select("fn", "comp")
+    inner = saved(edges.join(here, "fn").join(here.select(F.col("fn").alias("callee"), "comp"), ["callee", "comp"]).select("callee").distinct())
+    inside = inner.select(F.col("callee").alias("fn"), F.lit(0).alias("arg"), F.lit(INSIDE).alias("effect"))
+    done = Grown(start)
+    for k, cyclic in sorted((r.level, r.cyclic) for r in place.groupBy("level").agg(F.max("cyclic").alias("cyclic")).collect()):
+        rows, below = leveled.filter(F.col("level") == k), done.all()
+        done.add(found(rows.filter("NOT cyclic"), below))
+        if cyclic:
+            done.add(_fixpoint(rows.filter("cyclic"), below, inside.join(place.filter(F.col("level") == k), "fn", "left_semi"), found))
     return done.all()
 
 
+def _fixpoint(rows: DataFrame, below: DataFrame, inside: DataFrame, found: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Effects of the members of cycles of a level, done again until none is new."""
+    now, n = None, 0
+    while True:
+        so_far = below.unionByName(inside) if now is None else below.unionByName(inside).unionByName(now)
+        now = found(rows, so_far)
+        if (m := now.count()) == n:
+            return now
+        n = m
+
+
 def external_arguments(ops: DataFrame, effects: DataFrame | None = None, rounds: int = 10) -> DataFrame:
     """fn and arg of the parameters that external data enters functions by; arg -1 marks functions that bring it in.
 
@@ -810,16 +819,27 @@ def external_arguments(ops: DataFrame, effects: DataFrame | None = None, rounds:
     is marked at the positions of the variables it passes.
     """
     ops = saved(ops)
-    edges = saved(calls(ops))
+    return entered(ops, passed(ops, effects).select("fn", "arg").distinct(), rounds)
+
+
+#: What functions pass on: `by` marks parameter `arg` of `fn`.
+PASSED = "by string, fn string, arg int"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def passed(ops: DataFrame, effects: DataFrame | None = None) -> DataFrame:
+    """Arguments that each function passes external data of its own in (PASSED)."""
+
+    def make() -> functionwise.Job:
         rules = catalog()
-        schema = pa.schema([("fn", pa.string()), ("arg", pa.int32())])
-        for b in batches:
-            out = [{"fn": f, "arg": i} for fn, rows, known in _rows(b, "fn", "ops", "known") for f, i in passed_on(fn, rows, rules, _known(known))]
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+        return lambda fn, rows, told: [{"by": fn, "fn": f, "arg": i} for f, i in passed_on(fn, rows, rules, told.effects)]
+
+    schema = pa.schema([("by", pa.string()), ("fn", pa.string()), ("arg", pa.int32())])
+    return functionwise.per_function(ops, make, PASSED, schema, known_facts(calls(ops), effects, None), MOST_OPS)
+
 
-    own = saved(with_knowledge(packed(ops), edges, effects, None).select("fn", "ops", "known").mapInArrow(run, "fn string, arg int").distinct())
+def entered(ops: DataFrame, own: DataFrame, rounds: int = 10) -> DataFrame:
+    """own marks (fn, arg) and those of the functions above them."""
+    edges, own = saved(calls(ops)), saved(own)
     reached = saved(own.select("fn").distinct())
     front = reached
     for _ in range(rounds):
@@ -828,5 +848,5 @@ def external_arguments(ops: DataFrame, effects: DataFrame | None = None, rounds:
             break
         reached = reached.unionByName(front)
     to_marked = ops.filter(F.col("op").isin(*CALLS)).withColumn("callee", F.regexp_replace("callee", "^INDIRECT:", "")).join(reached.withColumnRenamed("fn", "callee"), "callee", "left_semi")
-    passed = to_marked.select("fn", F.posexplode("args").alias("arg", "var")).filter(F.col("var").startswith("VAR_")).select("fn", "arg")
-    return own.unionByName(passed).distinct()
+    above = to_marked.select("fn", F.posexplode("args").alias("arg", "var")).filter(F.col("var").startswith("VAR_")).select("fn", "arg")
+    return own.unionByName(above).distinct()

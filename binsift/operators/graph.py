@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import count
 
@@ -389,21 +389,89 @@ def _units(m: np.ndarray) -> np.ndarray:
         return m / np.sqrt((m * m).sum(-1, keepdims=True)) if m.size else m.reshape(0, 0)
 
 
-def tainted(flow: DataFrame, seeds: DataFrame, hops: int = 4) -> DataFrame:
-    """Variables that taint reaches inside functions: closure of flow (fn, src, dst) from seeds (fn, var). A round follows
-    the newly reached ones for some hops before it is written, until none is new."""
-    step = saved(flow.select("fn", F.col("src").alias("var"), "dst"))
-    front = saved(seeds.select("fn", "var").distinct())
-    seen = Grown(front)
+def tainted(flow: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Variables that taint reaches inside functions: closure of flow (fn, src, dst) from seeds (fn, var)."""
+    return settled(flow, seeds.select("fn", "var", F.lit(0).alias("x"))).select("fn", "var")
+
+
+def settled(edges: DataFrame, own: DataFrame, least: bool = True, step: int = 0, hops: int = 4) -> DataFrame:
+    """fn, var, x of every variable that has a value of its own (own: fn, var, x) or gets one along edges (fn, src, dst): the
+    least, or the greatest, of its own and of what its sources have plus `step`.
+
+    Where most variables have one source, chains of them are contracted by pointer doubling: each variable holds how far
+    back it points (`to`), the sum of steps on the way (w) and the best value met there (acc); a round joins the table with
+    itself and doubles the distance, so a chain of n takes log2 n rounds. What is left are variables of several sources,
+    with edges between the ends of chains; if again most have one source they are contracted too. The rest goes in rounds
+    from newly reached or improved variables, `hops` edges a round, and at last chains get their values from their ends.
+
+    A cycle is fine where a step costs nothing. Where it adds (`step` of 1, the greatest), a cycle that a value reaches has
+    no greatest, which is an error. Edges with a null end lead nowhere.
+    """
+    better = F.least if least else F.greatest  # of two, nulls left out
+    best = F.min if least else F.max
+    edges = edges.filter("fn IS NOT NULL AND src IS NOT NULL AND dst IS NOT NULL").select("fn", "src", "dst", F.lit(step).alias("w"))
+    edges = saved((edges if step else edges.filter("src != dst")).distinct())
+    own = saved(own.groupBy("fn", "var").agg(best("x").alias("x")))
+    chains: list[DataFrame] = []
     while True:
-        reached, last = None, front
+        into = saved(edges.groupBy("fn", F.col("dst").alias("var")).agg(F.count("*").alias("n"), F.first("src").alias("to"), F.first("w").alias("w")))
+        single = into.filter("n = 1")
+        n = single.count()
+        if n == 0 or 2 * n < into.count():
+            break
+        chain = _doubled(single.join(own, ["fn", "var"], "left").select("fn", "var", "to", "w", F.col("x").alias("acc")), n, better, step)
+        chains.append(chain)
+        back = chain.select("fn", F.col("var").alias("src"), "to", F.col("w").alias("_w"), "acc", F.lit(True).alias("_in"))
+        rest = saved(edges.join(chain.select("fn", F.col("var").alias("dst")), ["fn", "dst"], "left_anti").join(back, ["fn", "src"], "left"))
+        gained = rest.filter("acc IS NOT NULL").select("fn", F.col("dst").alias("var"), (F.col("acc") + F.col("w")).alias("x"))
+        kept = own.join(chain.select("fn", "var"), ["fn", "var"], "left_anti").select("fn", "var", "x")
+        own = saved(kept.unionByName(gained).groupBy("fn", "var").agg(best("x").alias("x")))
+        ends = rest.filter("_in IS NULL OR to IS NOT NULL").select("fn", F.coalesce("to", "src").alias("src"), "dst", (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"))
+        ends = ends if step else ends.filter("src != dst")
+        edges = saved(ends.groupBy("fn", "src", "dst").agg(best("w").alias("w")))
+    values = _relaxed(edges, own, best, least, hops)
+    for chain in reversed(chains):
+        ends = values.select("fn", F.col("var").alias("to"), F.col("x").alias("_x"))
+        x = better(F.col("acc"), F.col("_x") + F.col("w"))
+        values = saved(values.unionByName(chain.join(ends, ["fn", "to"], "left").select("fn", "var", x.alias("x")).filter("x IS NOT NULL")))
+    return values
+
+
+def _doubled(chain: DataFrame, n: int, better: Callable[..., Column], step: int) -> DataFrame:
+    """chain (fn, var, to, w, acc) with `to` at the first variable back that isn't of the chain itself; null where there is
+    none, on a cycle and behind one, once the cycle has been gone around."""
+    chain = saved(chain)
+    for _ in range(n.bit_length() + 1):
+        back = chain.select("fn", F.col("var").alias("to"), F.col("to").alias("_to"), F.col("w").alias("_w"), F.col("acc").alias("_acc"))
+        acc = better(F.col("acc"), F.col("_acc") + F.col("w"))
+        longer = chain.select("fn", "var", "to", "w", "acc").join(back, ["fn", "to"], "left")
+        chain = saved(longer.select("fn", "var", F.coalesce("_to", "to").alias("to"), (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"), acc.alias("acc"), F.col("_to").isNotNull().alias("on")))
+        if chain.filter("on").limit(1).count() == 0:
+            return chain
+    # what is left points at a variable on its cycle, whose acc is that of the whole cycle
+    valued = chain.filter("acc IS NOT NULL").select("fn", F.col("var").alias("to"))
+    if step and chain.filter("on").join(valued, ["fn", "to"], "left_semi").limit(1).count():
+        raise ValueError("flow has a cycle within a function")
+    return chain.withColumn("to", F.when(~F.col("on"), F.col("to")))
+
+
+def _relaxed(edges: DataFrame, own: DataFrame, best: Callable[[str], Column], least: bool, hops: int) -> DataFrame:
+    """Values after rounds from what was new or better in the round before."""
+    most = edges.groupBy("fn").agg(F.count_distinct("dst").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n
+    seen, front = Grown(own), own
+    # a value takes at most one step to each variable of its function, unless it goes around a cycle that makes it better
+    for _ in range(most // hops + 2):
+        last, reached = front, None
         for _ in range(hops):
-            last = last.join(step, ["fn", "var"]).select("fn", F.col("dst").alias("var")).distinct()
+            last = last.select("fn", F.col("var").alias("src"), "x").join(edges, ["fn", "src"]).groupBy("fn", F.col("dst").alias("var")).agg(best(F.col("x") + F.col("w")).alias("x"))
             reached = last if reached is None else reached.unionByName(last)
-        front = saved(reached.distinct().join(seen.all(), ["fn", "var"], "left_anti"))
+        known = seen.all().groupBy("fn", "var").agg(best("x").alias("_known"))
+        new = reached.groupBy("fn", "var").agg(best("x").alias("x")).join(known, ["fn", "var"], "left")
+        front = saved(new.filter("_known IS NULL OR x < _known" if least else "_known IS NULL OR x > _known").select("fn", "var", "x"))
         if front.limit(1).count() == 0:
-            return seen.all()
+            return saved(seen.all().groupBy("fn", "var").agg(best("x").alias("x"))) if len(seen.parts) > 1 else own
         seen.add(front)
+    raise ValueError("flow has a cycle within a function")
 
 
 def backward_slice(flow: DataFrame, targets: DataFrame, depth: int = 20) -> DataFrame:
@@ -422,31 +490,14 @@ def backward_slice(flow: DataFrame, targets: DataFrame, depth: int = 20) -> Data
 
 def aliases(moves: DataFrame, params: DataFrame) -> DataFrame:
     """Parameter that each variable is an alias of, through moves (fn, src, dst): fn, var, position; of several the
-    parameter of the least position. A round follows what the last one reached or lowered, until there is none."""
-    moves = saved(moves)
-    now = front = saved(params.groupBy("fn", "var").agg(F.min("position").alias("position")))
-    while True:
-        more = front.withColumnRenamed("var", "src").join(moves, ["fn", "src"]).groupBy("fn", F.col("dst").alias("var")).agg(F.min("position").alias("position"))
-        known = now.withColumnRenamed("position", "_known")
-        front = saved(more.join(known, ["fn", "var"], "left").filter("_known IS NULL OR position < _known").drop("_known"))
-        if front.limit(1).count() == 0:
-            return now
-        now = saved(now.unionByName(front).groupBy("fn", "var").agg(F.min("position").alias("position")))
+    parameter of the least position."""
+    return settled(moves, params.select("fn", "var", F.col("position").alias("x"))).withColumnRenamed("x", "position")
 
 
 def longest_hops(flow: DataFrame, seeds: DataFrame) -> DataFrame:
     """Longest distance of each tainted variable from a seed along flow, which is acyclic within a function: fn, var, hops.
-    A path of more steps than a function has variables to step to is a cycle, for which no distance is the longest."""
-    flow = saved(flow)
-    most = flow.groupBy("fn").agg(F.count_distinct("dst").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n
-    best = front = saved(seeds.select("fn", "var").distinct().withColumn("hops", F.lit(0)))
-    for _ in range(most + 1):
-        nxt = front.withColumnRenamed("var", "src").join(flow, ["fn", "src"]).groupBy("fn", F.col("dst").alias("var")).agg((F.max("hops") + 1).cast("int").alias("hops"))
-        front = saved(nxt)
-        if front.limit(1).count() == 0:
-            return best
-        best = saved(best.unionByName(front).groupBy("fn", "var").agg(F.max("hops").alias("hops")))
-    raise ValueError("flow has a cycle within a function")
+    A cycle that taint reaches, for which no distance is the longest, is an error."""
+    return settled(flow, seeds.select("fn", "var", F.lit(0).alias("x")), least=False, step=1).select("fn", "var", F.col("x").cast("int").alias("hops"))
 
 
 def external_functions(edges: DataFrame, local: DataFrame, rounds: int = 10) -> DataFrame:

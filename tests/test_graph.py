@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +44,57 @@ def test_an_alias_of_a_lesser_position_goes_on(spark, one_task):
     assert {r["var"]: r.position for r in got.collect()} == {"p": 0, "a": 0, "a2": 0, "b": 0, "c": 0, "q": 1}
 
 
+def test_a_chain_of_eight_thousand_moves_takes_thirteen_rounds(spark, one_task, monkeypatch):
+    rounds, doubled = [], graph.saved
+    monkeypatch.setattr(graph, "saved", lambda df, by=None: rounds.append(1) or doubled(df, by))
+    params = spark.createDataFrame([("f", "v0", 1), ("f", "v4000", 0)], f"{SEEDS}, position int")
+    got = {r["var"]: r.position for r in graph.aliases(chain(spark, 8000), params).collect()}
+    assert got == {f"v{k}": int(k < 4000) for k in range(8001)}
+    assert len(rounds) <= 14 + 10  # doubled 13 times and once to see that it is done; the rest are tables made once
+    assert {r["var"]: r.hops for r in graph.longest_hops(chain(spark, 8000), params.filter("position = 0")).collect()} == {f"v{k}": k - 4000 for k in range(4000, 8001)}
+
+
+def plain_settled(edges, own, least, step):
+    """Relaxed until nothing changes; None where that has no end."""
+    best = min if least else max
+    x = {}
+    for f, v, k in own:
+        x[f, v] = best(k, x.get((f, v), k))
+    for _ in range(3 * len(edges) + 3):
+        new = dict(x)
+        for f, a, b in edges:
+            if (f, a) in x and (step or a != b):
+                new[f, b] = best(x[f, a] + step, new.get((f, b), x[f, a] + step))
+        if new == x:
+            return x
+        x = new
+    return None
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_settled_against_relaxation(spark, one_task, seed):
+    """Chains with merges, cycles of both kinds and cycles that nothing reaches, in several functions."""
+    rng = random.Random(seed)
+    edges = []
+    for f in "abc":
+        n = rng.randrange(4, 14)
+        for v in range(1, n):
+            for u in rng.sample(range(v), min(v, 1 if rng.random() < (0.85 if seed % 2 else 0.4) else 2)):
+                edges.append((f, f"v{u}", f"v{v}"))
+        if seed % 4 == 1:
+            edges += [(f, f"v{n - 1}", f"v{rng.randrange(n)}")]
+        edges += [(f, "x1", "x2"), (f, "x2", "x1"), (f, "x2", "x3"), (f, "x3", "x4")]
+    own = [(f, f"v{rng.randrange(4)}", rng.randrange(5)) for f in "abb" for _ in range(2)] + ([("a", "x3", 2)] if seed < 2 else [("c", "x2", 1), ("a", "lone", 4)])
+    df, values = spark.createDataFrame(edges + edges[:3], FLOW), spark.createDataFrame(own, f"{SEEDS}, x int")
+    for least, step in ((True, 0), (False, 1)):
+        want = plain_settled(edges, own, least, step)
+        if want is None:
+            with pytest.raises(ValueError, match="cycle"):
+                graph.settled(df, values, least, step).collect()
+        else:
+            assert {(r.fn, r["var"]): r.x for r in graph.settled(df, values, least, step).collect()} == want
+
+
 def test_levels_beyond_twenty(spark, one_task):
     edges = chain(spark, 23).selectExpr("src AS caller", "dst AS callee")
     for small in (100_000, 5):

@@ -25,7 +25,7 @@ import heapq
 import re
 import sys
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 from pathlib import Path
 
@@ -48,39 +48,69 @@ CHUNK, OVERLAP = 1 << 16, 1 << 9
 UNSURE = 3
 #: Classes of the pattern whose characters depend on the Unicode version.
 CLASSES = (r"\p{L}", r"\p{N}", r"\s")
+#: A character above the basic plane.
+ABOVE = re.compile("[\U00010000-\U0010ffff]")
 
 
-def characters_of(cls: str) -> str:
-    """All characters of a class, as ranges inside a bracket expression, by the library's own tables."""
+def characters_of(cls: str) -> list[tuple[int, int]]:
+    """All characters of a class, as ranges of code points, by the library's own tables."""
     single = {bytes([b]): b for b in range(256)}
     everything = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
     asked = tiktoken.Encoding("class", pat_str=cls, mergeable_ranks=single, special_tokens={})
     points = np.array([ord(c) for c in bytes(asked.encode_ordinary(everything)).decode()])
     starts = np.flatnonzero(np.diff(points, prepend=-2) != 1)
     ends = np.append(starts[1:], len(points)) - 1
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(points[starts].tolist(), points[ends].tolist()))
+    return list(zip(points[starts].tolist(), points[ends].tolist()))
+
+
+def written(ranges: list[tuple[int, int]], least: int = 0, most: int = sys.maxunicode) -> str:
+    """Ranges between two code points, inside a bracket expression."""
+    return "".join(f"\\U{max(a, least):08x}-\\U{min(b, most):08x}" for a, b in ranges if a <= most and b >= least)
+
+
+def patterns(pattern: str) -> tuple[str, str]:
+    """The pattern for Python's re, for texts of the basic plane and for all texts. re tells characters of the basic plane
+    by a table but tries the ranges above it one by one, so those are only tried on characters above it."""
+    letters, numbers, blanks = map(characters_of, CLASSES)
+    last, above = 0xFFFF, "\\U00010000-\\U0010ffff"
+    out = []
+    for wide in (False, True):
+
+        def run(ranges: list[tuple[int, int]], negated: str = "", wide: bool = wide) -> str:
+            low = f"[{negated}{written(ranges, 0, last)}{above if negated and wide else ''}]"
+            return f"(?:{low}+|(?=[{above}])[{negated}{written(ranges, last + 1)}])+" if wide else f"{low}+"
+
+        one = written(blanks)
+        p = pattern.replace(r"[^\s\p{L}\p{N}]+", run(sorted(blanks + letters + numbers), "^")).replace(r"\S", f"[^{one}]")
+        p = p.replace(r"\p{L}+", run(letters)).replace(r"\p{N}+", run(numbers)).replace(r"\s", f"[{one}]")
+        if r"\p" in p:
+            raise ValueError(f"a class of the pattern isn't known: {p[:200]}")
+        out.append(p)
+    return out[0], out[1]
 
 
 @dataclass
 class Ranks:
-    """Ids by bytes and the pattern of pre-tokens, written out for Python's re."""
+    """Ids by bytes and the patterns of pre-tokens, written out for Python's re."""
 
     ids: dict[bytes, int]
-    pattern: str
+    narrow: str
+    wide: str
     chunk: int = CHUNK
     overlap: int = OVERLAP
-    words: re.Pattern = field(init=False)
 
     def __post_init__(self) -> None:
-        self.words = re.compile(self.pattern)
+        self._compiled = re.compile(self.narrow), re.compile(self.wide)
+
+    def words(self, text: str) -> re.Pattern:
+        """The pattern for a text."""
+        return self._compiled[ABOVE.search(text) is not None]
 
     @classmethod
     def load(cls, path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk: int = CHUNK, overlap: int = OVERLAP) -> Ranks:
         lines = Path(path or public_tokenizers.path(DEFAULT_RANKS)).read_bytes().splitlines()
         ids = {base64.b64decode(token): int(i) for token, i in map(bytes.split, lines)}
-        letters, numbers, blanks = map(characters_of, CLASSES)
-        negated = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{blanks}{letters}{numbers}]").replace(r"\S", f"[^{blanks}]")
-        return cls(ids, negated.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]").replace(r"\s", f"[{blanks}]"), chunk, overlap)
+        return cls(ids, *patterns(pattern), chunk, overlap)
 
     @cached_property
     def surface(self) -> list[bytes | None]:
@@ -130,7 +160,7 @@ class Encoder(Remembered):
         return np.array(self.merged(key.encode()), dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.words.findall(text)))
+        return b"".join(map(self.__getitem__, self.words(text).findall(text)))
 
 
 def ends_of(words: re.Pattern, text: str) -> np.ndarray:
@@ -189,7 +219,7 @@ def encode_long(texts: DataFrame, ranks: Ranks) -> DataFrame:
     def pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value.words
         for b in batches:
-            ends = [sure_ends(words, t, last).astype("<i4").tobytes() for t, last in zip(b.column("text").to_pylist(), b.column("last").to_pylist())]
+            ends = [sure_ends(words(t), t, last).astype("<i4").tobytes() for t, last in zip(b.column("text").to_pylist(), b.column("last").to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ends, pa.binary())], [*b.schema.names, "ends"])
 
     cut_up = arrow_map(dealt, pretokenise, f"doc_id {kind}, digest string, times long, chunk int, last boolean, text string, ends binary")
@@ -198,7 +228,7 @@ def encode_long(texts: DataFrame, ranks: Ranks) -> DataFrame:
         rows = rows.sort_values("chunk")
         text = "".join([t[:size] for t in rows["text"].iloc[:-1]]) + rows["text"].iloc[-1]
         ends = [np.frombuffer(e, dtype="<i4").astype(np.int64) + c * size for e, c in zip(rows["ends"], rows["chunk"])]
-        parts = [(text[at : int(e[-1])], (e - at).astype("<i4").tobytes()) for at, e in stitched(shared.value.words, text, size, ends)]
+        parts = [(text[at : int(e[-1])], (e - at).astype("<i4").tobytes()) for at, e in stitched(shared.value.words(text), text, size, ends)]
         out = pd.DataFrame({"part": range(len(parts)), "text": [t for t, _ in parts], "ends": [e for _, e in parts]})
         return out.assign(doc_id=rows["doc_id"].iloc[0], digest=rows["digest"].iloc[0], times=rows["times"].iloc[0])[["doc_id", "digest", "times", "part", "text", "ends"]]
 

@@ -46,7 +46,7 @@ def test_classes_are_the_librarys_for_every_character(ranks, library):
     text = "".join(f"{c}a{c} 1{c}" for c in every)
     e = bytepairs.Encoder(ranks)
     e.size = 1 << 40
-    assert e.words.findall(text[:200]) and as_list(e.encode(text)) == library.encode_ordinary(text)
+    assert as_list(e.encode(text)) == library.encode_ordinary(text)
 
 
 @settings(max_examples=200, deadline=None)
@@ -54,9 +54,10 @@ def test_classes_are_the_librarys_for_every_character(ranks, library):
 def test_chunks_stitched_are_the_pieces_of_the_whole(ranks, text):
     for chunk, overlap in ((16, 8), (40, 4), (16, 0)):
         n = -(-len(text) // chunk)
-        ends = [bytepairs.sure_ends(ranks.words, text[i * chunk : (i + 1) * chunk + overlap], (i + 1) * chunk >= len(text)) + i * chunk for i in range(n)]
-        found = list(bytepairs.stitched(ranks.words, text, chunk, ends))
-        assert np.concatenate([e for _, e in found]).tolist() == bytepairs.ends_of(ranks.words, text).tolist()
+        words = ranks.words(text)
+        ends = [bytepairs.sure_ends(words, text[i * chunk : (i + 1) * chunk + overlap], (i + 1) * chunk >= len(text)) + i * chunk for i in range(n)]
+        found = list(bytepairs.stitched(words, text, chunk, ends))
+        assert np.concatenate([e for _, e in found]).tolist() == bytepairs.ends_of(words, text).tolist()
         assert [at for at, _ in found] == [0, *(int(e[-1]) for _, e in found)][:-1]
 
 

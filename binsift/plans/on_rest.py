@@ -245,7 +245,7 @@ def k14b(s: Source) -> DataFrame:
 @query("k21_learned_roles", "SELECT fn, arg_max(analysis_type, (conf_pct, analysis_type)) AS role FROM b_sem GROUP BY fn")
 def k21(s: Source) -> DataFrame:
     rows = s.b_sem.select("fn", F.col("analysis_type").alias("role"), F.col("conf_pct").alias("confidence"))
-    return store.learned_roles(rows).select(F.explode("roles").alias("fn", "role"))
+    return store.learned_roles(rows)
 
 
 @query("f14_fallback_verdicts", "SELECT cand_id, fn, sink_fn, conf_pct > 50 AS confirmed, round(conf_pct / 100.0::DOUBLE * 0.8e0, 6) AS confidence FROM b_candidates WHERE match_kind = 'NO_MATCH'")

@@ -313,11 +313,13 @@ def _contexts(joined: DataFrame, length: int, anchor: int) -> DataFrame:
                         seen[g, p] = [m, raws[d][x:y][::-1], raws[d][y:z]]
                     else:
                         got[0] += m
-                for k in np.flatnonzero(hot).tolist():
+                warm = np.flatnonzero(hot)
+                _, first, many = np.unique(s[warm], return_index=True, return_counts=True)  # equal contexts hold equal strings
+                for k, m in zip(warm[first].tolist(), many.tolist()):
                     raw = raws[doc[k]]
                     for x in range(int(lo[k]), int(hi[k]) - length + 1):
                         key = (int(h[k]), int(s[k]), int(at[k]) - x, raw[x : x + length])
-                        counted[key] = counted.get(key, 0) + 1
+                        counted[key] = counted.get(key, 0) + m
                     if len(counted) > 50_000:
                         yield from out()
                 if len(seen) > 40_000:

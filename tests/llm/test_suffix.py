@@ -98,3 +98,13 @@ def test_null_ids_of_many_texts(docs):
     shared = words(draw, 80)
     rows = [(None, f"{words(draw, 20)} {shared if k % 3 else ''} {words(draw, 20)}") for k in range(60)]
     assert result(docs(rows)) == sorted(brute(rows), key=repr)
+
+
+def test_long_texts_of_few_bytes(docs, monkeypatch):
+    """Every place is an anchor and all are hot; equal contexts are counted once."""
+    monkeypatch.setattr(suffix, "HOT", 50)
+    rows = list(enumerate(["a" * 3000, "ab" * 1200, "abc" * 700 + "x" + "abc" * 100, "b" * 150, "q" * 199 + "ab" * 150]))
+    assert result(docs(rows)) == sorted(brute(rows), key=repr)
+    begun = time.time()
+    assert [(r.n_bytes, r.n_removed) for r in suffix.dedup(docs([(1, "a" * 1_000_000)])).collect()] == [(1_000_000, 1_000_000)]
+    assert time.time() - begun < 60

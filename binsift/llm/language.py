@@ -32,6 +32,10 @@ from ._spark import arrow_map, fold
 WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of the training sample: rows of each language, characters of a row, n-grams kept of a language.
 ROWS_PER_LANG, MAX_CHARS, GRAMS = 1000, 20_000, 50_000
+#: The same of all languages together, which many share: rows of the sample and n-grams of the model.
+ALL_ROWS, ALL_GRAMS = 20_000, 1_000_000
+#: Values of a model that tasks unfold into a table of n-grams by languages.
+TABLE = 4_000_000
 #: Nats that a change of language costs.
 PENALTY = 12.0
 #: Nats at most that one word tells a language from others, and what a language costs that isn't written in its script.
@@ -60,17 +64,48 @@ def grams(word: str) -> list[str]:
     return [w[i : i + 3] for i in range(len(w) - 2)] + [w]
 
 
+@dataclass
+class Likelihoods:
+    """Log-likelihoods of n-grams by language, less their mean: a value of unseen n-grams for each language, and of each
+    n-gram the languages it was seen in (`of[starts[i]:starts[i + 1]]`) with what they gain, and its mean gain. Grows with
+    the n-grams kept of all languages together, not with n-grams times languages."""
+
+    unseen: np.ndarray
+    starts: np.ndarray
+    of: np.ndarray
+    gain: np.ndarray
+    shift: np.ndarray
+
+    def table(self) -> np.ndarray | None:
+        """All of it as a table, for fewer look-ups a word; None if it has more than TABLE values."""
+        n, k = len(self.shift), len(self.unseen)
+        if n * k > TABLE:
+            return None
+        out = self.unseen[None, :] - self.shift[:, None]
+        out[np.repeat(np.arange(n), np.diff(self.starts)), self.of] += self.gain
+        return out
+
+    def added(self, grams: list[int]) -> np.ndarray:
+        """Sum over n-grams."""
+        parts = [slice(self.starts[i], self.starts[i + 1]) for i in grams]
+        out = len(grams) * self.unseen - self.shift[grams].sum()
+        for p in parts:
+            out[self.of[p]] += self.gain[p]
+        return out
+
+
 @dataclass
 class Model:
     langs: list[str]
     index: dict[str, int]
-    table: np.ndarray
+    likelihoods: Likelihoods
     scripts: dict[str, np.ndarray]
 
 
 def fit(rows: list[tuple[str, str]], keep: int = GRAMS) -> Model:
     """Learn n-gram log-likelihoods and scripts from (text, language)."""
     langs = sorted({lang for text, lang in rows if WORD.search(text)})
+    keep = max(1, min(keep, ALL_GRAMS // max(1, len(langs))))
     counts: dict[str, Counter] = {lang: Counter() for lang in langs}
     seen: dict[str, Counter] = {lang: Counter() for lang in langs}
     words: dict[str, Counter] = {lang: Counter() for lang in langs}
@@ -83,16 +118,21 @@ def fit(rows: list[tuple[str, str]], keep: int = GRAMS) -> Model:
             for g in grams(w):
                 counts[lang][g] += n
         counts[lang] = Counter(dict(sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:keep]))
-    vocabulary = sorted(set().union(*counts.values())) if langs else []
-    total = {lang: sum(counts[lang].values()) + 0.5 * len(vocabulary) for lang in langs}
-    table = np.array([[np.log((counts[lang][g] + 0.5) / total[lang]) for lang in langs] for g in vocabulary]) if vocabulary else np.zeros((0, len(langs)))
+    index = {g: i for i, g in enumerate(sorted(set().union(*counts.values())))} if langs else {}
+    n = len(index)
+    # An n-gram's likelihood is that of one never seen plus log(2 count + 1) where it was: only those are kept.
+    at = np.array([index[g] for lang in langs for g in counts[lang]], dtype=np.int64)
+    of = np.repeat(np.arange(len(langs)), [len(counts[lang]) for lang in langs])
+    gain = np.log(2 * np.array([c for lang in langs for c in counts[lang].values()], dtype=np.float64) + 1)
+    order = np.argsort(at, kind="stable")
+    unseen = np.log(0.5 / np.array([sum(counts[lang].values()) + 0.5 * n for lang in langs])) if n else np.zeros(len(langs))
     # Each n-gram tells the languages apart only by its differences; unseen ones tell nothing.
-    if vocabulary:
-        table = (table - table.mean(1, keepdims=True)) / 3
+    shift = np.bincount(at, gain, n) / max(1, len(langs))
+    likelihoods = Likelihoods((unseen - unseen.mean()) / 3 if n else unseen, np.searchsorted(at[order], np.arange(n + 1)), of[order].astype(np.int32), gain[order] / 3, shift / 3)
     scripts: dict[str, np.ndarray] = {}
     for name in {s for lang in langs for s in seen[lang]}:
         scripts[name] = np.array([seen[lang][name] > 0.01 * sum(seen[lang].values()) for lang in langs])
-    return Model(langs, {g: i for i, g in enumerate(vocabulary)}, table, {k: v for k, v in scripts.items() if v.any()})
+    return Model(langs, index, likelihoods, {k: v for k, v in scripts.items() if v.any()})
 
 
 class Words(dict):
@@ -101,6 +141,7 @@ class Words(dict):
 
     def __init__(self, model: Model):
         self.m = model
+        self.table = model.likelihoods.table()
         self.scores = np.zeros((1024, len(model.langs)))
         self.old: dict[str, int] = {}
         self.old_scores = self.scores
@@ -121,7 +162,8 @@ class Words(dict):
             value = 0.0
         else:
             get = m.index.get
-            value = np.clip(m.table[[i for g in grams(word) if (i := get(g)) is not None]].sum(0), -MOST, MOST)
+            known = [i for g in grams(word) if (i := get(g)) is not None]
+            value = np.clip(m.likelihoods.added(known) if self.table is None else self.table[known].sum(0), -MOST, MOST)
             if not allowed.all():
                 value = np.where(allowed, value, -BARRED)
         self.scores[row] = value
@@ -218,6 +260,7 @@ def train(docs: DataFrame, where: Column | None = None, rows_per_lang: int = ROW
     if not of:
         return fit([])
     used = {r.lang: r for r in sorted(of, key=lambda r: not r["_long"])}  # short ones replace long ones
+    rows_per_lang = max(1, min(rows_per_lang, ALL_ROWS // len(used)))
     plan = [(r.lang, r["_long"], max(int(min(1.0, rows_per_lang / r.n) * 1_000_000), r.least + 1)) for r in used.values()]
     bounds = docs.sparkSession.createDataFrame(plan, "lang string, _long boolean, _bound long")
     taken = lettered.join(F.broadcast(bounds), ["lang", "_long"]).filter("_draw < _bound")

@@ -158,11 +158,15 @@ def fold(doc_id: str = "doc_id", mod: int = 3) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod
 
 
-def sample_of_labels(labels: DataFrame, label: str, per_class: int) -> list[tuple[int, int]]:
-    """(doc_id, label) of at most per_class rows of each of the labels 0 and 1, in the order of a hash of the id."""
+def sample_of_labels(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int) -> list[tuple[int, int]]:
+    """(doc_id, label) of at most per_class ids of each of the labels 0 and 1 that have a text of 1 to max_chars characters,
+    in the order of a hash of the id. Only ids are joined, before any is left out for the bound."""
+    usable = docs.filter(F.length(F.col("text").cast("string")).between(1, max_chars)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    given = labels.filter(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("_label")).distinct()
+    held = saved(given.join(usable, "doc_id", "left_semi"))
     rows: list[tuple[int, int]] = []
     for value in (0, 1):
-        part = labels.filter(F.col(label) == value).select("doc_id").distinct()
+        part = held.filter(F.col("_label") == value).select("doc_id")
         part = part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         rows += [(r.doc_id, value) for r in part.collect()]
     return rows

@@ -113,8 +113,8 @@ def learnable(labels: DataFrame, held_out_fold: int = 0, mod: int = 5) -> DataFr
 
 
 def train(docs: DataFrame, learn: DataFrame, rows_per_label: int = ROWS_PER_LABEL, max_chars: int = MAX_CHARS) -> Model:
-    """Fit on a bounded sample of labelled rows."""
-    return fit(texts_of(docs, sample_of_labels(learn, "quality", rows_per_label), max_chars))
+    """Fit on a bounded sample of labelled rows that have a text."""
+    return fit(texts_of(docs, sample_of_labels(docs, learn, "quality", rows_per_label, max_chars), max_chars))
 
 
 def cut_at(scored: DataFrame, learn: DataFrame) -> float:

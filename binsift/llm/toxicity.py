@@ -141,7 +141,7 @@ def score(docs: DataFrame, model: Model, offending: float = 0.5) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 1, mod: int = 3, rows_per_label: int = ROWS_PER_LABEL, max_chars: int = MAX_CHARS) -> Model:
     """Fit on labelled rows outside the held-out fold; at most rows_per_label of each label."""
     learn = labels.filter(F.col("doc_id").isNotNull() & (fold(mod=mod) != held_out_fold))
-    return fit(texts_of(docs, sample_of_labels(learn, "toxic", rows_per_label), max_chars))
+    return fit(texts_of(docs, sample_of_labels(docs, learn, "toxic", rows_per_label, max_chars), max_chars))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

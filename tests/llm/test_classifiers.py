@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from binsift.llm import language, quality, toxicity
-from binsift.llm._spark import table, texts_of
+from binsift.llm._spark import sample_of_labels, table, texts_of
 from binsift.llm.queries import QUERIES
 
 MEDIUM = "/root/testdata/sf0.01"
@@ -213,3 +213,38 @@ def test_caches_keep_no_long_words():
     w = toxicity._Weights(np.zeros(toxicity.DIMENSIONS, dtype=np.float32))
     w["a" * 1000], w["b"]  # noqa: B018
     assert list(w) == ["b"]
+
+
+def test_few_and_many_languages_score_alike(monkeypatch):
+    rng = random.Random(3)
+    rows = [(" ".join("".join(rng.choices("abcdefghijklm"[k : k + 9], k=rng.randrange(2, 8))) for _ in range(200)), f"l{k}") for k in range(4)]
+    m = language.fit(rows)
+    table = m.likelihoods.table()
+    assert table is not None and np.allclose(table.mean(1), 0)
+    for _ in range(50):
+        some = rng.sample(range(len(m.index)), 6)
+        assert np.allclose(m.likelihoods.added(some), table[some].sum(0))
+    texts = [" ".join(t.split()[:30]) for t, _ in rows] + ["abc xyz"]
+    small = [language.label(t, language.Words(m))[:2] for t in texts]
+    monkeypatch.setattr(language, "TABLE", 0)
+    assert m.likelihoods.table() is None
+    large = [language.label(t, language.Words(m))[:2] for t in texts]
+    assert [x[0] for x in small] == [x[0] for x in large] == ["l0", "l1", "l2", "l3", large[4][0]] and np.allclose([x[1] for x in small], [x[1] for x in large])
+
+
+def test_a_model_of_many_languages_is_bounded(monkeypatch):
+    monkeypatch.setattr(language, "ALL_GRAMS", 20_000)
+    rng = random.Random(4)
+    rows = [(" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(300)), f"l{k:03d}") for k in range(200)]
+    m = language.fit(rows)
+    size = sum(x.nbytes for x in (m.likelihoods.unseen, m.likelihoods.starts, m.likelihoods.of, m.likelihoods.gain, m.likelihoods.shift))
+    assert len(m.langs) == 200 and len(m.likelihoods.gain) <= 20_000 and size < 1_000_000
+
+
+def test_labels_without_a_text_take_no_places_of_the_sample(spark):
+    docs = spark.createDataFrame([(i, "" if i < 40 else None if i < 60 else "x" * 30 if i < 80 else f"text {i}") for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5000)], "doc_id long, quality int")
+    drawn = sample_of_labels(docs, labels, "quality", 8, 20)
+    assert len(drawn) == 16 and all(80 <= i < 100 and i % 2 == v for i, v in drawn)
+    assert len(texts_of(docs, drawn, 20)) == 16
+    assert len(sample_of_labels(docs, labels.unionByName(labels), "quality", 50, 20)) == 20

@@ -2,12 +2,17 @@
 
 Pass one classifies each text block by stop-word density, length and link density as good, bad or undecided; page
 furniture (menus, headers and footers of the page, sidebars, forms, adverts, notices, comments), told by element or by
-class and id tokens, is bad outright. Tokens that articles use too (`legal`, `related`, `search`, ...) only count outside
-of article elements, and not at all on a page that would have no text otherwise. Article elements decide for their page
-unless more good text stands outside of them; then they are teasers. Where most text of a page has the stop words of no
-known language, length and link density alone tell good from bad. Pass two gives undecided blocks, which are short, the
-label of the nearest decided neighbour inside the same article element (ties go to good); undecided blocks without one
-are bad.
+class and id names, is bad outright. A compound name counts if all its parts speak of furniture or of layout
+(`share-buttons`, not `share-price`). Other names with such a part, and names that articles use too (`legal`, `related`,
+`search`, ...), only count outside of article elements, and not at all on a page that would have no text otherwise.
+
+An article element with text decides for its page, whatever stands beside it and however long; without one, a main
+element does. Only articles named as teasers, or several that are all short and led by a link, give way to more good text
+outside of them. Inside an article every block that isn't furniture is text, but for lists of links; link density
+tells menus from text outside. Where most text of a page has the stop words of no known language, length and link density
+alone tell good from bad. Pass two gives undecided blocks, which are short, the label of the nearest decided neighbour
+inside the same article element (ties go to good); undecided blocks without one are bad, unless nothing on the page is
+good: then they are its text.
 
 The page is read once from left to right: every search for an end (of a quote, a comment, an element) is remembered until
 it is passed, so time grows with the length of a page whatever stands in it.
@@ -39,20 +44,28 @@ FURNITURE = frozenset("nav aside footer button dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements whose content is no markup, and elements whose content isn't shown as text.
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
-UNSEEN = frozenset("svg math object canvas select template noscript audio video datalist".split())
+UNSEEN = frozenset("svg annotation object canvas select template noscript audio video datalist".split())
 #: Of those, the ones that the start of a block ends.
-FOREIGN = frozenset("svg math select canvas".split())
+FOREIGN = frozenset("svg select canvas".split())
 #: Elements that their next sibling ends.
 SIBLINGS = frozenset("p li option td th tr dt dd".split())
 #: Tokens of class, id and role that name page furniture.
 CUES = frozenset(
     "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo banner cookie cookies consent gdpr popup modal newsletter subscribe subscription"
-    " nav navbar navigation breadcrumb breadcrumbs pagination pager sidebar share sharing comment comments reply replies disqus footer masthead topbar toolbar".split()
+    " nav navbar navigation breadcrumb breadcrumbs pagination pager sidebar share sharing comment comments reply replies responses commentlist disqus footer masthead topbar toolbar".split()
+)
+#: Those that name comments of readers: an article element inside is one of them.
+COMMENTS = frozenset("comment comments reply replies responses commentlist disqus".split())
+#: Parts of compound names that speak of layout.
+LAYOUT = frozenset(
+    "list area section sections wrapper wrap container content box block bar button buttons link links icon icons tool tools slot unit inner outer left right top bottom upper lower center middle main primary secondary"
+    " site page post entry item items row col column columns grid panel group holder body text title count policy dialog message sticky fixed floating mobile desktop small large big wide narrow full inline js is has no up in the and of"
+    " global local first last header head menu form overlay image img frame zone place placeholder label thread feed stream sm md lg xl".split()
 )
 #: Tokens that name it only outside of articles, and tokens of articles that stand for others.
-DOUBTFUL = frozenset("notice notices alert overlay signup login menu aside widget widgets related recommended recommendations promotion social discussion copyright legal search form header".split())
+DOUBTFUL = frozenset("notice notices alert overlay signup login menu aside widget widgets related recommended recommendations promotion social discussion copyright legal search form header response thread".split())
 TEASER = frozenset("teaser teasers card preview excerpt".split())
-PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+PARTS = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:;|!|$)", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 #: The most frequent function words of English, German, French and Spanish.
@@ -83,6 +96,7 @@ class Rules:
     stop_low: float = 0.15
     stop_high: float = 0.25
     links: float = 0.3
+    list_links: float = 0.8
 
 
 @dataclass
@@ -92,6 +106,8 @@ class Block:
     furniture: bool
     doubtful: bool
     article: int
+    main: bool = False
+    listed: int = 0
     label: str = ""
 
 
@@ -207,13 +223,33 @@ class Scanner:
         return len(self.page) if end < 0 else end
 
 
-def _tokens_of(attrs: dict[str, str]) -> set[str]:
-    """Tokens of class, id and role."""
-    found: set[str] = set()
+@dataclass
+class Names:
+    """What the class, id and role names of an element say."""
+
+    cued: bool = False
+    doubtful: bool = False
+    teaser: bool = False
+    comment: bool = False
+
+
+NO_NAMES = Names()
+
+
+def _names_of(attrs: dict[str, str]) -> Names:
+    out = Names()
     for key in ("class", "id", "role"):
-        if value := attrs.get(key):
-            found.update(PARTS.split(value.lower()))
-    return found
+        for name in attrs.get(key, "").split():
+            parts = {p.lower() for p in PARTS.split(name) if p}
+            if parts & CUES:
+                rest = parts - CUES - DOUBTFUL - LAYOUT
+                sure = not any(len(p) > 1 and not p.isdigit() for p in rest)
+                out.cued |= sure
+                out.doubtful |= not sure
+                out.comment |= sure and bool(parts & COMMENTS)
+            out.doubtful |= bool(parts & DOUBTFUL)
+            out.teaser |= bool(parts & TEASER)
+    return out
 
 
 def _hidden(attrs: dict[str, str]) -> bool:
@@ -224,26 +260,27 @@ def _hidden(attrs: dict[str, str]) -> bool:
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order, with the number of linked characters, whether furniture, and the article they stand in."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # open elements: name, furniture and doubtful below it, article number
+    # open elements: name, and below it furniture, doubtful, article number, main, comments, number of the list
+    stack: list[tuple[str, bool, bool, int, bool, bool, int]] = []
     opened: Counter[str] = Counter()
     parts: list[str] = []
-    linked = links = articles = breaks = 0
-    furniture, doubtful, article = False, False, 0
+    linked = links = articles = breaks = lists = 0
+    furniture, doubtful, article, main, comment, listed = nothing = False, False, 0, False, False, 0
 
     def flush() -> None:
         nonlocal linked, breaks
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, min(linked, len(text)), furniture, doubtful, article))
+                out.append(Block(text, min(linked, len(text)), furniture, doubtful, article, main, listed))
             parts.clear()
         linked = breaks = 0
 
     def pop() -> str:
-        nonlocal furniture, doubtful, article
+        nonlocal furniture, doubtful, article, main, comment, listed
         name = stack.pop()[0]
         opened[name] -= 1
-        furniture, doubtful, article = stack[-1][1:] if stack else (False, False, 0)
+        furniture, doubtful, article, main, comment, listed = stack[-1][1:] if stack else nothing
         return name
 
     for text, name, closing, attrs in Scanner(page).tokens():
@@ -263,8 +300,8 @@ def blocks(page: str) -> list[Block]:
             if breaks == 2:
                 flush()
             continue
-        tokens = _tokens_of(attrs) if attrs else set()
-        if name not in BLOCK and not (name == "span" and (tokens & CUES or closing and stack and stack[-1][0] == "span")):
+        names = _names_of(attrs) if attrs else NO_NAMES
+        if name not in BLOCK and not (name == "span" and (names.cued or closing and stack and stack[-1][0] == "span")):
             continue
         flush()
         links = 0
@@ -277,22 +314,34 @@ def blocks(page: str) -> list[Block]:
             continue
         if stack and (stack[-1][0] == "p" and name != "span" or stack[-1][0] == name in SIBLINGS):
             pop()  # a block ends an open paragraph, a list item the one before it
-        cued = bool(tokens & CUES) and name not in ("html", "body", "main")
-        if name in ("article", "main") and not article:
-            articles += 1
-            article = articles
-            if articles == 1:  # what wraps the page's article isn't furniture for its class
+        cued = names.cued and name not in ("html", "body", "main")
+        comment |= cued and names.comment
+        if comment:
+            furniture = True
+        elif name == "article" and not article or name == "main" and not main and not article:
+            if not articles and not main:  # what wraps the page's article isn't furniture for its class
                 furniture = any(opened[x] for x in FURNITURE)
-            doubtful = cued or bool(tokens & TEASER)
-        elif name in FURNITURE or cued or name == ("form" if article else "header"):
+            if name == "main":
+                main = True
+            else:
+                articles += 1
+                article = articles
+            doubtful = name == "article" and (cued or names.teaser)
+        elif name in FURNITURE or cued or name == ("form" if article or main else "header"):
             furniture = True
-        elif not article and (name == "form" or tokens & DOUBTFUL and name not in ("html", "body")):
+        elif not (article or main) and (name == "form" or names.doubtful and name not in ("html", "body")):
             doubtful = True
+        if name in ("ul", "ol"):
+            lists += 1
+            listed = lists
         if attrs and name not in ("html", "body") and _hidden(attrs):
             furniture = True
-        stack.append((name, furniture, doubtful, article))
+        stack.append((name, furniture, doubtful, article, main, comment, listed))
         opened[name] += 1
     flush()
+    if not any(b.article and not b.furniture for b in out):
+        for b in out:
+            b.article = int(b.main)
     return out
 
 
@@ -303,8 +352,24 @@ def _density(text: str) -> float:
 
 def _first_pass(found: list[Block], rules: Rules, doubts: bool) -> None:
     """Labels by furniture, article elements, length, link density and stop-word density."""
-    text_of = [not (b.furniture or doubts and b.doubtful or b.linked > rules.links * len(b.text)) for b in found]
-    inside = sum(len(b.text) for b, ok in zip(found, text_of) if ok and b.article)
+    chars, in_links = Counter(), Counter()
+    for b in found:
+        chars[b.listed] += len(b.text)
+        in_links[b.listed] += b.linked
+
+    def menu(b: Block) -> bool:
+        """Whether links tell that a block is none of the text."""
+        if b.article:
+            return b.listed > 0 and in_links[b.listed] > rules.list_links * chars[b.listed]
+        return b.linked > rules.links * len(b.text)
+
+    text_of = [not (b.furniture or doubts and b.doubtful or menu(b)) for b in found]
+    articles: dict[int, list[Block]] = {}
+    for b, ok in zip(found, text_of):
+        if ok and b.article:
+            articles.setdefault(b.article, []).append(b)
+    inside = sum(len(b.text) for own in articles.values() for b in own)
+    teasers = len(articles) > 1 and all(all(len(b.text) < rules.long for b in own) and any(b.linked >= rules.list_links * len(b.text) for b in own) for own in articles.values())
     # Stop words, of the blocks that need them: those outside of articles.
     dense = {i: _density(b.text) for i, (b, ok) in enumerate(zip(found, text_of)) if ok and not b.article and len(b.text) >= rules.short}
     known = sum(len(found[i].text) for i, d in dense.items() if d >= rules.stop_low)
@@ -323,7 +388,7 @@ def _first_pass(found: list[Block], rules: Rules, doubts: bool) -> None:
             b.label = "bad"
     outside = sum(len(b.text) for b in found if b.label == "good" and not b.article)
     for b in found:
-        if bool(b.article) == (inside < outside) and inside:
+        if inside and bool(b.article) == (teasers and inside < outside):
             b.label = "bad"
 
 
@@ -332,21 +397,25 @@ def classify(found: list[Block], rules: Rules) -> list[Block]:
     _first_pass(found, rules, True)
     if any(b.doubtful for b in found) and not any(b.label == "good" or b.label == "undecided" and b.article for b in found):
         _first_pass(found, rules, False)
-    # Nearest decided neighbour of the same article on either side; furniture decides only for text outside articles.
+    # Nearest decided neighbour of the same article on either side; inside articles only text decides.
     near: list[list[tuple[int, str]]] = [[] for _ in found]
     for order in (range(len(found)), range(len(found) - 1, -1, -1)):
         last: dict[int, tuple[int, str]] = {}
         for i in order:
             b = found[i]
             if b.label != "undecided":
-                if not (b.furniture and b.article):
+                if not (b.article and b.label == "bad"):
                     last[b.article] = (i, b.label)
             elif b.article in last:
                 near[i].append((abs(i - last[b.article][0]), last[b.article][1]))
     for b, options in zip(found, near):
         if b.label == "undecided":
             close = min((d for d, _ in options), default=None)
-            b.label = "good" if any(d == close and x == "good" for d, x in options) or (b.article and not options) else "bad"
+            b.label = "good" if any(d == close and x == "good" for d, x in options) or (b.article and not options) else "short"
+    rest = "bad" if any(b.label == "good" for b in found) else "good"
+    for b in found:
+        if b.label == "short":
+            b.label = rest
     return found
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+from collections import Counter
 from html.parser import HTMLParser
 
 import pytest
@@ -83,6 +84,96 @@ def test_recall_and_precision_without_article_elements():
     assert kept / wanted >= 0.98 and kept / given >= 0.98
 
 
+LONG = (T + " ") * 3
+CASES = {
+    "a longer div beside": (f"<article><p>{T} And so on.</p></article><div><p>{LONG}</p></div>", [T + " And so on."]),
+    "responses beside": (f"<article>{G}</article><section class='responses'><p>{LONG}</p></section>", [T]),
+    "responses without article": (f"<div id=content>{G}</div><section class='responses'><p>{LONG}</p></section>", [T]),
+    "comments as articles": (f"<main><h1>Head</h1>{G}<div class=comments><article><p>{LONG}</p></article></div></main>", ["Head", T]),
+    "linked headline and paragraphs": (f"<article><h1><a href=/x>The headline of it all</a></h1>{G}<p>See <a href=/y>{T}</a></p></article>", ["The headline of it all", T, f"See {T}"]),
+    "compound names of the text": (f"<article><p class='share-price'>{T}</p><p class='ad-hoc-report'>Short.</p><p id=commentary-1>{T}</p></article>", [T, "Short.", T]),
+    "compound names of furniture": (f"<article>{G}<div class='share-buttons'>Share</div><div class=shareBar>it</div><div id=comments-area-2><p>{T}</p></div><div class='post-comments'>{G}</div></article>", [T]),
+    "mathematics": (f"<article><p>We know <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds. {T}</p></article>", [f"We know x=1 holds. {T}"]),
+    "short paragraphs": ("<div><p>One two.</p><p>Three.</p></div><nav><a href=/>home</a></nav>", ["One two.", "Three."]),
+    "an article in main": (f"<main><div><p>{LONG}</p></div><article><h1>A</h1>{G}</article></main>", ["A", T]),
+    "teasers led by links": (f"<div><p>{LONG}</p></div>" + f"<article><h2><a href=/1>One story</a></h2>{G}</article>" * 2, [LONG.strip()]),
+    "lists": (f"<article>{G}<ul><li>One</li><li>Two <a href=/>x</a></li></ul><ul><li><a href=/>Home page</a></li><li><a href=/>Away page</a></li></ul></article>", [T, "One", "Two x"]),
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_the_article_is_neither_swapped_nor_thinned(name):
+    page, wanted = CASES[name]
+    assert html.main_text(page)[0].split("\n") == wanted
+
+
+def nested_page(draw: random.Random) -> tuple[str, list[str]]:
+    """A page of random nesting with one or two articles among text that isn't theirs, and the texts of the articles."""
+    words = "the of and a river stone house that it was in to with old green walk light for on hill".split()
+    sentence = lambda lo, hi: " ".join(draw.choice(words) for _ in range(draw.randint(lo, hi))).capitalize() + "."
+    truth: list[str] = []
+
+    def wrapped(inner: str, depth: int) -> str:
+        for _ in range(depth):
+            e = draw.choice(["div", "section", "div"])
+            inner = f"<{e}{draw.choice(['', ' class=row', ' class="layout-two wide"', ' id=page-7', ' class=share-price', ' class="grid ad-free"'])}>{inner}</{e}>"
+        return inner
+
+    def piece(k: int) -> str:
+        kind = draw.choice(["p", "p", "p", "h2", "li", "quote", "linked", "short", "math", "named", "pre"])
+        text = sentence(1, 6) if kind in ("h2", "short") else sentence(8, 60)
+        truth.append(text)
+        if kind == "h2":
+            return f"<h2>{draw.choice([text, f'<a href=/{k}>{text}</a>'])}</h2>"
+        if kind == "li":
+            truth.append(other := sentence(3, 9))
+            return f"<ul><li>{text}<li>{other}</ul>"
+        if kind == "quote":
+            return f"<blockquote><p>{text}</p></blockquote>"
+        if kind == "linked":
+            return f"<p><a href=/{k}>{text[: len(text) * 2 // 3]}</a>{text[len(text) * 2 // 3 :]}</p>"
+        if kind == "math":
+            truth[-1] = f"Then x<y holds. {text}"
+            return f"<p>Then <math><mi>x</mi><mo>&lt;</mo><mi>y</mi></math> holds. {text}</p>"
+        if kind == "named":
+            return f"<p class='{draw.choice(['lead', 'ad-hoc', 'comment-worthy', 'legal', 'intro promo-free', 'search-theory'])}'>{text}</p>"
+        return f"<{'pre' if kind == 'pre' else 'p'}>{text}</{'pre' if kind == 'pre' else 'p'}>"
+
+    def noise() -> str:
+        text = f"<p>{sentence(10, 90)}</p>" * draw.randint(1, 2)
+        return draw.choice([
+            f"<div class=ad>{text}</div>", f"<div class='share-links bar'>{text}</div>", f"<aside>{text}</aside>", f"<div id=newsletter-box>{text}</div>", f"<form>{text}</form>", f"<div hidden>{text}</div>",
+            "<ul>" + "".join(f"<li><a href=/{i}>{sentence(1, 4)}</a></li>" for i in range(4)) + "</ul>", f"<div class='comments-list'><article>{text}</article></div>", f"<script>{text}</script>", f"<!-- {text} -->",
+        ])
+
+    def beside() -> str:
+        text = f"<p>{sentence(20, 120)}</p>" * draw.randint(1, 3)
+        return draw.choice([f"<div>{text}</div>", f"<div class=sidebar>{text}</div>", f"<section class=responses>{text}</section>", f"<div class=comments><article class=comment>{text}</article></div>", f"<article class=teaser>{text}</article>", noise()])
+
+    body = ""
+    for a in range(draw.randint(1, 2)):
+        truth.append(text := sentence(20, 60))
+        inner = f"<header><h1>Headline {a} of it</h1></header><p>{text}</p>"
+        truth.insert(len(truth) - 1, f"Headline {a} of it")
+        for k in range(draw.randint(1, 6)):
+            inner += wrapped(piece(k), draw.randint(0, 3)) + (noise() if draw.random() < 0.4 else "")
+        body += wrapped(f"<article class={draw.choice(['post', 'story', 'entry-7'])}>{inner}</article>", draw.randint(0, 4))
+        body += wrapped(beside(), draw.randint(0, 2))
+    body = wrapped(beside(), draw.randint(0, 2)) + body
+    body = f"<main>{body}</main>" if draw.random() < 0.4 else body
+    return f"<html><head><title>x</title></head><body><header class=masthead>{sentence(5, 9)}</header><nav>{sentence(3, 5)}</nav>{body}<footer>{sentence(9, 30)}</footer></body></html>", truth
+
+
+def test_recall_and_precision_on_randomly_nested_pages():
+    kept = wanted = given = 0
+    for seed in range(500):
+        page, truth = nested_page(random.Random(seed))
+        got = html.main_text(page)[0].split("\n")
+        a, b = Counter(got), Counter(truth)
+        kept, wanted, given = kept + (a & b).total(), wanted + b.total(), given + a.total()
+    assert kept / wanted >= 0.98 and kept / given >= 0.98
+
+
 BROKEN = {
     "no end of head": f"<html><head><title>x</title><body>{A}",
     "open svg": f"<svg><path d='1'>{A}",

@@ -28,6 +28,7 @@ def test_main_text():
         "The headline & more",
         "First paragraph of the story, which is long enough to be called a block of text in the article of the page.",
         "Short one.",
+        "See the other page about this with a very long link text inside of it all",
         "Last paragraph with bold éé and a slanted word, and it is again as long as the others are.",
     ]
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import contains_any
-from ..operators import graph, match, ops
+from ..operators import graph, match, ops, vectors
 from .base import Source, query
 
 _N = "(SELECT caller AS node FROM b_graph UNION SELECT callee FROM b_graph)"
@@ -178,4 +178,4 @@ WITH p AS (SELECT a.vec_id AS id, b.vec_id AS store_id, round(list_cosine_simila
 SELECT id, store_id, cos FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cos DESC, store_id) AS n FROM p WHERE cos >= 0.2) t WHERE n = 1""")
 def j10(s: Source) -> DataFrame:
     e = s.embeddings.withColumn("v", F.col("embedding").cast("array<double>"))
-    return graph.nearest(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), F.col("v").alias("vector")), e.select(F.col("vec_id").alias("store_id"), F.col("v").alias("stored")), 0.2)
+    return vectors.search(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), F.col("v").alias("vector")), vectors.index(e.select(F.col("vec_id").alias("store_id"), F.col("v").alias("stored"))), 0.2)

@@ -117,17 +117,6 @@ def test_a_cycle_has_no_longest_path(spark, one_task):
         graph.longest_hops(flow, seeds)
 
 
-def test_nearest_vectors_of_defined_cases(spark):
-    store = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None), (6, [-1.0, 0.0])], "store_id long, stored array<double>")
-    asked = store.select(F.col("store_id").alias("id"), F.col("stored").alias("vector"))
-    for block in (2000, 2):
-        got = {r.id: (r.store_id, r.cos) for r in graph.nearest(asked, store, 0.5, block).collect()}
-        assert got == {1: (2, 1.0), 2: (1, 1.0)}
-    got = graph.nearest(spark.createDataFrame([(9, [3.0, 0.0])], "id long, vector array<double>"), store.repartition(5), 0.9).collect()
-    assert [(r.id, r.store_id) for r in got] == [(9, 1)]  # of equal ones the least id
-    assert graph.nearest(asked.limit(0), store, 0.5).count() == 0 and graph.nearest(asked, store.limit(0), 0.5).count() == 0
-
-
 def test_distances_go_as_far_as_edges_lead(spark, one_task):
     edges = chain(spark, 30).selectExpr("src AS caller", "dst AS callee")
     seeds = spark.createDataFrame([("v30",)], "node string")

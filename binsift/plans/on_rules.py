@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims, names
-from ..operators import match, ops, select, sources
+from ..operators import match, ops, patterns, select, sources
 from .base import Source, query
 
 _ROWS = [r for r in dims.rule_rows()]
@@ -120,7 +120,7 @@ def p16(s: Source) -> DataFrame:
     k = F.col("page_id") % 7
     suffix = F.when(k == 0, "parse_x").when(k == 1, "crc").when(k == 2, "write_y").when(k == 3, "handle_error").when(k == 4, "walk_list").otherwise("zz")
     x = F.lower(F.concat(F.col("url"), F.lit("_"), suffix))
-    return s.pages.select("page_id", select.role_by_name(x).alias("role"), select.role_confidence(x).alias("role_conf"))
+    return patterns.with_role(s.pages.select("page_id", x.alias("x")), "x").select("page_id", "role", "role_conf")
 
 
 _CAT = "CASE " + " ".join(f"WHEN role = '{k}' THEN '{v}'" for k, v in dims.ROLE_CATEGORY.items()) + " END"
@@ -137,8 +137,8 @@ _SRC_CONF = "CASE role " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in d
 
 @query("p23_source_role", f"SELECT callee, role, {_SRC_CONF} AS base_conf, n FROM (SELECT callee, {_SRC} AS role, count(*) AS n FROM b_ops WHERE callee IS NOT NULL GROUP BY 1, 2) t")
 def p23(s: Source) -> DataFrame:
-    role = sources.source_role(F.col("callee"))
-    return s.b_ops.filter("callee IS NOT NULL").groupBy("callee", role.alias("role")).agg(F.count("*").alias("n")).select("callee", "role", sources.base_confidence(F.col("role")).alias("base_conf"), "n")
+    counts = s.b_ops.filter("callee IS NOT NULL").groupBy("callee").agg(F.count("*").alias("n"))
+    return patterns.with_source_role(counts, "callee").select("callee", "role", sources.base_confidence(F.col("role")).alias("base_conf"), "n")
 
 
 _SINKS = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(x, '{n.lower()}') OR contains('{n.lower()}', x)" for n in v) + f" THEN '{k}'" for k, v in dims.SINK_CLASSES.items()) + " ELSE 'GENERIC' END"
@@ -146,7 +146,7 @@ _SINKS = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(x, '{n.lower()}') O
 
 @query("p26_sink_class", f"SELECT callee, {_SINKS} AS sink_class FROM (SELECT DISTINCT callee, lower(callee) AS x FROM b_ops WHERE callee IS NOT NULL) t")
 def p26(s: Source) -> DataFrame:
-    return s.b_ops.filter("callee IS NOT NULL").select("callee", sources.sink_class(F.col("callee")).alias("sink_class")).distinct()
+    return patterns.with_sink_class(s.b_ops.filter("callee IS NOT NULL").select("callee").distinct(), "callee")
 
 
 @query("p27_sink_verify", """
@@ -174,7 +174,8 @@ def e01(s: Source) -> DataFrame:
 
 @query("j22_contains_any", "SELECT doc_id, contains(lower(text), 'moron') OR contains(lower(text), 'licensed') OR contains(lower(text), '@') AS hit FROM documents")
 def j22(s: Source) -> DataFrame:
-    return s.documents.select("doc_id", names.contains_any(F.lower("text"), ["moron", "licensed", "@"]).alias("hit"))
+    found = patterns.matched_rows(s.documents.select("doc_id", F.lower("text").alias("low")), "low", ["moron", "licensed", "@"])
+    return found.select("doc_id", F.when(F.col("low").isNotNull(), patterns.any_of()).alias("hit"))
 
 
 @query("p40_price_lookup", """

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dims
 from ..operators import evidence, fuse, metrics, ops, report, select, sources, store
 from .base import Source, query
+from .on_rules import PROFILE
 
 _MEM = "round(least(1.0, CASE support WHEN 'Strong' THEN 0.9 WHEN 'Moderate' THEN 0.75 WHEN 'Weak' THEN 0.35 ELSE 0.1 END::DOUBLE * CASE uncertainty WHEN 'Low' THEN 1.0 WHEN 'High' THEN 0.7 ELSE 0.88 END::DOUBLE * CASE exploitability WHEN 'High' THEN 1.0 WHEN 'Medium' THEN 0.92 ELSE 0.8 END::DOUBLE), 6)"
 _FUSED = f"""s AS (SELECT fn, count(*) AS n, max(CASE WHEN conf_pct >= 60 THEN conf_pct END) / 100 AS mx, sum(conf_pct) / count(*) / 100 AS av FROM b_sem WHERE conf_pct >= 40 GROUP BY fn),
@@ -218,14 +219,16 @@ def w05(s: Source) -> DataFrame:
     return select.by_quota(rows, _QUOTAS, 100, "conf_pct", "cand_id").select("cand_id", "category", "filled")
 
 
-@query("t11_adaptive_quotas", """
-WITH b(category, base, share) AS (VALUES ('parser', 0.233e0, 0.4e0), ('validator', 0.200e0, 0.1e0), ('arithmetic', 0.167e0, 0.2e0), ('memory', 0.133e0, 0.3e0), ('unknown', 0.133e0, 0e0), ('state_machine', 0.067e0, 0e0), ('error_handler', 0.067e0, 0e0)),
-r AS (SELECT category, base * greatest(0.5e0, least(2e0, share / greatest(base, 0.01e0))) AS raw, row_number() OVER () AS place FROM b),
+@query("t11_adaptive_quotas", f"""
+WITH p AS ({PROFILE}), b(category, base, place) AS (VALUES {", ".join(f"('{c}', {v}e0, {i})" for i, (c, v) in enumerate(dims.QUOTA_SHARE.items()))}),
+r AS (SELECT b.category, place, base * greatest(0.5e0, least(2e0, coalesce(share, 0e0) / greatest(base, 0.01e0))) AS raw FROM b LEFT JOIN p ON p.category = b.category),
 s AS (SELECT category, place, greatest(1, CAST(floor(raw / (SELECT sum(raw) FROM r) * 75) AS BIGINT)) AS slots FROM r),
 o AS (SELECT *, row_number() OVER (ORDER BY slots DESC, place) AS n FROM s)
 SELECT category, CAST(slots + CASE WHEN n <= 75 - (SELECT sum(slots) FROM s) THEN 1 ELSE 0 END AS BIGINT) AS slots FROM o""")
 def t11(s: Source) -> DataFrame:
-    return s.spark.createDataFrame(list(select.adaptive_quotas(_SHARES, 75).items()), "category string, slots long")
+    # The profile of the program's calls, at most one row a category.
+    shares = {r.category: r.share for r in select.profile(s.b_ops.filter("callee IS NOT NULL"), "callee").collect()}
+    return s.spark.createDataFrame(list(select.adaptive_quotas(shares, 75).items()), "category string, slots long")
 
 
 @query("w06_elbow", """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dims
 from ..functions.names import contains_any
 from ..operators import evidence, fuse, match, ops, select, services, sources, store, taint
-from ..sources import external
+from ..sources import external, tables
 from . import taint_sql
 from .base import Source, query
 from .on_more import _R, _SCORES, _score_inputs
@@ -261,3 +261,20 @@ def e04(s: Source) -> DataFrame:
     o = ops.of_bridge(s.b_ops)
     counted = ops.risk_counters(o).join(o.groupBy("fn").agg(F.count_if(F.col("op").isin("INT_ADD", "INT_MULT")).alias("arith")), "fn").withColumn("role", F.lit("validator"))
     return evidence.semantic_risk(counted).filter("vuln_type = 'validator_bypass'").select("fn", F.array_join("items", ",").alias("items"))
+
+
+@query("s05b_operations_by_table_function", """
+SELECT fn, CAST(row_number() OVER (PARTITION BY fn ORDER BY seq) - 1 AS INTEGER) AS seq, op,
+  CASE WHEN op = 'CALL' THEN callee WHEN op = 'CALLIND' THEN 'INDIRECT:' || in1 END AS callee, out_var, CASE WHEN op = 'CALLIND' THEN in2 ELSE in1 END AS first_arg
+FROM b_ops WHERE op <> 'RETURN' OR seq % 2 = 0""")
+def s05b(s: Source) -> DataFrame:
+    # Records as JSON lines, one a function: every other RETURN stands as a bookkeeping operation, calls lead with their target.
+    name = lambda c: F.struct(F.col(c).alias("name"), F.lit("unique").alias("space"), F.col("in_size").alias("size"))
+    target = F.struct(F.concat(F.lit("<"), F.col("callee"), F.lit(">@plt")).alias("name"), F.lit("external").alias("space"), F.lit(8).alias("size"))
+    op = F.when((F.col("op") == "RETURN") & (F.col("seq") % 2 == 1), "INDIRECT").otherwise(F.col("op"))
+    inputs = F.when(F.col("op") == "CALL", F.array(target, name("in1"), name("in2"))).otherwise(F.array(name("in1"), name("in2")))
+    row = F.struct("seq", op.alias("op"), F.struct(F.col("out_var").alias("name")).alias("output"), inputs.alias("inputs"))
+    records = s.b_ops.groupBy(F.col("fn").alias("name")).agg(F.array_sort(F.collect_list(row)).alias("ops"))
+    lines = records.select(F.lit("p.jsonl").alias("file"), F.lit(1).alias("n"), F.to_json(F.struct("name", "ops")).alias("line"))
+    broken = records.select(F.lit("p.jsonl").alias("file"), F.lit(2).alias("n"), F.concat(F.lit('{"name": "'), F.col("name"), F.lit('", "ops": [')).alias("line"))
+    return tables.operations(lines.unionByName(broken)).select("fn", "seq", "op", "callee", "out_var", F.get("args", 0).alias("first_arg"))

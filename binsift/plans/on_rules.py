@@ -24,9 +24,15 @@ def _matched(s: Source) -> DataFrame:
     return match.library(_calls(s), dims.rules(s.spark))
 
 
-@query("s08_rule_catalog", f"SELECT sink_type, count(*) AS n, count_if(sink) AS sinks, count_if(bounded) AS bounded, round(sum(vuln_score), 4) AS score FROM {_RULES} GROUP BY sink_type")
+@query("s08_rule_catalog", f"""
+SELECT sink_type, count(*) AS n, count_if(sink) AS sinks, count_if(bounded) AS bounded, round(sum(vuln_score), 4) AS score, CAST(coalesce(sum(calls), 0) AS BIGINT) AS calls, count(calls) AS called
+FROM (SELECT * FROM {_RULES}) r LEFT JOIN (SELECT callee, count(*) AS calls FROM b_ops WHERE callee IS NOT NULL GROUP BY callee) c ON c.callee = r.rule_fn GROUP BY sink_type""")
 def s08(s: Source) -> DataFrame:
-    return dims.rules(s.spark).groupBy("sink_type").agg(F.count("*").alias("n"), F.count_if("sink").alias("sinks"), F.count_if("bounded").alias("bounded"), F.round(F.sum("vuln_score"), 4).alias("score"))
+    calls = s.b_ops.filter("callee IS NOT NULL").groupBy("callee").agg(F.count("*").alias("calls"))
+    used = calls.join(F.broadcast(dims.rules(s.spark)), F.col("callee") == F.col("rule_fn"), "right")
+    return used.groupBy("sink_type").agg(
+        F.count("*").alias("n"), F.count_if("sink").alias("sinks"), F.count_if("bounded").alias("bounded"), F.round(F.sum("vuln_score"), 4).alias("score"), F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"), F.count("calls").alias("called")
+    )
 
 
 @query("j01_library_match", f"SELECT fn, seq, callee, rule_fn IS NOT NULL AS known, sink_type FROM {_M}")
@@ -126,7 +132,10 @@ def p16(s: Source) -> DataFrame:
 _CAT = "CASE " + " ".join(f"WHEN role = '{k}' THEN '{v}'" for k, v in dims.ROLE_CATEGORY.items()) + " END"
 
 
-@query("a12_binary_profile", f"WITH c AS (SELECT {_CAT} AS category, count(*) AS n FROM (SELECT {_ROLE} AS role FROM (SELECT lower(callee) AS x FROM b_ops WHERE callee IS NOT NULL) t) u WHERE role IS NOT NULL GROUP BY 1) SELECT category, n, round(n / sum(n) OVER (), 6) AS share FROM c")
+PROFILE = f"WITH c AS (SELECT {_CAT} AS category, count(*) AS n FROM (SELECT {_ROLE} AS role FROM (SELECT lower(callee) AS x FROM b_ops WHERE callee IS NOT NULL) t) u WHERE role IS NOT NULL GROUP BY 1) SELECT category, n, round(n / sum(n) OVER (), 6) AS share FROM c"
+
+
+@query("a12_binary_profile", PROFILE)
 def a12(s: Source) -> DataFrame:
     return select.profile(s.b_ops.filter("callee IS NOT NULL"), "callee")
 

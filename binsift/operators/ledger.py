@@ -9,8 +9,9 @@ are dealt to tasks of that many. A part that is whole also says which of its que
 asked again either.
 
 Defined results: questions that are equal in all columns are one. Answers find their questions by the columns named `on`;
-if a question was asked by two writers at once, one part's answers are taken, the first by name. No questions ask nothing.
-A question that has a null in a column of `on` is asked, but no answer finds it.
+questions of one call that agree in those share their answers. If a question was asked by two writers at once, one part's
+answers are taken, the first by name. No questions ask nothing. A question that has a null in a column of `on` is asked,
+but no answer finds it.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ class Ledger:
                     raise
         of = asked.select(KEY).join(self._first_parts(where, kind, on, keys), KEY)
         got = self._table(where, "answers", external.SCHEMAS[kind])
-        return got.join(of.select("part", *on), ["part", *on]).select(*external.ask(kind, questions).columns)
+        return got.join(of.select("part", *on), ["part", *on], "left_semi").select(*external.ask(kind, questions).columns)
 
     def _places(self, where: str, kind: str, on: Sequence[str], keys: str) -> DataFrame:
         """part and question wherever a question has been answered, or was left without an answer by a part that is whole."""

@@ -138,3 +138,10 @@ def test_another_question_of_the_same_thing_is_asked(spark, tmp_path):
     assert seen == [1, 1]
     ledger.ask("reviews", one, service, ["cand_id"], name="second")
     assert seen == [1, 1, 1]
+
+
+def test_questions_that_agree_in_their_key_share_answers(spark):
+    rows = spark.createDataFrame([(1, "disagrees", 0.5), (1, "disagrees", 0.6), (2, "agrees_safe", 0.5)], "cand_id long, kind string, confidence double")
+    service = lambda q: q.select("cand_id", F.lit(True).alias("confirmed"), F.lit(0.9).alias("confidence")).distinct()
+    got = services.arbitrated(rows, service)
+    assert sorted((r.cand_id, r.confirmed, r.confidence) for r in got.collect()) == [(1, True, 0.9), (1, True, 0.9), (2, False, 0.2)]

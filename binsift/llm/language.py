@@ -40,6 +40,8 @@ TABLE = 4_000_000
 PENALTY = 12.0
 #: Nats at most that one word tells a language from others, and what a language costs that isn't written in its script.
 MOST, BARRED = 8.0, 1000.0
+#: New words that are scored together.
+TOGETHER = 4096
 #: Words remembered, and characters of them.
 CACHE, CACHE_CHARS = 200_000, 4_000_000
 SCHEMA = "lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"
@@ -148,27 +150,46 @@ class Words(dict):
         self.chars = 0
 
     def __missing__(self, word: str) -> int:
+        self._learn([word])
+        return self[word]
+
+    def rows(self, found: list[str]) -> np.ndarray:
+        """Row of each word; words not met so far are scored together."""
+        new = [w for w in dict.fromkeys(found) if w not in self]
+        for lo in range(0, len(new), TOGETHER):
+            self._learn(new[lo : lo + TOGETHER])
+        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+
+    def _learn(self, new: list[str]) -> None:
         m, row = self.m, len(self)
-        self.chars += len(word)
-        if row == len(self.scores):
+        while row + len(new) > len(self.scores):
             self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
-        before = self.old.get(word)
-        if before is not None:
-            self.scores[row] = self.old_scores[before]
-            self[word] = row
-            return row
-        allowed = m.scripts.get(script(word))
-        if allowed is None:
-            value = 0.0
-        else:
-            get = m.index.get
-            known = [i for g in grams(word) if (i := get(g)) is not None]
-            value = np.clip(m.likelihoods.added(known) if self.table is None else self.table[known].sum(0), -MOST, MOST)
-            if not allowed.all():
-                value = np.where(allowed, value, -BARRED)
-        self.scores[row] = value
-        self[word] = row
-        return row
+        at, allowed, flat, sizes = [], [], [], []
+        get = m.index.get
+        for row, w in enumerate(new, row):
+            self[w] = row
+            self.chars += len(w)
+            before = self.old.get(w)
+            if before is not None:
+                self.scores[row] = self.old_scores[before]
+            elif (may := m.scripts.get(script(w))) is not None:  # words in a script that nothing was learned in tell nothing
+                known = [i for g in grams(w) if (i := get(g)) is not None]
+                at.append(row)
+                allowed.append(may)
+                flat += known
+                sizes.append(len(known))
+        if not at:
+            return
+        size = np.array(sizes)
+        value = np.zeros((len(at), len(m.langs)))
+        ends = np.cumsum(size)
+        if self.table is None:
+            for k in np.flatnonzero(size).tolist():
+                value[k] = m.likelihoods.added(flat[ends[k] - size[k] : ends[k]])
+        elif flat:
+            some = size > 0
+            value[some] = np.add.reduceat(self.table[flat], (ends - size)[some], axis=0)
+        self.scores[at] = np.where(np.array(allowed), np.clip(value, -MOST, MOST), -BARRED)
 
     def full(self) -> None:
         if len(self) >= CACHE // 2 or self.chars > CACHE_CHARS:
@@ -203,7 +224,7 @@ def label(text: str, words: Words, penalty: float = PENALTY) -> tuple[str, float
     if not found or not langs:
         return "und", 0.0, []
     words.full()
-    rows = np.fromiter(map(words.__getitem__, found), np.int64, len(found))
+    rows = words.rows(found)
     scores = words.scores[rows]
     size = np.fromiter(map(len, found), np.int64, len(found))
     sums = np.cumsum(scores, axis=0)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shipping import ship
+
 #: Operations decoded at a time of functions that have more.
 SLICE = 4096
 #: Functions and operations after which a task hands on what it has found.
@@ -147,6 +149,7 @@ def one_by_one(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[
 
 def per_function(ops: DataFrame, make: Callable[[], Job], schema: str, arrow: pa.Schema, facts: Sequence[DataFrame] = (), most: int | None = None) -> DataFrame:
     """Rows that a job gives for each function. ops: fn, seq, op, callee, out_var, args, sizes; make is called in each task."""
+    ship(ops.sparkSession)
     own = _row(ops, OPERATION, seq="seq", op="op", callee="callee", out="out_var", args="args", sizes="sizes")
     rows = reduce(DataFrame.unionByName, facts, own)
     ordered = rows.repartition("fn").sortWithinPartitions("fn", "kind", *[F.col(c).asc_nulls_first() for c in FIELDS])

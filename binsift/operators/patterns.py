@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions.dims import NOT_SOURCES, ROLE_PATTERNS, SINK_CLASSES, SOURCE_FALLBACKS, SOURCE_ROLES
 from ..functions.names import last_scope
+from .shipping import ship
 
 FOUND = "found"
 
@@ -43,6 +44,7 @@ def automaton(patterns: Sequence[str]) -> tuple[ahocorasick.Automaton | None, li
 
 def matched_rows(df: DataFrame, text: str, patterns: Sequence[str], found: str = FOUND) -> DataFrame:
     """df with the patterns that each row's text contains."""
+    ship(df.sparkSession)
     rest = df.drop(found)
     schema = T.StructType([*rest.schema.fields, T.StructField(found, T.ArrayType(T.IntegerType()))])
     patterns = list(patterns)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import saved
+from .shipping import ship
 
 #: Vectors that centroids are fitted on, and rounds of it; centroids at most.
 SAMPLE, ROUNDS, CELLS = 8192, 8, 256
@@ -83,6 +84,7 @@ def fitted(sample: np.ndarray, cells: int) -> np.ndarray:
 
 def index(store: DataFrame) -> Index | None:
     """Index of a store (store_id, stored); None if it has no vector."""
+    ship(store.sparkSession)
     rows = store.select(F.col("store_id").cast("long").alias("store_id"), F.col("stored").cast("array<double>").alias("stored")).filter("stored IS NOT NULL AND store_id IS NOT NULL AND exists(stored, x -> x <> 0)")
     drawn = rows.select("stored", "store_id").orderBy(F.xxhash64("store_id"), "store_id").limit(SAMPLE).collect()
     if not drawn:

@@ -23,6 +23,7 @@ from pyspark.sql.functions import udtf
 
 from ..functions.dims import SKIPPED_OPS
 from ..functions.names import clean_name
+from ..operators.shipping import ship
 
 NAME = "operations_of"
 ROWS = "file string, fn string, seq int, op string, target string, out_var string, args array<string>, sizes array<int>"
@@ -66,6 +67,7 @@ class FunctionOperations:
 
 def register(spark: SparkSession, name: str = NAME) -> None:
     """Make the table function known to the session's SQL."""
+    ship(spark)
     spark.udtf.register(name, udtf(FunctionOperations, returnType=ROWS))
 
 

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.shipping import ship
+
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SETTING = "spark.sql.streaming.stateStore.providerClass"
 #: Order of a record that has none.
@@ -33,6 +35,7 @@ LAST = (1 << 63) - 1
 
 def with_state_store(spark: SparkSession) -> SparkSession:
     """Use the state store that stateful processors need for the queries started from now on."""
+    ship(spark)
     spark.conf.set(SETTING, PROVIDER)
     return spark
 

@@ -237,18 +237,20 @@ NO_NAMES = Names()
 
 
 def _names_of(attrs: dict[str, str]) -> Names:
+    given = [value for key in ("class", "id", "role") if (value := attrs.get(key))]
+    if not given:
+        return NO_NAMES
     out = Names()
-    for key in ("class", "id", "role"):
-        for name in attrs.get(key, "").split():
-            parts = {p.lower() for p in PARTS.split(name) if p}
-            if parts & CUES:
-                rest = parts - CUES - DOUBTFUL - LAYOUT
-                sure = not any(len(p) > 1 and not p.isdigit() for p in rest)
-                out.cued |= sure
-                out.doubtful |= not sure
-                out.comment |= sure and bool(parts & COMMENTS)
-            out.doubtful |= bool(parts & DOUBTFUL)
-            out.teaser |= bool(parts & TEASER)
+    for name in " ".join(given).split():
+        parts = {p.lower() for p in PARTS.split(name) if p}
+        if parts & CUES:
+            rest = parts - CUES - DOUBTFUL - LAYOUT
+            sure = not any(len(p) > 1 and not p.isdigit() for p in rest)
+            out.cued |= sure
+            out.doubtful |= not sure
+            out.comment |= sure and bool(parts & COMMENTS)
+        out.doubtful |= bool(parts & DOUBTFUL)
+        out.teaser |= bool(parts & TEASER)
     return out
 
 

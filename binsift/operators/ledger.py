@@ -4,9 +4,9 @@ A ledger is a folder. What is asked of a service is first written as its questio
 the kind and all columns of the question), without those that have an answer. The service sees that table, and its answers
 are written before anybody uses them, each task's as soon as it is done: Spark's second file committer moves a task's file
 in place at once and leaves it there if the job fails later. So a part that failed keeps the answers of its finished tasks,
-and the next attempt asks the rest. Only what the failing task itself had asked is lost, which `per_task` bounds: questions
-are dealt to tasks of that many. A part that is whole also says which of its questions had no answer, and those aren't
-asked again either.
+and the next attempt asks the rest. Only what the failing task itself had asked is lost: questions are dealt to tasks of
+`per_task`, and beyond MOST_TASKS of them, whose number must not grow with the questions, to as many larger ones. A part
+that is whole also says which of its questions had no answer, and those aren't asked again either.
 
 Defined results: questions that are equal in all columns are one. Answers find their questions by the columns named `on`;
 questions of one call that agree in those share their answers. If a question was asked by two writers at once, one part's
@@ -29,6 +29,8 @@ from .graph import saved, shared_folder
 #: Committer that moves a task's file in place when the task is done, not when the job is.
 BY_TASK = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
 KEY = "_question"
+#: Tasks that ask at most. Each is a file, and its report goes to the driver.
+MOST_TASKS = 1024
 log = logging.getLogger(__name__)
 
 
@@ -69,27 +71,26 @@ class Ledger:
             part = uuid.uuid4().hex
             todo.select(*on, KEY).write.parquet(f"{self.root}/{where}/questions/part={part}")
             try:
-                answers = external.ask(kind, todo.drop(KEY).repartition(-(-n // self.per_task)), service)
+                answers = external.ask(kind, todo.drop(KEY).repartition(min(-(-n // self.per_task), MOST_TASKS)), service)
                 answers.write.options(**BY_TASK).parquet(f"{self.root}/{where}/answers/part={part}")
                 self.spark.createDataFrame([(True,)], "whole boolean").coalesce(1).write.parquet(f"{self.root}/{where}/whole/part={part}")
             except Exception:
                 log.warning("attempt %d of %d to ask %s failed", attempt, attempts, where)
                 if attempt == attempts:
                     raise
-        of = asked.select(KEY).join(self._first_parts(where, kind, on, keys), KEY)
+        of = asked.select(KEY, *on).join(self._first_parts(where, kind, on, keys), KEY)
         got = self._table(where, "answers", external.SCHEMAS[kind])
         return got.join(of.select("part", *on), ["part", *on], "left_semi").select(*external.ask(kind, questions).columns)
 
     def _places(self, where: str, kind: str, on: Sequence[str], keys: str) -> DataFrame:
-        """part and question wherever a question has been answered, or was left without an answer by a part that is whole."""
+        """part and question, perhaps repeated, wherever a question has been answered, or was left without an answer by a part that is whole."""
         put = self._table(where, "questions", keys)
         given = self._table(where, "answers", external.SCHEMAS[kind]).select("part", *on).distinct()
-        return put.join(given, ["part", *on], "left_semi").unionByName(put.join(self._table(where, "whole", ""), "part", "left_semi")).distinct()
+        return put.join(given, ["part", *on], "left_semi").unionByName(put.join(self._table(where, "whole", ""), "part", "left_semi"))
 
     def _answered(self, where: str, kind: str, on: Sequence[str], keys: str) -> DataFrame:
-        return self._places(where, kind, on, keys).select(KEY).distinct()
+        return self._places(where, kind, on, keys).select(KEY)
 
     def _first_parts(self, where: str, kind: str, on: Sequence[str], keys: str) -> DataFrame:
         """Each question with the part that answered it: of several the first by name."""
-        places = self._places(where, kind, on, keys)
-        return places.join(places.groupBy(KEY).agg(F.min("part").alias("part")), [KEY, "part"], "left_semi")
+        return self._places(where, kind, on, keys).groupBy(KEY).agg(F.min("part").alias("part"))

@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from binsift.operators import ledger as ledgers
 from binsift.operators import services
 from binsift.operators.ledger import Ledger
 
@@ -145,3 +146,18 @@ def test_questions_that_agree_in_their_key_share_answers(spark):
     service = lambda q: q.select("cand_id", F.lit(True).alias("confirmed"), F.lit(0.9).alias("confidence")).distinct()
     got = services.arbitrated(rows, service)
     assert sorted((r.cand_id, r.confirmed, r.confidence) for r in got.collect()) == [(1, True, 0.9), (1, True, 0.9), (2, False, 0.2)]
+
+
+def test_tasks_do_not_grow_with_the_questions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ledgers, "MOST_TASKS", 8)
+    parts = []
+
+    def service(q):
+        parts.append(q.rdd.getNumPartitions())
+        return q.select("target", F.concat("target", F.lit("!")).alias("name"))
+
+    root = f"file://{tmp_path}/ledger"
+    for n in (20, 3000):
+        got = Ledger(spark, root, per_task=4).ask("callee_names", spark.range(n).select(F.col("id").cast("string").alias("target")), service, ["target"])
+        assert sorted((r.target, r.name) for r in got.collect()) == sorted((str(i), f"{i}!") for i in range(n))
+    assert parts == [5, 8]

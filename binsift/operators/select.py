@@ -16,9 +16,9 @@ def keep_max(rows: DataFrame, keys: Sequence[str], by: str, tie: str) -> DataFra
     return best.select(*keys, "_b.*")
 
 
-def keep_first(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """One row of each key: the first in emission order."""
-    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in keys]), F.col(order)).alias("_b"))
+def keep_first(rows: DataFrame, keys: Sequence[str], order: str, *ties: str) -> DataFrame:
+    """One row of each key: the first in emission order, of equal ones the least by ties."""
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in keys]), F.struct(order, *ties)).alias("_b"))
     return best.select(*keys, "_b.*")
 
 
@@ -78,9 +78,12 @@ def adaptive_quotas(shares: dict[str, float], budget: int) -> dict[str, int]:
 
 
 def by_quota(rows: DataFrame, quotas: dict[str, int], total: int, score: str, tie: str, category: str = "category") -> DataFrame:
-    """The best rows of each category up to its quota, then the best of the rest up to the total."""
+    """The best rows of each category up to its quota, then the best of the rest up to the total.
+
+    Of a category no more than its quota and the total can be among them, so Spark drops the rest before the shuffle."""
     quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
-    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(category).orderBy(F.desc(score), tie)))
+    most = max(quotas.values(), default=0) + total
+    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(category).orderBy(F.desc(score), tie))).filter(F.col("_n") <= most)
     filled = ranked.withColumn("filled", F.col("_n") > F.coalesce(quota[F.col(category)], F.lit(0))).drop("_n")
     return filled.orderBy("filled", F.desc(score), tie).limit(total)
 

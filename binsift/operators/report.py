@@ -13,14 +13,15 @@ REPORT_SCHEMA = "pcode-vuln/1.0"
 
 
 def in_order(rows: DataFrame, *keys: Column) -> DataFrame:
-    """rows with order (1, 2, ...) by keys, which should tell rows apart. Rows are dealt by ranges of the keys and counted
-    there; only the counts of the ranges, one number each, meet in one task."""
-    dealt = saved(rows.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
-    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    """rows with order (1, 2, ...) by keys, which should tell rows apart. Rows are dealt by ranges of the keys, sorted and
+    numbered there as they are written; only the counts of the ranges, one number each, meet in one task."""
+    at = F.monotonically_increasing_id()  # the range, then 33 bits of the place in it
+    dealt = saved(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", at))
+    dealt = dealt.withColumns({"_range": F.shiftright("_at", 33), "order": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1}).drop("_at")
+    sizes = dealt.groupBy("_range").agg(F.max("order").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
-    return dealt.join(starts, "_range").withColumn("order", inside + F.col("_before")).drop("_range", "_before")
+    return dealt.join(F.broadcast(starts), "_range").withColumn("order", F.col("order") + F.col("_before")).drop("_range", "_before")
 
 
 def numbered(findings: DataFrame, *ties: str) -> DataFrame:

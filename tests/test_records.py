@@ -91,6 +91,32 @@ def test_order_over_many_ranges(spark):
     assert [r.order for r in got] == list(range(1, 1001)) and [(r.k, r.id) for r in got] == sorted(((r.k, r.id) for r in got), key=lambda x: (-x[0], x[1]))
 
 
+def test_order_takes_one_shuffle_of_the_rows(spark):
+    rows = report.in_order(spark.range(1000), F.desc("id"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window ") == 1  # over the counts of ranges
+
+
+def test_quota_drops_rows_before_the_shuffle(spark):
+    rows = spark.range(0, 5000, 1, 7).selectExpr("id", "id % 97 AS score", "CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 3 = 1 THEN 'b' ELSE 'c' END AS category")
+    got = select.by_quota(rows, {"a": 5, "b": 2}, 20, "score", "id")
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+    every = sorted(((r.category, r.score, r.id) for r in rows.collect()), key=lambda x: (-x[1], x[2]))
+    own = [x for c, n in (("a", 5), ("b", 2)) for x in [y for y in every if y[0] == c][:n]]
+    rest = [x for x in every if x not in own][: 20 - len(own)]
+    assert sorted((r.category, r.score, r.id, r.filled) for r in got.collect()) == sorted([(*x, False) for x in own] + [(*x, True) for x in rest])
+
+
+def test_rows_that_tie_are_the_same_in_any_order(spark):
+    rows = [("f", "v", 7, c) for c in (90, 82, 94, 86, 84, 96)]
+    schema = "fn string, vuln_type string, cand_id int, conf_pct int"
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        df = spark.createDataFrame(order, schema).repartition(3)
+        assert select.keep_first(df, ["fn", "vuln_type"], "cand_id", "conf_pct").first().conf_pct == 82
+        lines = report.numbered(df.withColumn("severity", F.lit("high")), "cand_id", "fn", "vuln_type", "conf_pct").orderBy("order").collect()
+        assert [r.conf_pct for r in lines] == [82, 84, 86, 90, 94, 96]
+
+
 def test_dedup_is_idempotent_and_order_free(spark):
     rows = spark.createDataFrame([("a", 1, 5), ("a", 2, 9), ("a", 3, 9), ("b", 4, 1)], "fn string, cand_id int, conf int")
     once = select.keep_max(rows, ["fn"], "conf", "cand_id")

@@ -133,7 +133,7 @@ def a18(s: Source) -> DataFrame:
 
 @query("a19_dedup_keep_first", "SELECT fn, vuln_type, sink_fn, cand_id, match_kind, conf_pct FROM (SELECT *, row_number() OVER (PARTITION BY fn, vuln_type, sink_fn ORDER BY cand_id) AS n FROM b_candidates) t WHERE n = 1")
 def a19(s: Source) -> DataFrame:
-    return select.keep_first(s.b_candidates, ["fn", "vuln_type", "sink_fn"], "cand_id")
+    return select.keep_first(s.b_candidates, ["fn", "vuln_type", "sink_fn"], "cand_id", "conf_pct", "match_kind")
 
 
 @query("a20_first_wins_fingerprint", "SELECT skey, min(fn) AS fn FROM (SELECT fn, sha256(string_agg(op, ' ' ORDER BY seq))[1:16] AS skey FROM b_ops GROUP BY fn) t GROUP BY skey")
@@ -400,7 +400,7 @@ WITH c AS (SELECT *, {_SEV} AS sev FROM b_candidates WHERE conf_pct > 80), o AS
 SELECT line_no, '<tr class=' || chr(39) || sev || chr(39) || '><td>' || format('VULN-{{:03d}}', line_no) || '</td><td>' || sev || '</td><td>' || vuln_type || '</td><td>' || fn || '</td><td>' || sink_fn || '</td><td>' || conf_pct || '</td><td></td></tr>' AS html FROM o""")
 def s17b(s: Source) -> DataFrame:
     rows = s.b_candidates.withColumn("severity", fuse.default_severity(F.col("vuln_type")))
-    return report.html_lines(rows.filter("conf_pct > 80"), rows.filter("NOT conf_pct > 80"), "program", "cand_id", "fn", "vuln_type").filter("section = 2").select("line_no", "html")
+    return report.html_lines(rows.filter("conf_pct > 80"), rows.filter("NOT conf_pct > 80"), "program", "cand_id", "fn", "vuln_type", "conf_pct", "match_kind").filter("section = 2").select("line_no", "html")
 
 
 @query("s18_json_report", f"""

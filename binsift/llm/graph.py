@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import saved
+from ._spark import arrow_map, saved
+
+#: Edges that are few enough for one task: rounds of jobs over them cost more than they do.
+FEW = 1 << 15
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,14 +20,17 @@ def components(edges: DataFrame) -> DataFrame:
     A round hooks each node to that of its neighbours and itself which comes first in an order drawn anew by a hash, twice
     over, and contracts the graph to the nodes hooked to. About half of the nodes or more go in a round, whatever the
     shape (a chain of n nodes takes some log2 n rounds), and with them the work. The rounds' maps are then composed, the
-    smallest first. Nothing is collected but whether edges are left. A self edge gives a component of one node; null ends
+    smallest first. Once at most FEW edges are left, one task contracts them. Nothing is collected but a count. A self edge gives a component of one node; null ends
     are left out; repeated edges count once; no edges give an empty table.
     """
     one = edges.filter(F.col("u").isNotNull() & F.col("v").isNotNull()).select("u", "v")
     every = saved(one.select(F.col("u").alias("node")).unionByName(one.select(F.col("v").alias("node"))).distinct())
     now = saved(one.filter("u != v").distinct())
     maps: list[DataFrame] = []
-    while now.limit(1).count():
+    while n := now.limit(FEW + 1).count():
+        if n <= FEW:
+            maps.append(saved(_contracted(now)))
+            break
         drawn = len(maps)
 
         def first(c: str, drawn: int = drawn) -> Column:
@@ -43,3 +52,31 @@ def components(edges: DataFrame) -> DataFrame:
     least = found.groupBy("root").agg(F.min("node").alias("comp"))
     named = found.join(least, "root").select("node", "comp")
     return saved(every.join(named, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """u and `to`, one node of its component, for every node of few edges (u, v)."""
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict = {}
+        root: dict = {}
+
+        def top(x: object) -> object:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        like = None
+        for b in batches:
+            like = b.schema.field("u").type
+            for ends in zip(b.column("u").to_pylist(), b.column("v").to_pylist()):
+                u, v = (tuple(x.values()) if isinstance(x, dict) else x for x in ends)
+                for name, x in zip((u, v), ends):
+                    if root.setdefault(name, name) == name:
+                        own[name] = x
+                root[top(u)] = top(v)
+        if like is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([own[x] for x in root], like), pa.array([own[top(x)] for x in root], like)], ["u", "to"])
+
+    return arrow_map(edges.coalesce(1), run, f"u {kind}, to {kind}")

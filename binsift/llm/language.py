@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import arrow_map, fold
+from ._spark import arrow_map, fold, trim
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of the training sample: rows of each language, characters of a row, n-grams kept of a language.
@@ -290,7 +290,10 @@ def train(docs: DataFrame, where: Column | None = None, rows_per_lang: int = ROW
     # The share is a mean; the limit keeps the stated bound for each language.
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "doc_id", F.xxhash64("text")))
     got = taken.select("doc_id", stretch.alias("text"), "lang", "_draw").withColumn("_nth", nth).filter(F.col("_nth") <= 2 * rows_per_lang).select("doc_id", "text", "lang").collect()
-    return fit([(r.text, r.lang) for r in sorted(got, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang, r.text))])
+    model = fit([(r.text, r.lang) for r in sorted(got, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang, r.text))])
+    del got
+    trim()  # the sample and its counts leave the driver before later stages need the room
+    return model
 
 
 def classify(docs: DataFrame) -> DataFrame:

@@ -3,8 +3,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from binsift.llm import near
+from binsift.llm import graph, near
+from binsift.llm._spark import saved
 from binsift.llm._text import WORD_RE
 from binsift.llm.graph import components
 
@@ -160,3 +163,18 @@ def test_components_of_chains_stars_and_self_edges(spark):
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 140)}, 200: 200, 300: 300, 301: 300}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 3, 1 << 15])
+def test_few_edges_are_contracted_in_one_task(spark, monkeypatch, few):
+    written = []
+    monkeypatch.setattr(graph, "FEW", few)
+    monkeypatch.setattr(graph, "saved", lambda df: written.append(df) or saved(df))
+    edges = [(i, i + 1) for i in range(40)] + [(50, 50), (60, 61), (62, 61), (62, 60), (None, 3)]
+    rows = spark.createDataFrame(edges, "a long, b long").selectExpr("named_struct('hi', a % 2, 'lo', a) AS u", "CASE WHEN a IS NOT NULL THEN named_struct('hi', b % 2, 'lo', b) END AS v")
+    rows = rows.withColumn("u", F.when(F.col("v").isNotNull(), F.col("u")))
+    got = {tuple(r.node): tuple(r.comp) for r in components(rows).collect()}
+    name = lambda x: (x % 2, x)
+    want = {name(i): name(0) for i in range(41)} | {name(50): name(50)} | {name(i): name(60) for i in (60, 61, 62)}
+    assert got == want
+    assert few < 1 << 15 or len(written) == 4

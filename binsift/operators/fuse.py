@@ -51,9 +51,12 @@ def calibrated(found: dict[str, Column], weights: dict[str, float] = CALIBRATION
 
 
 def ablation(rows: DataFrame, found: dict[str, Column], key: str) -> DataFrame:
-    """key, signal, confidence without it (one row for each signal and one, `none`, with all)."""
-    parts = [F.struct(F.lit(k or "none").alias("signal"), F.round(calibrated(found, neutral=k), 6).alias("confidence")) for k in (None, *CALIBRATION)]
-    return rows.select(key, F.explode(F.array(*parts)).alias("a")).select(key, "a.signal", "a.confidence")
+    """key, signal, confidence without it (one row for each signal and one, `none`, with all). Signals are computed once a
+    row, not once for each that is left out."""
+    once = rows.select(key, *[c.alias(f"_{k}") for k, c in found.items()])
+    held = {k: F.col(f"_{k}") for k in found}
+    parts = [F.struct(F.lit(k or "none").alias("signal"), F.round(calibrated(held, neutral=k), 6).alias("confidence")) for k in (None, *CALIBRATION)]
+    return once.select(key, F.explode(F.array(*parts)).alias("a")).select(key, "a.signal", "a.confidence")
 
 
 def uncertainty(quality: Column, model: Column) -> Column:

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from binsift.functions import dims
 from binsift.operators import fuse, report, select, store
 from binsift.operators.select import adaptive_quotas
 from binsift.sources import records
@@ -125,6 +126,15 @@ def test_dedup_is_idempotent_and_order_free(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, again.collect())) == sorted(map(tuple, shuffled.collect())) == [("a", 2, 9), ("b", 4, 1)]
 
 
+def test_ablation_computes_signals_once(spark):
+    rows = spark.createDataFrame([(1, "external:fread"), (2, "zzz")], "cand_id long, src string")
+    found = fuse.signals(F.lit(0.8), F.lit("LIBRARY_MATCH"), F.lit(8), F.lit(0.4), F.col("src"), F.lit(False))
+    got = fuse.ablation(rows, found, "cand_id")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("lower(src") <= len(dims.SOURCE_TRUST)
+    want = {(r.cand_id, k or "none"): r.c for k in (None, *dims.CALIBRATION) for r in rows.select("cand_id", F.round(fuse.calibrated(found, neutral=k), 6).alias("c")).collect()}
+    assert {(r.cand_id, r.signal): r.confidence for r in got.collect()} == want
+
+
 def test_posterior_grows_with_its_prior(spark):
     rows = spark.range(0, 101).select((F.col("id") / 100.0).alias("p"))
     got = [r.x for r in rows.select("p", fuse.posterior(F.col("p"), F.lit(0.7)).alias("x")).orderBy("p").collect()]

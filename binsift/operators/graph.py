@@ -184,48 +184,100 @@ def propagate_scores(scores: DataFrame, edges: DataFrame, rounds: int = 2, down:
     return now.select("node", "score")
 
 
-def levels(edges: DataFrame, small: int = 100_000) -> DataFrame:
+def levels(edges: DataFrame, small: int = 100_000, fill: int = 64) -> DataFrame:
     """node, level: callees before callers (0 for nodes that call nothing), null for members of cycles and their callers.
 
-    Levels are peeled in rounds, each a join of what is left with what is done. Graphs of at most `small` edges, counted
-    first, are peeled on the driver instead, with the same result.
+    A level is the greatest length of a path down, so nodes that don't touch each other are taken out at once: an edge of
+    added length leads from each caller of such a node to each of its callees, the longest of equal ends is kept, and the
+    node gets its level from its callees' at the end. Those that have fewer edges than all their neighbours go, so many
+    functions around few that most of them call take one step, and a chain of n some log n. That goes on while edges are
+    more than `small` and a step makes at most `fill` rows an edge and leaves fewer edges. What is left is peeled: on the
+    driver if that is at most `small` edges, else in rounds of joins, with the same result.
     """
-    edges = saved(edges.select("caller", "callee").distinct())
-    some = edges.limit(small + 1).collect()
-    if len(some) <= small:
-        return edges.sparkSession.createDataFrame(list(_peeled({(r.caller, r.callee) for r in some}).items()), "node string, level int")
-    every = saved(nodes(edges))
-    done = Grown(saved(every.join(edges.select(F.col("caller").alias("node")), "node", "left_anti").withColumn("level", F.lit(0))))
-    left = edges
-    for k in count(1):
-        left = saved(left.join(done.parts[-1].select(F.col("node").alias("callee")), "callee", "left_anti"))
-        waits = left.select(F.col("caller").alias("node")).distinct()
-        new = saved(every.join(waits, "node", "left_anti").join(done.all(), "node", "left_anti").withColumn("level", F.lit(k)))
-        if new.limit(1).count() == 0:
-            return every.join(done.all(), "node", "left")
-        done.add(new)
-
-
-def _peeled(edges: set[tuple[str, str]]) -> dict[str, int | None]:
-    """Level of each node, callees first."""
-    callers: dict[str, list[str]] = {}
+    edges = saved(edges.select("caller", "callee").distinct().withColumn("w", F.lit(1)))
+    spark, n = edges.sparkSession, edges.count()
+    if n <= small:
+        return spark.createDataFrame(list(_peeled(edges.collect(), {}).items()), "node string, level int")
+    own = saved(nodes(edges).withColumn("x", F.lit(0)))
+    out: list[tuple[DataFrame, DataFrame]] = []
+    while n > small:
+        gone = saved(_apart(edges))
+        gone_as = lambda end: gone.select(F.col("node").alias(end))  # noqa: B023, E731
+        rows = gone.agg(F.sum(F.col("into") * F.col("out"))).first()[0]
+        if rows is None or rows > fill * n:  # there is none, or they have too many paths through them
+            break
+        down, up = edges.join(gone_as("caller"), "caller", "left_semi"), edges.join(gone_as("callee"), "callee", "left_semi")
+        stay = edges.join(gone_as("caller"), "caller", "left_anti").join(gone_as("callee"), "callee", "left_anti")
+        through = up.select("caller", F.col("callee").alias("_at"), "w").join(down.select(F.col("caller").alias("_at"), "callee", F.col("w").alias("_w")), "_at")
+        made = saved(stay.unionByName(through.select("caller", "callee", (F.col("w") + F.col("_w")).alias("w"))).groupBy("caller", "callee").agg(F.max("w").alias("w")))
+        if (m := made.count()) >= n:
+            break
+        ends = up.join(own.withColumnRenamed("node", "callee"), "callee").select(F.col("caller").alias("node"), (F.col("w") + F.col("x")).alias("x"))
+        went = own.join(gone.select("node"), "node", "left_semi")
+        out.append((went, saved(down)))
+        own = saved(own.join(gone.select("node"), "node", "left_anti").unionByName(ends).groupBy("node").agg(F.max("x").alias("x")))
+        edges, n = made, m
+    if n <= small:
+        peeled = _peeled(edges.collect(), dict(own.join(nodes(edges), "node", "left_semi").collect()))
+        peeled = spark.createDataFrame(list(peeled.items()), "node string, level int")
+        found = saved(peeled.unionByName(own.select("node", F.col("x").alias("level")).join(nodes(edges), "node", "left_anti")))
+    else:
+        found = _peeled_in_rounds(edges, own)
+    for went, down in reversed(out):
+        of = down.join(found.select(F.col("node").alias("callee"), "level"), "callee").groupBy(F.col("caller").alias("node"))
+        of = of.agg(F.max(F.col("w") + F.col("level")).alias("most"), F.bool_or(F.col("level").isNull()).alias("no_end"))
+        level = F.when(~F.coalesce("no_end", F.lit(False)), F.greatest("x", "most"))
+        found = saved(found.unionByName(went.join(of, "node", "left").select("node", level.alias("level"))))
+    return found
+
+
+def _apart(edges: DataFrame) -> DataFrame:
+    """node, into, out (numbers of edges): nodes of which none touches another, each with fewer edges than its neighbours, or
+    as many and a lesser hash."""
+    both = edges.select(F.col("caller").alias("node"), F.lit(0).alias("into"), F.lit(1).alias("out")).unionByName(edges.select(F.col("callee").alias("node"), F.lit(1).alias("into"), F.lit(0).alias("out")))
+    degree = saved(both.groupBy("node").agg(F.sum("into").alias("into"), F.sum("out").alias("out")))
+    rank = degree.select("node", F.struct(F.col("into") + F.col("out"), F.xxhash64("node"), "node").alias("rank"))
+    of = lambda end: rank.select(F.col("node").alias(end), F.col("rank").alias(f"{end}_rank"))
+    pairs = edges.select("caller", "callee").join(of("caller"), "caller").join(of("callee"), "callee")
+    loses = pairs.select(F.when(F.col("caller_rank") >= F.col("callee_rank"), F.col("caller")).otherwise(F.col("callee")).alias("node"))
+    return degree.join(loses.distinct(), "node", "left_anti")
+
+
+def _peeled_in_rounds(edges: DataFrame, own: DataFrame) -> DataFrame:
+    """node, level of edges with lengths (w) and what nodes have at least (own: node, x). A round takes the edges to the
+    nodes that were done in the one before, and what these bring; nodes that wait for no other edge are done."""
+    last = saved(own.join(edges.select(F.col("caller").alias("node")), "node", "left_anti").select("node", F.col("x").alias("level")))
+    done, brought, left = Grown(last), Grown(own), edges
+    while last.limit(1).count():
+        met = left.join(last.select(F.col("node").alias("callee"), "level"), "callee")
+        got = saved(met.groupBy(F.col("caller").alias("node")).agg(F.max(F.col("w") + F.col("level")).alias("x")))
+        brought.add(got)
+        left = saved(left.join(last.select(F.col("node").alias("callee")), "callee", "left_anti"))
+        ready = got.select("node").join(left.select(F.col("caller").alias("node")), "node", "left_anti")
+        last = saved(brought.all().join(ready, "node", "left_semi").groupBy("node").agg(F.max("x").alias("level")))
+        done.add(last)
+    return own.select("node").join(done.all(), "node", "left")
+
+
+def _peeled(edges: list[tuple[str, str, int]], own: dict[str, int]) -> dict[str, int | None]:
+    """Level of each node, callees first; edges have lengths, nodes at least what is their own."""
+    callers: dict[str, list[tuple[str, int]]] = {}
     need: dict[str, int] = {}
-    for caller, callee in edges:
-        callers.setdefault(callee, []).append(caller)
+    for caller, callee, w in edges:
+        callers.setdefault(callee, []).append((caller, w))
         need[caller] = need.get(caller, 0) + 1
         need.setdefault(callee, 0)
+    most = {n: own.get(n, 0) for n in need}
     out: dict[str, int | None] = dict.fromkeys(need)
-    front, k = [n for n, c in need.items() if c == 0], 0
+    front = [n for n, c in need.items() if c == 0]
     while front:
-        for n in front:
-            out[n] = k
-        nxt = []
-        for n in front:
-            for c in callers.get(n, ()):
-                need[c] -= 1
-                if need[c] == 0:
-                    nxt.append(c)
-        front, k = nxt, k + 1
+        n = front.pop()
+        out[n] = most[n]
+        for c, w in callers.get(n, ()):
+            most[c] = max(most[c], most[n] + w)
+            need[c] -= 1
+            if need[c] == 0:
+                front.append(c)
     return out
 
 

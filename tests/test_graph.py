@@ -109,6 +109,34 @@ def test_levels_of_cycles_and_repeated_edges(spark, one_task):
         assert got == {"c": 0, "b": 1, "t": 1, "a": 2, "x": None, "y": None, "z": None, "s": None}
 
 
+def plain_levels(edges):
+    """Peeled one node after the other; None on and above cycles."""
+    left, out = {n: {b for a, b in edges if a == n} for e in edges for n in e}, {}
+    while ready := [n for n, to in left.items() if n not in out and all(b in out for b in to)]:
+        out.update({n: max((out[b] + 1 for b in left[n]), default=0) for n in ready})
+    return {n: out.get(n) for n in left}
+
+
+@pytest.mark.parametrize("small,fill,cycles", [(0, 64, 0), (12, 64, 4), (0, 0, 1), (3, 1, 4)])
+def test_levels_by_taking_out_nodes_against_peeling(spark, one_task, small, fill, cycles):
+    """Down to nothing, to what the driver peels, not at all, and as far as few rows go."""
+    rng = random.Random(fill)
+    edges = [(f"n{a:02}", f"n{b:02}") for a, b in (sorted(rng.sample(range(14), 2)) for _ in range(22))]
+    edges += [("n03", "n03"), ("n09", "n02"), ("n13", "n12"), ("n12", "n13")][:cycles] + edges[:2]
+    got = [tuple(r) for r in graph.levels(spark.createDataFrame(edges, "caller string, callee string"), small, fill).collect()]
+    assert sorted(got) == sorted(plain_levels(edges).items())
+
+
+def test_levels_around_few_that_all_call_take_one_step(spark, one_task, monkeypatch):
+    written, kept = [], graph.saved
+    monkeypatch.setattr(graph, "saved", lambda df, by=None: written.append(1) or kept(df, by))
+    core = [f"c{k:02}" for k in range(30)]
+    edges = list(zip(core, core[1:])) + [(f"c{k:02}", f"m{k}_{i}") for k in range(29) for i in range(4)] + [(f"m{k}_{i}", f"c{k + 1:02}") for k in range(29) for i in range(4)]
+    got = graph.levels(spark.createDataFrame(edges, "caller string, callee string"), 40)
+    assert {r.node: r.level for r in got.collect()} == plain_levels(edges)
+    assert len(written) <= 10  # not two for each of the 59 levels
+
+
 def test_a_cycle_has_no_longest_path(spark, one_task):
     flow = spark.createDataFrame([("f", "a", "b"), ("f", "b", "a")], FLOW)
     seeds = spark.createDataFrame([("f", "a")], SEEDS)

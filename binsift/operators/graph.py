@@ -15,6 +15,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import closures
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
@@ -397,23 +398,44 @@ def tainted(flow: DataFrame, seeds: DataFrame) -> DataFrame:
     return settled(flow, seeds.select("fn", "var", F.lit(0).alias("x"))).select("fn", "var")
 
 
-def settled(edges: DataFrame, own: DataFrame, least: bool = True, step: int = 0, hops: int = 4) -> DataFrame:
+def settled(edges: DataFrame, own: DataFrame, least: bool = True, step: int = 0, hops: int = 4, most: int = 200_000) -> DataFrame:
     """fn, var, x of every variable that has a value of its own (own: fn, var, x) or gets one along edges (fn, src, dst): the
-    least, or the greatest, of its own and of what its sources have plus `step`.
+    least, or the greatest, of its own and of what its sources have plus `step`. x is a whole number.
+
+    Edges are dealt by function and each function is settled where it is, in one pass over the table. Functions of more
+    than `most` edges and values go in rounds over all of them instead, with the same result.
+
+    A cycle is fine where a step costs nothing. Where it adds (`step` of 1, the greatest), a cycle that a value reaches has
+    no greatest, which is an error. Edges with a null end lead nowhere.
+    """
+    edges = edges.filter("fn IS NOT NULL AND src IS NOT NULL AND dst IS NOT NULL").select("fn", "src", "dst")
+    edges = edges if step else edges.filter("src != dst")
+    own, kind = own.filter("x IS NOT NULL").select("fn", "var", "x"), own.schema["x"].dataType
+    nameless, own = own.filter("fn IS NULL OR var IS NULL"), own.filter("fn IS NOT NULL AND var IS NOT NULL")  # no edge leads from these
+    got = saved(closures.found(edges, own, least, step, most))
+    others = {r.kind for r in got.filter(F.col("kind") != closures.VALUE).select("kind").distinct().collect()}
+    if closures.CYCLE in others:
+        raise ValueError("flow has a cycle within a function")
+    values = got.filter(F.col("kind") == closures.VALUE).select("fn", "var", F.col("x").cast(kind).alias("x"))
+    values = values.unionByName(nameless.groupBy("fn", "var").agg((F.min if least else F.max)("x").alias("x")))
+    if closures.LONG not in others:
+        return values
+    long = got.filter(F.col("kind") == closures.LONG).select("fn")
+    return values.unionByName(_settled_in_rounds(edges.join(long, "fn", "left_semi"), own.join(long, "fn", "left_semi"), least, step, hops))
+
+
+def _settled_in_rounds(edges: DataFrame, own: DataFrame, least: bool, step: int, hops: int) -> DataFrame:
+    """Values of functions of any length.
 
     Where most variables have one source, chains of them are contracted by pointer doubling: each variable holds how far
     back it points (`to`), the sum of steps on the way (w) and the best value met there (acc); a round joins the table with
     itself and doubles the distance, so a chain of n takes log2 n rounds. What is left are variables of several sources,
     with edges between the ends of chains; if again most have one source they are contracted too. The rest goes in rounds
     from newly reached or improved variables, `hops` edges a round, and at last chains get their values from their ends.
-
-    A cycle is fine where a step costs nothing. Where it adds (`step` of 1, the greatest), a cycle that a value reaches has
-    no greatest, which is an error. Edges with a null end lead nowhere.
     """
     better = F.least if least else F.greatest  # of two, nulls left out
     best = F.min if least else F.max
-    edges = edges.filter("fn IS NOT NULL AND src IS NOT NULL AND dst IS NOT NULL").select("fn", "src", "dst", F.lit(step).alias("w"))
-    edges = saved((edges if step else edges.filter("src != dst")).distinct())
+    edges = saved(edges.select("fn", "src", "dst", F.lit(step).alias("w")).distinct())
     own = saved(own.groupBy("fn", "var").agg(best("x").alias("x")))
     chains: list[DataFrame] = []
     while True:

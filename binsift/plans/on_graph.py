@@ -16,7 +16,7 @@ _SEED = "s AS (SELECT DISTINCT fn, out_var AS var FROM b_ops WHERE op = 'CALL' A
 
 def _flow(s: Source) -> DataFrame:
     rows = ops.of_bridge(s.b_ops).filter("op != 'CALL' AND out_var IS NOT NULL")
-    return rows.select("fn", F.explode("args").alias("src"), F.col("out_var").alias("dst")).filter("NOT src LIKE 'const%'").distinct()
+    return rows.select("fn", F.explode("args").alias("src"), F.col("out_var").alias("dst")).filter("NOT src LIKE 'const%'")
 
 
 def _seeds(s: Source) -> DataFrame:
@@ -148,7 +148,7 @@ d AS (SELECT fn, target, target AS var, 0 AS depth FROM g UNION SELECT d.fn, d.t
 SELECT fn, target, var, CAST(min(depth) AS INTEGER) AS depth FROM d GROUP BY fn, target, var""")
 def g15(s: Source) -> DataFrame:
     targets = s.b_ops.filter("op = 'STORE'").select("fn", F.col("in1").alias("target")).distinct()
-    return graph.backward_slice(_flow(s), targets, 20)
+    return graph.backward_slice(_flow(s).distinct(), targets, 20)
 
 
 @query("n2_longest_hops", f"WITH RECURSIVE {_FLOW}, {_SEED}, d AS (SELECT fn, var, 0 AS hops FROM s UNION SELECT f.fn, f.dst, d.hops + 1 FROM d JOIN f ON f.fn = d.fn AND f.src = d.var) SELECT fn, var, CAST(max(hops) AS INTEGER) AS hops FROM d GROUP BY fn, var")

@@ -95,6 +95,23 @@ def test_settled_against_relaxation(spark, one_task, seed):
             assert {(r.fn, r["var"]): r.x for r in graph.settled(df, values, least, step).collect()} == want
 
 
+@pytest.mark.parametrize("least,step", [(True, 0), (False, 1)])
+def test_settled_in_tasks_as_in_rounds(spark, one_task, monkeypatch, least, step):
+    """All functions where they are, the longer one in rounds, and both; short ones take no rounds."""
+    edges = [("f", f"v{k}", f"v{k + d}") for k in range(9) for d in (1, 2)] + [("g", "a", "b"), ("g", "b", None), ("g", "z", "y"), (None, "a", "b")]
+    own = [("f", "v1", 3), ("f", "v4", 0), ("f", "v4", 2), ("g", "a", 1), ("h", "lone", 5)]
+    df, values = spark.createDataFrame(edges, FLOW), spark.createDataFrame(own, f"{SEEDS}, x int")
+    want = plain_settled([e for e in edges if None not in e], own, least, step)
+    for most in (100, 10, 0):
+        written, kept = [], graph.saved
+        with monkeypatch.context() as m:
+            m.setattr(graph, "saved", lambda df, by=None: written.append(1) or kept(df, by))
+            got = graph.settled(df, values, least, step, most=most)
+        assert sorted((r.fn, r["var"], r.x) for r in got.collect()) == sorted((*k, x) for k, x in want.items())
+        assert got.schema["x"].dataType == values.schema["x"].dataType
+        assert (len(written) == 1) == (most == 100)
+
+
 def test_levels_beyond_twenty(spark, one_task):
     edges = chain(spark, 23).selectExpr("src AS caller", "dst AS callee")
     for small in (100_000, 5):

@@ -59,6 +59,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def grows(df: DataFrame) -> DataFrame:
+    """df to be joined by sorting. For tables of a row per function or node, of which many joins would each send a whole copy
+    through the driver while it is under the size for a broadcast."""
+    return df.hint("merge")
+
+
 class Grown:
     """A table that grows by a part a round. Parts stay as they were written; of many, one is made now and then."""
 
@@ -118,7 +124,7 @@ def distances(edges: DataFrame, seeds: DataFrame, hops: int | None = None, backw
     front = saved(seeds.select("node", F.lit(0).alias("dist")).distinct())
     seen = Grown(front)
     for d in count(1) if hops is None else range(1, hops + 1):
-        reached = front.join(step, "node").select(F.col("to").alias("node")).distinct().join(seen.all(), "node", "left_anti")
+        reached = front.join(step, "node").select(F.col("to").alias("node")).distinct().join(grows(seen.all()), "node", "left_anti")
         front = saved(reached.withColumn("dist", F.lit(d)))
         if front.limit(1).count() == 0:
             break
@@ -130,7 +136,7 @@ def source_distance(edges: DataFrame, is_source: Column, hops: int = 4) -> DataF
     """Hops from each node down to a callee that is a source; hops + 1 beyond."""
     seeds = nodes(edges).filter(is_source).select("node")
     near = distances(edges, seeds, hops, backwards=True)
-    return nodes(edges).join(near, "node", "left").select("node", F.coalesce("dist", F.lit(hops + 1)).alias("dist"))
+    return nodes(edges).join(grows(near), "node", "left").select("node", F.coalesce("dist", F.lit(hops + 1)).alias("dist"))
 
 
 def reachable(edges: DataFrame, is_seed: Column, is_write: Column, hops: int | None = None, least_share: float = 0.05) -> DataFrame:
@@ -161,12 +167,18 @@ def page_rank(edges: DataFrame, personal: DataFrame | None, rounds: int = 25, da
     callers = edges.groupBy("callee").agg(F.count("caller").alias("callers"))
     weighted = saved(edges.join(callers, "callee").select("caller", F.col("callee").alias("node"), (1.0 / F.col("callers")).alias("part")))
     base = saved(every.join(personal, "node", "left").select("node", ((1 - damping) * F.coalesce("weight", F.lit(0.0))).alias("base")))
-    rank = base.select("node", F.lit(1.0 / max(n, 1)).alias("rank"))
+    # Only what nodes with callers have is passed on; the others get theirs in the last round.
+    called = weighted.select("node").distinct()
+    inner, passing = saved(weighted.join(called.withColumnRenamed("node", "caller"), "caller", "left_semi")), saved(base.join(called, "node", "left_semi"))
+    rank = passing.select("node", F.lit(1.0 / max(n, 1)).alias("rank"))
     for i in range(rounds):
-        sent = rank.join(weighted, "node").groupBy(F.col("caller").alias("node")).agg(F.sum(F.col("rank") * F.col("part")).alias("got"))
-        rank = base.join(sent, "node", "left").select("node", (F.coalesce("got", F.lit(0.0)) * damping + F.col("base")).alias("rank"))
+        along, of = (weighted, base) if i == rounds - 1 else (inner, passing)
+        sent = rank.join(along, "node").groupBy(F.col("caller").alias("node")).agg(F.sum(F.col("rank") * F.col("part")).alias("got"))
+        rank = of.join(grows(sent), "node", "left").select("node", (F.coalesce("got", F.lit(0.0)) * damping + F.col("base")).alias("rank"))
         if i % cut_every == cut_every - 1:
             rank = saved(rank)
+    if not rounds:
+        rank = base.select("node", F.lit(1.0 / max(n, 1)).alias("rank"))
     top = rank.agg(F.max("rank").alias("top"))
     return rank.join(F.broadcast(top)).select("node", F.round(F.when(F.col("top") > 0, F.col("rank") / F.col("top")).otherwise(F.lit(0.0)), 4).alias("rank"))
 
@@ -181,7 +193,7 @@ def propagate_scores(scores: DataFrame, edges: DataFrame, rounds: int = 2, down:
         caller = edges.join(s.withColumnRenamed("node", "caller"), "caller").groupBy(F.col("callee").alias("node")).agg(F.sum("score").alias("above"))
         limit = F.when(F.col("ops") > big, cap).otherwise(999.0)
         total = F.col("score") + F.least(F.coalesce("below", F.lit(0.0)) * down, limit) + F.coalesce("above", F.lit(0.0)) * up
-        now = saved(now.join(callee, "node", "left").join(caller, "node", "left").select("node", F.round(F.round(total, 9), 4).alias("score"), "ops"))
+        now = saved(now.join(grows(callee), "node", "left").join(grows(caller), "node", "left").select("node", F.round(F.round(total, 9), 4).alias("score"), "ops"))
     return now.select("node", "score")
 
 

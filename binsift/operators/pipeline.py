@@ -26,11 +26,11 @@ def ranked(functions_ops: DataFrame, edges: DataFrame, rules: DataFrame, prototy
     reaches = graph.reaches_within(edges, dangerous, 3).select(F.col("node").alias("fn"), F.lit(True).alias("dangerous"))
     degree = graph.degrees(edges).select(F.col("node").alias("fn"), "fan_out")
     points = match.function_risk(match.library(match.calls(flat), rules)).select("fn", F.col("score").alias("call_points"))
-    wide = f.join(ops.unchecked_stores(flat), "fn")
+    wide = f.join(graph.grows(ops.unchecked_stores(flat)), "fn")
     for extra in (roles, dist, reach, ppr, reaches, degree, points):
-        wide = wide.join(extra, "fn", "left")
+        wide = wide.join(graph.grows(extra), "fn", "left")
     if prototypes is not None:
-        wide = wide.join(prototypes, "fn", "left")
+        wide = wide.join(graph.grows(prototypes), "fn", "left")
     false, zero = F.lit(False), F.lit(0)
     full = wide.select(
         *[c for c in f.columns if c not in ("input_calls", "sink_calls")],
@@ -52,11 +52,12 @@ def ranked(functions_ops: DataFrame, edges: DataFrame, rules: DataFrame, prototy
         (F.size("input_calls") > 0).alias("source_site"),
         ((F.size("sink_calls") > 0) | (F.size("input_calls") > 0)).alias("dangerous_callee"),
     )
+    full = graph.saved(full)
     scored = evidence.scores(full)
     category = F.when((F.col("arithmetic") >= 0.60) & (F.col("arithmetic") >= F.col("exposure")), "arithmetic").otherwise(F.coalesce(F.create_map(*[F.lit(x) for kv in dims.ROLE_CATEGORY.items() for x in kv])[F.col("role")], F.lit("unknown")))
-    labelled = scored.join(full.select("fn", "role", "instructions"), "fn").withColumn("category", category)
+    labelled = graph.saved(scored.join(graph.grows(full.select("fn", "role", "instructions")), "fn").withColumn("category", category))
     spread = graph.propagate_scores(labelled.select(F.col("fn").alias("node"), F.col("total").alias("score"), F.col("instructions").alias("ops")), edges)
-    return labelled.join(spread.select(F.col("node").alias("fn"), F.col("score").alias("final")), "fn").drop("instructions")
+    return labelled.join(graph.grows(spread.select(F.col("node").alias("fn"), F.col("score").alias("final"))), "fn").drop("instructions")
 
 
 def selected(rows: DataFrame, budget: int, profile: dict[str, float]) -> DataFrame:

@@ -167,3 +167,18 @@ def test_distances_go_as_far_as_edges_lead(spark, one_task):
     seeds = spark.createDataFrame([("v30",)], "node string")
     assert graph.distances(edges, seeds, backwards=True).count() == 31 and graph.distances(edges, seeds, 10, backwards=True).count() == 11
     assert graph.reachable(edges, F.col("node") == "v30", F.lit(False)).count() == 31
+
+
+def test_rounds_of_page_rank_hold_nodes_with_callers_only(spark, one_task, monkeypatch):
+    written, kept = [], graph.saved
+    monkeypatch.setattr(graph, "saved", lambda df, by=None: written.append(kept(df, by)) or written[-1])
+    pairs = [(f"n{k}", "a") for k in range(20)] + [("a", "b"), ("b", "a"), ("a", "s"), ("n0", "n1")]
+    names = sorted({n for p in pairs for n in p})
+    own = spark.createDataFrame([("s", 1.0)], "node string, weight double")
+    got = {r.node: r["rank"] for r in graph.page_rank(spark.createDataFrame(pairs, "caller string, callee string"), own, rounds=4, cut_every=2).collect()}
+    into = {n: sum(b == n for _, b in pairs) for n in names}
+    rank = dict.fromkeys(names, 1 / len(names))
+    for _ in range(4):
+        rank = {n: 0.85 * sum(rank[b] / into[b] for a, b in pairs if a == n) + (0.15 if n == "s" else 0) for n in names}
+    assert got == pytest.approx({n: x / max(rank.values()) for n, x in rank.items()}, abs=1e-4)
+    assert [t.count() for t in written if t.columns == ["node", "rank"]] == [4, len(names)]

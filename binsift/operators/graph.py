@@ -300,8 +300,8 @@ def strong_components(edges: DataFrame, small: int = 100_000) -> DataFrame:
     By colouring with trimming. Nodes without an edge in or out among those left are components of their own and go first.
     Then the greatest name flows along edges until each node has that of the greatest node it can be reached from; going
     back from that node along edges between nodes of its colour gives its component. Those go, and the rest is done again.
-    Rounds read what is left and write what changed. Graphs of at most `small` edges, counted first, are done on the driver
-    instead, with the same result. Self edges and repeated ones change nothing.
+    Rounds read what is left and write what changed. What is left of at most `small` edges, counted first and when nodes have
+    gone, is done on the driver instead, with the same result. Self edges and repeated ones change nothing.
     """
     edges = saved(edges.select("caller", "callee").distinct())
     some = edges.limit(small + 1).collect()
@@ -311,6 +311,10 @@ def strong_components(edges: DataFrame, small: int = 100_000) -> DataFrame:
     left, size = _trimmed(edges.filter("caller != callee"))
     found: list[DataFrame] = []
     while size:
+        if size <= small:
+            rest = list(_strong([(r.caller, r.callee) for r in left.collect()]).items())
+            found.append(edges.sparkSession.createDataFrame(rest, "node string, comp string"))
+            break
         colour = _coloured(left)
         of = lambda end: colour.select(F.col("node").alias(end), F.col("colour").alias(f"{end}_colour"))  # noqa: B023, E731
         alike = saved(left.join(of("caller"), "caller").join(of("callee"), "callee").filter("caller_colour = callee_colour").select("caller", "callee"))

@@ -182,3 +182,14 @@ def test_rounds_of_page_rank_hold_nodes_with_callers_only(spark, one_task, monke
         rank = {n: 0.85 * sum(rank[b] / into[b] for a, b in pairs if a == n) + (0.15 if n == "s" else 0) for n in names}
     assert got == pytest.approx({n: x / max(rank.values()) for n, x in rank.items()}, abs=1e-4)
     assert [t.count() for t in written if t.columns == ["node", "rank"]] == [4, len(names)]
+
+
+def test_components_left_by_trimming_are_done_at_once(spark, one_task, monkeypatch):
+    def coloured(edges):
+        raise AssertionError("few edges need no rounds")
+
+    pairs = [(f"n{k}", "a") for k in range(9)] + [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c")]
+    edges = spark.createDataFrame(pairs, "caller string, callee string")
+    want = {**{f"n{k}": f"n{k}" for k in range(9)}, "a": "b", "b": "b", "c": "d", "d": "d"}
+    monkeypatch.setattr(graph, "_coloured", coloured)
+    assert {r.node: r.comp for r in graph.strong_components(edges, small=6).collect()} == want

@@ -133,7 +133,7 @@ def a18(s: Source) -> DataFrame:
 
 @query("a19_dedup_keep_first", "SELECT fn, vuln_type, sink_fn, cand_id, match_kind, conf_pct FROM (SELECT *, row_number() OVER (PARTITION BY fn, vuln_type, sink_fn ORDER BY cand_id) AS n FROM b_candidates) t WHERE n = 1")
 def a19(s: Source) -> DataFrame:
-    return select.keep_first(s.b_candidates, ["fn", "vuln_type", "sink_fn"], "cand_id", "conf_pct", "match_kind")
+    return select.keep_first(s.placed("b_candidates"), ["fn", "vuln_type", "sink_fn"], "cand_id", "place").drop("place")
 
 
 @query("a20_first_wins_fingerprint", "SELECT skey, min(fn) AS fn FROM (SELECT fn, sha256(string_agg(op, ' ' ORDER BY seq))[1:16] AS skey FROM b_ops GROUP BY fn) t GROUP BY skey")

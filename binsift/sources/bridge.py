@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 VIEWS = {
@@ -105,11 +106,15 @@ def oracle(sql: str) -> str:
     return f"WITH {views}\n{body}"
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A bridge view as DataFrame."""
+def view(spark: SparkSession, sf_dir: str, name: str, placed: bool = False) -> DataFrame:
+    """A bridge view as DataFrame. placed adds, to one that only selects from a table, where a row stands in the table:
+    `place`, its file and its number there."""
     sql, parts = VIEWS[name], {}
     for t in (*TABLES, *VIEWS):
         if t != name and re.search(rf"\b(FROM|JOIN) {t}\b", sql):
             parts[t] = view(spark, sf_dir, t) if t in VIEWS else spark.read.parquet(f"{sf_dir}/{t}.parquet")
+            if placed:
+                parts[t] = parts[t].select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("place"))
+                sql = re.sub(rf"\nFROM {t}$", rf", place\nFROM {t}", sql)
             sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
     return spark.sql(sql, **parts)

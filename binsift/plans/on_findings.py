@@ -399,8 +399,8 @@ def s16(s: Source) -> DataFrame:
 WITH c AS (SELECT *, {_SEV} AS sev FROM b_candidates WHERE conf_pct > 80), o AS (SELECT *, row_number() OVER (ORDER BY CASE sev WHEN 'critical' THEN 4 WHEN 'high' THEN 3 ELSE 2 END DESC, cand_id, fn, vuln_type) AS line_no FROM c)
 SELECT line_no, '<tr class=' || chr(39) || sev || chr(39) || '><td>' || format('VULN-{{:03d}}', line_no) || '</td><td>' || sev || '</td><td>' || vuln_type || '</td><td>' || fn || '</td><td>' || sink_fn || '</td><td>' || conf_pct || '</td><td></td></tr>' AS html FROM o""")
 def s17b(s: Source) -> DataFrame:
-    rows = s.b_candidates.withColumn("severity", fuse.default_severity(F.col("vuln_type")))
-    return report.html_lines(rows.filter("conf_pct > 80"), rows.filter("NOT conf_pct > 80"), "program", "cand_id", "fn", "vuln_type", "conf_pct", "match_kind").filter("section = 2").select("line_no", "html")
+    rows = s.placed("b_candidates").withColumn("severity", fuse.default_severity(F.col("vuln_type")))
+    return report.html_lines(rows.filter("conf_pct > 80"), rows.filter("NOT conf_pct > 80"), "program", "cand_id", "fn", "vuln_type", "place").filter("section = 2").select("line_no", "html")
 
 
 @query("s18_json_report", f"""

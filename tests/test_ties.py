@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from binsift.registry import ORACLE_SQL, QUERIES
 
-NAMES = ["a19_dedup_keep_first"]
+NAMES = ["a19_dedup_keep_first", "s17b_html_rows"]
 
 
 def test_rows_of_one_candidate_number_stay_in_order_of_the_table(spark, tmp_path):
@@ -21,6 +21,8 @@ def test_rows_of_one_candidate_number_stay_in_order_of_the_table(spark, tmp_path
     lines.write.parquet(f"{tmp_path}/lineitem.parquet")
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    rows = QUERIES["s17b_html_rows"](spark, str(tmp_path)).orderBy("line_no").limit(3).collect()
+    assert ["<td>100</td>" in rows[0].html, "<td>98</td>" in rows[1].html, "<td>96</td>" in rows[2].html] == [True] * 3
     assert QUERIES["a19_dedup_keep_first"](spark, str(tmp_path)).first().conf_pct == 100
     # DuckDB's sort isn't stable where so many rows are equal, so only the grouped query's rows are sure to be its.
     same_rows(QUERIES["a19_dedup_keep_first"](spark, str(tmp_path)), duck, ORACLE_SQL["a19_dedup_keep_first"])

@@ -13,6 +13,7 @@ a null function is a function like others.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .shipping import ship
 
-#: Operations decoded at a time of functions that have more.
-SLICE = 4096
+#: Operations decoded at a time of functions that have more, and how many such slices are kept for reading here and there.
+SLICE, KEPT = 4096, 8
 #: Functions and operations after which a task hands on what it has found.
 FLUSH_FUNCTIONS, FLUSH_OPS = 256, 20_000
 FIELDS = ("seq", "op", "callee", "out", "args", "sizes")
@@ -39,7 +40,7 @@ class Operations(Sequence):
     def __init__(self) -> None:
         self.parts: list[pa.RecordBatch] = []
         self.starts: list[int] = [0]
-        self._from, self._rows = 0, []
+        self._read: dict[int, list[dict]] = {}  # slices by their first place, the one read last at the end
 
     def add(self, part: pa.RecordBatch) -> None:
         self.parts.append(part)
@@ -57,11 +58,16 @@ class Operations(Sequence):
         k += len(self) if k < 0 else 0
         if not 0 <= k < len(self):
             raise IndexError(k)
-        if not self._from <= k < self._from + len(self._rows):
-            i = int(np.searchsorted(self.starts, k, "right")) - 1
-            lo = (k - self.starts[i]) // SLICE * SLICE
-            self._from, self._rows = self.starts[i] + lo, _decoded(self.parts[i].slice(lo, SLICE))
-        return self._rows[k - self._from]
+        i = bisect_right(self.starts, k) - 1
+        lo = (k - self.starts[i]) // SLICE * SLICE
+        first = self.starts[i] + lo
+        rows = self._read.pop(first, None)
+        if rows is None:
+            rows = _decoded(self.parts[i].slice(lo, SLICE))
+            if len(self._read) == KEPT:
+                del self._read[next(iter(self._read))]
+        self._read[first] = rows
+        return rows[k - first]
 
     def short(self) -> Sequence[dict]:
         """All of them in a list if they are few, else themselves."""

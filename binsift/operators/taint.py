@@ -44,8 +44,11 @@ UPPER_BOUND = 0x10
 PARAMETER, SLICE_DEPTH = 0.55, 20
 UAF_FIELD, FREED, DOUBLE_FREE, WRITE, UNKNOWN_CALL, OOB, NARROWED, TRUNCATED, CALLIND_NULL, LOAD_NULL = 0.80, 0.75, 0.80, 0.60, 0.35, 0.50, 0.55, 0.75, 0.65, 0.70
 FROM_CALLER, COPIED = 0.80, 0.9
-#: Operations of a function that is walked at most: the size filter of the stage before. None for no limit.
+#: Operations of a function that is walked at most if the size filter of the stage before is wanted; None for no limit.
+#: Registered queries and composed stages walk functions of any length (`whole`).
 MOST_OPS: int | None = 8000
+#: Parameters whose effects one pass over a function's operations finds.
+BLOCK = 4096
 
 CANDIDATES = "array<struct<seq:int,vuln_type:string,sink_fn:string,match_kind:string,confidence:double,taint_source:string,taint_var:string,taint_path:array<string>,bounded:boolean,hops:int,var_conf:double,path_conf:double,seed_fn:string,mult:boolean,checked:boolean,freed:boolean,backward_conf:double,backward_depth:int>>"
 SCHEMA = (
@@ -151,6 +154,7 @@ class Walk:
     steps: list[dict] = field(default_factory=list)
     found: dict[tuple, dict] = field(default_factory=dict)
     unknown_calls: int = 0
+    muted: bool = False
     seq: int = -1
     op: str = "SEED"
 
@@ -210,7 +214,7 @@ class Walk:
             self.step(origin, name, reason, True)
 
     def report(self, kind: str, sink: str, match: str, conf: float, source: str, var: str | None, bounded: bool = False) -> None:
-        if (sink, kind, source) not in self.found:
+        if not self.muted and (sink, kind, source) not in self.found:
             path = self.path(var) if var else [source]
             self.found[sink, kind, source] = {"seq": self.seq, "vuln_type": kind, "sink_fn": sink, "match_kind": match, "confidence": round(conf, 4), "taint_source": source, "taint_var": var, "taint_path": path, "bounded": bounded}
 
@@ -478,7 +482,7 @@ def walk(fn: str, rows: Sequence[dict], rules: dict[str, Rule], effects: dict |
     for k, o in enumerate(rows):
         op, args, sizes, out = o["op"], o["args"], o["sizes"], o["out"]
         w.seq, w.op = o["seq"], op
-        before = dict(w.found) if w.silent else None
+        w.muted = w.silent and (op in CALLS or op in ("STORE", "LOAD"))
         if op in CALLS:
             w.call((o["callee"] or "unknown").removeprefix("INDIRECT:"), args, sizes, out, op == "CALL")
             if k in null_calls:
@@ -493,17 +497,19 @@ def walk(fn: str, rows: Sequence[dict], rules: dict[str, Rule], effects: dict |
             w.branch(args)
         elif op not in NO_DATA:
             w.data(op, args, sizes, out)
-            before = None
-        if before is not None:
-            w.found = before
     _evidence(w, rows)
     return w
 
 
-def backward(rows: Sequence[dict], var: str, depth: int = SLICE_DEPTH) -> tuple[float, int]:
+def definitions(rows: Sequence[dict]) -> dict[str, int]:
+    """Place of the last operation that sets a variable."""
+    return {o["out"]: k for k, o in enumerate(rows) if o["out"]}
+
+
+def backward(rows: Sequence[dict], var: str, depth: int = SLICE_DEPTH, made: dict[str, int] | None = None) -> tuple[float, int]:
     """Confidence of the surest source that a variable comes from (PARAMETER for one that nothing sets), and the number of
     operations on the way back: breadth first over the last definitions, source calls end a branch."""
-    made = {o["out"]: k for k, o in enumerate(rows) if o["out"]}
+    made = definitions(rows) if made is None else made
     conf, n, seen, queue = 0.0, 0, {var}, deque([(var, 0)])
     while queue:
         name, far = queue.popleft()
@@ -525,6 +531,7 @@ def _evidence(w: Walk, rows: Sequence[dict]) -> None:
     """What the walk knows at its end of each candidate's variable and path; a backward slice where no variable of the path
     has a source confidence."""
     sliced: dict[str, tuple[float, int]] = {}
+    made: dict[str, int] | None = None
     for c in w.found.values():
         var, path = c["taint_var"], c["taint_path"]
         v = w.known(var)
@@ -532,47 +539,70 @@ def _evidence(w: Walk, rows: Sequence[dict]) -> None:
         seed = w.seeds.get(var) or max((w.seeds[p] for p in path if p in w.seeds), key=lambda x: x[0], default=None)
         back = (None, None)
         if var and v.confidence == 0 and path_conf == 0:
-            back = sliced[var] = sliced.get(var) or backward(rows, var)
+            made = definitions(rows) if made is None else made
+            back = sliced[var] = sliced.get(var) or backward(rows, var, made=made)
         c.update(hops=v.hops or 0, var_conf=v.confidence, path_conf=path_conf, seed_fn=seed and seed[1], mult=v.mult, checked=v.checked, freed=v.freed, backward_conf=back[0], backward_depth=back[1])
 
 
 # -- what functions do with their parameters ---------------------------------------------------------------------------
 
 
-def probe(rows: Sequence[dict], seeds: set[str], rules: dict[str, Rule], effects: dict[str, list[tuple[int, str]]]) -> tuple[set[str], set[str]]:
-    """Variables and memory that taint reaches from seeds: the closure alone, without sinks, checks and frees."""
-    live, memory = set(seeds), set()
+def spread(rows: Sequence[dict], seeds: dict[str, int], rules: dict[str, Rule], effects: dict[str, list[tuple[int, str]]]) -> tuple[dict[str, int], dict[str, int]]:
+    """Bits of the seeds that taint variables and memory: the closure alone, without sinks, checks and frees. A seed spreads
+    as if it were alone, so one pass follows as many as there are bits."""
+    live, memory = dict(seeds), {}
+
+    def add(to: dict[str, int], name: str | None, bits: int) -> None:
+        if bits:
+            to[name] = to.get(name, 0) | bits
+
+    def met(names: list[str]) -> int:
+        bits = 0
+        for a in names:
+            bits |= live.get(a, 0)
+        return bits
+
     for o in rows:
         op, args, sizes, out = o["op"], o["args"], o["sizes"], o["out"]
         if op in CALLS:
-            if live.isdisjoint(args) and memory.isdisjoint(args):
+            bits = met(args)
+            for a in args if memory else ():
+                bits |= memory.get(a, 0)
+            if not bits:
                 continue
             name = (o["callee"] or "").removeprefix("INDIRECT:")
             rule, known = rules.get(name), effects.get(name)
             if rule:
-                live.update([out] if rule.returns and out else [], (args[i] for i in rule.external if i < len(args)))
-                written = rule.written(args, sizes)
-                if rule.is_source or 0 <= rule.reads_from < len(args) and args[rule.reads_from] in live:
-                    memory.update(written)
+                if rule.returns and out:
+                    add(live, out, bits)
+                for i in rule.external:
+                    if i < len(args):
+                        add(live, args[i], bits)
+                bits = bits if rule.is_source else live.get(args[rule.reads_from], 0) if 0 <= rule.reads_from < len(args) else 0
+                for a in rule.written(args, sizes) if bits else ():
+                    add(memory, a, bits)
             elif known:
                 for i, effect in known:
-                    if i < len(args) and args[i] in live:
-                        live.update([out] if effect == "return" and out else [])
+                    if i < len(args) and (bits := live.get(args[i], 0)):
+                        if effect == "return" and out:
+                            add(live, out, bits)
                         if effect.startswith("mem:") and int(effect[4:]) < len(args):
-                            memory.add(args[int(effect[4:])])
+                            add(memory, args[int(effect[4:])], bits)
             else:
-                live.update([out] if out else [])
-                memory.update(a for a, s in zip(args, sizes) if s == 8 and a in live)
+                if out:
+                    add(live, out, bits)
+                for a, s in zip(args, sizes):
+                    if s == 8:
+                        add(memory, a, live.get(a, 0))
         elif op == "STORE":
             addr, value = (args[1:3] if len(args) > 2 else args) if len(args) > 1 else (None, None)
-            if value in live:
-                memory.add(addr)
+            add(memory, addr, live.get(value, 0))
         elif op == "LOAD":
             addr = args[1] if len(args) > 1 else args[0] if args else None
-            if out and (addr in live or addr in memory):
-                live.add(out)
-        elif op not in NO_DATA and op != "CBRANCH" and out and not live.isdisjoint(args):
-            live.add(out)
+            if out:
+                add(live, out, live.get(addr, 0) | memory.get(addr, 0))
+        elif op not in NO_DATA and op != "CBRANCH" and out:
+            add(live, out, met(args))
     return live, memory
 
 
@@ -608,21 +638,45 @@ def freed_fields(rows: Sequence[dict], alias: dict[str, int], effects: dict[str,
     return out
 
 
-def summary(rows: Sequence[dict], rules: dict[str, Rule], effects: dict[str, list[tuple[int, str]]], targets: dict[int, str] | None = None) -> list[tuple[int, str]]:
-    """What a function does with each of its parameters: (position, effect)."""
+#: Stands for effects that aren't told one by one: a function with it is known, and it passes nothing on.
+INSIDE = "inside"
+
+
+def _places(bits: int) -> list[int]:
+    """Numbers of the bits that are set."""
+    return [k for k, bit in enumerate(reversed(f"{bits:b}")) if bit == "1"] if bits else []
+
+
+def summary(rows: Sequence[dict], rules: dict[str, Rule], effects: dict[str, list[tuple[int, str]]], targets: dict[int, str] | None = None, widest: int | None = None) -> list[tuple[int, str]]:
+    """What a function does with each of its parameters: (position, effect).
+
+    With widest, the most arguments that any call passes, effects on and of parameters beyond it, which no call can meet,
+    are told as one: INSIDE, if there are any."""
     params = parameters(rows)
     alias = {p: i for i, p in enumerate(params)}
     for o in rows:
         if o["op"] in ALIAS and o["out"] and o["out"] not in alias and (of := next((a for a in o["args"] if a in alias), None)):
             alias[o["out"]] = alias[of]
     returned = next((o["args"][0] for o in reversed(rows) if o["op"] == "RETURN" and o["args"] and o["args"][0] and const(o["args"][0]) is None), None)
+    most = len(params) if widest is None else min(widest, len(params))
     found: set[tuple[int, str]] = {(i, f"field:{offset}") for i, offset in freed_fields(rows, alias, effects, targets or {})}
-    for i, p in enumerate(params):
-        live, memory = probe(rows, {p}, rules, effects)
-        if returned in live:
-            found.add((i, "return"))
-        found.update((i, f"mem:{alias[v]}") for v in memory if v in alias)
-    return sorted(found)
+    # What is followed together: each parameter for itself, those beyond as one.
+    groups = [[p] for p in params[:most]] + ([params[most:]] if most < len(params) else [])
+    for lo in range(0, len(groups), BLOCK):
+        live, memory = spread(rows, {p: 1 << k for k, group in enumerate(groups[lo : lo + BLOCK]) for p in group}, rules, effects)
+        found.update((lo + k, "return") for k in _places(live.get(returned, 0)))
+        into: dict[int, int] = {}  # parameters by what they write to, those beyond as one
+        for v, bits in memory.items():
+            if v in alias:
+                to = min(alias[v], most)
+                into[to] = into.get(to, 0) | bits
+        for to, bits in into.items():
+            effect = f"mem:{to}"
+            found.update((lo + k, effect) for k in _places(bits))
+    if widest is None:
+        return sorted(found)
+    kept = {(i, e) for i, e in found if i < widest and e != f"mem:{widest}"}
+    return sorted(kept | {(0, INSIDE)} if len(kept) < len(found) else kept)
 
 
 def passed_on(fn: str, rows: Sequence[dict], rules: dict[str, Rule], effects: dict[str, list[tuple[int, str]]]) -> list[tuple[str, int]]:
@@ -638,7 +692,7 @@ def passed_on(fn: str, rows: Sequence[dict], rules: dict[str, Rule], effects: di
                 seeds.add(o["out"])
     if not seeds:
         return []
-    live, _ = probe(rows, seeds, rules, effects)
+    live, _ = spread(rows, dict.fromkeys(seeds, 1), rules, effects)
     marks = {(o["callee"].removeprefix("INDIRECT:"), i) for o in rows if o["op"] in CALLS and o["callee"] for i, a in enumerate(o["args"]) if a in live}
     return [(fn, -1), *sorted(marks)]
 
@@ -659,12 +713,12 @@ def pointers(ops: DataFrame, entries: DataFrame) -> DataFrame:
     return taken.join(known, "at").select("fn", F.conv("at", 16, 10).cast("long").alias("address"), "callee")
 
 
-def analyze(ops: DataFrame, effects: DataFrame | None = None, external: DataFrame | None = None, entries: DataFrame | None = None, reach: DataFrame | None = None) -> DataFrame:
+def analyze(ops: DataFrame, effects: DataFrame | None = None, external: DataFrame | None = None, entries: DataFrame | None = None, reach: DataFrame | None = None, whole: bool = False) -> DataFrame:
     """Walk every function of flat operations: fn, tainted, steps, candidates, unknown_calls, marks.
 
     effects (EFFECTS) says what functions do with their parameters: from `summaries`, from learned rules, or both. external
     (fn, arg) names parameters that callers taint, entries (fn, entry_addr) where functions start, reach (fn, reach) how
-    surely input reaches them.
+    surely input reaches them. Unless whole, functions of more than MOST_OPS operations are left out.
     """
     taken = None if entries is None else pointers(ops, entries)
     facts = known_facts(calls(ops), effects, taken)
@@ -692,7 +746,7 @@ def analyze(ops: DataFrame, effects: DataFrame | None = None, external: DataFram
 
         return job
 
-    return functionwise.per_function(ops, make, SCHEMA, _arrow(), facts, MOST_OPS)
+    return functionwise.per_function(ops, make, SCHEMA, _arrow(), facts, None if whole else MOST_OPS)
 
 
 def known_facts(edges: DataFrame, effects: DataFrame | None, taken: DataFrame | None) -> list[DataFrame]:
@@ -757,11 +811,7 @@ def placed(edges: DataFrame, functions: DataFrame) -> DataFrame:
     return rows.select("fn", F.coalesce("comp", "fn").alias("comp"), F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
-#: Stands for a call inside a component: known, so that it passes nothing on but what has been found of it.
-INSIDE = "inside"
-
-
-def summaries(ops: DataFrame, entries: DataFrame | None = None, chained: bool = True, known: DataFrame | None = None) -> DataFrame:
+def summaries(ops: DataFrame, entries: DataFrame | None = None, chained: bool = True, known: DataFrame | None = None, whole: bool = False, met: bool = False) -> DataFrame:
     """Effects of each function's parameters, callees before callers: EFFECTS.
 
     Operations are written by the level of their function's component (placed). A round is one distributed job that reads
@@ -771,17 +821,21 @@ def summaries(ops: DataFrame, entries: DataFrame | None = None, chained: bool =
     unknown ones, as an engine without components would, effects through recursion are lost or guessed.) Effects only grow
     from round to round, of which there are at most as many as a component has effects, and few in practice. Not chained,
     each function is taken alone. known (EFFECTS) are effects of functions that ops doesn't hold.
+    Unless whole, functions of more than MOST_OPS operations are left out. If met, effects on parameters that no call has
+    an argument for are told as one (INSIDE): the walk and the marks of callers are the same, but a function of n
+    operations, whose parameters and what they write to may each be some n, has no longer some n * n effects.
     """
     ops = saved(ops)
+    widest = (ops.filter(F.col("op").isin(*CALLS)).agg(F.max(F.size("args"))).first()[0] or 0) if met else None
     edges, taken = saved(calls(ops)), None if entries is None else saved(pointers(ops, entries))
     schema = pa.schema([("fn", pa.string()), ("arg", pa.int32()), ("effect", pa.string())])
 
     def make() -> functionwise.Job:
         rules = catalog()
-        return lambda fn, rows, told: [{"fn": fn, "arg": i, "effect": e} for i, e in summary(rows, rules, told.effects, told.targets)]
+        return lambda fn, rows, told: [{"fn": fn, "arg": i, "effect": e} for i, e in summary(rows, rules, told.effects, told.targets, widest)]
 
     def found(rows: DataFrame, effects: DataFrame) -> DataFrame:
-        return saved(functionwise.per_function(rows, make, EFFECTS, schema, known_facts(edges, effects, taken), MOST_OPS))
+        return saved(functionwise.per_function(rows, make, EFFECTS, schema, known_facts(edges, effects, taken), None if whole else MOST_OPS))
 
     start = ops.sparkSession.createDataFrame([], EFFECTS) if known is None else known
     if not chained:
@@ -811,22 +865,23 @@ def _fixpoint(rows: DataFrame, below: DataFrame, inside: DataFrame, found: Calla
         n = m
 
 
-def external_arguments(ops: DataFrame, effects: DataFrame | None = None, rounds: int = 10) -> DataFrame:
+def external_arguments(ops: DataFrame, effects: DataFrame | None = None, rounds: int = 10, whole: bool = False) -> DataFrame:
     """fn and arg of the parameters that external data enters functions by; arg -1 marks functions that bring it in.
 
     First each function's own calls of sources: what they taint is followed through the function, and the arguments it
     passes it on in are marked at the callee. Then upwards, up to `rounds` calls: a function that calls one of those marked
-    is marked at the positions of the variables it passes.
+    is marked at the positions of the variables it passes. Unless whole, nothing is followed through functions of more than
+    MOST_OPS operations.
     """
     ops = saved(ops)
-    return entered(ops, passed(ops, effects).select("fn", "arg").distinct(), rounds)
+    return entered(ops, passed(ops, effects, whole).select("fn", "arg").distinct(), rounds)
 
 
 #: What functions pass on: `by` marks parameter `arg` of `fn`.
 PASSED = "by string, fn string, arg int"
 
 
-def passed(ops: DataFrame, effects: DataFrame | None = None) -> DataFrame:
+def passed(ops: DataFrame, effects: DataFrame | None = None, whole: bool = False) -> DataFrame:
     """Arguments that each function passes external data of its own in (PASSED)."""
 
     def make() -> functionwise.Job:
@@ -834,7 +889,7 @@ def passed(ops: DataFrame, effects: DataFrame | None = None) -> DataFrame:
         return lambda fn, rows, told: [{"by": fn, "fn": f, "arg": i} for f, i in passed_on(fn, rows, rules, told.effects)]
 
     schema = pa.schema([("by", pa.string()), ("fn", pa.string()), ("arg", pa.int32())])
-    return functionwise.per_function(ops, make, PASSED, schema, known_facts(calls(ops), effects, None), MOST_OPS)
+    return functionwise.per_function(ops, make, PASSED, schema, known_facts(calls(ops), effects, None), None if whole else MOST_OPS)
 
 
 def entered(ops: DataFrame, own: DataFrame, rounds: int = 10) -> DataFrame:

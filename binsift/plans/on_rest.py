@@ -144,7 +144,7 @@ def f13(s: Source) -> DataFrame:
 @query("x09_tainted_sizes", f"SELECT vuln_type, sink_fn, match_kind, count(*) AS n FROM ({taint_sql.CANDIDATES}) c GROUP BY vuln_type, sink_fn, match_kind")
 def x09(s: Source) -> DataFrame:
     """Candidates of the walk by rule family: what each sink and type was told by."""
-    return taint.candidates(taint.analyze(ops.of_programs(s.b_prog))).groupBy("vuln_type", "sink_fn", "match_kind").agg(F.count("*").alias("n"))
+    return taint.candidates(taint.analyze(ops.of_programs(s.b_prog), whole=True)).groupBy("vuln_type", "sink_fn", "match_kind").agg(F.count("*").alias("n"))
 
 
 @query("l01_callee_names", "SELECT DISTINCT '0x' || lower(to_hex(k)) AS target, CASE WHEN k % 3 = 0 THEN 'name_' || CAST(k AS VARCHAR) END AS name FROM b_ops WHERE op = 'CALLIND'")

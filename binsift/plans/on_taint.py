@@ -17,7 +17,7 @@ def _ops(s: Source) -> DataFrame:
 
 
 def _walked(s: Source) -> DataFrame:
-    return taint.analyze(ops.of_programs(s.b_prog))
+    return taint.analyze(ops.of_programs(s.b_prog), whole=True)
 
 
 @query("x26_forward_taint", taint_sql.CANDIDATES)
@@ -48,31 +48,31 @@ def x13(s: Source) -> DataFrame:
 @query("g11_function_summaries")
 def g11(s: Source) -> DataFrame:
     flat = ops.of_programs(s.b_prog)
-    return taint.summaries(flat).select("fn", F.col("arg").alias("arg_idx"), "effect")
+    return taint.summaries(flat, whole=True).select("fn", F.col("arg").alias("arg_idx"), "effect")
 
 
 @query("g11b_own_summaries", taint_sql.OWN_EFFECTS)
 def g11b(s: Source) -> DataFrame:
     flat = ops.of_programs(s.b_prog)
-    return taint.summaries(flat, chained=False).filter("effect NOT LIKE 'field:%'")
+    return taint.summaries(flat, chained=False, whole=True).filter("effect NOT LIKE 'field:%'")
 
 
 @query("g14_external_arguments", taint_sql.ENTERED)
 def g14(s: Source) -> DataFrame:
-    return taint.external_arguments(ops.of_programs(s.b_prog))
+    return taint.external_arguments(ops.of_programs(s.b_prog), whole=True)
 
 
 @query("x03_taint_from_callers", taint_sql.FROM_CALLERS)
 def x03(s: Source) -> DataFrame:
     flat = ops.of_programs(s.b_prog)
-    return taint.candidates(taint.analyze(flat, external=taint.external_arguments(flat))).select(*taint.CANDIDATE)
+    return taint.candidates(taint.analyze(flat, external=taint.external_arguments(flat, whole=True), whole=True)).select(*taint.CANDIDATE)
 
 
 @query("x11_taint_through_calls")
 def x11(s: Source) -> DataFrame:
     flat = ops.of_programs(s.b_prog)
-    effects = taint.summaries(flat)
-    return taint.candidates(taint.analyze(flat, effects, taint.external_arguments(flat, effects))).select(*taint.CANDIDATE)
+    effects = taint.summaries(flat, whole=True, met=True)
+    return taint.candidates(taint.analyze(flat, effects, taint.external_arguments(flat, effects, whole=True), whole=True)).select(*taint.CANDIDATE)
 
 
 @query("r11_ranked_functions")

@@ -80,8 +80,8 @@ def evidence_vectors(flat: DataFrame, roles: DataFrame | None = None, reach: Dat
     roles (fn, role), reach (fn, reach) and entries (fn, entry_addr) are optional.
     """
     flat = graph.saved(flat)
-    effects = taint.summaries(flat, entries)
-    walked = graph.saved(taint.analyze(flat, effects, taint.external_arguments(flat, effects), entries, reach))
+    effects = taint.summaries(flat, entries, whole=True, met=True)
+    walked = graph.saved(taint.analyze(flat, effects, taint.external_arguments(flat, effects, whole=True), entries, reach, whole=True))
     by_fn = walked.select("fn", (F.col("unknown_calls") > 0).alias("unknown_call"), F.exists("steps", lambda x: F.contains(x["reason"], F.lit("interproc"))).alias("interproc_confirmed"), F.exists("steps", lambda x: F.contains(F.lower(x["reason"]), F.lit("missing"))).alias("missing_summary"))
     # Source: the seed of the variable, else the surest seed of its path, else the name of its origin, else its confidence.
     outside = F.col("taint_source").startswith("external:") & ~F.col("taint_source").rlike("^external:(3a_seed|interproc)")

@@ -84,3 +84,8 @@ def test_effects_that_no_call_meets_change_no_walk(spark):
     assert ("beyond", 2, "return") in effects_of(full) and ("beyond", 0, taint.INSIDE) in effects_of(met) and ("beyond", 2, "return") not in effects_of(met)
     walked = [sorted(repr(r) for r in taint.analyze(flat, e, taint.external_arguments(flat, e)).collect()) for e in (full, met)]
     assert walked[0] == walked[1] and "interprocedural:top:return" in repr(walked[0]) and "unknown_call:" not in repr(walked[0])
+
+
+def test_e06_has_evidence_of_a_long_function(spark, long_table, candidates):
+    got = QUERIES["e06_evidence_vectors"](spark, long_table).filter("fn = 'fn_3000'").select("seq", "vuln_type", "sink_fn", "taint_source", "taint_path").collect()
+    assert sorted(repr(tuple(r)) for r in got) == sorted(repr((x["seq"], x["vuln_type"], x["sink_fn"], x["taint_source"], x["taint_path"])) for x in candidates)

@@ -89,3 +89,8 @@ def test_effects_that_no_call_meets_change_no_walk(spark):
 def test_e06_has_evidence_of_a_long_function(spark, long_table, candidates):
     got = QUERIES["e06_evidence_vectors"](spark, long_table).filter("fn = 'fn_3000'").select("seq", "vuln_type", "sink_fn", "taint_source", "taint_path").collect()
     assert sorted(repr(tuple(r)) for r in got) == sorted(repr((x["seq"], x["vuln_type"], x["sink_fn"], x["taint_source"], x["taint_path"])) for x in candidates)
+
+
+def test_e09_has_findings_of_a_long_function(spark, long_table, candidates):
+    got = QUERIES["e09_findings_without_models"](spark, long_table).filter("fn = 'fn_3000' AND match_kind IS NOT NULL").select("vuln_type", "sink_fn", "confirmed").collect()
+    assert {(r.vuln_type, r.sink_fn) for r in got} == {(x["vuln_type"], x["sink_fn"]) for x in candidates} and any(r.confirmed for r in got)

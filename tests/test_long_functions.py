@@ -94,3 +94,10 @@ def test_e06_has_evidence_of_a_long_function(spark, long_table, candidates):
 def test_e09_has_findings_of_a_long_function(spark, long_table, candidates):
     got = QUERIES["e09_findings_without_models"](spark, long_table).filter("fn = 'fn_3000' AND match_kind IS NOT NULL").select("vuln_type", "sink_fn", "confirmed").collect()
     assert {(r.vuln_type, r.sink_fn) for r in got} == {(x["vuln_type"], x["sink_fn"]) for x in candidates} and any(r.confirmed for r in got)
+
+
+def test_s17_shows_findings_of_a_long_function(spark, long_table, candidates):
+    page = QUERIES["s17_html_report"](spark, long_table).first().html
+    rows = [x for x in page.split("\n") if x.startswith("<tr class=")]
+    sure = {(x["vuln_type"], x["sink_fn"]) for x in candidates if x["match_kind"] == "LIBRARY_MATCH" and "alloc" not in x["sink_fn"]}
+    assert sure and all(any(f"<td>{kind}</td><td>fn_3000</td><td>{sink}</td>" in x for x in rows) for kind, sink in sure)
